@@ -170,3 +170,127 @@ _xs = ", ".join(f"round((t.x{i} - s.m{i}) / s.s{i}, 6) AS xs{i}" for i in range(
 ORACLE["scaled_features"] = with_ctes("tok", "scaler") + (
     f"SELECT t.event_id, t.tok, t.valid, {_xs} FROM tok t CROSS JOIN scaler s"
 )
+
+# ---------------------------------------------------------------- sampling
+_MD5 = "md5(concat_ws(':', {}))"
+
+
+def _hint(*parts: str) -> str:
+    return f"CAST(('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 12)) AS BIGINT)"
+
+
+def _sample_n_sql(n: int) -> str:
+    return with_ctes("v_event") + (
+        "SELECT event_id, y FROM (SELECT event_id, y, row_number() OVER (PARTITION BY y ORDER BY "
+        "md5(concat_ws(':', 42, event_id)), event_id) AS rn FROM v_event "
+        f"WHERE dimuon_mass >= 115 AND dimuon_mass < 135) s WHERE rn <= {n}"
+    )
+
+
+ORACLE["sample_exact_n"] = _sample_n_sql(1000)
+ORACLE["sample_short_source"] = _sample_n_sql(2250)
+_cte("pool", ("ev_split",),
+     "pool AS (SELECT event_id, y, row_number() OVER (PARTITION BY y ORDER BY md5(concat_ws(':', 42, event_id)), "
+     "event_id) - 1 AS rnk FROM ev_split WHERE split = 'train')")
+_cte("sizes", ("pool",), "sizes AS (SELECT y, count(*) AS n FROM pool GROUP BY y)")
+
+
+def _batches_sql(k_expr: str, steps_expr: str) -> str:
+    return with_ctes("pool", "sizes") + f"""
+, par AS (SELECT {k_expr} AS k, {steps_expr} AS steps FROM sizes),
+draws AS (SELECT s.y, s.n, p.k, unnest(range(p.k * p.steps)) AS id FROM sizes s, par p),
+d2 AS (SELECT y, n, k, id // k AS step, id % k AS draw FROM draws),
+tg AS (SELECT y, step, draw, CASE WHEN n >= k THEN (step * k + draw) % n
+        ELSE {_hint('42', 'step', 'y', 'draw')} % n END AS rnk FROM d2)
+SELECT tg.step, tg.y, tg.draw, pool.event_id, md5(concat_ws(':', 42, tg.step, tg.y, tg.draw)) AS shuffle_key
+FROM tg JOIN pool ON tg.y = pool.y AND tg.rnk = pool.rnk"""
+
+
+ORACLE["balanced_sample"] = _batches_sql("min(n)", "1")
+ORACLE["balanced_with_replacement"] = _batches_sql("max(n)", "1")
+ORACLE["balanced_steps"] = _batches_sql("768 // 3", "CAST(ceil(3 * max(n) / 768) AS BIGINT)")
+ORACLE["gather_rows"] = with_ctes("ev_idx") + f"""
+, sz AS (SELECT y, count(*) AS n FROM ev_idx GROUP BY y),
+dr AS (SELECT y, n, unnest(range(n)) AS d FROM sz),
+pos AS (SELECT y, d, {_hint('7', 'y', 'd')} % n AS idx FROM dr)
+SELECT pos.y, pos.d, pos.idx, e.event_id FROM pos JOIN ev_idx e ON pos.y = e.y AND pos.idx = e.idx"""
+
+# ---------------------------------------------------------------- binning
+_cte("masses", ("ev_split",),
+     "masses AS (SELECT event_id, y, dimuon_mass, CAST(CAST(dimuon_mass AS FLOAT) AS DOUBLE) AS m, "
+     "row_number() OVER () AS rid FROM ev_split WHERE split = 'train')")
+
+
+def _edges_cte(name: str, ks) -> None:
+    parts = []
+    for k in sorted(set(ks)):
+        qs = ", ".join(f"CAST({b} AS DOUBLE) / {k}" for b in range(k + 1))
+        parts.append(
+            f"SELECT {k} AS K, t.b, CASE WHEN t.b = 0 THEN CAST(115 AS DOUBLE) WHEN t.b = {k} THEN CAST(135 AS DOUBLE) "
+            f"ELSE q.q[t.b + 1] END AS edge FROM (SELECT quantile_cont(m, [{qs}]) AS q FROM masses "
+            f"WHERE m >= 115 AND m <= 135) q, range({k + 1}) t(b)"
+        )
+    _cte(name, ("masses",), f"{name} AS (" + "\nUNION ALL\n".join(parts) + ")")
+
+
+def _hist_cte(name: str, edges: str) -> None:
+    _cte(name, (edges,), f"""{name} AS (
+  SELECT g.K, g.b, coalesce(h.n, 0) AS n FROM (SELECT K, b FROM {edges} WHERE b < K) g LEFT JOIN (
+    SELECT K, b, count(*) AS n FROM (
+      SELECT e.K, mm.rid, least(count(*) - 1, e.K - 1) AS b FROM masses mm JOIN {edges} e ON e.edge <= mm.m
+      WHERE mm.m >= 115 AND mm.m <= 135 GROUP BY e.K, mm.rid) x GROUP BY K, b) h ON g.K = h.K AND g.b = h.b)""")
+
+
+_edges_cte("edges", CANDIDATE_K)
+_hist_cte("hist", "edges")
+_edges_cte("edges_fb", [1] + list(CANDIDATE_K))
+_hist_cte("hist_fb", "edges_fb")
+_cte("chosen", ("hist",), "chosen AS (SELECT coalesce((SELECT max(K) FROM (SELECT K, min(n) AS mn FROM hist "
+     "GROUP BY K) s WHERE K >= 2 AND mn >= 500), (SELECT min(K) FROM hist)) AS K)")
+_cte("chosen_fb", ("hist_fb",), "chosen_fb AS (SELECT coalesce((SELECT max(K) FROM (SELECT K, min(n) AS mn "
+     "FROM hist_fb GROUP BY K) s WHERE K >= 2 AND mn >= (SELECT count(*) FROM masses)), "
+     "(SELECT min(K) FROM hist_fb)) AS K)")
+
+ORACLE["equal_freq_edges"] = with_ctes("edges") + "SELECT K, b, round(edge, 6) AS edge FROM edges"
+ORACLE["edge_histogram"] = with_ctes("hist") + "SELECT K, b, CAST(n AS BIGINT) AS n FROM hist"
+ORACLE["choose_k"] = with_ctes("edges", "chosen") + (
+    "SELECT e.K, e.b, round(CAST(CAST(e.edge AS FLOAT) AS DOUBLE), 6) AS edge FROM edges e JOIN chosen c ON e.K = c.K"
+)
+ORACLE["choose_k_fallback"] = with_ctes("edges_fb", "chosen_fb") + (
+    "SELECT e.K, e.b, round(CAST(CAST(e.edge AS FLOAT) AS DOUBLE), 6) AS edge FROM edges_fb e "
+    "JOIN chosen_fb c ON e.K = c.K"
+)
+ORACLE["mass_bin_assign"] = with_ctes("edges", "chosen") + """
+, ce AS (SELECT e.K, CAST(e.edge AS FLOAT) AS ef FROM edges e JOIN chosen c ON e.K = c.K)
+SELECT mm.event_id, mm.y, CAST(greatest(0, least(max(ce.K) - 1, count(ce.ef) FILTER (WHERE ce.ef < CAST(mm.dimuon_mass AS FLOAT)) - 1)) AS INTEGER) AS mass_bin
+FROM masses mm, ce GROUP BY mm.event_id, mm.y"""
+
+# ---------------------------------------------------------------- pairs
+_PI = "pi()"
+_cte("p4", ("tok",), """p4 AS (SELECT event_id, tok, type, valid, pt, eta, phi, mass,
+  sqrt(greatest(mass * mass + (pt * cos(phi) * (pt * cos(phi)) + pt * sin(phi) * (pt * sin(phi))
+       + pt * sinh(eta) * (pt * sinh(eta))), 0)) AS E,
+  pt * cos(phi) AS px, pt * sin(phi) AS py, pt * sinh(eta) AS pz FROM tok)""")
+_DPHI_RAW = f"(a.phi - b.phi + {_PI})"
+_FM = f"fmod({_DPHI_RAW}, 2 * {_PI})"
+_DPHI = f"(CASE WHEN {_FM} < 0 THEN fmod({_FM} + 2 * {_PI}, 2 * {_PI}) ELSE {_FM} END - {_PI})"
+_cte("pairs", ("p4",), f"""pairs AS (SELECT a.event_id, a.tok AS i, b.tok AS j, a.valid AS valid_i, b.valid AS valid_j,
+  a.type AS type_i, b.type AS type_j,
+  a.eta - b.eta AS deta, sin({_DPHI}) AS sin_dphi, cos({_DPHI}) AS cos_dphi,
+  ln(greatest(sqrt(greatest((a.eta - b.eta) * (a.eta - b.eta) + {_DPHI} * {_DPHI}, 0)), CAST(1e-6 AS DOUBLE))) AS log_dr,
+  ln(greatest(a.pt + CAST(1e-6 AS DOUBLE), CAST(1e-6 AS DOUBLE))) - ln(greatest(b.pt + CAST(1e-6 AS DOUBLE), CAST(1e-6 AS DOUBLE))) AS log_pt_ratio,
+  sqrt(greatest((a.E + b.E) * (a.E + b.E) - ((a.px + b.px) * (a.px + b.px) + (a.py + b.py) * (a.py + b.py)
+       + (a.pz + b.pz) * (a.pz + b.pz)), 0)) AS mij
+  FROM p4 a JOIN p4 b ON a.event_id = b.event_id)""")
+ORACLE["pair_features"] = with_ctes("pairs") + """SELECT event_id, i, j, valid_i, valid_j, round(deta, 6) AS deta,
+  round(sin_dphi, 6) AS sin_dphi, round(cos_dphi, 6) AS cos_dphi, round(log_dr, 6) AS log_dr,
+  round(log_pt_ratio, 6) AS log_pt_ratio,
+  round(CASE WHEN type_i = 2 AND type_j = 2 THEN ln(greatest(mij, CAST(1e-6 AS DOUBLE))) ELSE CAST(0 AS DOUBLE) END, 6) AS log_mjj
+FROM pairs"""
+ORACLE["pair_mass_jets"] = with_ctes("pairs") + (
+    "SELECT event_id, i, j, round(mij, 6) AS mij FROM pairs WHERE i >= 3 AND j >= 3 AND valid_i = 1 AND valid_j = 1"
+)
+ORACLE["pair_valid_keys"] = with_ctes("pairs") + (
+    "SELECT i, j, count(*) AS n_valid_key, count(*) FILTER (WHERE valid_i = 1) AS n_both FROM pairs "
+    "WHERE valid_j = 1 GROUP BY i, j"
+)

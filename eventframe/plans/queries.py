@@ -12,12 +12,21 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventframe.constants import EVENT_COLUMNS, LABEL_NAMES, MAX_JETS, X_DIM
-from eventframe.functions.scalar import is_finite
-from eventframe.operators.filters import window_closed_f32, window_half_open
+from eventframe.constants import CANDIDATE_K, EVENT_COLUMNS, LABEL_NAMES, MAX_JETS, MIN_BIN_COUNT, X_DIM
+from eventframe.functions.scalar import hash_int, is_finite
+from eventframe.operators.binning import assign_mass_bins, collect_edges
+from eventframe.operators.binning import choose_k as choose_k_op
+from eventframe.operators.binning import edge_histogram as edge_histogram_op
+from eventframe.operators.binning import equal_freq_edges as equal_freq_edges_op
+from eventframe.operators.filters import gather, window_closed_f32, window_half_open
+from eventframe.operators.pairs import PAIR_FEATURES, pairs_long
+from eventframe.operators.sampling import balanced_sample as balanced_sample_op
+from eventframe.operators.sampling import balanced_steps as balanced_steps_op
+from eventframe.operators.sampling import class_pool_sizes
+from eventframe.operators.sampling import sample_exact_n as sample_exact_n_op
 from eventframe.operators.scaling import apply_scaler, fit_masked_scaler, scaler_params
 from eventframe.operators.splits import assign_folds, class_counts, global_ids, row_index
-from eventframe.operators.tokens import normalise_events
+from eventframe.operators.tokens import build_tokens, normalise_events
 from eventframe.plans.finalize import rounded
 from eventframe.plans.prepare import events_from_tables, split_events, split_tokens
 from eventframe.sources.event_view import event_view
@@ -154,3 +163,147 @@ def scaled_features(spark, sf_dir):
 # registry names that differ from the Python function names
 QUERIES["class_counts"] = QUERIES.pop("class_counts_q")
 QUERIES["global_ids"] = QUERIES.pop("global_ids_q")
+
+
+# ---------------------------------------------------------------- sampling
+SEED = 42
+
+
+def _train_pool(spark, sf_dir) -> DataFrame:
+    return _split(spark, sf_dir).where(F.col("split") == "train")
+
+
+@query
+def sample_exact_n(spark, sf_dir):
+    ev = window_half_open(event_view(spark, sf_dir))
+    return sample_exact_n_op(ev, 1000, SEED, ("y",)).select("event_id", "y")
+
+
+@query
+def sample_short_source(spark, sf_dir):
+    ev = window_half_open(event_view(spark, sf_dir))
+    return sample_exact_n_op(ev, 2250, SEED, ("y",)).select("event_id", "y")
+
+
+def _batch_cols(df):
+    return df.select("step", "y", "draw", "event_id", "shuffle_key")
+
+
+@query
+def balanced_sample(spark, sf_dir):
+    return _batch_cols(balanced_sample_op(_train_pool(spark, sf_dir), SEED))
+
+
+@query
+def balanced_with_replacement(spark, sf_dir):
+    pool = _train_pool(spark, sf_dir)
+    k = int(class_pool_sizes(pool).agg(F.max("n")).first()[0])
+    return _batch_cols(balanced_sample_op(pool, SEED, k=k))
+
+
+@query
+def balanced_steps(spark, sf_dir):
+    return _batch_cols(balanced_steps_op(_train_pool(spark, sf_dir), 768, SEED))
+
+
+@query
+def gather_rows(spark, sf_dir):
+    ev = row_index(window_closed_f32(events_from_tables(spark, sf_dir)), "_ord", ("y",))
+    sizes = class_pool_sizes(ev)
+    pos = (
+        spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in range(3)])).alias("y"))
+        .join(F.broadcast(sizes), "y")
+    )
+    # n_y positions per class drawn with replacement (a bootstrap resample), spread with spark.range
+    mx = int(sizes.agg(F.max("n")).first()[0])
+    draws = spark.range(mx).withColumnRenamed("id", "d").join(F.broadcast(pos), F.col("d") < F.col("n"))
+    draws = draws.select("y", "d", F.pmod(hash_int(F.lit(7), F.col("y"), F.col("d")), F.col("n")).alias("idx"))
+    return gather(ev.select("y", "idx", "event_id"), draws).select("y", "d", "idx", "event_id")
+
+
+# ---------------------------------------------------------------- binning
+def _train_masses(spark, sf_dir) -> DataFrame:
+    # the original keeps training masses as float32 and widens them to float64 for binning
+    return _train_pool(spark, sf_dir).select(
+        "event_id", "y", F.col("dimuon_mass").cast("float").cast("double").alias("mass"), "dimuon_mass"
+    )
+
+
+@query
+def equal_freq_edges(spark, sf_dir):
+    return rounded(equal_freq_edges_op(_train_masses(spark, sf_dir)))
+
+
+@query
+def edge_histogram(spark, sf_dir):
+    m = _train_masses(spark, sf_dir)
+    return edge_histogram_op(m, collect_edges(equal_freq_edges_op(m)))
+
+
+def _chosen(spark, sf_dir, candidates, min_count=None):
+    m = _train_masses(spark, sf_dir)
+    edges = collect_edges(equal_freq_edges_op(m, candidate_k=candidates))
+    hist = edge_histogram_op(m, edges)
+    if min_count is None:
+        min_count = MIN_BIN_COUNT
+    k = choose_k_op(hist, candidates, min_count)
+    return m, k, [float(_f32(e)) for e in edges[k]]
+
+
+def _f32(x: float) -> float:
+    import numpy as np
+
+    return float(np.float32(x))
+
+
+def _edges_df(spark, k, edges):
+    arr = F.array(*[F.struct(F.lit(k).alias("K"), F.lit(b).alias("b"), F.lit(e).alias("edge"))
+                    for b, e in enumerate(edges)])
+    return spark.range(1).select(F.inline(arr))
+
+
+@query
+def choose_k(spark, sf_dir):
+    _, k, edges = _chosen(spark, sf_dir, CANDIDATE_K)
+    return rounded(_edges_df(spark, k, edges))
+
+
+@query
+def choose_k_fallback(spark, sf_dir):
+    n_train = _train_masses(spark, sf_dir).count()
+    _, k, edges = _chosen(spark, sf_dir, [1] + list(CANDIDATE_K), min_count=n_train)
+    return rounded(_edges_df(spark, k, edges))
+
+
+@query
+def mass_bin_assign(spark, sf_dir):
+    m, k, edges = _chosen(spark, sf_dir, CANDIDATE_K)
+    return assign_mass_bins(m, edges, col="dimuon_mass").select("event_id", "y", "mass_bin")
+
+
+# ---------------------------------------------------------------- pair features
+def _pairs(spark, sf_dir, valid_keys_only=False) -> DataFrame:
+    ev = build_tokens(_split(spark, sf_dir))
+    return pairs_long(ev, keep=("event_id",), valid_keys_only=valid_keys_only)
+
+
+@query
+def pair_features(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    return rounded(p.select("event_id", "i", "j", "valid_i", "valid_j", *PAIR_FEATURES))
+
+
+@query
+def pair_mass_jets(spark, sf_dir):
+    p = _pairs(spark, sf_dir).where((F.col("i") >= 3) & (F.col("j") >= 3))
+    p = p.where((F.col("valid_i") == 1) & (F.col("valid_j") == 1))
+    return rounded(p.select("event_id", "i", "j", "mij"))
+
+
+@query
+def pair_valid_keys(spark, sf_dir):
+    p = _pairs(spark, sf_dir, valid_keys_only=True)
+    return p.groupBy("i", "j").agg(
+        F.count(F.lit(1)).alias("n_valid_key"),
+        F.count(F.when(F.col("valid_i") == 1, 1)).alias("n_both"),
+    )
