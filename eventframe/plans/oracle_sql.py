@@ -260,10 +260,12 @@ ORACLE["choose_k_fallback"] = with_ctes("edges_fb", "chosen_fb") + (
     "SELECT e.K, e.b, round(CAST(CAST(e.edge AS FLOAT) AS DOUBLE), 6) AS edge FROM edges_fb e "
     "JOIN chosen_fb c ON e.K = c.K"
 )
-ORACLE["mass_bin_assign"] = with_ctes("edges", "chosen") + """
-, ce AS (SELECT e.K, CAST(e.edge AS FLOAT) AS ef FROM edges e JOIN chosen c ON e.K = c.K)
-SELECT mm.event_id, mm.y, CAST(greatest(0, least(max(ce.K) - 1, count(ce.ef) FILTER (WHERE ce.ef < CAST(mm.dimuon_mass AS FLOAT)) - 1)) AS INTEGER) AS mass_bin
-FROM masses mm, ce GROUP BY mm.event_id, mm.y"""
+_cte("mbin", ("edges", "chosen"), """mbin AS (
+  SELECT mm.event_id, mm.y, CAST(greatest(0, least(max(ce.K) - 1,
+         count(ce.ef) FILTER (WHERE ce.ef < CAST(mm.dimuon_mass AS FLOAT)) - 1)) AS INTEGER) AS mass_bin
+  FROM masses mm, (SELECT e.K, CAST(e.edge AS FLOAT) AS ef FROM edges e JOIN chosen c ON e.K = c.K) ce
+  GROUP BY mm.event_id, mm.y)""")
+ORACLE["mass_bin_assign"] = with_ctes("mbin") + "SELECT event_id, y, mass_bin FROM mbin"
 
 # ---------------------------------------------------------------- pairs
 _PI = "pi()"
@@ -294,3 +296,142 @@ ORACLE["pair_valid_keys"] = with_ctes("pairs") + (
     "SELECT i, j, count(*) AS n_valid_key, count(*) FILTER (WHERE valid_i = 1) AS n_both FROM pairs "
     "WHERE valid_j = 1 GROUP BY i, j"
 )
+
+# ---------------------------------------------------------------- scores, losses, metrics
+_D = "CAST({} AS DOUBLE)"
+
+
+def _scored_ctes(prefix: str, source: str, z1: str = "z1r") -> str:
+    """CTE bodies producing p0..p2 (rounded to 2), ce and pred from logits z0, z1, z2."""
+    return f"""{prefix}_m AS (SELECT *, greatest(z0, {z1}, z2) AS mx FROM {source}),
+{prefix}_e AS (SELECT *, exp(z0 - mx) AS e0, exp({z1} - mx) AS e1, exp(z2 - mx) AS e2 FROM {prefix}_m),
+{prefix}_p AS (SELECT *, round(e0 / (e0 + e1 + e2), 2) AS p0, round(e1 / (e0 + e1 + e2), 2) AS p1,
+    round(e2 / (e0 + e1 + e2), 2) AS p2,
+    mx + ln(e0 + e1 + e2) - CASE y WHEN 0 THEN z0 WHEN 1 THEN {z1} ELSE z2 END AS ce FROM {prefix}_e),
+{prefix} AS (SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS pred FROM {prefix}_p)"""
+
+
+_cte("sc_z", ("ev_split",), """sc_z AS (SELECT event_id, y, idx, split, dimuon_mass AS mass, MET_phi,
+    MET_pt / 200 AS z0, mu1_pt / 20 AS z1r, CAST(njets_nominal AS DOUBLE) / 3 AS z2 FROM ev_split)""")
+_cte("sc_all", ("sc_z",), _scored_ctes("sc_all", "sc_z"))
+_cte("scored", ("sc_all",), "scored AS (SELECT * FROM sc_all WHERE split = 'test')")
+_cte("dy", ("scored",), "dy AS (SELECT 1 - p2 AS s, mass FROM scored WHERE y = 2)")
+
+
+def _auc_sql(src: str, group: str = "") -> str:
+    g = f"{group}, " if group else ""
+    part = f"PARTITION BY {group}, c" if group else "PARTITION BY c"
+    ex = "\nUNION ALL\n".join(
+        f"SELECT {g}{c} AS c, p{c} AS s, CASE WHEN y = {c} THEN 1 ELSE 0 END AS pos FROM {src}" for c in range(3)
+    )
+    return f"""ex AS ({ex}),
+ag AS (SELECT {g}c, s, CAST(sum(pos) AS DOUBLE) AS P, CAST(sum(1 - pos) AS DOUBLE) AS N FROM ex GROUP BY {g}c, s),
+cu AS (SELECT *, coalesce(sum(N) OVER ({part} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS N_below,
+              coalesce(sum(P) OVER ({part} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS P_below
+       FROM ag),
+tot AS (SELECT {g}c, sum(P) AS Pt, sum(N) AS Nt, sum(P * (N_below + N / 2)) AS num FROM cu GROUP BY {g}c)"""
+
+
+ORACLE["softmax_argmax"] = with_ctes("scored") + "SELECT event_id, p0, p1, p2, pred FROM scored"
+ORACLE["cross_entropy"] = with_ctes("scored") + "SELECT event_id, y, round(ce, 6) AS ce FROM scored"
+_BATCH = """
+, v AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY idx) - 1 AS pos FROM {src}),
+off AS (SELECT y, coalesce(sum(n) OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+        FROM (SELECT y, count(*) AS n FROM v GROUP BY y) c),
+g AS (SELECT v.*, off.off + v.pos AS gid FROM v JOIN off ON v.y = off.y)"""
+ORACLE["batch_mean_loss"] = with_ctes("sc_all") + _BATCH.format(src="sc_all WHERE split = 'val'") + """
+, b AS (SELECT floor(gid / 2048) AS batch, avg(ce) AS bm, sum(ce) AS bs, count(*) AS bn FROM g GROUP BY 1)
+SELECT round(avg(bm), 6) AS loss_mean_of_batches, round(sum(bs) / sum(bn), 6) AS loss_row_weighted,
+       count(*) AS n_batches, CAST(sum(bn) AS BIGINT) AS n FROM b"""
+ORACLE["mass_bin_cross_entropy"] = with_ctes("sc_all", "mbin", "chosen") + """
+, tr AS (SELECT s.event_id, s.ce, s.MET_phi, mb.mass_bin FROM sc_all s JOIN mbin mb ON s.event_id = mb.event_id
+         WHERE s.split = 'train'),
+ak AS (SELECT tr.event_id, tr.mass_bin, unnest(range(c.K)) AS k, tr.MET_phi FROM tr, chosen c),
+az AS (SELECT event_id, mass_bin, k, sin(CAST(k + 1 AS DOUBLE) * MET_phi) AS zk FROM ak),
+am AS (SELECT event_id, max(zk) AS mx FROM az GROUP BY event_id),
+adv AS (SELECT az.event_id, am.mx + ln(sum(exp(az.zk - am.mx))) - max(CASE WHEN az.k = az.mass_bin THEN az.zk END) AS ce_adv
+        FROM az JOIN am ON az.event_id = am.event_id GROUP BY az.event_id, am.mx),
+agg AS (SELECT count(*) AS n, avg(tr.ce) AS loss_cls, avg(adv.ce_adv) AS loss_adv FROM tr JOIN adv ON tr.event_id = adv.event_id)
+SELECT c.K, agg.n, round(loss_cls, 6) AS loss_cls, round(loss_adv, 6) AS loss_adv, round(loss_cls + loss_adv, 6) AS loss,
+       round(ln(CAST(c.K AS DOUBLE)), 6) AS chance FROM agg, chosen c"""
+ORACLE["accuracy"] = with_ctes("scored") + (
+    "SELECT round(coalesce(avg(CASE WHEN y = pred THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 0), 6) "
+    "AS accuracy, count(*) AS n FROM scored"
+)
+ORACLE["confusion_matrix"] = with_ctes("scored") + """SELECT g.y, g.pred, coalesce(c.n, 0) AS n FROM
+  (SELECT a.y, b.pred FROM range(3) a(y), range(3) b(pred)) g
+  LEFT JOIN (SELECT y, pred, count(*) AS n FROM scored GROUP BY y, pred) c ON g.y = c.y AND g.pred = c.pred"""
+ORACLE["auc_ovr"] = with_ctes("scored") + ", " + _auc_sql("scored") + """
+SELECT CAST(c AS INTEGER) AS class, round(CASE WHEN Pt > 0 AND Nt > 0 THEN num / (Pt * Nt) END, 6) AS auc FROM tot"""
+ORACLE["auc_degenerate"] = with_ctes("scored") + ", sc1 AS (SELECT * FROM scored WHERE y <> 1), " + _auc_sql("sc1") + """
+SELECT CAST(c AS INTEGER) AS class, round(CASE WHEN Pt > 0 AND Nt > 0 THEN num / (Pt * Nt) END, 6) AS auc FROM tot"""
+ORACLE["roc_points"] = with_ctes("scored") + ", " + _auc_sql("scored") + """
+SELECT CAST(cu.c AS INTEGER) AS class, round(cu.s, 6) AS threshold, round((t.Nt - cu.N_below) / t.Nt, 6) AS fpr,
+       round((t.Pt - cu.P_below) / t.Pt, 6) AS tpr
+FROM cu JOIN tot t ON cu.c = t.c WHERE t.Pt > 0 AND t.Nt > 0
+UNION ALL
+SELECT CAST(c AS INTEGER), CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM tot WHERE Pt > 0 AND Nt > 0"""
+ORACLE["roc_trapezoid"] = with_ctes("scored") + ", " + _auc_sql("scored") + """
+SELECT CAST(cu.c AS INTEGER) AS class, round(sum(cu.N * (2 * (t.Pt - cu.P_below) - cu.P)) / (2 * max(t.Pt) * max(t.Nt)), 6) AS auc_trapz
+FROM cu JOIN tot t ON cu.c = t.c WHERE t.Pt > 0 AND t.Nt > 0 GROUP BY cu.c"""
+ORACLE["top_decile_purity"] = with_ctes("scored") + """
+, th AS (SELECT quantile_cont(p1, CAST(0.9 AS DOUBLE)) AS thr FROM scored)
+SELECT round(max(th.thr), 6) AS threshold, count(*) AS n_selected,
+       round(avg(CASE WHEN y = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS purity
+FROM scored, th WHERE p1 >= th.thr"""
+ORACLE["pearson_guarded"] = with_ctes("dy") + """
+SELECT count(*) AS n, round(stddev_pop(s), 6) AS std_s, round(stddev_pop(mass), 6) AS std_m, round(min(s), 6) AS min_s,
+  round(max(s), 6) AS max_s,
+  round(CASE WHEN stddev_pop(s) < 1e-12 OR stddev_pop(mass) < 1e-12 THEN NULL
+        ELSE covar_pop(s, mass) / (stddev_pop(s) * stddev_pop(mass)) END, 6) AS r FROM dy"""
+_qs6 = ", ".join(f"CAST({i} AS DOUBLE) / 6" for i in range(7))
+_cte("sedges", ("dy",), f"""sedges AS (SELECT min(s) AS e0, q[2] AS e1, q[3] AS e2, q[4] AS e3, q[5] AS e4, q[6] AS e5,
+    max(s) AS e6 FROM (SELECT quantile_cont(s, [{_qs6}]) AS q, min(s) AS s0 FROM dy) qq, dy GROUP BY q)""")
+_cte("dyb", ("sedges",), """dyb AS (SELECT dy.s, dy.mass, (CASE WHEN e.e1 <= dy.s THEN 1 ELSE 0 END + CASE WHEN e.e2 <= dy.s THEN 1 ELSE 0 END
+    + CASE WHEN e.e3 <= dy.s THEN 1 ELSE 0 END + CASE WHEN e.e4 <= dy.s THEN 1 ELSE 0 END
+    + CASE WHEN e.e5 <= dy.s THEN 1 ELSE 0 END) AS bin FROM dy, sedges e)""")
+ORACLE["score_bins"] = with_ctes("sedges", "dyb") + """
+, grid AS (SELECT 0 AS bin, e0 AS lo, e1 AS hi FROM sedges UNION ALL SELECT 1, e1, e2 FROM sedges
+   UNION ALL SELECT 2, e2, e3 FROM sedges UNION ALL SELECT 3, e3, e4 FROM sedges
+   UNION ALL SELECT 4, e4, e5 FROM sedges UNION ALL SELECT 5, e5, e6 FROM sedges)
+SELECT g.bin, round(g.lo, 6) AS lo, round(g.hi, 6) AS hi, coalesce(c.n, 0) AS n FROM grid g
+LEFT JOIN (SELECT bin, count(*) AS n FROM dyb GROUP BY bin) c ON g.bin = c.bin"""
+ORACLE["score_bin_mass_hist"] = with_ctes("dyb") + """
+, rg AS (SELECT bin, CASE WHEN min(mass) = max(mass) THEN min(mass) - 0.5 ELSE min(mass) END AS lo,
+               CASE WHEN min(mass) = max(mass) THEN max(mass) + 0.5 ELSE max(mass) END AS hi FROM dyb GROUP BY bin),
+h0 AS (SELECT d.bin, d.mass AS m, r.lo, r.hi, (r.hi - r.lo) / 40 AS step,
+        floor((d.mass - r.lo) / (r.hi - r.lo) * 40) AS i0 FROM dyb d JOIN rg r ON d.bin = r.bin),
+h1 AS (SELECT *, CASE WHEN i0 = 40 THEN 39 ELSE i0 END AS ia FROM h0),
+h2 AS (SELECT *, CASE WHEN m < (CASE WHEN ia >= 40 THEN hi ELSE ia * step + lo END) THEN ia - 1 ELSE ia END AS ib FROM h1),
+h3 AS (SELECT *, CASE WHEN ib <> 39 AND m >= (CASE WHEN ib + 1 >= 40 THEN hi ELSE (ib + 1) * step + lo END)
+        THEN ib + 1 ELSE ib END AS h FROM h2)
+SELECT g.bin, g.h, coalesce(c.n, 0) AS n FROM (SELECT a.bin, b.h FROM range(6) a(bin), range(40) b(h)) g
+LEFT JOIN (SELECT bin, CAST(h AS INTEGER) AS h, count(*) AS n FROM h3 GROUP BY 1, 2) c ON g.bin = c.bin AND g.h = c.h"""
+ORACLE["eval_report"] = with_ctes("scored", "dy") + ", " + _auc_sql("scored") + """
+, th AS (SELECT quantile_cont(p1, CAST(0.9 AS DOUBLE)) AS thr FROM scored),
+pu AS (SELECT avg(CASE WHEN y = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS purity FROM scored, th WHERE p1 >= th.thr),
+pr AS (SELECT CASE WHEN stddev_pop(s) < 1e-12 OR stddev_pop(mass) < 1e-12 THEN NULL
+        ELSE covar_pop(s, mass) / (stddev_pop(s) * stddev_pop(mass)) END AS r FROM dy),
+ac AS (SELECT coalesce(avg(CASE WHEN y = pred THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 0) AS acc, count(*) AS n FROM scored),
+au AS (SELECT max(CASE WHEN c = 0 THEN num / (Pt * Nt) END) AS a0, max(CASE WHEN c = 1 THEN num / (Pt * Nt) END) AS a1,
+              max(CASE WHEN c = 2 THEN num / (Pt * Nt) END) AS a2 FROM tot WHERE Pt > 0 AND Nt > 0)
+SELECT round(ac.acc, 6) AS test_accuracy, round(au.a0, 6) AS auc_0, round(au.a1, 6) AS auc_1, round(au.a2, 6) AS auc_2,
+       round(pu.purity, 6) AS vbf_purity_top10pct, round(pr.r, 6) AS dy_mass_sculpting_pearson_r, ac.n AS n_test
+FROM ac, au, pu, pr"""
+ORACLE["epoch_eval"] = with_ctes("sc_z") + """
+, ez AS (SELECT s.*, e.epoch, s.z1r * (CAST(1 AS DOUBLE) + CAST(0.2 AS DOUBLE) * e.epoch) AS z1e
+         FROM sc_z s, (SELECT CAST(range AS INTEGER) AS epoch FROM range(5)) e WHERE s.split = 'val'),
+""" + _scored_ctes("es", "ez", z1="z1e") + """
+, v AS (SELECT *, row_number() OVER (PARTITION BY epoch, y ORDER BY idx) - 1 AS pos FROM es),
+off AS (SELECT epoch, y, coalesce(sum(n) OVER (PARTITION BY epoch ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+        FROM (SELECT epoch, y, count(*) AS n FROM v GROUP BY epoch, y) c),
+g AS (SELECT v.*, off.off + v.pos AS gid FROM v JOIN off ON v.y = off.y AND v.epoch = off.epoch),
+lo AS (SELECT epoch, avg(bm) AS loss FROM (SELECT epoch, floor(gid / 2048) AS b, avg(ce) AS bm FROM g GROUP BY 1, 2) x GROUP BY epoch),
+acc AS (SELECT epoch, coalesce(avg(CASE WHEN y = pred THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 0) AS accuracy FROM es GROUP BY epoch),
+""" + _auc_sql("es", "epoch") + """
+, au AS (SELECT epoch, max(CASE WHEN c = 0 AND Pt > 0 AND Nt > 0 THEN num / (Pt * Nt) END) AS a0,
+              max(CASE WHEN c = 1 AND Pt > 0 AND Nt > 0 THEN num / (Pt * Nt) END) AS a1,
+              max(CASE WHEN c = 2 AND Pt > 0 AND Nt > 0 THEN num / (Pt * Nt) END) AS a2 FROM tot GROUP BY epoch)
+SELECT lo.epoch, round(lo.loss, 6) AS loss, round(acc.accuracy, 6) AS accuracy, round(au.a0, 6) AS auc_0,
+       round(au.a1, 6) AS auc_1, round(au.a2, 6) AS auc_2
+FROM lo JOIN acc ON lo.epoch = acc.epoch JOIN au ON lo.epoch = au.epoch"""

@@ -27,6 +27,27 @@ from eventframe.operators.sampling import sample_exact_n as sample_exact_n_op
 from eventframe.operators.scaling import apply_scaler, fit_masked_scaler, scaler_params
 from eventframe.operators.splits import assign_folds, class_counts, global_ids, row_index
 from eventframe.operators.tokens import build_tokens, normalise_events
+from eventframe.operators.losses import batch_mean, cross_entropy
+from eventframe.operators.metrics import (
+    accuracy,
+    auc_ovr,
+    confusion_matrix,
+    pearson_guarded,
+    roc_points,
+    roc_trapezoid,
+    score_bin_edges,
+    score_bin_mass_hist,
+    score_bins,
+    top_quantile_purity,
+    with_prediction,
+)
+from eventframe.plans.evaluate import (
+    epoch_evaluation,
+    evaluation_report,
+    fixture_logits,
+    score_from_logits,
+    with_split_gid,
+)
 from eventframe.plans.finalize import rounded
 from eventframe.plans.prepare import events_from_tables, split_events, split_tokens
 from eventframe.sources.event_view import event_view
@@ -307,3 +328,122 @@ def pair_valid_keys(spark, sf_dir):
         F.count(F.lit(1)).alias("n_valid_key"),
         F.count(F.when(F.col("valid_i") == 1, 1)).alias("n_both"),
     )
+
+
+# ---------------------------------------------------------------- scores, losses, metrics
+def _scored(spark, sf_dir, split: str = "test") -> DataFrame:
+    sp = _split(spark, sf_dir).where(F.col("split") == split)
+    sp = sp.select("event_id", "y", "idx", F.col("dimuon_mass").alias("mass"), "MET_phi",
+                   fixture_logits().alias("z"))
+    return score_from_logits(sp)
+
+
+@query
+def softmax_argmax(spark, sf_dir):
+    s = with_prediction(_scored(spark, sf_dir))
+    return rounded(s.select("event_id", *[F.col("p")[c].alias(f"p{c}") for c in range(3)], "pred"))
+
+
+@query
+def cross_entropy_q(spark, sf_dir):
+    s = _scored(spark, sf_dir)
+    return rounded(s.select("event_id", "y", cross_entropy("z", "y").alias("ce")))
+
+
+@query
+def batch_mean_loss(spark, sf_dir):
+    s = with_split_gid(_scored(spark, sf_dir, "val"), "val").withColumn("ce", cross_entropy("z", "y"))
+    return rounded(batch_mean(s, "ce", "gid"))
+
+
+@query
+def mass_bin_cross_entropy(spark, sf_dir):
+    m, k, edges = _chosen(spark, sf_dir, CANDIDATE_K)
+    tr = _scored(spark, sf_dir, "train").join(m.select("event_id"), "event_id")
+    tr = assign_mass_bins(tr.withColumn("dimuon_mass", F.col("mass")), edges)
+    adv = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.sin((i + 1).cast("double") * F.col("MET_phi")))
+    tr = tr.select(cross_entropy("z", "y").alias("ce_cls"), cross_entropy(adv, "mass_bin").alias("ce_adv"))
+    out = tr.agg(F.count(F.lit(1)).alias("n"), F.avg("ce_cls").alias("loss_cls"), F.avg("ce_adv").alias("loss_adv"))
+    return rounded(out.select(
+        F.lit(k).alias("K"), "n", "loss_cls", "loss_adv", (F.col("loss_cls") + F.col("loss_adv")).alias("loss"),
+        F.ln(F.lit(float(k))).alias("chance")))
+
+
+@query
+def accuracy_q(spark, sf_dir):
+    return rounded(accuracy(with_prediction(_scored(spark, sf_dir))))
+
+
+@query
+def confusion_matrix_q(spark, sf_dir):
+    return confusion_matrix(with_prediction(_scored(spark, sf_dir)))
+
+
+@query
+def auc_ovr_q(spark, sf_dir):
+    return rounded(auc_ovr(_scored(spark, sf_dir)))
+
+
+@query
+def auc_degenerate(spark, sf_dir):
+    return rounded(auc_ovr(_scored(spark, sf_dir).where(F.col("y") != 1)))
+
+
+@query
+def roc_points_q(spark, sf_dir):
+    return rounded(roc_points(_scored(spark, sf_dir)))
+
+
+@query
+def roc_trapezoid_q(spark, sf_dir):
+    return rounded(roc_trapezoid(_scored(spark, sf_dir)))
+
+
+@query
+def top_decile_purity(spark, sf_dir):
+    return rounded(top_quantile_purity(_scored(spark, sf_dir), cls=1))
+
+
+def _dy(spark, sf_dir) -> DataFrame:
+    s = _scored(spark, sf_dir).where(F.col("y") == 2)
+    return s.select((F.lit(1.0) - F.col("p")[2]).alias("s"), "mass")
+
+
+@query
+def pearson_guarded_q(spark, sf_dir):
+    return rounded(pearson_guarded(_dy(spark, sf_dir)))
+
+
+@query
+def score_bins_q(spark, sf_dir):
+    dy = _dy(spark, sf_dir)
+    return rounded(score_bins(dy, score_bin_edges(dy)))
+
+
+@query
+def score_bin_mass_hist_q(spark, sf_dir):
+    dy = _dy(spark, sf_dir)
+    return score_bin_mass_hist(dy, score_bin_edges(dy))
+
+
+@query
+def eval_report(spark, sf_dir):
+    return rounded(evaluation_report(spark, _scored(spark, sf_dir)))
+
+
+EPOCHS = [0, 1, 2, 3, 4]
+
+
+@query
+def epoch_eval(spark, sf_dir):
+    s = with_split_gid(_scored(spark, sf_dir, "val"), "val")
+    ep = F.explode(F.array(*[F.lit(e) for e in EPOCHS])).alias("epoch")
+    s = s.select("*", ep)
+    z = F.array(F.col("z")[0], F.col("z")[1] * (F.lit(1.0) + F.lit(0.2) * F.col("epoch")), F.col("z")[2])
+    s = score_from_logits(s.withColumn("z", z))
+    return rounded(epoch_evaluation(s))
+
+
+for _n in ["cross_entropy", "accuracy", "confusion_matrix", "auc_ovr", "roc_points", "roc_trapezoid",
+           "pearson_guarded", "score_bins", "score_bin_mass_hist"]:
+    QUERIES[_n] = QUERIES.pop(_n + "_q")
