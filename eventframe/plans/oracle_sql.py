@@ -435,3 +435,65 @@ acc AS (SELECT epoch, coalesce(avg(CASE WHEN y = pred THEN CAST(1 AS DOUBLE) ELS
 SELECT lo.epoch, round(lo.loss, 6) AS loss, round(acc.accuracy, 6) AS accuracy, round(au.a0, 6) AS auc_0,
        round(au.a1, 6) AS auc_1, round(au.a2, 6) AS auc_2
 FROM lo JOIN acc ON lo.epoch = acc.epoch JOIN au ON lo.epoch = au.epoch"""
+
+# ---------------------------------------------------------------- run history
+_HIST = ("hist AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS epoch, "
+         "value AS loss, event_type FROM events)")
+ORACLE["early_stopping"] = "WITH RECURSIVE " + _HIST + """,
+st(run, epoch, best, best_epoch, bad, stop) AS (
+  SELECT run, epoch, loss, epoch, 0, CAST(NULL AS BIGINT) FROM hist WHERE epoch = 0
+  UNION ALL
+  SELECT h.run, h.epoch,
+    CASE WHEN h.loss < st.best - CAST(1e-4 AS DOUBLE) THEN h.loss ELSE st.best END,
+    CASE WHEN h.loss < st.best - CAST(1e-4 AS DOUBLE) THEN h.epoch ELSE st.best_epoch END,
+    CASE WHEN h.loss < st.best - CAST(1e-4 AS DOUBLE) THEN 0 ELSE st.bad + 1 END,
+    CASE WHEN NOT (h.loss < st.best - CAST(1e-4 AS DOUBLE)) AND st.bad + 1 >= 8 THEN h.epoch END
+  FROM st JOIN hist h ON h.run = st.run AND h.epoch = st.epoch + 1 WHERE st.stop IS NULL),
+fin AS (SELECT run, max(epoch) AS last FROM st GROUP BY run),
+n AS (SELECT run, count(*) AS n_epochs FROM hist GROUP BY run)
+SELECT st.run, n.n_epochs, st.best_epoch, round(st.best, 6) AS best_loss, st.stop AS stop_epoch,
+       CAST(st.epoch + 1 AS BIGINT) AS epochs_run
+FROM st JOIN fin ON st.run = fin.run AND st.epoch = fin.last JOIN n ON st.run = n.run"""
+ORACLE["best_epoch"] = "WITH " + _HIST + """,
+pm AS (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm
+       FROM hist)
+SELECT run, max(epoch) AS best_epoch, round(arg_max(loss, epoch), 6) AS best_loss FROM pm
+WHERE pm IS NULL OR loss <= pm GROUP BY run"""
+ORACLE["lambda_schedule"] = "WITH " + _HIST + """
+SELECT epoch, round(CAST(0.5 AS DOUBLE) * least(CAST(1 AS DOUBLE), CAST(epoch + 1 AS DOUBLE) / CAST(5 AS DOUBLE)), 6)
+       AS lambda_grl FROM (SELECT DISTINCT epoch FROM hist) e"""
+_STEPS = "steps_ AS (SELECT run, CAST(floor(epoch / 4) AS BIGINT) AS epoch, loss, event_type FROM hist)"
+ORACLE["epoch_means"] = "WITH " + _HIST + ", " + _STEPS + """
+SELECT run, epoch, round(avg(CASE WHEN event_type <> 'error' THEN loss END), 6) AS loss,
+       count(*) FILTER (WHERE event_type <> 'error') AS steps FROM steps_ GROUP BY run, epoch"""
+ORACLE["stop_truncation"] = ORACLE["early_stopping"].replace(
+    """SELECT st.run, n.n_epochs, st.best_epoch, round(st.best, 6) AS best_loss, st.stop AS stop_epoch,
+       CAST(st.epoch + 1 AS BIGINT) AS epochs_run
+FROM st JOIN fin ON st.run = fin.run AND st.epoch = fin.last JOIN n ON st.run = n.run""",
+    """, stops AS (SELECT st.run, st.stop FROM st JOIN fin ON st.run = fin.run AND st.epoch = fin.last)
+SELECT h.run, count(*) AS n_kept, max(h.epoch) AS last_epoch FROM hist h JOIN stops s ON h.run = s.run
+WHERE s.stop IS NULL OR h.epoch <= s.stop GROUP BY h.run""")
+ORACLE["history_table"] = "WITH " + _HIST + ", " + _STEPS + """
+SELECT CAST(run AS VARCHAR) AS run_id, 'train' AS part, epoch, round(avg(CASE WHEN event_type <> 'error' THEN loss END), 6) AS loss,
+       count(*) FILTER (WHERE event_type <> 'error') AS steps,
+       round(CAST(0.5 AS DOUBLE) * least(CAST(1 AS DOUBLE), CAST(epoch + 1 AS DOUBLE) / CAST(5 AS DOUBLE)), 6) AS lambda_grl
+FROM steps_ GROUP BY run, epoch
+UNION ALL
+SELECT CAST(run AS VARCHAR), 'val', epoch, round(max(loss), 6), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE)
+FROM steps_ GROUP BY run, epoch"""
+
+# ---------------------------------------------------------------- artefacts
+ORACLE["scaler_roundtrip"] = ORACLE["masked_scaler"]
+ORACLE["bins_roundtrip"] = ORACLE["choose_k"]
+ORACLE["empty_sink"] = with_ctes("v_event") + (
+    "SELECT event_id, y, round(dimuon_mass, 6) AS dimuon_mass FROM v_event WHERE dimuon_mass >= 1000 AND dimuon_mass < 1010"
+)
+ORACLE["metrics_sink"] = ORACLE["eval_report"]
+
+# ---------------------------------------------------------------- scoring
+ORACLE["batch_score"] = """WITH z AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS z0, CAST(embedding[2] AS DOUBLE) AS z1,
+    CAST(embedding[3] AS DOUBLE) AS z2 FROM embeddings),
+e AS (SELECT vec_id, exp(z0 - greatest(z0, z1, z2)) AS e0, exp(z1 - greatest(z0, z1, z2)) AS e1,
+    exp(z2 - greatest(z0, z1, z2)) AS e2 FROM z)
+SELECT vec_id, round(e0 / (e0 + e1 + e2), 6) AS p0, round(e1 / (e0 + e1 + e2), 6) AS p1, round(e2 / (e0 + e1 + e2), 6) AS p2
+FROM e"""

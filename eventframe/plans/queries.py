@@ -48,7 +48,29 @@ from eventframe.plans.evaluate import (
     score_from_logits,
     with_split_gid,
 )
+from eventframe.operators.history import (
+    best_epoch,
+    early_stopping,
+    epoch_means,
+    history_from_events,
+    lambda_schedule,
+    truncate_at_stop,
+)
 from eventframe.plans.finalize import rounded
+from eventframe.plans.scoring import score_table, softmax_head_predict_fn
+from eventframe.plans.training import balanced_weights, fit_classifier, fit_mass_probe, predict_proba, token_features
+from eventframe.session import scratch_dir
+from eventframe.sources.artifacts import (
+    read_bins,
+    read_history,
+    read_metrics,
+    read_scaler,
+    write_bins,
+    write_history,
+    write_metrics,
+    write_parquet,
+    write_scaler,
+)
 from eventframe.plans.prepare import events_from_tables, split_events, split_tokens
 from eventframe.sources.event_view import event_view
 from eventframe.sources.parquet import label_and_union
@@ -447,3 +469,135 @@ def epoch_eval(spark, sf_dir):
 for _n in ["cross_entropy", "accuracy", "confusion_matrix", "auc_ovr", "roc_points", "roc_trapezoid",
            "pearson_guarded", "score_bins", "score_bin_mass_hist"]:
     QUERIES[_n] = QUERIES.pop(_n + "_q")
+
+
+# ---------------------------------------------------------------- run history
+def _history(spark, sf_dir) -> DataFrame:
+    return history_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+@query
+def early_stopping_q(spark, sf_dir):
+    return rounded(early_stopping(_history(spark, sf_dir)))
+
+
+@query
+def best_epoch_q(spark, sf_dir):
+    return rounded(best_epoch(_history(spark, sf_dir)))
+
+
+@query
+def lambda_schedule_q(spark, sf_dir):
+    e = _history(spark, sf_dir).select("epoch").distinct()
+    return rounded(e.select("epoch", lambda_schedule("epoch").alias("lambda_grl")))
+
+
+def _step_epochs(spark, sf_dir) -> DataFrame:
+    h = _history(spark, sf_dir)
+    return h.withColumn("epoch", F.floor(F.col("epoch") / 4).cast("long"))
+
+
+@query
+def epoch_means_q(spark, sf_dir):
+    m = epoch_means(_step_epochs(spark, sf_dir), ["run", "epoch"], ok=F.col("event_type") != "error")
+    return rounded(m)
+
+
+@query
+def stop_truncation(spark, sf_dir):
+    h = _history(spark, sf_dir)
+    kept = truncate_at_stop(h, early_stopping(h))
+    return kept.groupBy("run").agg(F.count(F.lit(1)).alias("n_kept"), F.max("epoch").alias("last_epoch"))
+
+
+def _history_records(spark, sf_dir) -> DataFrame:
+    st = _step_epochs(spark, sf_dir)
+    tr = epoch_means(st, ["run", "epoch"], ok=F.col("event_type") != "error").select(
+        F.col("run").cast("string").alias("run_id"), F.lit("train").alias("part"), "epoch", "loss", "steps",
+        lambda_schedule("epoch").alias("lambda_grl"))
+    va = st.groupBy("run", "epoch").agg(F.max("loss").alias("loss")).select(
+        F.col("run").cast("string").alias("run_id"), F.lit("val").alias("part"), "epoch", "loss")
+    return tr.unionByName(va, allowMissingColumns=True)
+
+
+@query
+def history_table(spark, sf_dir):
+    path = scratch_dir(spark, "history")
+    write_history(_history_records(spark, sf_dir), path, mode="overwrite")
+    back = read_history(spark, path)
+    return rounded(back.select("run_id", "part", "epoch", "loss", "steps", "lambda_grl"))
+
+
+# ---------------------------------------------------------------- artefact round trips
+@query
+def scaler_roundtrip(spark, sf_dir):
+    path = scratch_dir(spark, "x_scaler")
+    write_scaler(train_scaler(spark, sf_dir), path)
+    return rounded(read_scaler(spark, path))
+
+
+@query
+def bins_roundtrip(spark, sf_dir):
+    _, k, edges = _chosen(spark, sf_dir, CANDIDATE_K)
+    path = scratch_dir(spark, "mass_bins")
+    write_bins(k, edges, spark, path)
+    return rounded(read_bins(spark, path).select(F.col("K").cast("int").alias("K"), F.col("b").cast("int").alias("b"),
+                                                 "edge"))
+
+
+@query
+def empty_sink(spark, sf_dir):
+    ev = window_half_open(event_view(spark, sf_dir), window=(1000.0, 1010.0))
+    path = scratch_dir(spark, "empty")
+    write_parquet(ev.select("event_id", "y", "dimuon_mass"), path)
+    return rounded(spark.read.parquet(path))
+
+
+@query
+def metrics_sink(spark, sf_dir):
+    rep = evaluation_report(spark, _scored(spark, sf_dir))
+    path = scratch_dir(spark, "test_metrics")
+    write_metrics(rep, path)
+    return rounded(read_metrics(spark, path, rep.schema))
+
+
+# ---------------------------------------------------------------- scoring and training (M1, M4, M5)
+@query
+def batch_score(spark, sf_dir):
+    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    s = score_table(emb, "embedding", softmax_head_predict_fn(3), input_dim=64)
+    return rounded(s.select("vec_id", *[F.col("p")[c].alias(f"p{c}") for c in range(3)]))
+
+
+def _scaled_event_tokens(spark, sf_dir) -> DataFrame:
+    mean, std = scaler_params(train_scaler(spark, sf_dir))
+    ev = build_tokens(_split(spark, sf_dir))
+    ms = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(s).alias("s")) for m, s in zip(mean, std)])
+    xs = F.transform("tokens", lambda t: t.withField("x", F.zip_with(t["x"], ms, lambda v, p: (v - p["m"]) / p["s"])))
+    return token_features(ev.withColumn("tokens", xs))
+
+
+@query
+def train_lr(spark, sf_dir):
+    ev = _scaled_event_tokens(spark, sf_dir).select("event_id", "y", "split", "features").persist()
+    model = fit_classifier(balanced_weights(ev.where(F.col("split") == "train")))
+    te = predict_proba(model, ev.where(F.col("split") == "test"))
+    out = with_prediction(te).select("event_id", "y", "pred", *[F.col("p")[c].alias(f"p{c}") for c in range(3)])
+    return rounded(out)
+
+
+@query
+def mass_leakage_probe(spark, sf_dir):
+    m, k, edges = _chosen(spark, sf_dir, CANDIDATE_K)
+    ev = _scaled_event_tokens(spark, sf_dir).select("event_id", "y", "split", "dimuon_mass", "features")
+    ev = assign_mass_bins(ev, edges).persist()
+    model = fit_mass_probe(ev.where(F.col("split") == "train"))
+    va = predict_proba(model, ev.where(F.col("split") == "val"))
+    ce = -F.ln(F.greatest(F.element_at("p", F.col("mass_bin") + 1), F.lit(1e-15)))
+    out = va.agg(F.count(F.lit(1)).alias("n"), F.avg(ce).alias("loss_adv"),
+                 F.avg((F.array_position("p", F.array_max("p")) - 1 == F.col("mass_bin")).cast("double")).alias("accuracy"))
+    return rounded(out.select(F.lit(k).alias("K"), "n", "loss_adv", F.ln(F.lit(float(k))).alias("chance"), "accuracy"))
+
+
+for _n in ["early_stopping", "best_epoch", "lambda_schedule", "epoch_means"]:
+    QUERIES[_n] = QUERIES.pop(_n + "_q")
