@@ -1,7 +1,9 @@
 """Masked feature scaling (A1-A3).
 
-The fit is one global aggregate (16 means + 16 population std) over valid tokens with map-side
-partial aggregation: one tiny shuffle regardless of data size. The fitted parameters are 32 numbers;
+The fit is one aggregate over (feature, value) pairs of valid tokens, grouped by the 16 feature
+indices, with map-side partial aggregation: a tiny shuffle regardless of data size. (One
+``posexplode`` keeps a single reference to the feature array in the plan; 32 separate ``x[i]``
+aggregates let the optimizer copy the token-building expression into each of them.) The fitted parameters are 32 numbers;
 applying them uses literal arrays inside a ``zip_with`` expression (no join, no Python).
 """
 
@@ -21,21 +23,15 @@ def fit_masked_scaler(tokens: DataFrame, x_col: str = "x", valid_col: str = "val
     Structural zeros (CLS and muon zeros in jet slots, etc.) count, as in the original fit. An
     empty input gives mean 0 and std 1. Returns ``feature int, mean double, std double`` (16 rows).
     """
-    v = tokens.where(F.col(valid_col) == 1)
-    x = F.col(x_col)
-    aggs = []
-    for i in range(X_DIM):
-        aggs += [F.avg(x[i]).alias(f"m{i}"), F.stddev_pop(x[i]).alias(f"s{i}")]
-    row = v.agg(*aggs)
-    rows = F.array(*[
-        F.struct(
-            F.lit(i).alias("feature"),
-            F.coalesce(F.col(f"m{i}"), F.lit(0.0)).alias("mean"),
-            F.coalesce(F.col(f"s{i}"), F.lit(0.0)).alias("std"),
-        )
-        for i in range(X_DIM)
-    ])
-    out = row.select(F.inline(rows))
+    v = tokens.where(F.col(valid_col) == 1).select(F.posexplode(F.col(x_col)).alias("feature", "v"))
+    agg = v.groupBy("feature").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    grid = F.array(*[F.lit(i) for i in range(X_DIM)])
+    feats = tokens.sparkSession.range(1).select(F.explode(grid).alias("feature"))
+    out = feats.join(agg, "feature", "left").select(
+        F.col("feature").cast("int").alias("feature"),
+        F.coalesce(F.col("mean"), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.col("std"), F.lit(0.0)).alias("std"),
+    )
     return out.select(
         "feature", "mean", F.when(F.col("std") < F.lit(STD_FLOOR), F.lit(1.0)).otherwise(F.col("std")).alias("std")
     )

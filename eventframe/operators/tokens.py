@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from eventframe.constants import EVENT_COLUMNS, MAX_JETS, TOKEN_TYPES, X_DIM
 from eventframe.functions.scalar import is_finite, nan_if_null, nan_to_zero, safe_log
 
-__all__ = ["normalise_events", "build_tokens", "tokens_long", "TOKEN_FIELDS"]
+__all__ = ["normalise_events", "ensure_event_columns", "build_tokens", "tokens_long", "TOKEN_FIELDS"]
 
 TOKEN_FIELDS = ["tok", "type", "valid", "pt", "eta", "phi", "mass", "x"]
 
@@ -41,6 +41,31 @@ def normalise_events(df: DataFrame) -> DataFrame:
     )
 
 
+def ensure_event_columns(df: DataFrame) -> DataFrame:
+    """T11 only: add absent jet columns as NaN; present columns are left untouched."""
+    present = set(df.columns)
+    missing = [c for c in EVENT_COLUMNS if c not in present]
+    bad = [c for c in missing if not c.startswith("jet")]
+    if bad:
+        raise ValueError(f"event columns missing: {bad}")
+    return df.select("*", *[F.lit(float("nan")).alias(c) for c in missing]) if missing else df
+
+
+def _v(name: str) -> Column:
+    """S2 applied inline: the column as double with null -> NaN.
+
+    Normalising inside the token expressions (instead of a separate projection that re-aliases 33
+    columns) keeps Catalyst's constraint propagation linear; the aliasing form makes optimisation of
+    a later filter blow up.
+    """
+    return nan_if_null(F.col(name))
+
+
+def _njets() -> Column:
+    nj = _v("njets_nominal")
+    return F.when(is_finite(nj), nj).otherwise(F.raise_error(F.lit("njets_nominal is null, NaN or infinite")))
+
+
 def _zero() -> Column:
     return F.lit(0.0)
 
@@ -68,15 +93,16 @@ def _common(pt, eta, phi, mass) -> dict[int, Column]:
 
 
 def build_tokens(df: DataFrame) -> DataFrame:
-    """Add ``tokens`` (7 structs) to a normalised wide event frame."""
-    c = F.col
+    """Add ``tokens`` (7 structs) to a wide event frame (raw or normalised columns)."""
+    df = ensure_event_columns(df)
+    c = _v
     cls = _token(
         0, F.lit(1), _zero(), _zero(), _zero(), _zero(),
         _x({
             11: safe_log(c("MET_pt")),
             12: F.sin(c("MET_phi")),
             13: F.cos(c("MET_phi")),
-            14: c("njets_nominal"),
+            14: _njets(),
             15: c("dimuon_pt_log"),
         }),
     )
@@ -86,7 +112,7 @@ def build_tokens(df: DataFrame) -> DataFrame:
         slots = _common(pt, eta, phi, mass)
         slots[5] = safe_log(mass)
         toks.append(_token(m, F.lit(1), pt, eta, phi, mass, _x(slots)))
-    nj = c("njets_nominal").cast("int")  # T10: truncation, raw value stays in slot 14
+    nj = _njets().cast("int")  # T10: truncation, raw value stays in slot 14
     for j in range(1, MAX_JETS + 1):  # T4 + T5
         pt, eta, phi, mass, qgl = (c(f"jet{j}_{f}_nominal") for f in ("pt", "eta", "phi", "mass", "qgl"))
         ok = (nj >= j) & is_finite(pt, eta, phi, mass)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from eventframe.operators.filters import window_closed_f32
 from eventframe.operators.splits import assign_folds, assign_splits, file_order_key, row_index
-from eventframe.operators.tokens import build_tokens, normalise_events, tokens_long
+from eventframe.operators.tokens import build_tokens, tokens_long
 from eventframe.sources.event_view import event_view
 from eventframe.sources.parquet import read_labelled_sources
 
@@ -22,16 +22,16 @@ __all__ = ["events_from_tables", "events_from_files", "split_events", "split_tok
 
 
 def events_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised wide events from the driver tables with ``_ord = event_id``."""
-    return normalise_events(event_view(spark, sf_dir)).withColumn("_ord", F.col("event_id"))
+    """Wide events from the driver tables with ``_ord = event_id`` (S2 happens inside the tokens)."""
+    return event_view(spark, sf_dir).withColumn("_ord", F.col("event_id"))
 
 
 def events_from_files(spark: SparkSession, files_by_class: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Normalised wide events from labelled parquet files with ``_ord`` in list order and an
-    ``event_id`` that is unique across files."""
+    """Wide events from labelled parquet files with ``_ord`` in list order and an ``event_id`` that
+    is unique across files."""
     raw = read_labelled_sources(spark, files_by_class)
     key = file_order_key()
-    return normalise_events(raw).withColumn("_ord", key).withColumn(
+    return raw.withColumn("_ord", key).withColumn(
         "event_id", F.col("y").cast("long") * F.lit(1 << 56) + key
     )
 
