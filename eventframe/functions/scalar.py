@@ -67,9 +67,17 @@ def wrap_dphi(d) -> Column:
     return F.pmod(col_(d) + F.lit(math.pi), F.lit(2.0 * math.pi)) - F.lit(math.pi)
 
 
-def softmax(z) -> Column:
-    """M2: numerically stable softmax over an array column."""
+def softmax(z, n: int | None = None) -> Column:
+    """M2: numerically stable softmax over an array column; with a known length ``n`` it is unrolled
+    into plain expressions (no lambda)."""
     z = col_(z)
+    if n is not None:
+        mx = F.greatest(*[z[i] for i in range(n)]) if n > 1 else z[0]
+        ex = [F.exp(z[i] - mx) for i in range(n)]
+        tot = ex[0]
+        for e in ex[1:]:
+            tot = tot + e
+        return F.array(*[e / tot for e in ex])
     mx = F.array_max(z)
     ex = F.transform(z, lambda v: F.exp(v - mx))
     tot = F.aggregate(ex, F.lit(0.0), lambda acc, v: acc + v)

@@ -68,19 +68,28 @@ def collect_edges(edges: DataFrame) -> dict[int, list[float]]:
     return out
 
 
+def _count(m, edges, cond):
+    """Number of edges satisfying ``cond``, unrolled over the (bounded) edge list."""
+    lits = [e if not isinstance(e, (int, float)) else F.lit(float(e)) for e in edges]
+    total = None
+    for e in lits:
+        term = F.when(cond(e), F.lit(1)).otherwise(F.lit(0))
+        total = term if total is None else total + term
+    return total
+
+
 def count_bin(m, edges: list[float]):
     """A7 bin (right-open, last closed): ``#(edges <= m) - 1`` clamped to K-1."""
-    arr = F.array(*[F.lit(float(e)) for e in edges])
     k = len(edges) - 1
-    return F.least(F.size(F.filter(arr, lambda e: e <= m)) - 1, F.lit(k - 1))
+    return F.least(_count(m, edges, lambda e: e <= m) - 1, F.lit(k - 1))
 
 
 def label_bin(m, edges: list[float]):
     """A9 bin on float32 values: ``#(edges < m) - 1`` clamped to 0..K-1 (left-open bins, lo in bin 0)."""
-    arr = F.array(*[F.lit(float(e)).cast("float") for e in edges])
     k = len(edges) - 1
     mf = m.cast("float")
-    return F.greatest(F.lit(0), F.least(F.lit(k - 1), F.size(F.filter(arr, lambda e: e < mf)) - 1))
+    return F.greatest(F.lit(0), F.least(F.lit(k - 1), _count(mf, [F.lit(float(e)).cast("float") for e in edges],
+                                                             lambda e: e < mf) - 1))
 
 
 def edge_histogram(masses: DataFrame, edges: dict[int, list[float]], col: str = "mass",

@@ -16,12 +16,13 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from eventframe.constants import LAMBDA_MAX, MIN_DELTA, PATIENCE, WARMUP_EPOCHS
-from eventframe.operators.ordering import dense_index, prefix_aggregate
+from eventframe.operators.ordering import ID_BUCKET, dense_index, prefix_aggregate
 
 __all__ = [
     "history_from_events",
@@ -40,7 +41,7 @@ def history_from_events(events: DataFrame) -> DataFrame:
     run (two-level dense index, micro-second key), loss = ``value``."""
     e = events.select(F.col("user_id").alias("run"), micros(events, "ts").alias("_t"), F.col("value").alias("loss"),
                       "event_type")
-    return dense_index(e, ["run"], "_t", out="epoch").drop("_t")
+    return dense_index(e, ["run"], "_t", out="epoch", bucket_width=None).drop("_t")
 
 
 def micros(df: DataFrame, c: str) -> Column:
@@ -66,10 +67,11 @@ def early_stopping(hist: DataFrame, patience: int = PATIENCE, min_delta: float =
     if min_delta < 0:
         raise ValueError("min_delta must be >= 0")
     h = hist.select(F.col(run_col).alias("run"), F.col(epoch_col).alias("epoch"), F.col(loss_col).alias("loss"))
-    h = dense_index(h, ["run"], "epoch", out="pos")
+    h = dense_index(h, ["run"], "epoch", out="pos").persist(StorageLevel.MEMORY_AND_DISK)
     runs = h.groupBy("run").agg(F.count(F.lit(1)).alias("n_epochs"))
     # 1. running-minimum records (candidates for a new best)
-    pm = prefix_aggregate(h, ["run"], ["pos"], F.col("pos"), {"pm": ("min", F.col("loss"))})
+    pm = prefix_aggregate(h, ["run"], ["pos"], F.col("pos"), {"pm": ("min", F.col("loss"))},
+                          bucket_width=ID_BUCKET)
     rec = _ckpt(pm.where(F.col("pm").isNull() | (F.col("loss") < F.col("pm"))).select("run", "pos", "epoch", "loss"))
     # 2. successor of each record: earliest record with loss < loss_r - min_delta
     items = rec.select("run", F.col("loss").alias("v"), F.lit(1).alias("kind"), F.col("pos").alias("t"),
@@ -138,7 +140,8 @@ def best_epoch(hist: DataFrame, run_col: str = "run", epoch_col: str = "epoch",
     """Without early stopping an epoch is best iff ``loss <= min(previous losses)`` (ties win);
     returns the last such epoch per run and its loss."""
     h = hist.select(F.col(run_col).alias("run"), F.col(epoch_col).alias("epoch"), F.col(loss_col).alias("loss"))
-    pm = prefix_aggregate(h, ["run"], ["epoch"], F.col("epoch"), {"pm": ("min", F.col("loss"))})
+    pm = prefix_aggregate(h, ["run"], ["epoch"], F.col("epoch"), {"pm": ("min", F.col("loss"))},
+                          bucket_width=ID_BUCKET)
     b = pm.where(F.col("pm").isNull() | (F.col("loss") <= F.col("pm")))
     return b.groupBy("run").agg(F.max("epoch").alias("best_epoch"), F.max_by("loss", "epoch").alias("best_loss")) \
         .withColumnRenamed("run", run_col)

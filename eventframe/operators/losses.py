@@ -12,17 +12,24 @@ from eventframe.constants import EVAL_BATCH
 __all__ = ["cross_entropy", "logsumexp", "batch_mean", "split_position"]
 
 
-def logsumexp(z) -> Column:
+def logsumexp(z, n: int | None = None) -> Column:
     z = F.col(z) if isinstance(z, str) else z
+    if n is not None:  # unrolled, no lambda
+        mx = F.greatest(*[z[i] for i in range(n)]) if n > 1 else z[0]
+        tot = F.exp(z[0] - mx)
+        for i in range(1, n):
+            tot = tot + F.exp(z[i] - mx)
+        return mx + F.ln(tot)
     mx = F.array_max(z)
     return mx + F.ln(F.aggregate(F.transform(z, lambda v: F.exp(v - mx)), F.lit(0.0), lambda a, v: a + v))
 
 
-def cross_entropy(z, label) -> Column:
-    """A19 per row: ``logsumexp(z) - z[label]`` (stable). ``label`` is a 0-based int column."""
+def cross_entropy(z, label, n: int | None = None) -> Column:
+    """A19 per row: ``logsumexp(z) - z[label]`` (stable). ``label`` is a 0-based int column; a known
+    class count ``n`` unrolls the expression."""
     z = F.col(z) if isinstance(z, str) else z
     label = F.col(label) if isinstance(label, str) else label
-    return logsumexp(z) - F.element_at(z, label + 1)
+    return logsumexp(z, n) - F.element_at(z, label + 1)
 
 
 def split_position(idx_col: str, folds: Sequence[int], n_folds: int) -> Column:

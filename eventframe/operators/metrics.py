@@ -177,8 +177,10 @@ def score_bin_edges(df: DataFrame, s_col: str = "s", n_bins: int = N_SCORE_BINS)
 
 def _score_bin(s, edges: list[float]):
     """Bins ``[lo, hi)`` with the last closed: count of inner edges <= s (duplicates give empty bins)."""
-    inner = F.array(*[F.lit(e) for e in edges[1:-1]])
-    return F.size(F.filter(inner, lambda e: e <= s))
+    total = F.lit(0)
+    for e in edges[1:-1]:
+        total = total + F.when(F.lit(e) <= s, F.lit(1)).otherwise(F.lit(0))
+    return total
 
 
 def score_bins(df: DataFrame, edges: list[float], s_col: str = "s") -> DataFrame:

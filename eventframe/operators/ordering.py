@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from typing import Iterable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,6 +55,13 @@ def add_range_bucket(df: DataFrame, key, n_buckets: int | None = None, out: str
     return b.transform(tmp).withColumn(out, F.col("_bd").cast("int")).drop("_bk", "_bd")
 
 
+def add_width_bucket(df: DataFrame, key, width: int, out: str = "_b") -> DataFrame:
+    """Add ``out = floor(key / width)``: no data pass. For a key that is unique inside a partition
+    (ids, row indices, positions) a bucket holds at most ``width`` rows of that partition; for a
+    uniform hash key buckets are balanced."""
+    return df.withColumn(out, F.floor(col_(key) / F.lit(int(width))))
+
+
 def prefix_aggregate(
     df: DataFrame,
     partition_by: Sequence[str],
@@ -63,6 +71,7 @@ def prefix_aggregate(
     *,
     inclusive: bool = False,
     n_buckets: int | None = None,
+    bucket_width: int | None = None,
     keep_bucket: bool = False,
 ) -> DataFrame:
     """Add one column per ``aggs`` entry: the running ``sum``/``min``/``max`` over rows that come
@@ -71,9 +80,16 @@ def prefix_aggregate(
     ``bucket_key`` must be numeric and non-decreasing along ``order_by`` within a partition; rows
     must be totally ordered by ``order_by`` (add a tie-break). ``partition_by`` should be low
     cardinality (classes, runs): the bucket table has one row per (partition, bucket).
+
+    Buckets are ranges of ``bucket_key``: fixed ``bucket_width`` ranges when the key's shape is known
+    (integral ids, positions, uniform hashes: no extra pass), otherwise approximate-quantile ranges
+    (one extra pass over the input, balanced for any distribution).
     """
     part = list(partition_by)
-    b = add_range_bucket(df, bucket_key, n_buckets)
+    if bucket_width:
+        b = add_width_bucket(df, bucket_key, bucket_width)
+    else:
+        b = add_range_bucket(df, bucket_key, n_buckets)
     keys = part + ["_b"]
     # bucket totals and their exclusive prefix over buckets (small table)
     tot = b.groupBy(*keys).agg(*[_AGG[fn](expr).alias(f"_t_{name}") for name, (fn, expr) in aggs.items()])
@@ -100,11 +116,19 @@ def prefix_aggregate(
     return res if keep_bucket else res.drop("_b")
 
 
-def dense_index(df: DataFrame, partition_by: Sequence[str], order_col: str, out: str = "idx") -> DataFrame:
+ID_BUCKET = 1 << 20  # rows per bucket at most, for unique integral keys
+
+
+def dense_index(df: DataFrame, partition_by: Sequence[str], order_col: str, out: str = "idx",
+                bucket_width: int | None = ID_BUCKET) -> DataFrame:
     """0-based position of each row inside ``partition_by`` ordered by the unique numeric
-    ``order_col`` (e.g. event id, or file ordinal * 2^40 + row index)."""
+    ``order_col`` (e.g. event id, or file ordinal * 2^40 + row index).
+
+    With an integral unique key the default fixed-width buckets hold at most 2^20 rows each and need
+    no extra pass; pass ``bucket_width=None`` for keys of unknown density (approximate ranges)."""
     return prefix_aggregate(
-        df, partition_by, [order_col], F.col(order_col), {out: ("sum", F.lit(1).cast("long"))}
+        df, partition_by, [order_col], F.col(order_col), {out: ("sum", F.lit(1).cast("long"))},
+        bucket_width=bucket_width,
     )
 
 
@@ -158,6 +182,8 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Iterable[float], n_buc
 def _ranked_with_bucket(df: DataFrame, value_col: str, n_buckets=None) -> dict[str, DataFrame]:
     """Distinct values with ``before``/``cnt`` plus the bucket table (``_b, _o, _t``) in rank space."""
     vc = df.groupBy(F.col(value_col).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
+    # the distinct-value table is read twice (cut points, then ranks): keep it instead of recomputing
+    vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
     vb = add_range_bucket(vc, F.col("value"), n_buckets)
     tot = vb.groupBy("_b").agg(F.sum("cnt").alias("_t"))
     wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,9 +1,10 @@
 """Pair features inside one event.
 
-All N x N ordered pairs of an event's tokens (i = j, padding and CLS included) are produced with a
-nested ``transform`` over the token array and ``inline``: the work stays inside the event's row, so
-there is no shuffle and no join; cost is linear in events. Cartesian components (E, px, py, pz) are
-computed once per token (J7), not once per pair.
+All N x N ordered pairs of an event's tokens (i = j, padding and CLS included) come from two
+``posexplode`` generators over the event's own token array: 7 rows per event, then 7 x 7. The work
+stays within each event's row, so there is no shuffle and no join, and every feature is a plain
+column expression (no lambda functions), so the stage stays in whole-stage code generation.
+Cartesian components (E, px, py, pz) are computed once per token (J7), not once per pair.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventframe.constants import EPS, TYPE_JET
+from eventframe.constants import EPS, N_TOKENS, TYPE_JET
 
-__all__ = ["with_cartesian", "pair_array", "pairs_long", "PAIR_FEATURES"]
+__all__ = ["with_cartesian", "pairs_long", "PAIR_FEATURES"]
 
 PAIR_FEATURES = ["deta", "sin_dphi", "cos_dphi", "log_dr", "log_pt_ratio", "log_mjj"]  # J10 order
 
@@ -33,11 +34,13 @@ def _cart(t: Column) -> Column:
     )
 
 
-def with_cartesian(df: DataFrame, tokens_col: str = "tokens", out: str = "p4") -> DataFrame:
-    return df.withColumn(out, F.transform(F.col(tokens_col), _cart))
+def with_cartesian(df: DataFrame, tokens_col: str = "tokens", out: str = "p4", n_tokens: int = N_TOKENS) -> DataFrame:
+    """Per-token kinematics, unrolled over the fixed token count."""
+    t = F.col(tokens_col)
+    return df.withColumn(out, F.array(*[_cart(t[k]) for k in range(n_tokens)]))
 
 
-def _pair(a: Column, b: Column, i: Column, j: Column) -> Column:
+def _features(a: Column, b: Column) -> list[Column]:
     deta = a["eta"] - b["eta"]  # J2
     dphi = F.pmod(a["phi"] - b["phi"] + F.lit(math.pi), F.lit(2.0 * math.pi)) - F.lit(math.pi)  # J3
     dr = F.sqrt(F.greatest(deta * deta + dphi * dphi, F.lit(0.0)))
@@ -45,24 +48,24 @@ def _pair(a: Column, b: Column, i: Column, j: Column) -> Column:
     et, xt, yt, zt = a["E"] + b["E"], a["px"] + b["px"], a["py"] + b["py"], a["pz"] + b["pz"]
     mij = F.sqrt(F.greatest(et * et - (xt * xt + yt * yt + zt * zt), F.lit(0.0)))  # J8
     jj = (a["type"] == TYPE_JET) & (b["type"] == TYPE_JET)
-    return F.struct(
-        i.alias("i"), j.alias("j"), a["valid"].alias("valid_i"), b["valid"].alias("valid_j"),
+    return [
+        a["valid"].alias("valid_i"), b["valid"].alias("valid_j"),
         deta.alias("deta"), F.sin(dphi).alias("sin_dphi"), F.cos(dphi).alias("cos_dphi"),  # J4
         F.ln(F.greatest(dr, F.lit(EPS))).alias("log_dr"),  # J5
         lpr.alias("log_pt_ratio"),  # J6
         F.when(jj, F.ln(F.greatest(mij, F.lit(EPS)))).otherwise(F.lit(0.0)).alias("log_mjj"),  # J9
         mij.alias("mij"),
-    )
-
-
-def pair_array(p4_col: str = "p4") -> Column:
-    """Flattened array of N*N pair structs (i major, j minor)."""
-    t = F.col(p4_col)
-    return F.flatten(F.transform(t, lambda a, i: F.transform(t, lambda b, j: _pair(a, b, i, j))))
+    ]
 
 
 def pairs_long(df: DataFrame, keep=("event_id",), tokens_col: str = "tokens", valid_keys_only: bool = False) -> DataFrame:
-    """J1-J10 in long form ``keep..., i, j, valid_i, valid_j, <6 features>, mij``; J11 with
-    ``valid_keys_only`` keeps only pairs whose key token is valid."""
-    p = with_cartesian(df, tokens_col).select(*keep, F.inline(pair_array()))
-    return p.where(F.col("valid_j") == 1) if valid_keys_only else p
+    """J1-J10 in long form ``keep..., i, j, valid_i, valid_j, <6 features>, mij`` (i major, j minor);
+    J11 with ``valid_keys_only`` keeps only pairs whose key token is valid."""
+    keep = list(keep)
+    t = with_cartesian(df, tokens_col).select(*keep, "p4")
+    q = t.select(*keep, "p4", F.posexplode("p4").alias("i", "a"))
+    p = q.select(*keep, "i", "a", F.posexplode("p4").alias("j", "b"))
+    if valid_keys_only:
+        p = p.where(F.col("b")["valid"] == 1)
+    return p.select(*keep, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"),
+                    *_features(F.col("a"), F.col("b")))

@@ -52,6 +52,9 @@ def class_pool_sizes(pool: DataFrame, label_col: str = "y", labels: Sequence[int
     )
 
 
+HASH_BUCKET = 1 << 28  # 2^20 equal ranges of the uniform 48-bit hash
+
+
 def permutation_rank(pool: DataFrame, seed: int, label_col: str = "y", key: str = "event_id",
                      out: str = "rank") -> DataFrame:
     """Dense 0-based position of each row inside its class in ``md5(seed:key)`` order (a seeded
@@ -60,7 +63,7 @@ def permutation_rank(pool: DataFrame, seed: int, label_col: str = "y", key: str
     d = d.withColumn("_hi", F.conv(F.substring("_h", 1, 12), 16, 10).cast("long"))
     return prefix_aggregate(
         d, [label_col], [F.col("_hi"), F.col("_h"), F.col(key)], F.col("_hi"),
-        {out: ("sum", F.lit(1).cast("long"))},
+        {out: ("sum", F.lit(1).cast("long"))}, bucket_width=HASH_BUCKET,
     ).drop("_h", "_hi")
 
 

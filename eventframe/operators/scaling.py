@@ -4,7 +4,7 @@ The fit is one aggregate over (feature, value) pairs of valid tokens, grouped by
 indices, with map-side partial aggregation: a tiny shuffle regardless of data size. (One
 ``posexplode`` keeps a single reference to the feature array in the plan; 32 separate ``x[i]``
 aggregates let the optimizer copy the token-building expression into each of them.) The fitted parameters are 32 numbers;
-applying them uses literal arrays inside a ``zip_with`` expression (no join, no Python).
+applying them is one unrolled arithmetic expression per feature (no join, no lambda, no Python).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from eventframe.constants import STD_FLOOR, X_DIM
 
-__all__ = ["fit_masked_scaler", "scaler_params", "apply_scaler"]
+__all__ = ["fit_masked_scaler", "scaler_params", "apply_scaler", "scaled_array"]
 
 
 def fit_masked_scaler(tokens: DataFrame, x_col: str = "x", valid_col: str = "valid") -> DataFrame:
@@ -45,5 +45,10 @@ def scaler_params(scaler: DataFrame) -> tuple[list[float], list[float]]:
 
 def apply_scaler(df: DataFrame, mean: list[float], std: list[float], x_col: str = "x", out: str = "x") -> DataFrame:
     """A3: ``(x - mean) / std`` for every token, padding included (padding moves to -mean/std)."""
-    ms = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(s).alias("s")) for m, s in zip(mean, std)])
-    return df.withColumn(out, F.zip_with(F.col(x_col), ms, lambda v, p: (v - p["m"]) / p["s"]))
+    x = F.col(x_col)
+    return df.withColumn(out, scaled_array(x, mean, std))
+
+
+def scaled_array(x, mean: list[float], std: list[float]):
+    """Elementwise ``(x[i] - mean[i]) / std[i]`` unrolled over the fixed width (plain expressions)."""
+    return F.array(*[(x[i] - F.lit(m)) / F.lit(s) for i, (m, s) in enumerate(zip(mean, std))])

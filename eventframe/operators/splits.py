@@ -33,14 +33,11 @@ def assign_folds(df: DataFrame, n_folds: int = N_FOLDS, idx_col: str = "idx", ou
 
 def assign_splits(df: DataFrame, spec: dict | None = None, fold_col: str = "fold", out: str = "split") -> DataFrame:
     """Named splits; a fold may belong to several splits or none, so this is an explode over the
-    splits whose fold list contains the row's fold (map-side, no join, no shuffle)."""
+    names of the splits whose fold list contains the row's fold (map-side, no join, no shuffle)."""
     spec = spec or SPLIT_FOLDS
-    arr = F.array(*[
-        F.struct(F.lit(name).alias("name"), F.array(*[F.lit(int(f)) for f in folds]).alias("folds"))
-        for name, folds in spec.items()
-    ])
-    hits = F.filter(arr, lambda s: F.array_contains(s["folds"], F.col(fold_col)))
-    return df.select("*", F.explode(F.transform(hits, lambda s: s["name"])).alias(out))
+    names = F.array(*[F.when(F.col(fold_col).isin([int(f) for f in folds]), F.lit(name))
+                      for name, folds in spec.items()])
+    return df.select("*", F.explode(F.array_compact(names)).alias(out))
 
 
 def class_counts(df: DataFrame, label_col: str = "y") -> DataFrame:

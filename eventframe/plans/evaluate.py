@@ -31,11 +31,11 @@ def fixture_logits() -> F.Column:
     return F.array(F.col("MET_pt") / 200, F.col("mu1_pt") / 20, F.col("njets_nominal") / 3)
 
 
-def score_from_logits(df: DataFrame, z_col: str = "z", digits: int | None = 2) -> DataFrame:
+def score_from_logits(df: DataFrame, z_col: str = "z", digits: int | None = 2, n_classes: int = 3) -> DataFrame:
     """M2: ``p = softmax(z)``, optionally rounded (the fixture rounds to 2 decimals to create ties)."""
-    p = softmax(F.col(z_col))
+    p = softmax(F.col(z_col), n_classes)
     if digits is not None:
-        p = F.transform(p, lambda v: F.round(v, digits))
+        p = F.array(*[F.round(p[i], digits) for i in range(n_classes)])
     return df.withColumn("p", p)
 
 
@@ -68,7 +68,7 @@ def epoch_evaluation(scored: DataFrame, group_by: Sequence[str] = ("epoch",)) ->
     """M7: per group (epoch): mean-of-batch-means cross-entropy (A21 over ``gid``), accuracy, AUC
     per class. ``scored`` carries ``z`` (logits), ``p``, ``y`` and ``gid``."""
     g = list(group_by)
-    sp = with_prediction(scored).withColumn("ce", cross_entropy("z", "y"))
+    sp = with_prediction(scored).withColumn("ce", cross_entropy("z", "y", 3))
     loss = batch_mean(sp, "ce", "gid", g).select(*g, F.col("loss_mean_of_batches").alias("loss"))
     acc = accuracy(sp, g).select(*g, "accuracy")
     auc = auc_ovr(sp, 3, g).groupBy(*g).pivot("class", [0, 1, 2]).agg(F.first("auc"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from eventframe.operators.sampling import balanced_sample as balanced_sample_op
 from eventframe.operators.sampling import balanced_steps as balanced_steps_op
 from eventframe.operators.sampling import class_pool_sizes
 from eventframe.operators.sampling import sample_exact_n as sample_exact_n_op
-from eventframe.operators.scaling import apply_scaler, fit_masked_scaler, scaler_params
+from eventframe.operators.scaling import apply_scaler, fit_masked_scaler, scaled_array, scaler_params
 from eventframe.operators.splits import assign_folds, class_counts, global_ids, row_index
 from eventframe.operators.tokens import build_tokens, normalise_events
 from eventframe.operators.losses import batch_mean, cross_entropy
@@ -84,7 +85,8 @@ def query(fn):
 
 
 def _split(spark, sf_dir) -> DataFrame:
-    return split_events(events_from_tables(spark, sf_dir))
+    # read by several actions in multi-pass queries (edges, thresholds, report): keep it once
+    return split_events(events_from_tables(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _tokens(spark, sf_dir) -> DataFrame:
@@ -369,12 +371,12 @@ def softmax_argmax(spark, sf_dir):
 @query
 def cross_entropy_q(spark, sf_dir):
     s = _scored(spark, sf_dir)
-    return rounded(s.select("event_id", "y", cross_entropy("z", "y").alias("ce")))
+    return rounded(s.select("event_id", "y", cross_entropy("z", "y", 3).alias("ce")))
 
 
 @query
 def batch_mean_loss(spark, sf_dir):
-    s = with_split_gid(_scored(spark, sf_dir, "val"), "val").withColumn("ce", cross_entropy("z", "y"))
+    s = with_split_gid(_scored(spark, sf_dir, "val"), "val").withColumn("ce", cross_entropy("z", "y", 3))
     return rounded(batch_mean(s, "ce", "gid"))
 
 
@@ -383,8 +385,8 @@ def mass_bin_cross_entropy(spark, sf_dir):
     m, k, edges = _chosen(spark, sf_dir, CANDIDATE_K)
     tr = _scored(spark, sf_dir, "train").join(m.select("event_id"), "event_id")
     tr = assign_mass_bins(tr.withColumn("dimuon_mass", F.col("mass")), edges)
-    adv = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.sin((i + 1).cast("double") * F.col("MET_phi")))
-    tr = tr.select(cross_entropy("z", "y").alias("ce_cls"), cross_entropy(adv, "mass_bin").alias("ce_adv"))
+    adv = F.array(*[F.sin(F.lit(float(i + 1)) * F.col("MET_phi")) for i in range(k)])
+    tr = tr.select(cross_entropy("z", "y", 3).alias("ce_cls"), cross_entropy(adv, "mass_bin", k).alias("ce_adv"))
     out = tr.agg(F.count(F.lit(1)).alias("n"), F.avg("ce_cls").alias("loss_cls"), F.avg("ce_adv").alias("loss_adv"))
     return rounded(out.select(
         F.lit(k).alias("K"), "n", "loss_cls", "loss_adv", (F.col("loss_cls") + F.col("loss_adv")).alias("loss"),
@@ -572,8 +574,8 @@ def batch_score(spark, sf_dir):
 def _scaled_event_tokens(spark, sf_dir) -> DataFrame:
     mean, std = scaler_params(train_scaler(spark, sf_dir))
     ev = build_tokens(_split(spark, sf_dir))
-    ms = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(s).alias("s")) for m, s in zip(mean, std)])
-    xs = F.transform("tokens", lambda t: t.withField("x", F.zip_with(t["x"], ms, lambda v, p: (v - p["m"]) / p["s"])))
+    t = F.col("tokens")
+    xs = F.array(*[t[k].withField("x", scaled_array(t[k]["x"], mean, std)) for k in range(7)])
     return token_features(ev.withColumn("tokens", xs))
 
 

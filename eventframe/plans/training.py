@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 __all__ = ["token_features", "balanced_weights", "fit_classifier", "predict_proba", "fit_mass_probe"]
 
 
-def token_features(df: DataFrame, tokens_col: str = "tokens", x_col: str = "x", out: str = "features") -> DataFrame:
+def token_features(df: DataFrame, tokens_col: str = "tokens", x_col: str = "x", out: str = "features",
+                   n_tokens: int = 7) -> DataFrame:
     """Flatten the 7 x 16 token features (scaled x) into one ML vector."""
-    flat = F.flatten(F.transform(F.col(tokens_col), lambda t: t[x_col]))
+    t = F.col(tokens_col)
+    flat = F.flatten(F.array(*[t[k][x_col] for k in range(n_tokens)]))
     return df.withColumn(out, array_to_vector(flat))
 
 
