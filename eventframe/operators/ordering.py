@@ -73,6 +73,7 @@ def prefix_aggregate(
     n_buckets: int | None = None,
     bucket_width: int | None = None,
     keep_bucket: bool = False,
+    cache_input: bool = True,
 ) -> DataFrame:
     """Add one column per ``aggs`` entry: the running ``sum``/``min``/``max`` over rows that come
     before the row (``inclusive`` adds the row itself) inside ``partition_by`` in ``order_by``.
@@ -91,13 +92,17 @@ def prefix_aggregate(
     else:
         b = add_range_bucket(df, bucket_key, n_buckets)
     keys = part + ["_b"]
-    # bucket totals and their exclusive prefix over buckets (small table)
+    if cache_input:
+        # two passes are inherent (bucket totals, then rows); keep the input once instead of
+        # recomputing its whole upstream plan for the second pass
+        b = b.persist(StorageLevel.MEMORY_AND_DISK)
+    # bucket totals (map-side partial aggregation) and their exclusive prefix over buckets
     tot = b.groupBy(*keys).agg(*[_AGG[fn](expr).alias(f"_t_{name}") for name, (fn, expr) in aggs.items()])
     wb = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(
         *keys, *[_AGG[fn](F.col(f"_t_{name}")).over(wb).alias(f"_o_{name}") for name, (fn, _) in aggs.items()]
     )
-    # local prefix inside a bucket
+    # local prefix inside a bucket; its exchange on (partition, bucket) also serves the join
     hi = 0 if inclusive else -1
     wl = Window.partitionBy(*keys).orderBy(*[col_(c) for c in order_by]).rowsBetween(Window.unboundedPreceding, hi)
     local = b.select("*", *[_AGG[fn](expr).over(wl).alias(f"_l_{name}") for name, (fn, expr) in aggs.items()])

@@ -92,9 +92,23 @@ def _common(pt, eta, phi, mass) -> dict[int, Column]:
     return {0: safe_log(pt), 1: eta, 2: F.sin(phi), 3: F.cos(phi), 4: safe_log(mass)}
 
 
+_EXPR_CACHE: dict[int, Column] = {}
+
+
 def build_tokens(df: DataFrame) -> DataFrame:
     """Add ``tokens`` (7 structs) to a wide event frame (raw or normalised columns)."""
     df = ensure_event_columns(df)
+    # the unresolved expression is the same for every frame: build it (about a thousand JVM calls)
+    # once per SparkContext
+    key = id(df.sparkSession.sparkContext)
+    if key not in _EXPR_CACHE:
+        _EXPR_CACHE.clear()
+        _EXPR_CACHE[key] = token_array()
+    return df.withColumn("tokens", _EXPR_CACHE[key])
+
+
+def token_array() -> Column:
+    """The ``array<struct>`` expression of the 7 tokens over the wide event columns."""
     c = _v
     cls = _token(
         0, F.lit(1), _zero(), _zero(), _zero(), _zero(),
@@ -121,7 +135,7 @@ def build_tokens(df: DataFrame) -> DataFrame:
         valid_tok = _token(2 + j, F.lit(1), pt, eta, phi, mass, _x(slots))
         pad_tok = _token(2 + j, F.lit(0), _zero(), _zero(), _zero(), _zero(), _x({}))
         toks.append(F.when(ok, valid_tok).otherwise(pad_tok))
-    return df.withColumn("tokens", F.array(*toks))
+    return F.array(*toks)
 
 
 def tokens_long(df: DataFrame, keep=("event_id",)) -> DataFrame:

@@ -31,10 +31,11 @@ _TIE_BREAK = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discoun
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as candidate objects, ranked by price inside their order."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    w = Window.partitionBy("l_orderkey").orderBy(F.col("l_extendedprice").desc(), *_TIE_BREAK)
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumnRenamed("l_orderkey", "event_id")
+    # partition on the renamed key so the later per-event aggregate reuses this exchange
+    w = Window.partitionBy("event_id").orderBy(F.col("l_extendedprice").desc(), *_TIE_BREAK)
     return li.select(
-        F.col("l_orderkey").alias("event_id"),
+        "event_id",
         F.row_number().over(w).alias("rk"),
         F.col("l_quantity").alias("pt"),
         ((F.col("l_discount") - F.lit(0.05)) * 50).alias("eta"),
