@@ -208,9 +208,13 @@ def top_n_by_key(
     partition in one task.
 
     ``key_hex`` is a lowercase hex string (e.g. md5). Rows are counted per (P, first
-    ``prefix_digits`` hex digits); buckets wholly inside the first ``n`` rows are kept by a broadcast
-    semi-join, and only the single boundary bucket per partition is ranked with a window.
-    ``n`` is an int or the name of a column holding the per-partition limit.
+    ``prefix_digits`` hex digits) with map-side partial aggregation; a prefix sum over that small
+    table finds, per group, the boundary prefix that holds the n-th row. One row per group (the
+    boundary prefix and how many of its rows are needed) is broadcast; rows before the boundary are
+    kept as they are and only rows up to the boundary are ranked (a window over the kept rows, whose
+    number is about ``n`` per group). Groups shorter than ``n`` are kept whole.
+    ``n`` is an int or the name of a column holding the per-group limit. ``partition_by`` must be
+    low cardinality (sources, classes): the broadcast has one row per group.
     """
     part = list(partition_by)
     ncol = F.lit(n) if isinstance(n, int) else F.col(n)
@@ -218,16 +222,11 @@ def top_n_by_key(
     cnt = d.groupBy(*part, "_hb").agg(F.count(F.lit(1)).alias("_c"), F.first(ncol).alias("_n"))
     w = Window.partitionBy(*part).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
     cum = cnt.select("*", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_before"))
-    full = cum.where(F.col("_before") + F.col("_c") <= F.col("_n")).select(*part, "_hb")
-    edge = cum.where((F.col("_before") < F.col("_n")) & (F.col("_before") + F.col("_c") > F.col("_n"))).select(
-        *part, "_hb", (F.col("_n") - F.col("_before")).alias("_need")
+    edge = cum.where((F.col("_before") < F.col("_n")) & (F.col("_before") + F.col("_c") >= F.col("_n"))).select(
+        *part, F.col("_hb").alias("_edge"), (F.col("_n") - F.col("_before")).alias("_need")
     )
-    kept_full = d.join(F.broadcast(full), on=part + ["_hb"], how="left_semi")
+    j = d.join(F.broadcast(edge), on=part, how="left").where(F.col("_edge").isNull() | (F.col("_hb") <= F.col("_edge")))
     we = Window.partitionBy(*part, "_hb").orderBy(F.col(key_hex), F.col(tie))
-    kept_edge = (
-        d.join(F.broadcast(edge), on=part + ["_hb"], how="inner")
-        .withColumn("_rn", F.row_number().over(we))
-        .where(F.col("_rn") <= F.col("_need"))
-        .drop("_rn", "_need")
-    )
-    return kept_full.unionByName(kept_edge).drop("_hb")
+    ranked = j.withColumn("_rn", F.row_number().over(we))
+    keep = F.col("_edge").isNull() | (F.col("_hb") < F.col("_edge")) | (F.col("_rn") <= F.col("_need"))
+    return ranked.where(keep).drop("_hb", "_edge", "_need", "_rn")

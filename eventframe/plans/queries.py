@@ -84,13 +84,15 @@ def query(fn):
     return fn
 
 
-def _split(spark, sf_dir) -> DataFrame:
-    # read by several actions in multi-pass queries (edges, thresholds, report): keep it once
-    return split_events(events_from_tables(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+def _split(spark, sf_dir, keep: bool = False) -> DataFrame:
+    """Prepared events; ``keep`` persists them for queries that read them with several actions
+    (edges, thresholds, report rows) so the upstream plan runs once."""
+    sp = split_events(events_from_tables(spark, sf_dir))
+    return sp.persist(StorageLevel.MEMORY_AND_DISK) if keep else sp
 
 
-def _tokens(spark, sf_dir) -> DataFrame:
-    return split_tokens(_split(spark, sf_dir))
+def _tokens(spark, sf_dir, keep: bool = False) -> DataFrame:
+    return split_tokens(_split(spark, sf_dir, keep))
 
 
 # ---------------------------------------------------------------- filters, sources
@@ -188,8 +190,8 @@ def jet_validity(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- scaling (A1-A3)
-def train_scaler(spark, sf_dir) -> DataFrame:
-    t = _tokens(spark, sf_dir)
+def train_scaler(spark, sf_dir, keep: bool = False) -> DataFrame:
+    t = _tokens(spark, sf_dir, keep)
     return fit_masked_scaler(t.where(F.col("split") == "train"))
 
 
@@ -200,8 +202,8 @@ def masked_scaler(spark, sf_dir):
 
 @query
 def scaled_features(spark, sf_dir):
-    mean, std = scaler_params(train_scaler(spark, sf_dir))
-    t = apply_scaler(_tokens(spark, sf_dir), mean, std, out="xs")
+    mean, std = scaler_params(train_scaler(spark, sf_dir, keep=True))
+    t = apply_scaler(_tokens(spark, sf_dir, keep=True), mean, std, out="xs")
     return rounded(t.select("event_id", "tok", "valid", *[F.col("xs")[i].alias(f"xs{i}") for i in range(X_DIM)]))
 
 
@@ -215,7 +217,7 @@ SEED = 42
 
 
 def _train_pool(spark, sf_dir) -> DataFrame:
-    return _split(spark, sf_dir).where(F.col("split") == "train")
+    return _split(spark, sf_dir, keep=True).where(F.col("split") == "train")
 
 
 @query
@@ -356,7 +358,7 @@ def pair_valid_keys(spark, sf_dir):
 
 # ---------------------------------------------------------------- scores, losses, metrics
 def _scored(spark, sf_dir, split: str = "test") -> DataFrame:
-    sp = _split(spark, sf_dir).where(F.col("split") == split)
+    sp = _split(spark, sf_dir, keep=True).where(F.col("split") == split)
     sp = sp.select("event_id", "y", "idx", F.col("dimuon_mass").alias("mass"), "MET_phi",
                    fixture_logits().alias("z"))
     return score_from_logits(sp)
@@ -572,8 +574,8 @@ def batch_score(spark, sf_dir):
 
 
 def _scaled_event_tokens(spark, sf_dir) -> DataFrame:
-    mean, std = scaler_params(train_scaler(spark, sf_dir))
-    ev = build_tokens(_split(spark, sf_dir))
+    mean, std = scaler_params(train_scaler(spark, sf_dir, keep=True))
+    ev = build_tokens(_split(spark, sf_dir, keep=True))
     t = F.col("tokens")
     xs = F.array(*[t[k].withField("x", scaled_array(t[k]["x"], mean, std)) for k in range(7)])
     return token_features(ev.withColumn("tokens", xs))
