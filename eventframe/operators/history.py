@@ -23,6 +23,7 @@ from pyspark.sql.types import TimestampNTZType
 
 from eventframe.constants import LAMBDA_MAX, MIN_DELTA, PATIENCE, WARMUP_EPOCHS
 from eventframe.operators.ordering import ID_BUCKET, dense_index, prefix_aggregate
+from eventframe.session import ensure_checkpoint_dir
 
 __all__ = [
     "history_from_events",
@@ -52,6 +53,8 @@ def micros(df: DataFrame, c: str) -> Column:
 
 
 def _ckpt(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the session's shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

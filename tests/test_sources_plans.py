@@ -98,3 +98,25 @@ def test_oracle_agreement_small(spark, name):
     a = sorted(tuple(r[c] for c in cols) for r in sdf.collect())
     b = sorted(tuple(dict(zip(ocols, r))[c] for c in cols) for r in res.fetchall())
     assert a == b
+
+
+def test_history_documents_reader(spark, tmp_out):
+    import json
+
+    from eventframe.sources.artifacts import read_history_documents
+
+    doc = {
+        "train": [{"epoch": 0, "loss": 3.9, "loss_cls": 1.2, "loss_adv": 2.7, "lambda_grl": 0.1, "steps": 1},
+                  {"epoch": 1, "loss": 3.8, "loss_cls": 1.1, "loss_adv": 2.7, "lambda_grl": 0.2, "steps": 1}],
+        "val": [{"loss": 1.15, "accuracy": 0.4, "auc_ovr": {"0": 0.6, "1": 0.7, "2": 0.65}, "epoch": 0},
+                {"loss": 1.0, "accuracy": 0.5, "auc_ovr": {"0": 0.61, "1": 0.72, "2": 0.66}, "epoch": 1}],
+    }
+    for run in ("r1", "r2"):
+        os.makedirs(f"{tmp_out}/runs/{run}")
+        with open(f"{tmp_out}/runs/{run}/history.json", "w") as f:
+            json.dump(doc, f, indent=2)
+    h = read_history_documents(spark, f"{tmp_out}/runs/*/history.json")
+    rows = h.collect()
+    assert len(rows) == 8 and {r.run_id for r in rows} == {"r1", "r2"}
+    v = [r for r in rows if r.part == "val" and r.epoch == 1 and r.run_id == "r1"][0]
+    assert v.loss == 1.0 and v.auc_ovr["1"] == 0.72
