@@ -20,7 +20,7 @@ from eventframe.operators.splits import file_order_key
 from eventframe.sources.artifacts import write_parquet
 from eventframe.sources.parquet import check_files_exist, read_event_files
 
-__all__ = ["curated_sources", "run_curation", "output_name"]
+__all__ = ["curate", "curated_sources", "run_curation", "write_curated", "output_name"]
 
 
 def output_name(path: str, suffix: str = "_hpeak_10k") -> str:
@@ -29,6 +29,12 @@ def output_name(path: str, suffix: str = "_hpeak_10k") -> str:
     return (stem[: -len(".parquet")] if stem.endswith(".parquet") else stem) + suffix
 
 
+def curate(df: DataFrame, n_keep: int = SELECT_N_KEEP, seed: int = SELECT_SEED, window=SELECT_WINDOW,
+           source_col: str = "source", key: str = "_ord") -> DataFrame:
+    """P2 + R4 + R5 for any frame with a source column and a unique order key."""
+    return sample_exact_n(window_half_open(df, window=window), n_keep, seed, (source_col,), key=key)
+
+
 def curated_sources(spark: SparkSession, sources: Mapping[str, Sequence[str]], n_keep: int = SELECT_N_KEEP,
                     seed: int = SELECT_SEED, window=SELECT_WINDOW, columns=None) -> DataFrame:
     """The curated rows of every source with ``source`` and ``_ord`` (file ordinal, row index)."""
@@ -40,16 +46,20 @@ def curated_sources(spark: SparkSession, sources: Mapping[str, Sequence[str]], n
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p, allowMissingColumns=True)
-    df = window_half_open(df, window=window)
-    return sample_exact_n(df, n_keep, seed, ("source",), key="_ord")
+    return curate(df, n_keep, seed, window)
 
 
 def run_curation(spark: SparkSession, sources: Mapping[str, Sequence[str]], out_dir: str,
                  n_keep: int = SELECT_N_KEEP, seed: int = SELECT_SEED, window=SELECT_WINDOW, columns=None) -> DataFrame:
     """Write ``out_dir/source=<name>/`` parquet per source; returns per-source counts (read back)."""
     cur = curated_sources(spark, sources, n_keep, seed, window, columns)
+    return write_curated(spark, cur.drop("file_ord", "row_index"), list(sources), out_dir)
+
+
+def write_curated(spark: SparkSession, cur: DataFrame, sources: Sequence[str], out_dir: str) -> DataFrame:
+    """S5 + S6 + O2: one output per source in original order; empty sources get a schema-only file."""
     out = cur.repartitionByRange("source", "_ord").sortWithinPartitions("source", "_ord")
-    data = out.drop("file_ord", "row_index", "_ord")
+    data = out.drop("_ord")
     write_parquet(data, out_dir, partition_by=["source"])
     back = spark.read.parquet(out_dir)
     written = {r["source"] for r in back.select("source").distinct().collect()}  # at most one per source

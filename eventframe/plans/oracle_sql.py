@@ -497,3 +497,8 @@ e AS (SELECT vec_id, exp(z0 - greatest(z0, z1, z2)) AS e0, exp(z1 - greatest(z0,
     exp(z2 - greatest(z0, z1, z2)) AS e2 FROM z)
 SELECT vec_id, round(e0 / (e0 + e1 + e2), 6) AS p0, round(e1 / (e0 + e1 + e2), 6) AS p1, round(e2 / (e0 + e1 + e2), 6) AS p2
 FROM e"""
+
+ORACLE["curation_job"] = with_ctes("v_event") + """
+SELECT event_id, y, CASE y WHEN 0 THEN 'ggH' WHEN 1 THEN 'VBF' ELSE 'DY' END AS source, round(dimuon_mass, 6) AS dimuon_mass
+FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(concat_ws(':', 42, event_id)), event_id) AS rn
+      FROM v_event WHERE dimuon_mass >= 115 AND dimuon_mass < 135) s WHERE rn <= 1000"""

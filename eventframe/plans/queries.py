@@ -57,6 +57,7 @@ from eventframe.operators.history import (
     lambda_schedule,
     truncate_at_stop,
 )
+from eventframe.plans.curation import curate, write_curated
 from eventframe.plans.finalize import rounded
 from eventframe.plans.scoring import score_table, softmax_head_predict_fn
 from eventframe.plans.training import balanced_weights, fit_classifier, fit_mass_probe, predict_proba, token_features
@@ -605,3 +606,15 @@ def mass_leakage_probe(spark, sf_dir):
 
 for _n in ["early_stopping", "best_epoch", "lambda_schedule", "epoch_means"]:
     QUERIES[_n] = QUERIES.pop(_n + "_q")
+
+
+# ---------------------------------------------------------------- curation job (S6 over the fixture)
+@query
+def curation_job(spark, sf_dir):
+    ev = event_view(spark, sf_dir).withColumn("_ord", F.col("event_id"))
+    names = F.array(*[F.lit(n) for n in LABEL_NAMES])
+    ev = ev.withColumn("source", names[F.col("y")])
+    cur = curate(ev.select("event_id", "y", "source", "dimuon_mass", "_ord"), n_keep=1000, seed=SEED)
+    path = scratch_dir(spark, "curated")
+    write_curated(spark, cur, LABEL_NAMES, path)
+    return rounded(spark.read.parquet(path).select("event_id", "y", "source", "dimuon_mass"))
