@@ -13,7 +13,15 @@ from pyspark.sql import functions as F
 from eventframe.constants import N_FOLDS, SPLIT_FOLDS
 from eventframe.operators.ordering import dense_index
 
-__all__ = ["row_index", "assign_folds", "assign_splits", "class_counts", "global_ids", "file_order_key"]
+__all__ = [
+    "row_index",
+    "file_row_index",
+    "assign_folds",
+    "assign_splits",
+    "class_counts",
+    "global_ids",
+    "file_order_key",
+]
 
 
 def file_order_key(file_ord_col: str = "file_ord", row_index_col: str = "row_index"):
@@ -26,6 +34,33 @@ def row_index(df: DataFrame, order_col: str, partition_by=("y",), out: str = "id
     return dense_index(df, list(partition_by), order_col, out)
 
 
+def file_row_index(df: DataFrame, partition_by=("y",), out: str = "idx") -> DataFrame:
+    """R1 for frames read with :func:`read_event_files` (after row-wise filters/projections only):
+    the dense per-class position in file-list order *without shuffling the rows*.
+
+    A file split is read by one task, in row order, so after the filters its surviving rows get
+    consecutive ``monotonically_increasing_id`` values. Pass 1 counts survivors per split (one row per
+    ~128 MB split) and takes their first id; a prefix sum over splits in (file ordinal, split start)
+    order gives each split's offset; pass 2 adds ``offset + id - first_id``. The split table is
+    broadcast: its size is bounded by the number of file splits, not by rows. If a split's rows are not
+    contiguous (e.g. the frame was shuffled before), the plan raises instead of returning wrong indices.
+    """
+    part = list(partition_by)
+    d = df.withColumn("_mid", F.monotonically_increasing_id())
+    seg_keys = part + ["file_ord", "file_block"]
+    seg = d.groupBy(*seg_keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"), F.max("_mid").alias("_m1"))
+    w = Window.partitionBy(*part).orderBy("file_ord", "file_block").rowsBetween(Window.unboundedPreceding, -1)
+    ok = F.col("_m1") - F.col("_m0") + 1 == F.col("_n")
+    offs = seg.select(
+        *seg_keys,
+        F.when(ok, F.col("_m0")).otherwise(F.raise_error(F.lit("rows of a file split are not contiguous; "
+                                                               "index the scan before any shuffle"))).alias("_m0"),
+        F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"),
+    )
+    out_df = d.join(F.broadcast(offs), seg_keys)
+    return out_df.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long")).drop("_mid", "_m0", "_off")
+
+
 def assign_folds(df: DataFrame, n_folds: int = N_FOLDS, idx_col: str = "idx", out: str = "fold") -> DataFrame:
     """R2: ``fold = idx mod n_folds``."""
     return df.withColumn(out, F.pmod(F.col(idx_col), F.lit(n_folds)).cast("int"))

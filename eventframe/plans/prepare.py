@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventframe.operators.filters import window_closed_f32
-from eventframe.operators.splits import assign_folds, assign_splits, file_order_key, row_index
+from eventframe.operators.splits import assign_folds, assign_splits, file_order_key, file_row_index, row_index
 from eventframe.operators.tokens import build_tokens, tokens_long
 from eventframe.sources.event_view import event_view
 from eventframe.sources.parquet import read_labelled_sources
@@ -37,9 +37,17 @@ def events_from_files(spark: SparkSession, files_by_class: Mapping[str, Sequence
 
 
 def split_events(events: DataFrame, window_filter=window_closed_f32) -> DataFrame:
-    """P3 + R1 + R2 + R3: filtered events with ``idx``, ``fold`` and ``split``."""
+    """P3 + R1 + R2 + R3: filtered events with ``idx``, ``fold`` and ``split``.
+
+    Events straight from files (``file_block`` present) are indexed split-wise without a shuffle;
+    other frames use the two-level prefix sum over ``_ord``.
+    """
     w = window_filter(events)
-    return assign_splits(assign_folds(row_index(w, "_ord", ("y",))))
+    if "file_block" in w.columns:
+        idx = file_row_index(w, ("y",))
+    else:
+        idx = row_index(w, "_ord", ("y",))
+    return assign_splits(assign_folds(idx))
 
 
 def split_tokens(split_df: DataFrame, keep=("event_id", "y", "idx", "fold", "split", "dimuon_mass")) -> DataFrame:

@@ -71,9 +71,11 @@ def expand_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
 def read_event_files(
     spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None, check: bool = True
 ) -> DataFrame:
-    """Multi-file parquet scan with projection, plus ``file_ord`` and ``row_index``.
+    """Multi-file parquet scan with projection, plus ``file_ord``, ``file_block`` and
+    ``row_index``.
 
-    ``file_ord`` is the position of the file in ``paths`` (after directory expansion).
+    ``file_ord`` is the position of the file in ``paths`` (after directory expansion); ``file_block``
+    is the start offset of the file split a row was read from (identifies the scan segment).
     """
     if check:
         check_files_exist(spark, paths)
@@ -85,6 +87,7 @@ def read_event_files(
     return df.select(
         *present,
         ords[F.col("_metadata.file_path")].cast("int").alias("file_ord"),
+        F.col("_metadata.file_block_start").alias("file_block"),
         F.col("_metadata.row_index").alias("row_index"),
     )
 

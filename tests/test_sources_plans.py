@@ -120,3 +120,29 @@ def test_history_documents_reader(spark, tmp_out):
     assert len(rows) == 8 and {r.run_id for r in rows} == {"r1", "r2"}
     v = [r for r in rows if r.part == "val" and r.epoch == 1 and r.run_id == "r1"][0]
     assert v.loss == 1.0 and v.auc_ovr["1"] == 0.72
+
+
+def test_file_row_index_many_splits(spark, tmp_out):
+    from eventframe.operators.filters import window_closed_f32
+    from eventframe.operators.splits import file_row_index
+
+    paths = []
+    for k, n in enumerate([3000, 5000, 1000]):
+        p = f"{tmp_out}/f{k}.parquet"
+        rows = [event_row(k * 10000 + i, dimuon_mass=100.0 + (i * 37 % 50)) for i in range(n)]
+        event_frame(spark, rows).coalesce(1).write.option("parquet.block.size", 16384).parquet(p)
+        paths.append(p)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")  # several splits per file
+    try:
+        order = [paths[2], paths[0], paths[1]]
+        df = read_event_files(spark, order, columns=["dimuon_mass"])
+        assert df.select("file_block").distinct().count() > 3
+        w = window_closed_f32(df.withColumn("y", F.lit(0)))
+        got = sorted((r.idx, r.file_ord, r.row_index) for r in file_row_index(w).collect())
+        want = sorted((r.file_ord, r.row_index) for r in w.collect())
+        assert [(f, ri) for _, f, ri in got] == want and [i for i, _, _ in got] == list(range(len(want)))
+        with pytest.raises(Exception, match="not contiguous"):
+            file_row_index(w.repartition(7)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
