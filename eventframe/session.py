@@ -29,7 +29,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("EVENTFRAME_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("EVENTFRAME_DRIVER_MEMORY", _default_driver_memory()))
     )
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -37,6 +37,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
     return spark
 
 
+def _default_driver_memory() -> str:
+    """About 60% of physical memory, at most 16 GiB (local mode: the driver is the only JVM)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    gib = max(1, min(16, int(total * 0.6 / 2**30)))
+    return f"{gib}g"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set a local one only when it is unset (tests)."""
     sc = spark.sparkContext

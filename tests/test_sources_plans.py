@@ -146,3 +146,15 @@ def test_file_row_index_many_splits(spark, tmp_out):
             file_row_index(w.repartition(7)).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_fold_sizes_balanced(spark):
+    from eventframe.plans.prepare import events_from_tables, split_events
+
+    sp = split_events(events_from_tables(spark, SF_SMALL))
+    c = sp.groupBy("y", "fold").count().collect()
+    for y in (0, 1, 2):
+        n = [r["count"] for r in c if r.y == y]
+        assert len(n) == 4 and max(n) - min(n) <= 1
+    idx = sp.groupBy("y").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
+    assert all(r.lo == 0 and r.hi == r.n - 1 for r in idx)
