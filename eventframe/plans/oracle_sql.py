@@ -226,7 +226,7 @@ def _edges_cte(name: str, ks) -> None:
     for k in sorted(set(ks)):
         qs = ", ".join(f"CAST({b} AS DOUBLE) / {k}" for b in range(k + 1))
         parts.append(
-            f"SELECT {k} AS K, t.b, CASE WHEN t.b = 0 THEN CAST(115 AS DOUBLE) WHEN t.b = {k} THEN CAST(135 AS DOUBLE) "
+            f"SELECT {k} AS K, CAST(t.b AS INTEGER) AS b, CASE WHEN t.b = 0 THEN CAST(115 AS DOUBLE) WHEN t.b = {k} THEN CAST(135 AS DOUBLE) "
             f"ELSE q.q[t.b + 1] END AS edge FROM (SELECT quantile_cont(m, [{qs}]) AS q FROM masses "
             f"WHERE m >= 115 AND m <= 135) q, range({k + 1}) t(b)"
         )
@@ -359,7 +359,7 @@ ORACLE["accuracy"] = with_ctes("scored") + (
     "AS accuracy, count(*) AS n FROM scored"
 )
 ORACLE["confusion_matrix"] = with_ctes("scored") + """SELECT g.y, g.pred, coalesce(c.n, 0) AS n FROM
-  (SELECT a.y, b.pred FROM range(3) a(y), range(3) b(pred)) g
+  (SELECT CAST(a.y AS INTEGER) AS y, CAST(b.pred AS INTEGER) AS pred FROM range(3) a(y), range(3) b(pred)) g
   LEFT JOIN (SELECT y, pred, count(*) AS n FROM scored GROUP BY y, pred) c ON g.y = c.y AND g.pred = c.pred"""
 ORACLE["auc_ovr"] = with_ctes("scored") + ", " + _auc_sql("scored") + """
 SELECT CAST(c AS INTEGER) AS class, round(CASE WHEN Pt > 0 AND Nt > 0 THEN num / (Pt * Nt) END, 6) AS auc FROM tot"""
@@ -405,7 +405,8 @@ h1 AS (SELECT *, CASE WHEN i0 = 40 THEN 39 ELSE i0 END AS ia FROM h0),
 h2 AS (SELECT *, CASE WHEN m < (CASE WHEN ia >= 40 THEN hi ELSE ia * step + lo END) THEN ia - 1 ELSE ia END AS ib FROM h1),
 h3 AS (SELECT *, CASE WHEN ib <> 39 AND m >= (CASE WHEN ib + 1 >= 40 THEN hi ELSE (ib + 1) * step + lo END)
         THEN ib + 1 ELSE ib END AS h FROM h2)
-SELECT g.bin, g.h, coalesce(c.n, 0) AS n FROM (SELECT a.bin, b.h FROM range(6) a(bin), range(40) b(h)) g
+SELECT g.bin, g.h, coalesce(c.n, 0) AS n FROM (SELECT CAST(a.bin AS INTEGER) AS bin, CAST(b.h AS INTEGER) AS h
+  FROM range(6) a(bin), range(40) b(h)) g
 LEFT JOIN (SELECT bin, CAST(h AS INTEGER) AS h, count(*) AS n FROM h3 GROUP BY 1, 2) c ON g.bin = c.bin AND g.h = c.h"""
 ORACLE["eval_report"] = with_ctes("scored", "dy") + ", " + _auc_sql("scored") + """
 , th AS (SELECT quantile_cont(p1, CAST(0.9 AS DOUBLE)) AS thr FROM scored),
