@@ -218,7 +218,9 @@ SEED = 42
 
 
 def _train_pool(spark, sf_dir) -> DataFrame:
-    return _split(spark, sf_dir, keep=True).where(F.col("split") == "train")
+    # read by several actions (pool sizes, then draws): keep only the columns the callers use
+    sp = _split(spark, sf_dir).where(F.col("split") == "train")
+    return sp.select("event_id", "y", "idx", "dimuon_mass").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @query
@@ -359,10 +361,11 @@ def pair_valid_keys(spark, sf_dir):
 
 # ---------------------------------------------------------------- scores, losses, metrics
 def _scored(spark, sf_dir, split: str = "test") -> DataFrame:
-    sp = _split(spark, sf_dir, keep=True).where(F.col("split") == split)
+    sp = _split(spark, sf_dir).where(F.col("split") == split)
     sp = sp.select("event_id", "y", "idx", F.col("dimuon_mass").alias("mass"), "MET_phi",
                    fixture_logits().alias("z"))
-    return score_from_logits(sp)
+    # the scored table is read by several metrics/actions: keep this narrow table, not the events
+    return score_from_logits(sp).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @query
