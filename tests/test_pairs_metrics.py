@@ -149,3 +149,16 @@ def test_score_bins_and_hist_match_numpy(spark):
         assert bins[i] == int(sel.sum())
         h = np.histogram(m[sel], bins=40)[0] if sel.any() else np.zeros(40, int)
         assert [hist[(i, k)] for k in range(40)] == h.tolist()
+
+
+def test_auc_matches_spark_ml_evaluator(spark, scored_rows):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    df = _scored(spark, scored_rows)
+    ours = {r["class"]: r.auc for r in auc_ovr(df).collect()}
+    ev = BinaryClassificationEvaluator(rawPredictionCol="raw", labelCol="label", metricName="areaUnderROC", numBins=0)
+    for c in range(3):
+        d = df.select((F.col("y") == c).cast("double").alias("label"),
+                      array_to_vector(F.array(-F.col("p")[c], F.col("p")[c])).alias("raw"))
+        assert close(ev.evaluate(d), ours[c], 1e-12)
