@@ -167,11 +167,16 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Iterable[float], n_buc
     ).select("qi", "q", "n", "pos", F.floor("pos").cast("long").alias("r_lo"))
     t = t.select("*", F.least(F.col("r_lo") + 1, F.col("n") - 1).alias("r_hi"))
     ranks = t.select("r_lo").union(t.select("r_hi")).distinct().withColumnRenamed("r_lo", "r")
-    bt = rv["buckets"]  # _b, _o_before, _t_before  (small)
-    rb = ranks.join(
-        F.broadcast(bt),
-        (F.col("r") >= F.col("_o")) & (F.col("r") < F.col("_o") + F.col("_t")),
-    ).select("r", "_b")
+    # rank -> bucket: binary search over the bucket start ranks (a bounded list, one per bucket)
+    bt = sorted((int(r["_o"]), int(r["_b"])) for r in rv["buckets"].select("_o", "_b").collect())
+    ids = F.array(*[F.lit(b) for _, b in bt]) if bt else F.array(F.lit(0))
+    if len(bt) > 1:
+        splits = [float("-inf")] + [float(o) for o, _ in bt[1:]] + [float("inf")]
+        rb = Bucketizer(splits=splits, inputCol="_rd", outputCol="_bi").transform(
+            ranks.withColumn("_rd", F.col("r").cast("double"))).withColumn("_bi", F.col("_bi").cast("int"))
+    else:
+        rb = ranks.withColumn("_bi", F.lit(0))
+    rb = rb.select("r", ids[F.col("_bi")].alias("_b"))
     hit = rv["values"].join(F.broadcast(rb), on="_b").where(
         (F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("cnt"))
     ).select("r", "value")

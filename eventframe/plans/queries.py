@@ -259,15 +259,23 @@ def balanced_steps(spark, sf_dir):
 @query
 def gather_rows(spark, sf_dir):
     ev = row_index(window_closed_f32(events_from_tables(spark, sf_dir)), "_ord", ("y",))
-    sizes = class_pool_sizes(ev)
-    pos = (
-        spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in range(3)])).alias("y"))
-        .join(F.broadcast(sizes), "y")
-    )
-    # n_y positions per class drawn with replacement (a bootstrap resample), spread with spark.range
-    mx = int(sizes.agg(F.max("n")).first()[0])
-    draws = spark.range(mx).withColumnRenamed("id", "d").join(F.broadcast(pos), F.col("d") < F.col("n"))
-    draws = draws.select("y", "d", F.pmod(hash_int(F.lit(7), F.col("y"), F.col("d")), F.col("n")).alias("idx"))
+    # n_y positions per class drawn with replacement (a bootstrap resample); draw ids come from one
+    # spark.range over all classes, split by the (3-row) class offsets, so no join builds them
+    sizes = sorted((r["y"], r["n"]) for r in class_pool_sizes(ev).collect())
+    offs, acc = [], 0
+    for y, n in sizes:
+        offs.append((y, acc, n))
+        acc += n
+    ids = spark.range(acc)
+    yexpr = F.lit(offs[0][0])
+    oexpr = F.lit(0).cast("long")
+    nexpr = F.lit(offs[0][2]).cast("long")
+    for y, o, n in offs[1:]:
+        yexpr = F.when(F.col("id") >= o, F.lit(y)).otherwise(yexpr)
+        oexpr = F.when(F.col("id") >= o, F.lit(o).cast("long")).otherwise(oexpr)
+        nexpr = F.when(F.col("id") >= o, F.lit(n).cast("long")).otherwise(nexpr)
+    d = ids.select(yexpr.alias("y"), (F.col("id") - oexpr).alias("d"), nexpr.alias("n"))
+    draws = d.select("y", "d", F.pmod(hash_int(F.lit(7), F.col("y"), F.col("d")), F.col("n")).alias("idx"))
     return gather(ev.select("y", "idx", "event_id"), draws).select("y", "d", "idx", "event_id")
 
 
