@@ -12,7 +12,8 @@ from eventframe.operators.history import (
     truncate_at_stop,
 )
 
-# Recorded validation losses of the two reference runs (values copied from their history files).
+# Recorded validation losses of the two original training runs (fixed values: the first stops at epoch 11,
+# the second was cut off after 9 epochs).
 RUN_B = [1.1527840852737428, 1.0057486176490784, 0.9078383564949035, 0.8879964828491211, 0.9133458256721496,
          0.9631796240806579, 0.9809940576553344, 0.9642379403114318, 0.9402443170547485, 0.9240949869155883,
          0.9164877295494079, 0.9119309544563293]
