@@ -29,6 +29,8 @@ _STATE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # many small stores: no space is set aside on disk for each of them
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
