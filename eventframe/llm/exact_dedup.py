@@ -71,7 +71,7 @@ def stream_state(spark: SparkSession, path: str, schema, batches: int = 2) -> Da
 def collisions(docs: DataFrame, groups: DataFrame, text: str = "text") -> DataFrame:
     """The digests among the hits whose whole normalised texts are not all equal (none, but for a broken
     digest). A group's texts meet as one smallest and one largest text of each task."""
-    keys = groups.where("size > 1").select(F.xxhash64("digest").alias("_key"))
+    keys = cut(groups.where("size > 1").select(F.xxhash64("digest").alias("_key")), "hits")
     texts = docs.select(normalised(text).alias("_text"))
     texts = texts.withColumn("_digest", F.sha2("_text", 256)).withColumn("_key", F.xxhash64("_digest"))
     ends = texts.join(keys, "_key", "left_semi").groupBy("_digest").agg(
