@@ -1,10 +1,13 @@
 """The corpus queries and, where SQL can express one, its DuckDB oracle."""
 
-from eventframe.llm import exact_dedup, simhash
+from eventframe.llm import decontaminate, exact_dedup, pieces, simhash, toxicity
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_simhash": simhash.op2_simhash,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
 }
 
 ORACLE = {
