@@ -29,7 +29,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_hot(left: DataFrame, right: DataFrame, key: str, size: str) -> DataFrame:
+def broadcast_hot(left: DataFrame, right: DataFrame, key: str | list[str], size: str) -> DataFrame:
     """Inner join of ``left`` with ``right`` (one row per non-null ``key``; ``size`` counts the key's rows
     in ``left``).
 
@@ -39,7 +39,8 @@ def broadcast_hot(left: DataFrame, right: DataFrame, key: str, size: str) -> Dat
     total = right.agg(F.sum(size)).first()[0] or 0
     hot = F.broadcast(right.where(F.col(size) > F.lit(total * HOT_SHARE)))
     cold = right.where(F.col(size) <= F.lit(total * HOT_SHARE))
-    rest = left.join(hot.select(key), key, "left_anti").join(cold, key)
+    keys = [key] if isinstance(key, str) else key
+    rest = left.join(hot.select(*keys), key, "left_anti").join(cold, key)
     return left.join(hot, key).unionByName(rest)
 
 

@@ -1,15 +1,30 @@
 """The corpus queries and, where SQL can express one, its DuckDB oracle."""
 
-from eventframe.llm import decontaminate, exact_dedup, pieces, simhash, toxicity
+from eventframe.llm import (
+    decontaminate,
+    exact_dedup,
+    pieces,
+    secrets,
+    simhash,
+    suffix_array,
+    suffix_tree,
+    toxicity,
+    url_filter,
+)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_simhash": simhash.op2_simhash,
     "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op4_suffix_tree": suffix_tree.op4_suffix_tree,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op7_suffix_array": suffix_array.op7_suffix_array,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_secrets": secrets.op9_secrets,
 }
 
 ORACLE = {
+    "op4_suffix_tree": suffix_tree.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
 }
