@@ -139,20 +139,22 @@ def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM documents),
 windows AS (
-  SELECT doc_id, unnest(range(0, greatest(len(words) - 49, 0))) AS at, words FROM w),
+  SELECT doc_id, unnest(range(0, greatest(len(words) - 49, 0))) AS pos, words FROM w),
 hashed AS (
-  SELECT doc_id, at, md5(array_to_string(words[at + 1 : at + 50], ' ')) AS h FROM windows),
+  SELECT doc_id, pos, md5(array_to_string(words[(pos + 1):(pos + 50)], ' ')) AS h FROM windows),
 least_id AS (SELECT h, min(doc_id) AS first_id FROM hashed GROUP BY h),
 gone AS (
-  SELECT DISTINCT doc_id, unnest(range(at, at + 50)) AS place
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS place
   FROM hashed JOIN least_id USING (h) WHERE first_id < doc_id),
-marked AS (SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id),
-places AS (
-  SELECT w.doc_id, words, coalesce(places, []) AS places FROM w LEFT JOIN marked USING (doc_id))
-SELECT doc_id, len(words) AS n_words, len(places) AS n_removed,
-       sha256(array_to_string([words[i + 1] FOR i IN range(0, len(words)) IF NOT list_contains(places, i)], ' ')) AS kept_sha256
-FROM places
+marked AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+each_word AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS place FROM w),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept
+  FROM each_word ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN marked USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
