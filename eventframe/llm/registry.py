@@ -1,6 +1,7 @@
 """The corpus queries and, where SQL can express one, its DuckDB oracle."""
 
 from eventframe.llm import (
+    brown_lm,
     decontaminate,
     exact_dedup,
     pieces,
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_suffix_array": suffix_array.op7_suffix_array,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_secrets": secrets.op9_secrets,
+    "op10_brown_lm": brown_lm.op10_brown_lm,
 }
 
 ORACLE = {
