@@ -25,10 +25,12 @@ from eventframe.constants import LAMBDA_MAX, MIN_DELTA, PATIENCE, WARMUP_EPOCHS
 from eventframe.operators.ordering import ID_BUCKET, dense_index, prefix_aggregate
 from eventframe.session import ensure_checkpoint_dir
 
+#: Parts into which a run's rows are dealt when they meet its stop.
+STOP_SALTS = 32
+
 __all__ = [
     "history_from_events",
     "early_stopping",
-    "early_stopping_fold",
     "best_epoch",
     "lambda_schedule",
     "truncate_at_stop",
@@ -39,10 +41,10 @@ __all__ = [
 
 def history_from_events(events: DataFrame) -> DataFrame:
     """Fixture mapping: run = ``user_id``, epoch = position of the event in ``ts`` order inside the
-    run (two-level dense index, micro-second key), loss = ``value``."""
-    e = events.select(F.col("user_id").alias("run"), micros(events, "ts").alias("_t"), F.col("value").alias("loss"),
-                      "event_type")
-    return dense_index(e, ["run"], "_t", out="epoch", bucket_width=None).drop("_t")
+    run (two-level dense index, micro-second key, ties by ``event_id``), loss = ``value``."""
+    e = events.select(F.col("user_id").alias("run"), micros(events, "ts").alias("_t"), F.col("event_id").alias("_e"),
+                      F.col("value").alias("loss"), "event_type")
+    return prefix_aggregate(e, ["run"], ["_t", "_e"], F.col("_t"), {"epoch": ("sum", F.lit(1).cast("long"))}).drop("_t", "_e")
 
 
 def micros(df: DataFrame, c: str) -> Column:
@@ -58,12 +60,19 @@ def _ckpt(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _before() -> dict:
+    """Prefix aggregates over ``pos``: the smallest loss so far, and whether the run began with NaN, which
+    is the largest value in Spark's order but never improved on."""
+    return {"pm": ("min", F.col("loss")), "nan_first": ("max", F.when((F.col("pos") == 0) & F.isnan("loss"), 1).otherwise(0))}
+
+
 def early_stopping(hist: DataFrame, patience: int = PATIENCE, min_delta: float = MIN_DELTA,
                    run_col: str = "run", epoch_col: str = "epoch", loss_col: str = "loss") -> DataFrame:
     """W1 + W4 per run: ``run, n_epochs, best_epoch, best_loss, stop_epoch, epochs_run``.
 
     A best is updated iff ``loss < best - min_delta`` (strict); ``stop_epoch`` is the epoch where the
-    count of epochs without improvement reaches ``patience`` (null when training never stops);
+    count of epochs without improvement reaches ``patience`` (null when training never stops). A NaN
+    loss is never better, and a NaN first loss stays the best, as nothing is below it;
     ``epochs_run`` is the number of epochs that exist after the stop (W4). Epochs are counted by
     their position in ``epoch`` order.
     """
@@ -73,9 +82,9 @@ def early_stopping(hist: DataFrame, patience: int = PATIENCE, min_delta: float =
     h = dense_index(h, ["run"], "epoch", out="pos").persist(StorageLevel.MEMORY_AND_DISK)
     runs = h.groupBy("run").agg(F.count(F.lit(1)).alias("n_epochs"))
     # 1. running-minimum records (candidates for a new best)
-    pm = prefix_aggregate(h, ["run"], ["pos"], F.col("pos"), {"pm": ("min", F.col("loss"))},
-                          bucket_width=ID_BUCKET)
-    rec = _ckpt(pm.where(F.col("pm").isNull() | (F.col("loss") < F.col("pm"))).select("run", "pos", "epoch", "loss"))
+    pm = prefix_aggregate(h, ["run"], ["pos"], F.col("pos"), _before(), bucket_width=ID_BUCKET)
+    better = (F.col("loss") < F.col("pm")) & (F.col("nan_first") == 0)
+    rec = _ckpt(pm.where((F.col("pos") == 0) | better).select("run", "pos", "epoch", "loss"))
     # 2. successor of each record: earliest record with loss < loss_r - min_delta
     items = rec.select("run", F.col("loss").alias("v"), F.lit(1).alias("kind"), F.col("pos").alias("t"),
                        F.lit(None).cast("long").alias("owner"))
@@ -118,34 +127,13 @@ def early_stopping(hist: DataFrame, patience: int = PATIENCE, min_delta: float =
     )
 
 
-def early_stopping_fold(hist: DataFrame, patience: int = PATIENCE, min_delta: float = MIN_DELTA) -> DataFrame:
-    """W1 as the literal sequential fold (``aggregate`` over the sorted list of a run). Only for
-    short, bounded histories (tests, single training runs); :func:`early_stopping` is the scalable form."""
-    s = hist.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("epoch", "loss"))).alias("xs"))
-    init = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("best_epoch"),
-                    F.lit(0).alias("bad"), F.lit(None).cast("long").alias("stop"), F.lit(0).alias("n"))
-
-    def merge(acc: Column, x: Column) -> Column:
-        better = acc["best"].isNull() | (x["loss"] < acc["best"] - F.lit(min_delta))
-        upd = F.struct(x["loss"].alias("best"), x["epoch"].cast("long").alias("best_epoch"), F.lit(0).alias("bad"),
-                       F.lit(None).cast("long").alias("stop"), (acc["n"] + 1).alias("n"))
-        bad = F.struct(acc["best"].alias("best"), acc["best_epoch"].alias("best_epoch"), (acc["bad"] + 1).alias("bad"),
-                       F.when(acc["bad"] + 1 >= patience, x["epoch"].cast("long")).alias("stop"),
-                       (acc["n"] + 1).alias("n"))
-        return F.when(acc["stop"].isNotNull(), acc).otherwise(F.when(better, upd).otherwise(bad))
-
-    r = s.select("run", F.size("xs").alias("n_epochs"), F.aggregate("xs", init, merge).alias("st"))
-    return r.select("run", "n_epochs", F.col("st.best_epoch").alias("best_epoch"), F.col("st.best").alias("best_loss"),
-                    F.col("st.stop").alias("stop_epoch"), F.col("st.n").cast("long").alias("epochs_run"))
-
-
 def best_epoch(hist: DataFrame, run_col: str = "run", epoch_col: str = "epoch", loss_col: str = "loss") -> DataFrame:
-    """Without early stopping an epoch is best iff ``loss <= min(previous losses)`` (ties win);
+    """Without early stopping an epoch is best iff ``loss <= min(previous losses)`` (ties win, NaN as in W1);
     returns the last such epoch per run and its loss."""
     h = hist.select(F.col(run_col).alias("run"), F.col(epoch_col).alias("epoch"), F.col(loss_col).alias("loss"))
-    pm = prefix_aggregate(h, ["run"], ["epoch"], F.col("epoch"), {"pm": ("min", F.col("loss"))},
-                          bucket_width=ID_BUCKET)
-    b = pm.where(F.col("pm").isNull() | (F.col("loss") <= F.col("pm")))
+    h = dense_index(h, ["run"], "epoch", out="pos")
+    pm = prefix_aggregate(h, ["run"], ["pos"], F.col("pos"), _before(), bucket_width=ID_BUCKET)
+    b = pm.where((F.col("pos") == 0) | ((F.col("loss") <= F.col("pm")) & (F.col("nan_first") == 0)))
     return b.groupBy("run").agg(F.max("epoch").alias("best_epoch"), F.max_by("loss", "epoch").alias("best_loss")) \
         .withColumnRenamed("run", run_col)
 
@@ -160,9 +148,10 @@ def lambda_schedule(epoch, lambda_max: float = LAMBDA_MAX, warmup: int = WARMUP_
 
 def truncate_at_stop(hist: DataFrame, stops: DataFrame, run_col: str = "run", epoch_col: str = "epoch") -> DataFrame:
     """Epochs after the stopping epoch do not exist."""
-    s = stops.select(run_col, "stop_epoch")
-    return hist.join(s, run_col, "left").where(
-        F.col("stop_epoch").isNull() | (F.col(epoch_col) <= F.col("stop_epoch"))).drop("stop_epoch")
+    salt = F.pmod(F.xxhash64(epoch_col), F.lit(STOP_SALTS)).alias("_salt")  # a run may hold a third of all rows
+    s = stops.select(run_col, "stop_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(STOP_SALTS - 1).cast("long"))).alias("_salt"))
+    return hist.select("*", salt).join(s, [run_col, "_salt"], "left").where(
+        F.col("stop_epoch").isNull() | (F.col(epoch_col) <= F.col("stop_epoch"))).drop("stop_epoch", "_salt")
 
 
 def drop_heavy(df: DataFrame, heavy: Sequence[str] = ("y_true", "proba", "masses")) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from eventframe.constants import EVENT_COLUMNS
@@ -45,3 +47,24 @@ def close(a, b, tol=1e-9):
     if isinstance(a, float) and math.isnan(a):
         return isinstance(b, float) and math.isnan(b)
     return abs(a - b) <= tol * max(1.0, abs(a), abs(b))
+
+
+def early_stopping_fold(hist: DataFrame, patience: int = 8, min_delta: float = 1e-4) -> DataFrame:
+    """W1 as the literal sequential fold over the sorted list of a run."""
+    s = hist.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("epoch", "loss"))).alias("xs"))
+    init = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("best_epoch"),
+                    F.lit(0).alias("bad"), F.lit(None).cast("long").alias("stop"), F.lit(0).alias("n"))
+
+    def merge(acc: Column, x: Column) -> Column:
+        below = (x["loss"] < acc["best"] - F.lit(min_delta)) & ~F.isnan(acc["best"])  # nothing is below NaN
+        better = acc["best"].isNull() | below
+        upd = F.struct(x["loss"].alias("best"), x["epoch"].cast("long").alias("best_epoch"), F.lit(0).alias("bad"),
+                       F.lit(None).cast("long").alias("stop"), (acc["n"] + 1).alias("n"))
+        bad = F.struct(acc["best"].alias("best"), acc["best_epoch"].alias("best_epoch"), (acc["bad"] + 1).alias("bad"),
+                       F.when(acc["bad"] + 1 >= patience, x["epoch"].cast("long")).alias("stop"),
+                       (acc["n"] + 1).alias("n"))
+        return F.when(acc["stop"].isNotNull(), acc).otherwise(F.when(better, upd).otherwise(bad))
+
+    r = s.select("run", F.size("xs").alias("n_epochs"), F.aggregate("xs", init, merge).alias("st"))
+    return r.select("run", "n_epochs", F.col("st.best_epoch").alias("best_epoch"), F.col("st.best").alias("best_loss"),
+                    F.col("st.stop").alias("stop_epoch"), F.col("st.n").cast("long").alias("epochs_run"))

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from eventframe.operators.history import (
     best_epoch,
     early_stopping,
-    early_stopping_fold,
     epoch_means,
     lambda_schedule,
     truncate_at_stop,
 )
+from tests.helpers import early_stopping_fold
 
 # Recorded validation losses of the two original training runs (fixed values: the first stops at epoch 11,
 # the second was cut off after 9 epochs).
@@ -63,6 +63,18 @@ def test_scalable_matches_fold(spark):
         assert a == b
 
 
+def test_nan_losses(spark):
+    nan = float("nan")
+    h = _hist(spark, {1: [nan, 1.0, 0.9, 0.8], 2: [1.0, nan, 0.9, nan, 0.95, 0.2], 3: [nan], 4: [0.5, nan, nan, 0.4]})
+    out = {r.run: r for r in early_stopping(h, patience=2).collect()}
+    assert [(out[i].best_epoch, out[i].stop_epoch, out[i].epochs_run) for i in (1, 2, 3, 4)] == [(0, 2, 3), (2, 4, 5), (0, None, 1), (0, 2, 3)]
+    for pat in (1, 2, 3):
+        a = {r.run: r[1:3] + r[4:] for r in early_stopping(h, pat).collect()}
+        assert a == {r.run: r[1:3] + r[4:] for r in early_stopping_fold(h, pat).collect()}
+    best = {r.run: r.best_epoch for r in best_epoch(h).collect()}
+    assert best == {1: 0, 2: 5, 3: 0, 4: 3}
+
+
 def test_best_epoch_ties_and_truncation(spark):
     h = _hist(spark, {1: [1.0, 0.8, 0.8, 0.9], 2: RUN_B})
     r = {x.run: x for x in best_epoch(h).collect()}
