@@ -48,13 +48,16 @@ def _default_driver_memory() -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a local one only when it is unset (tests)."""
+    """Use the cluster's ``spark.checkpoint.dir``; where it is unset, a local session gets a temporary folder
+    (tests) and a cluster raises, since its machines don't share local folders."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="eventframe-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
