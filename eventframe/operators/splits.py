@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from eventframe.constants import N_FOLDS, SPLIT_FOLDS
 from eventframe.operators.ordering import dense_index
+from eventframe.session import scratch_dir
+
+#: File splits up to which their offsets are broadcast (about 50 bytes each).
+MAX_BROADCAST_SPLITS = 1_000_000
 
 __all__ = [
     "row_index",
@@ -25,8 +29,11 @@ __all__ = [
 
 
 def file_order_key(file_ord_col: str = "file_ord", row_index_col: str = "row_index"):
-    """Numeric order key = file ordinal * 2^40 + row index inside the file (unique, list order)."""
-    return (F.col(file_ord_col).cast("long") * F.lit(1 << 40) + F.col(row_index_col).cast("long"))
+    """Numeric order key = file ordinal * 2^36 + row index inside the file (unique, list order): 2^24
+    files of 2^36 rows, which leaves the top bits of an event id for the class."""
+    file_ord, row = F.col(file_ord_col).cast("long"), F.col(row_index_col).cast("long")
+    fits = (file_ord < F.lit(1 << 24)) & (row < F.lit(1 << 36))
+    return F.when(fits, file_ord * F.lit(1 << 36) + row).otherwise(F.raise_error(F.lit("file ordinal or row index too large for one key")))
 
 
 def row_index(df: DataFrame, order_col: str, partition_by=("y",), out: str = "idx") -> DataFrame:
@@ -41,9 +48,11 @@ def file_row_index(df: DataFrame, partition_by=("y",), out: str = "idx") -> Data
     A file split is read by one task, in row order, so after the filters its surviving rows get
     consecutive ``monotonically_increasing_id`` values. Pass 1 counts survivors per split (one row per
     ~128 MB split) and takes their first id; a prefix sum over splits in (file ordinal, split start)
-    order gives each split's offset; pass 2 adds ``offset + id - first_id``. The split table is
-    broadcast: its size is bounded by the number of file splits, not by rows. If a split's rows are not
-    contiguous (e.g. the frame was shuffled before), the plan raises instead of returning wrong indices.
+    order gives each split's offset; pass 2 adds ``offset + id - first_id``. Both passes are checked: ids
+    of a split that are not contiguous in pass 1 (the frame was shuffled before), or a row of pass 2
+    whose id lies outside its split's range (the scan was packed into other tasks), raise an error
+    instead of giving wrong indices. The split table is written once to the shared folder and broadcast
+    up to ``MAX_BROADCAST_SPLITS`` rows.
     """
     part = list(partition_by)
     d = df.withColumn("_mid", F.monotonically_increasing_id())
@@ -55,10 +64,16 @@ def file_row_index(df: DataFrame, partition_by=("y",), out: str = "idx") -> Data
         *seg_keys,
         F.when(ok, F.col("_m0")).otherwise(F.raise_error(F.lit("rows of a file split are not contiguous; "
                                                                "index the scan before any shuffle"))).alias("_m0"),
-        F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"),
+        "_n", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"),
     )
-    out_df = d.join(F.broadcast(offs), seg_keys)
-    return out_df.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long")).drop("_mid", "_m0", "_off")
+    path = scratch_dir(df.sparkSession, "split-offsets")
+    offs.write.parquet(path)
+    offs = df.sparkSession.read.schema(offs.schema).parquet(path)
+    if offs.count() <= MAX_BROADCAST_SPLITS:
+        offs = F.broadcast(offs)
+    at = F.col("_mid") - F.col("_m0")
+    at = F.when((at >= 0) & (at < F.col("_n")), at).otherwise(F.raise_error(F.lit("the scan was split differently in the second pass; retry")))
+    return d.join(offs, seg_keys).withColumn(out, (F.col("_off") + at).cast("long")).drop("_mid", "_m0", "_n", "_off")
 
 
 def assign_folds(df: DataFrame, n_folds: int = N_FOLDS, idx_col: str = "idx", out: str = "fold") -> DataFrame:

@@ -37,11 +37,14 @@ def curate(df: DataFrame, n_keep: int = SELECT_N_KEEP, seed: int = SELECT_SEED,
 
 def curated_sources(spark: SparkSession, sources: Mapping[str, Sequence[str]], n_keep: int = SELECT_N_KEEP,
                     seed: int = SELECT_SEED, window=SELECT_WINDOW, columns=None) -> DataFrame:
-    """The curated rows of every source with ``source`` and ``_ord`` (file ordinal, row index)."""
+    """The curated rows of every source with ``source`` and ``_ord`` (file ordinal, row index);
+    ``columns=None`` keeps every input column."""
     check_files_exist(spark, [p for ps in sources.values() for p in ps])
     parts = []
     for name, paths in sources.items():
         d = read_event_files(spark, paths, columns, check=False)
+        if clash := {"source", "_ord"} & set(d.columns):
+            raise ValueError(f"input columns clash with helper columns: {sorted(clash)}")
         parts.append(d.withColumn("source", F.lit(name)).withColumn("_ord", file_order_key()))
     df = parts[0]
     for p in parts[1:]:
@@ -49,22 +52,43 @@ def curated_sources(spark: SparkSession, sources: Mapping[str, Sequence[str]], n
     return curate(df, n_keep, seed, window)
 
 
-def run_curation(spark: SparkSession, sources: Mapping[str, Sequence[str]], out_dir: str,
+def run_curation(spark: SparkSession, sources: Mapping[str, Sequence[str]] | Sequence[str], out_dir: str,
                  n_keep: int = SELECT_N_KEEP, seed: int = SELECT_SEED, window=SELECT_WINDOW, columns=None) -> DataFrame:
-    """Write ``out_dir/source=<name>/`` parquet per source; returns per-source counts (read back)."""
+    """Write ``out_dir/source=<name>/`` parquet per source; returns ``source, n`` for every source.
+
+    ``sources`` maps names to file lists; a plain list of files makes each file a source named by
+    :func:`output_name`.
+    """
+    if not isinstance(sources, Mapping):
+        named: dict[str, list[str]] = {}
+        for p in sources:
+            named.setdefault(output_name(p), []).append(p)
+        sources = named
     cur = curated_sources(spark, sources, n_keep, seed, window, columns)
-    return write_curated(spark, cur.drop("file_ord", "row_index"), list(sources), out_dir)
+    return write_curated(spark, cur.drop("file_ord", "file_block", "row_index"), list(sources), out_dir)
+
+
+#: Characters that Spark escapes in the folder name of a partition value.
+_ESCAPED = set('"#%\'*/:=?\\{[]^') | {chr(i) for i in range(32)} | {chr(127)}
+
+
+def _folder(name: str) -> str:
+    return "source=" + "".join(f"%{ord(c):02X}" if c in _ESCAPED else c for c in name)
 
 
 def write_curated(spark: SparkSession, cur: DataFrame, sources: Sequence[str], out_dir: str) -> DataFrame:
-    """S5 + S6 + O2: one output per source in original order; empty sources get a schema-only file."""
+    """S5 + S6 + O2: one output per source in original order; an empty source gets a schema-only file.
+
+    Counts come from the written rows read back with the known schema (``source`` stays a string
+    whatever it looks like), and a source's folder is only added to if it has no rows.
+    """
     out = cur.repartitionByRange("source", "_ord").sortWithinPartitions("source", "_ord")
     data = out.drop("_ord")
     write_parquet(data, out_dir, partition_by=["source"])
-    back = spark.read.parquet(out_dir)
-    written = {r["source"] for r in back.select("source").distinct().collect()}  # at most one per source
-    for name in sources:
-        if name not in written:  # S5: an empty source still gets a readable, schema-carrying output
-            write_parquet(data.where(F.lit(False)).drop("source"), f"{out_dir.rstrip('/')}/source={name}")
-    back = spark.read.parquet(out_dir)
-    return back.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    back = spark.read.schema(data.schema).parquet(out_dir)
+    counts = {r["source"]: r["n"] for r in back.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for name in sources:  # one row per source
+        if not counts.get(name):
+            empty = spark.createDataFrame([], data.drop("source").schema)
+            write_parquet(empty, f"{out_dir.rstrip('/')}/{_folder(name)}", mode="append")
+    return spark.createDataFrame([(n, counts.get(n, 0)) for n in sources], "source string, n long")

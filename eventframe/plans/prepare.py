@@ -1,7 +1,7 @@
 """Preparation plan: scan -> window -> per-class index -> folds -> splits -> tokens.
 
 Two inputs share the same downstream plan:
-- event files listed per class (``from_files``): order key = file ordinal * 2^40 + row index;
+- event files listed per class (``from_files``): order key = file ordinal * 2^36 + row index;
 - the fixture view over the driver tables (``from_tables``): order key = event id.
 """
 
@@ -32,7 +32,7 @@ def events_from_files(spark: SparkSession, files_by_class: Mapping[str, Sequence
     raw = read_labelled_sources(spark, files_by_class)
     key = file_order_key()
     return raw.withColumn("_ord", key).withColumn(
-        "event_id", F.col("y").cast("long") * F.lit(1 << 56) + key
+        "event_id", F.col("y").cast("long") * F.lit(1 << 60) + key
     )
 
 

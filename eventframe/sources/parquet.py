@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from eventframe.constants import EVENT_COLUMNS, LABELS
 
+#: Files up to which their ordinals are broadcast (16 bytes each).
+MAX_BROADCAST_FILES = 2_000_000
+
 __all__ = [
     "missing_paths",
     "check_files_exist",
@@ -34,13 +37,21 @@ def _fs_path(spark: SparkSession, p: str):
 
 
 def missing_paths(spark: SparkSession, paths: Iterable[str]) -> list[str]:
-    """All paths that do not exist (Hadoop FS API, so object stores work too)."""
-    out = []
+    """All paths that do not exist (Hadoop FS API, so object stores work too). Paths that share a folder
+    are looked up in one listing of it."""
+    paths = list(paths)
+    by_folder: dict[str, list[str]] = {}
     for p in paths:
-        fs, path = _fs_path(spark, p)
-        if not fs.exists(path):
-            out.append(p)
-    return out
+        by_folder.setdefault(p.rstrip("/").rpartition("/")[0], []).append(p)
+    gone: set[str] = set()
+    for folder, own in by_folder.items():
+        if len(own) == 1 or not folder:
+            gone.update(p for p in own for fs, path in [_fs_path(spark, p)] if not fs.exists(path))
+            continue
+        fs, path = _fs_path(spark, folder)
+        names = {st.getPath().getName() for st in fs.listStatus(path)} if fs.exists(path) else set()
+        gone.update(p for p in own if p.rstrip("/").rpartition("/")[2] not in names)
+    return [p for p in paths if p in gone]
 
 
 def check_files_exist(spark: SparkSession, paths: Iterable[str]) -> None:
@@ -69,31 +80,52 @@ def expand_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
 
 
 def read_event_files(
-    spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None, check: bool = True
+    spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = EVENT_COLUMNS, check: bool = True
 ) -> DataFrame:
     """Multi-file parquet scan with projection, plus ``file_ord``, ``file_block`` and
-    ``row_index``.
+    ``row_index``. ``columns=None`` keeps every column of the files.
 
     ``file_ord`` is the position of the file in ``paths`` (after directory expansion); ``file_block``
-    is the start offset of the file split a row was read from (identifies the scan segment).
+    is the start offset of the file split a row was read from (identifies the scan segment). A file
+    listed more than once is read once per listing.
     """
     if check:
         check_files_exist(spark, paths)
-    files = expand_files(spark, paths)
-    cols = list(columns) if columns is not None else list(EVENT_COLUMNS)
-    ords = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i))])
-    df = spark.read.parquet(*files)
-    present = [c for c in cols if c in set(df.columns)]
-    return df.select(
-        *present,
-        ords[F.col("_metadata.file_path")].cast("int").alias("file_ord"),
-        F.col("_metadata.file_block_start").alias("file_block"),
-        F.col("_metadata.row_index").alias("row_index"),
-    )
+    scans: list[dict[str, int]] = []  # one scan per repetition of a file
+    times: dict[str, int] = {}
+    for i, f in enumerate(expand_files(spark, paths)):
+        k = times[f] = times.get(f, -1) + 1
+        if k == len(scans):
+            scans.append({})
+        scans[k][f] = i
+    parts = [_scan(spark, ords, columns) for ords in scans]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def _scan(spark: SparkSession, ords: dict[str, int], columns: Sequence[str] | None) -> DataFrame:
+    """One scan of distinct files. Ordinals come from a small table keyed by a hash of the path (16
+    bytes a file), broadcast up to ``MAX_BROADCAST_FILES``; the hashes are checked for clashes."""
+    df = spark.read.parquet(*ords)
+    keep = df.columns if columns is None else [c for c in columns if c in set(df.columns)]
+    clash = {"file_ord", "file_block", "row_index", "_path"} & set(keep)
+    if clash:
+        raise ValueError(f"input columns clash with helper columns: {sorted(clash)}")
+    rows = df.select(*keep, F.xxhash64("_metadata.file_path").alias("_path"),
+                     F.col("_metadata.file_block_start").alias("file_block"), F.col("_metadata.row_index").alias("row_index"))
+    table = spark.createDataFrame(list(ords.items()), "path string, file_ord int").select(
+        F.xxhash64("path").alias("_path"), "file_ord")
+    if table.select("_path").distinct().count() < len(ords):
+        raise ValueError("two file paths have the same hash; read them in separate calls")
+    if len(ords) <= MAX_BROADCAST_FILES:
+        table = F.broadcast(table)
+    return rows.join(table, "_path").select(*keep, "file_ord", "file_block", "row_index")
 
 
 def read_labelled_sources(
-    spark: SparkSession, files_by_class: Mapping[str, Sequence[str]], columns: Sequence[str] | None = None
+    spark: SparkSession, files_by_class: Mapping[str, Sequence[str]], columns: Sequence[str] | None = EVENT_COLUMNS
 ) -> DataFrame:
     """S4 + O4: one scan per class group tagged with its class id, concatenated in class order
     (ggH, VBF, DY). All missing files across all classes are reported together (S3)."""

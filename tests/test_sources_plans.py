@@ -7,6 +7,7 @@ import __spark_entry__ as E
 from eventframe.operators.splits import file_order_key, row_index
 from eventframe.plans.curation import output_name, run_curation
 from eventframe.plans.prepare import events_from_files, split_events
+from eventframe.plans.queries import QUERIES
 from eventframe.sources.artifacts import read_bins, read_scaler, write_bins, write_parquet, write_scaler
 from eventframe.sources.parquet import check_files_exist, read_event_files
 from tests.conftest import SF_SMALL
@@ -70,17 +71,52 @@ def test_curation_job(spark, tmp_out):
     _write(spark, none, range(4), mass=150.0)
     out = tmp_out + "/curated"
     counts = run_curation(spark, {"big": [big], "small": [small], "none": [none]}, out, n_keep=10, seed=42)
-    assert {r.source: r.n for r in counts.collect()} == {"big": 10, "small": 3}
+    assert {r.source: r.n for r in counts.collect()} == {"big": 10, "small": 3, "none": 0}
     assert os.path.isdir(out + "/source=none")  # empty source: readable output with the schema
     assert output_name("/x/ggh_merged.parquet") == "ggh_merged_hpeak_10k"
 
 
+def test_curation_keeps_numeric_names_and_all_columns(spark, tmp_out):
+    _write(spark, tmp_out + "/2017.parquet", range(20))
+    _write(spark, tmp_out + "/2018.parquet", range(30))
+    out = tmp_out + "/curated"
+    counts = run_curation(spark, {"2017": [tmp_out + "/2017.parquet"], "2018": [tmp_out + "/2018.parquet"]}, out, n_keep=10)
+    assert {r.source: r.n for r in counts.collect()} == {"2017": 10, "2018": 10}
+    back = spark.read.parquet(out + "/source=2018")
+    assert back.count() == 10 and sorted(back.columns) == sorted(spark.read.parquet(tmp_out + "/2018.parquet").columns)
+    assert "tag" in back.columns
+    named = run_curation(spark, [tmp_out + "/2017.parquet"], tmp_out + "/by_file", n_keep=5)
+    assert [tuple(r) for r in named.collect()] == [("2017_hpeak_10k", 5)]
+
+
+def test_curation_without_survivors(spark, tmp_out):
+    _write(spark, tmp_out + "/a.parquet", range(4), mass=150.0)
+    out = tmp_out + "/curated"
+    counts = run_curation(spark, {"a=1/x": [tmp_out + "/a.parquet"]}, out)
+    assert [tuple(r) for r in counts.collect()] == [("a=1/x", 0)]
+    back = spark.read.parquet(out)
+    assert back.count() == 0 and "tag" in back.columns and "file_block" not in back.columns
+
+
+def test_files_listed_twice_and_many_ordinals(spark, tmp_out):
+    _write(spark, tmp_out + "/a.parquet", range(3))
+    _write(spark, tmp_out + "/b.parquet", range(2))
+    a, b = tmp_out + "/a.parquet", tmp_out + "/b.parquet"
+    rows = read_event_files(spark, [a, b, a], columns=None).groupBy("file_ord").count().collect()
+    assert {r.file_ord: r["count"] for r in rows} == {0: 3, 1: 2, 2: 3}
+    keys = spark.createDataFrame([(0, 65536, 7), (1, 0, 7), (0, 2**24 - 1, 2**36 - 1)], "y int, file_ord int, row_index long")
+    ids = [r[0] for r in keys.select(F.col("y").cast("long") * F.lit(1 << 60) + file_order_key()).collect()]
+    assert len(set(ids)) == 3
+    with pytest.raises(Exception, match="too large"):
+        spark.createDataFrame([(2**24, 0)], "file_ord int, row_index long").select(file_order_key()).collect()
+
+
 def test_entry_contract(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert len(rows) == 16 and df.columns == ["feature", "mean", "std"]
     qs, sql = E.queries(), E.oracle_sql()
-    assert set(sql) <= set(qs) and set(qs) - set(sql) == {"train_lr", "mass_leakage_probe"}
+    assert set(sql) <= set(qs) and set(QUERIES) - set(sql) == {"train_lr", "mass_leakage_probe"}
 
 
 @pytest.mark.parametrize("name", ["masked_scaler", "fold_split_counts", "auc_ovr", "early_stopping", "pair_valid_keys"])
