@@ -3,7 +3,7 @@
 Exact quantiles come from :func:`ordering.exact_quantiles` (distinct values pre-aggregated, ranks by a
 two-level prefix sum, only the needed ranks looked up). Edges are a bounded list (sum of K+1 over the
 candidates) collected once and used as literal arrays; histograms for all candidates are one
-aggregate over pre-aggregated distinct masses.
+aggregate keyed by bin, whose partial counts are all that moves.
 
 Bin conventions (kept distinct on purpose):
 - counting (A7): ``[e_i, e_i+1)``, last bin closed, i.e. ``#(edges <= m) - 1`` clamped to K-1;
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ __all__ = [
     "collect_edges",
     "edge_histogram",
     "choose_k",
+    "fit_mass_bins",
     "assign_mass_bins",
     "count_bin",
     "label_bin",
@@ -96,9 +98,8 @@ def edge_histogram(masses: DataFrame, edges: dict[int, list[float]], col: str =
                    window=LOAD_WINDOW) -> DataFrame:
     """A7 for every candidate at once: ``K, b, n`` with empty bins kept as 0."""
     m = window_closed(masses.select(F.col(col).cast("double").alias("m")), "m", window)
-    vc = m.groupBy("m").agg(F.count(F.lit(1)).alias("c"))  # distinct masses first
     per_k = F.array(*[F.struct(F.lit(k).alias("K"), count_bin(F.col("m"), e).alias("b")) for k, e in edges.items()])
-    h = vc.select("c", F.inline(per_k)).groupBy("K", "b").agg(F.sum("c").alias("n"))
+    h = m.select(F.inline(per_k)).groupBy("K", "b").agg(F.count(F.lit(1)).alias("n"))  # partial counts: K x b rows a task
     grid = F.array(*[F.struct(F.lit(k).alias("K"), F.lit(b).alias("b")) for k, e in edges.items()
                      for b in range(len(e) - 1)])
     g = masses.sparkSession.range(1).select(F.inline(grid))
@@ -114,6 +115,14 @@ def choose_k(hist: DataFrame, candidate_k: Sequence[int] = CANDIDATE_K, min_bin_
     return int(best) if best is not None else _ks(candidate_k)[0]
 
 
+def fit_mass_bins(masses: DataFrame, col: str = "mass", window=LOAD_WINDOW, candidate_k: Sequence[int] = CANDIDATE_K,
+                  min_bin_count=MIN_BIN_COUNT) -> tuple[int, list[float]]:
+    """The whole fit: edges for every candidate, counts, the chosen K and its float32 edges."""
+    edges = collect_edges(equal_freq_edges(masses, col, window, candidate_k))
+    k = choose_k(edge_histogram(masses, edges, col, window), candidate_k, min_bin_count)
+    return k, [float(np.float32(e)) for e in edges[k]]
+
+
 def assign_mass_bins(df: DataFrame, edges: list[float], col: str = "dimuon_mass", out: str = "mass_bin") -> DataFrame:
     """Bin labels for training rows from the chosen float32 edges."""
     return df.withColumn(out, label_bin(F.col(col), edges))

@@ -31,12 +31,9 @@ def fixture_logits() -> F.Column:
     return F.array(F.col("MET_pt") / 200, F.col("mu1_pt") / 20, F.col("njets_nominal") / 3)
 
 
-def score_from_logits(df: DataFrame, z_col: str = "z", digits: int | None = 2, n_classes: int = 3) -> DataFrame:
-    """M2: ``p = softmax(z)``, optionally rounded (the fixture rounds to 2 decimals to create ties)."""
-    p = softmax(F.col(z_col), n_classes)
-    if digits is not None:
-        p = F.array(*[F.round(p[i], digits) for i in range(n_classes)])
-    return df.withColumn("p", p)
+def score_from_logits(df: DataFrame, z_col: str = "z", n_classes: int = 3) -> DataFrame:
+    """M2: ``p = softmax(z)``."""
+    return df.withColumn("p", softmax(F.col(z_col), n_classes))
 
 
 def with_split_gid(df: DataFrame, split: str, spec=None, n_folds: int = N_FOLDS) -> DataFrame:

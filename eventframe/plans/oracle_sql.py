@@ -302,11 +302,11 @@ _D = "CAST({} AS DOUBLE)"
 
 
 def _scored_ctes(prefix: str, source: str, z1: str = "z1r") -> str:
-    """CTE bodies producing p0..p2 (rounded to 2), ce and pred from logits z0, z1, z2."""
+    """CTE bodies producing p0..p2, ce and pred from logits z0, z1, z2."""
     return f"""{prefix}_m AS (SELECT *, greatest(z0, {z1}, z2) AS mx FROM {source}),
 {prefix}_e AS (SELECT *, exp(z0 - mx) AS e0, exp({z1} - mx) AS e1, exp(z2 - mx) AS e2 FROM {prefix}_m),
-{prefix}_p AS (SELECT *, round(e0 / (e0 + e1 + e2), 2) AS p0, round(e1 / (e0 + e1 + e2), 2) AS p1,
-    round(e2 / (e0 + e1 + e2), 2) AS p2,
+{prefix}_p AS (SELECT *, e0 / (e0 + e1 + e2) AS p0, e1 / (e0 + e1 + e2) AS p1,
+    e2 / (e0 + e1 + e2) AS p2,
     mx + ln(e0 + e1 + e2) - CASE y WHEN 0 THEN z0 WHEN 1 THEN {z1} ELSE z2 END AS ce FROM {prefix}_e),
 {prefix} AS (SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS pred FROM {prefix}_p)"""
 
@@ -332,7 +332,7 @@ cu AS (SELECT *, coalesce(sum(N) OVER ({part} ORDER BY s ROWS BETWEEN UNBOUNDED
 tot AS (SELECT {g}c, sum(P) AS Pt, sum(N) AS Nt, sum(P * (N_below + N / 2)) AS num FROM cu GROUP BY {g}c)"""
 
 
-ORACLE["softmax_argmax"] = with_ctes("scored") + "SELECT event_id, p0, p1, p2, pred FROM scored"
+ORACLE["softmax_argmax"] = with_ctes("scored") + "SELECT event_id, round(p0, 6) AS p0, round(p1, 6) AS p1, round(p2, 6) AS p2, pred FROM scored"
 ORACLE["cross_entropy"] = with_ctes("scored") + "SELECT event_id, y, round(ce, 6) AS ce FROM scored"
 _BATCH = """
 , v AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY idx) - 1 AS pos FROM {src}),
@@ -341,6 +341,10 @@ off AS (SELECT y, coalesce(sum(n) OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECED
 g AS (SELECT v.*, off.off + v.pos AS gid FROM v JOIN off ON v.y = off.y)"""
 ORACLE["batch_mean_loss"] = with_ctes("sc_all") + _BATCH.format(src="sc_all WHERE split = 'val'") + """
 , b AS (SELECT floor(gid / 2048) AS batch, avg(ce) AS bm, sum(ce) AS bs, count(*) AS bn FROM g GROUP BY 1)
+SELECT round(avg(bm), 6) AS loss_mean_of_batches, round(sum(bs) / sum(bn), 6) AS loss_row_weighted,
+       count(*) AS n_batches, CAST(sum(bn) AS BIGINT) AS n FROM b"""
+ORACLE["batch_mean_small"] = with_ctes("sc_all") + _BATCH.format(src="sc_all WHERE split = 'val'") + """
+, b AS (SELECT floor(gid / 100) AS batch, avg(ce) AS bm, sum(ce) AS bs, count(*) AS bn FROM g GROUP BY 1)
 SELECT round(avg(bm), 6) AS loss_mean_of_batches, round(sum(bs) / sum(bn), 6) AS loss_row_weighted,
        count(*) AS n_batches, CAST(sum(bn) AS BIGINT) AS n FROM b"""
 ORACLE["mass_bin_cross_entropy"] = with_ctes("sc_all", "mbin", "chosen") + """
@@ -365,6 +369,11 @@ ORACLE["auc_ovr"] = with_ctes("scored") + ", " + _auc_sql("scored") + """
 SELECT CAST(c AS INTEGER) AS class, round(CASE WHEN Pt > 0 AND Nt > 0 THEN num / (Pt * Nt) END, 6) AS auc FROM tot"""
 ORACLE["auc_degenerate"] = with_ctes("scored") + ", sc1 AS (SELECT * FROM scored WHERE y <> 1), " + _auc_sql("sc1") + """
 SELECT CAST(c AS INTEGER) AS class, round(CASE WHEN Pt > 0 AND Nt > 0 THEN num / (Pt * Nt) END, 6) AS auc FROM tot"""
+ORACLE["auc_ties"] = with_ctes("scored") + """, ex AS (
+""" + "\nUNION ALL\n".join(f"SELECT {c} AS c, round(p{c}, 2) AS s, y = {c} AS pos FROM scored" for c in range(3)) + """),
+pairs AS (SELECT a.c, avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END::DOUBLE) AS auc
+          FROM ex a JOIN ex b ON a.c = b.c AND a.pos AND NOT b.pos GROUP BY a.c)
+SELECT CAST(c AS INTEGER) AS class, round(auc, 6) AS auc FROM pairs"""
 ORACLE["roc_points"] = with_ctes("scored") + ", " + _auc_sql("scored") + """
 SELECT CAST(cu.c AS INTEGER) AS class, round(cu.s, 6) AS threshold, round((t.Nt - cu.N_below) / t.Nt, 6) AS fpr,
        round((t.Pt - cu.P_below) / t.Pt, 6) AS tpr
@@ -438,7 +447,7 @@ SELECT lo.epoch, round(lo.loss, 6) AS loss, round(acc.accuracy, 6) AS accuracy,
 FROM lo JOIN acc ON lo.epoch = acc.epoch JOIN au ON lo.epoch = au.epoch"""
 
 # ---------------------------------------------------------------- run history
-_HIST = ("hist AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS epoch, "
+_HIST = ("hist AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS epoch, "
          "value AS loss, event_type FROM events)")
 ORACLE["early_stopping"] = "WITH RECURSIVE " + _HIST + """,
 st(run, epoch, best, best_epoch, bad, stop) AS (
@@ -455,6 +464,10 @@ n AS (SELECT run, count(*) AS n_epochs FROM hist GROUP BY run)
 SELECT st.run, n.n_epochs, st.best_epoch, round(st.best, 6) AS best_loss, st.stop AS stop_epoch,
        CAST(st.epoch + 1 AS BIGINT) AS epochs_run
 FROM st JOIN fin ON st.run = fin.run AND st.epoch = fin.last JOIN n ON st.run = n.run"""
+ORACLE["early_stopping_nan"] = ORACLE["early_stopping"].replace(
+    "value AS loss", "CASE WHEN event_type = 'error' THEN CAST('nan' AS DOUBLE) ELSE value END AS loss").replace(
+    "h.loss < st.best - CAST(1e-4 AS DOUBLE)", "(h.loss < st.best - CAST(1e-4 AS DOUBLE) AND NOT isnan(st.best))").replace(
+    "round(st.best, 6) AS best_loss", "CASE WHEN NOT isnan(st.best) THEN round(st.best, 6) END AS best_loss")
 ORACLE["best_epoch"] = "WITH " + _HIST + """,
 pm AS (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm
        FROM hist)
@@ -492,14 +505,20 @@ ORACLE["empty_sink"] = with_ctes("v_event") + (
 ORACLE["metrics_sink"] = ORACLE["eval_report"]
 
 # ---------------------------------------------------------------- scoring
-ORACLE["batch_score"] = """WITH z AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS z0, CAST(embedding[2] AS DOUBLE) AS z1,
-    CAST(embedding[3] AS DOUBLE) AS z2 FROM embeddings),
+ORACLE["batch_score"] = "WITH z AS (SELECT vec_id, " + ", ".join(
+    f"list_sum(list_transform(range({c}, 64, 3), lambda i: CAST(embedding[i + 1] AS DOUBLE))) AS z{c}" for c in range(3)) + """ FROM embeddings),
 e AS (SELECT vec_id, exp(z0 - greatest(z0, z1, z2)) AS e0, exp(z1 - greatest(z0, z1, z2)) AS e1,
     exp(z2 - greatest(z0, z1, z2)) AS e2 FROM z)
 SELECT vec_id, round(e0 / (e0 + e1 + e2), 6) AS p0, round(e1 / (e0 + e1 + e2), 6) AS p1, round(e2 / (e0 + e1 + e2), 6) AS p2
 FROM e"""
 
 ORACLE["curation_job"] = with_ctes("v_event") + """
-SELECT event_id, y, CASE y WHEN 0 THEN 'ggH' WHEN 1 THEN 'VBF' ELSE 'DY' END AS source, round(dimuon_mass, 6) AS dimuon_mass
+SELECT event_id, y, CASE y WHEN 0 THEN 'ggH' WHEN 1 THEN 'VBF' ELSE 'DY' END AS source, round(dimuon_mass, 6) AS dimuon_mass,
+       row_number() OVER (PARTITION BY y ORDER BY event_id) - 1 AS pos
 FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(concat_ws(':', 42, event_id)), event_id) AS rn
       FROM v_event WHERE dimuon_mass >= 115 AND dimuon_mass < 135) s WHERE rn <= 1000"""
+ORACLE["file_rows"] = """WITH r AS (SELECT l_quantity, row_number() OVER () - 1 AS row_index FROM lineitem),
+f AS (SELECT 0 AS y, 0 AS file_ord, * FROM r UNION ALL SELECT 0, 1, * FROM r UNION ALL SELECT 1, 0, * FROM r),
+i AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY file_ord, row_index) - 1 AS idx FROM f
+      WHERE l_quantity >= 10 AND l_quantity < 40)
+SELECT CAST(y AS INTEGER) AS y, CAST(file_ord AS INTEGER) AS file_ord, row_index, idx, CAST(idx % 4 AS INTEGER) AS fold FROM i"""

@@ -10,13 +10,12 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventframe.constants import CANDIDATE_K, EVENT_COLUMNS, LABEL_NAMES, MAX_JETS, MIN_BIN_COUNT, X_DIM
 from eventframe.functions.scalar import hash_int, is_finite
-from eventframe.operators.binning import assign_mass_bins, collect_edges
-from eventframe.operators.binning import choose_k as choose_k_op
+from eventframe.operators.binning import assign_mass_bins, collect_edges, fit_mass_bins
 from eventframe.operators.binning import edge_histogram as edge_histogram_op
 from eventframe.operators.binning import equal_freq_edges as equal_freq_edges_op
 from eventframe.operators.filters import gather, window_closed_f32, window_half_open
@@ -26,7 +25,7 @@ from eventframe.operators.sampling import balanced_steps as balanced_steps_op
 from eventframe.operators.sampling import class_pool_sizes
 from eventframe.operators.sampling import sample_exact_n as sample_exact_n_op
 from eventframe.operators.scaling import apply_scaler, fit_masked_scaler, scaled_array, scaler_params
-from eventframe.operators.splits import assign_folds, class_counts, global_ids, row_index
+from eventframe.operators.splits import assign_folds, class_counts, file_row_index, global_ids, row_index
 from eventframe.operators.tokens import build_tokens, normalise_events
 from eventframe.operators.losses import batch_mean, cross_entropy
 from eventframe.operators.metrics import (
@@ -75,7 +74,7 @@ from eventframe.sources.artifacts import (
 )
 from eventframe.plans.prepare import events_from_tables, split_events, split_tokens
 from eventframe.sources.event_view import event_view
-from eventframe.sources.parquet import label_and_union
+from eventframe.sources.parquet import label_and_union, read_labelled_sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -300,18 +299,8 @@ def edge_histogram(spark, sf_dir):
 
 def _chosen(spark, sf_dir, candidates, min_count=None):
     m = _train_masses(spark, sf_dir)
-    edges = collect_edges(equal_freq_edges_op(m, candidate_k=candidates))
-    hist = edge_histogram_op(m, edges)
-    if min_count is None:
-        min_count = MIN_BIN_COUNT
-    k = choose_k_op(hist, candidates, min_count)
-    return m, k, [float(_f32(e)) for e in edges[k]]
-
-
-def _f32(x: float) -> float:
-    import numpy as np
-
-    return float(np.float32(x))
+    k, edges = fit_mass_bins(m, candidate_k=candidates, min_bin_count=MIN_BIN_COUNT if min_count is None else min_count)
+    return m, k, edges
 
 
 def _edges_df(spark, k, edges):
@@ -394,10 +383,17 @@ def batch_mean_loss(spark, sf_dir):
     return rounded(batch_mean(s, "ce", "gid"))
 
 
+@query
+def batch_mean_small(spark, sf_dir):
+    """Many batches, the last one short."""
+    s = with_split_gid(_scored(spark, sf_dir, "val"), "val").withColumn("ce", cross_entropy("z", "y", 3))
+    return rounded(batch_mean(s, "ce", "gid", batch=100))
+
+
 @query
 def mass_bin_cross_entropy(spark, sf_dir):
-    m, k, edges = _chosen(spark, sf_dir, CANDIDATE_K)
-    tr = _scored(spark, sf_dir, "train").join(m.select("event_id"), "event_id")
+    _, k, edges = _chosen(spark, sf_dir, CANDIDATE_K)
+    tr = _scored(spark, sf_dir, "train")  # every train row is in the mass window already
     tr = assign_mass_bins(tr.withColumn("dimuon_mass", F.col("mass")), edges)
     adv = F.array(*[F.sin(F.lit(float(i + 1)) * F.col("MET_phi")) for i in range(k)])
     tr = tr.select(cross_entropy("z", "y", 3).alias("ce_cls"), cross_entropy(adv, "mass_bin", k).alias("ce_adv"))
@@ -427,6 +423,13 @@ def auc_degenerate(spark, sf_dir):
     return rounded(auc_ovr(_scored(spark, sf_dir).where(F.col("y") != 1)))
 
 
+@query
+def auc_ties(spark, sf_dir):
+    """Scores of two digits, hence many ties."""
+    s = _scored(spark, sf_dir)
+    return rounded(auc_ovr(s.withColumn("p", F.transform("p", lambda x: F.round(x, 2)))))
+
+
 @query
 def roc_points_q(spark, sf_dir):
     return rounded(roc_points(_scored(spark, sf_dir)))
@@ -497,6 +500,15 @@ def early_stopping_q(spark, sf_dir):
     return rounded(early_stopping(_history(spark, sf_dir)))
 
 
+@query
+def early_stopping_nan(spark, sf_dir):
+    """Error events stand for steps whose loss is NaN."""
+    h = _history(spark, sf_dir)
+    loss = F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("loss"))
+    out = early_stopping(h.withColumn("loss", loss))
+    return rounded(out.withColumn("best_loss", F.nanvl("best_loss", F.lit(None).cast("double"))))
+
+
 @query
 def best_epoch_q(spark, sf_dir):
     return rounded(best_epoch(_history(spark, sf_dir)))
@@ -628,4 +640,16 @@ def curation_job(spark, sf_dir):
     cur = curate(ev.select("event_id", "y", "source", "dimuon_mass", "_ord"), n_keep=1000, seed=SEED)
     path = scratch_dir(spark, "curated")
     write_curated(spark, cur, LABEL_NAMES, path)
-    return rounded(spark.read.parquet(path).select("event_id", "y", "source", "dimuon_mass"))
+    back = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("r"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy("f", "r")) - 1  # at most 1000 rows a source
+    return rounded(back.select("event_id", "y", "source", "dimuon_mass", place.cast("long").alias("pos")))
+
+
+# ---------------------------------------------------------------- file scan (S1, S3, S4, R1, R2 over files)
+@query
+def file_rows(spark, sf_dir):
+    """Files in list order, one of them twice: scan -> window -> position per class -> fold."""
+    p = f"{sf_dir}/lineitem.parquet"
+    ev = read_labelled_sources(spark, {"ggH": [p, p], "VBF": [p]}, columns=["l_orderkey", "l_linenumber", "l_quantity"])
+    ev = window_half_open(ev, "l_quantity", (10.0, 40.0))
+    return assign_folds(file_row_index(ev)).select("y", "file_ord", "row_index", "idx", "fold")
