@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventframe.constants import EPS, N_TOKENS, TYPE_JET
+from eventframe.operators.tokens import token_kinematics
 
-__all__ = ["with_cartesian", "pairs_long", "PAIR_FEATURES"]
+__all__ = ["with_cartesian", "with_event_cartesian", "pairs_long", "PAIR_FEATURES"]
 
 PAIR_FEATURES = ["deta", "sin_dphi", "cos_dphi", "log_dr", "log_pt_ratio", "log_mjj"]  # J10 order
 
@@ -40,6 +41,14 @@ def with_cartesian(df: DataFrame, tokens_col: str = "tokens", out: str = "p4", n
     return df.withColumn(out, F.array(*[_cart(t[k]) for k in range(n_tokens)]))
 
 
+def with_event_cartesian(df: DataFrame, out: str = "p4") -> DataFrame:
+    """Per-token kinematics straight from the wide event columns: pairs need none of the 16 features, and
+    without them the generated code of the stage stays small. The components of a token are one lambda over
+    the 7 tokens: unrolled, they outgrow the largest method that Java compiles."""
+    tokens = F.array(*[F.struct(*[c.alias(n) for n, c in t.items()]) for t in token_kinematics()])
+    return df.withColumn(out, F.transform(tokens, _cart))
+
+
 def _features(a: Column, b: Column) -> list[Column]:
     deta = a["eta"] - b["eta"]  # J2
     dphi = F.pmod(a["phi"] - b["phi"] + F.lit(math.pi), F.lit(2.0 * math.pi)) - F.lit(math.pi)  # J3
@@ -60,9 +69,10 @@ def _features(a: Column, b: Column) -> list[Column]:
 
 def pairs_long(df: DataFrame, keep=("event_id",), tokens_col: str = "tokens", valid_keys_only: bool = False) -> DataFrame:
     """J1-J10 in long form ``keep..., i, j, valid_i, valid_j, <6 features>, mij`` (i major, j minor);
-    J11 with ``valid_keys_only`` keeps only pairs whose key token is valid."""
+    J11 with ``valid_keys_only`` keeps only pairs whose key token is valid. A frame that has ``p4`` (see
+    :func:`with_event_cartesian`) needs no tokens."""
     keep = list(keep)
-    t = with_cartesian(df, tokens_col).select(*keep, "p4")
+    t = (df if "p4" in df.columns else with_cartesian(df, tokens_col)).select(*keep, "p4")
     q = t.select(*keep, "p4", F.posexplode("p4").alias("i", "a"))
     p = q.select(*keep, "i", "a", F.posexplode("p4").alias("j", "b"))
     if valid_keys_only:

@@ -138,6 +138,23 @@ def token_array() -> Column:
     return F.array(*toks)
 
 
+def token_kinematics() -> list[dict[str, Column]]:
+    """``type, valid, pt, eta, phi, mass`` of the 7 tokens over the wide columns, without the features:
+    one condition per field, so that a consumer of some fields carries no others along."""
+    zero = {f: _zero() for f in ("pt", "eta", "phi", "mass")}
+    out = [{"type": F.lit(TOKEN_TYPES[0]), "valid": F.lit(1), **zero}]
+    for m in (1, 2):
+        own = {f: _v(f"mu{m}_{f}").cast("double") for f in zero}
+        out.append({"type": F.lit(TOKEN_TYPES[m]), "valid": F.lit(1), **own})
+    nj = _njets().cast("int")
+    for j in range(1, MAX_JETS + 1):
+        own = {f: _v(f"jet{j}_{f}_nominal").cast("double") for f in zero}
+        ok = (nj >= j) & is_finite(*own.values())
+        out.append({"type": F.lit(TOKEN_TYPES[2 + j]), "valid": F.when(ok, F.lit(1)).otherwise(F.lit(0)),
+                    **{f: F.when(ok, c).otherwise(_zero()) for f, c in own.items()}})
+    return out
+
+
 def tokens_long(df: DataFrame, keep=("event_id",)) -> DataFrame:
     """T1 long form: one row per (event, token) carrying ``keep`` columns."""
     return df.select(*keep, F.inline("tokens"))

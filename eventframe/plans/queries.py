@@ -19,7 +19,7 @@ from eventframe.operators.binning import assign_mass_bins, collect_edges, fit_ma
 from eventframe.operators.binning import edge_histogram as edge_histogram_op
 from eventframe.operators.binning import equal_freq_edges as equal_freq_edges_op
 from eventframe.operators.filters import gather, window_closed_f32, window_half_open
-from eventframe.operators.pairs import PAIR_FEATURES, pairs_long
+from eventframe.operators.pairs import PAIR_FEATURES, pairs_long, with_event_cartesian
 from eventframe.operators.sampling import balanced_sample as balanced_sample_op
 from eventframe.operators.sampling import balanced_steps as balanced_steps_op
 from eventframe.operators.sampling import class_pool_sizes
@@ -330,7 +330,7 @@ def mass_bin_assign(spark, sf_dir):
 
 # ---------------------------------------------------------------- pair features
 def _pairs(spark, sf_dir, valid_keys_only=False) -> DataFrame:
-    ev = build_tokens(_split(spark, sf_dir))
+    ev = with_event_cartesian(_split(spark, sf_dir))
     return pairs_long(ev, keep=("event_id",), valid_keys_only=valid_keys_only)
 
 
