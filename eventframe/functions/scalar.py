@@ -21,7 +21,6 @@ __all__ = [
     "wrap_dphi",
     "softmax",
     "argmax",
-    "linspace",
     "hash_key",
     "hash_int",
     "nan_if_null",
@@ -90,12 +89,6 @@ def argmax(p) -> Column:
     return (F.array_position(p, F.array_max(p)) - F.lit(1)).cast("int")
 
 
-def linspace(k) -> Column:
-    """``[i / K for i in 0..K]`` as an array column."""
-    k = col_(k) if not isinstance(k, int) else F.lit(k)
-    return F.transform(F.sequence(F.lit(0), k), lambda i: i.cast("double") / k.cast("double"))
-
-
 def hash_key(*parts) -> Column:
     """Deterministic 32-hex-digit key ``md5(p1:p2:...)``; identical in any engine with md5."""
     return F.md5(F.concat_ws(":", *[col_(p).cast("string") for p in parts]))

@@ -51,7 +51,7 @@ def equal_freq_edges(masses: DataFrame, col: str = "mass", window=LOAD_WINDOW,
     probs = sorted({b / k for k, b in grid})
     q = exact_quantiles(m, "m", probs)
     q = q.withColumn(
-        "value", F.coalesce("value", F.raise_error(F.lit("No masses in the requested window for binning.")))
+        "value", F.coalesce("value", F.raise_error(F.lit("no value inside the binning window")))
     )
     g = F.array(*[F.struct(F.lit(k).alias("K"), F.lit(b).alias("b"), F.lit(b / k).alias("q")) for k, b in grid])
     gdf = masses.sparkSession.range(1).select(F.inline(g))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from eventframe.constants import LOAD_WINDOW, SELECT_WINDOW
 
-__all__ = ["window_half_open", "window_closed_f32", "window_closed", "require_rows", "in_folds", "gather"]
+__all__ = ["window_half_open", "window_closed_f32", "window_closed", "gather"]
 
 
 def window_half_open(df: DataFrame, col: str = "dimuon_mass", window=SELECT_WINDOW) -> DataFrame:
@@ -42,17 +42,6 @@ def window_closed(df: DataFrame, col: str, window) -> DataFrame:
     return df.where((F.col(col) >= F.lit(lo)) & (F.col(col) <= F.lit(hi)))
 
 
-def require_rows(df: DataFrame, message: str) -> DataFrame:
-    """Empty check as part of the plan: the first output row of a count raises when it is 0."""
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    return n.select(F.when(F.col("_n") > 0, F.col("_n")).otherwise(F.raise_error(F.lit(message))).alias("_n"))
-
-
-def in_folds(df: DataFrame, folds, col: str = "fold") -> DataFrame:
-    """P5: membership filter."""
-    return df.where(F.col(col).isin(list(folds)))
-
-
 def gather(df: DataFrame, positions: DataFrame, keys=("y", "idx")) -> DataFrame:
     """P10: positional gather. Inner equi-join on the computed row index, so repeated positions give
     repeated rows, like ``take(indices)``. Both sides are shuffled on the keys (or the positions side is

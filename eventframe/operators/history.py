@@ -159,9 +159,10 @@ def drop_heavy(df: DataFrame, heavy: Sequence[str] = ("y_true", "proba", "masses
     return df.drop(*[c for c in heavy if c in df.columns])
 
 
-def epoch_means(steps: DataFrame, group_by: Sequence[str], loss_col: str = "loss", ok: Column | None = None) -> DataFrame:
-    """Mean step loss and step count per (run, epoch); loss is null (the original's NaN) when an
-    epoch has no step. ``ok`` marks rows that count as steps."""
+def epoch_means(steps: DataFrame, group_by: Sequence[str], losses: Sequence[str] = ("loss",), ok: Column | None = None) -> DataFrame:
+    """Mean of each step loss (total, class and adversary, as far as recorded) and the step count per
+    (run, epoch); a mean is null (the original's NaN) when an epoch has no step. ``ok`` marks rows that
+    count as steps."""
     ok = ok if ok is not None else F.lit(True)
     return steps.groupBy(*group_by).agg(
-        F.avg(F.when(ok, F.col(loss_col))).alias("loss"), F.count(F.when(ok, 1)).alias("steps"))
+        *[F.avg(F.when(ok, F.col(c))).alias(c) for c in losses], F.count(F.when(ok, 1)).alias("steps"))

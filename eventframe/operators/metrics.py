@@ -33,7 +33,6 @@ __all__ = [
     "score_bin_edges",
     "score_bins",
     "score_bin_mass_hist",
-    "column_stats",
 ]
 
 
@@ -158,11 +157,6 @@ def pearson_guarded(df: DataFrame, s_col: str = "s", m_col: str = "mass", guard:
     return a.select(n.alias("n"), "std_s", "std_m", "min_s", "max_s", r.alias("r"))
 
 
-def column_stats(df: DataFrame, c: str) -> DataFrame:
-    """Population std, min and max of one column."""
-    return df.agg(F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
-
-
 def score_bin_edges(df: DataFrame, s_col: str = "s", n_bins: int = N_SCORE_BINS) -> list[float]:
     """A17 edges: exact quantiles at ``linspace(0, 1, n_bins + 1)`` with the ends set to min and max
     (a bounded list of ``n_bins + 1`` literals)."""

@@ -47,7 +47,7 @@ def class_pool_sizes(pool: DataFrame, label_col: str = "y", labels: Sequence[int
     return out.withColumn(
         "n",
         F.when(F.col("n") > 0, F.col("n")).otherwise(
-            F.raise_error(F.concat(F.lit("Empty index pool for class "), F.col(label_col).cast("string")))
+            F.raise_error(F.concat(F.lit("no rows to draw from in class "), F.col(label_col).cast("string")))
         ),
     )
 
@@ -71,7 +71,7 @@ def steps_for_batch(max_pool: int, batch_size: int) -> tuple[int, int]:
     """``k = batch // 3`` rows per class, ``steps = ceil(3 * max_pool / batch)``."""
     k = batch_size // 3
     if k < 1:
-        raise ValueError("batch_size must be >= 3 for balanced sampling.")
+        raise ValueError("a balanced batch needs at least one row of each of the three classes")
     return k, int(math.ceil(3 * max_pool / batch_size))
 
 

@@ -479,6 +479,8 @@ SELECT epoch, round(CAST(0.5 AS DOUBLE) * least(CAST(1 AS DOUBLE), CAST(epoch +
 _STEPS = "steps_ AS (SELECT run, CAST(floor(epoch / 4) AS BIGINT) AS epoch, loss, event_type FROM hist)"
 ORACLE["epoch_means"] = "WITH " + _HIST + ", " + _STEPS + """
 SELECT run, epoch, round(avg(CASE WHEN event_type <> 'error' THEN loss END), 6) AS loss,
+       round(avg(CASE WHEN event_type <> 'error' THEN loss * CAST(0.75 AS DOUBLE) END), 6) AS loss_cls,
+       round(avg(CASE WHEN event_type <> 'error' THEN loss * CAST(0.25 AS DOUBLE) END), 6) AS loss_adv,
        count(*) FILTER (WHERE event_type <> 'error') AS steps FROM steps_ GROUP BY run, epoch"""
 ORACLE["stop_truncation"] = ORACLE["early_stopping"].replace(
     """SELECT st.run, n.n_epochs, st.best_epoch, round(st.best, 6) AS best_loss, st.stop AS stop_epoch,
@@ -489,11 +491,14 @@ SELECT h.run, count(*) AS n_kept, max(h.epoch) AS last_epoch FROM hist h JOIN st
 WHERE s.stop IS NULL OR h.epoch <= s.stop GROUP BY h.run""")
 ORACLE["history_table"] = "WITH " + _HIST + ", " + _STEPS + """
 SELECT CAST(run AS VARCHAR) AS run_id, 'train' AS part, epoch, round(avg(CASE WHEN event_type <> 'error' THEN loss END), 6) AS loss,
+       round(avg(CASE WHEN event_type <> 'error' THEN loss * CAST(0.75 AS DOUBLE) END), 6) AS loss_cls,
+       round(avg(CASE WHEN event_type <> 'error' THEN loss * CAST(0.25 AS DOUBLE) END), 6) AS loss_adv,
        count(*) FILTER (WHERE event_type <> 'error') AS steps,
        round(CAST(0.5 AS DOUBLE) * least(CAST(1 AS DOUBLE), CAST(epoch + 1 AS DOUBLE) / CAST(5 AS DOUBLE)), 6) AS lambda_grl
 FROM steps_ GROUP BY run, epoch
 UNION ALL
-SELECT CAST(run AS VARCHAR), 'val', epoch, round(max(loss), 6), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE)
+SELECT CAST(run AS VARCHAR), 'val', epoch, round(max(loss), 6), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE),
+       CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE)
 FROM steps_ GROUP BY run, epoch"""
 
 # ---------------------------------------------------------------- artefacts

@@ -50,6 +50,7 @@ from eventframe.plans.evaluate import (
 )
 from eventframe.operators.history import (
     best_epoch,
+    drop_heavy,
     early_stopping,
     epoch_means,
     history_from_events,
@@ -168,7 +169,7 @@ def token_mask_counts(spark, sf_dir):
 
 @query
 def jet_validity(spark, sf_dir):
-    ev = window_closed_f32(events_from_tables(spark, sf_dir))
+    ev = build_tokens(window_closed_f32(events_from_tables(spark, sf_dir)))
     nj = F.col("njets_nominal").cast("int")
     aggs = []
     for j in range(1, MAX_JETS + 1):
@@ -177,8 +178,8 @@ def jet_validity(spark, sf_dir):
         aggs += [
             F.count(F.when(gate, 1)).alias(f"g{j}"),
             F.count(F.when(fin, 1)).alias(f"f{j}"),
-            F.count(F.when(gate & fin, 1)).alias(f"v{j}"),
-            F.count(F.when(gate & fin & is_finite(p[4]), 1)).alias(f"q{j}"),
+            F.count(F.when(F.col("tokens")[2 + j]["valid"] == 1, 1)).alias(f"v{j}"),
+            F.count(F.when((F.col("tokens")[2 + j]["valid"] == 1) & is_finite(p[4]), 1)).alias(f"q{j}"),
         ]
     row = ev.agg(*aggs)
     arr = F.array(*[
@@ -522,12 +523,17 @@ def lambda_schedule_q(spark, sf_dir):
 
 def _step_epochs(spark, sf_dir) -> DataFrame:
     h = _history(spark, sf_dir)
-    return h.withColumn("epoch", F.floor(F.col("epoch") / 4).cast("long"))
+    h = h.withColumn("epoch", F.floor(F.col("epoch") / 4).cast("long"))
+    # the fixture has one number per step; the adversary's loss stands for a quarter of it
+    return h.withColumns({"loss_cls": F.col("loss") * 0.75, "loss_adv": F.col("loss") * 0.25})
+
+
+LOSSES = ("loss", "loss_cls", "loss_adv")
 
 
 @query
 def epoch_means_q(spark, sf_dir):
-    m = epoch_means(_step_epochs(spark, sf_dir), ["run", "epoch"], ok=F.col("event_type") != "error")
+    m = epoch_means(_step_epochs(spark, sf_dir), ["run", "epoch"], LOSSES, ok=F.col("event_type") != "error")
     return rounded(m)
 
 
@@ -540,11 +546,12 @@ def stop_truncation(spark, sf_dir):
 
 def _history_records(spark, sf_dir) -> DataFrame:
     st = _step_epochs(spark, sf_dir)
-    tr = epoch_means(st, ["run", "epoch"], ok=F.col("event_type") != "error").select(
-        F.col("run").cast("string").alias("run_id"), F.lit("train").alias("part"), "epoch", "loss", "steps",
+    tr = epoch_means(st, ["run", "epoch"], LOSSES, ok=F.col("event_type") != "error").select(
+        F.col("run").cast("string").alias("run_id"), F.lit("train").alias("part"), "epoch", *LOSSES, "steps",
         lambda_schedule("epoch").alias("lambda_grl"))
-    va = st.groupBy("run", "epoch").agg(F.max("loss").alias("loss")).select(
-        F.col("run").cast("string").alias("run_id"), F.lit("val").alias("part"), "epoch", "loss")
+    # a validation summary carries raw labels, which the history leaves out
+    va = st.groupBy("run", "epoch").agg(F.max("loss").alias("loss"), F.collect_set("event_type").alias("y_true"))
+    va = drop_heavy(va).select(F.col("run").cast("string").alias("run_id"), F.lit("val").alias("part"), "epoch", "loss")
     return tr.unionByName(va, allowMissingColumns=True)
 
 
@@ -553,7 +560,7 @@ def history_table(spark, sf_dir):
     path = scratch_dir(spark, "history")
     write_history(_history_records(spark, sf_dir), path, mode="overwrite")
     back = read_history(spark, path)
-    return rounded(back.select("run_id", "part", "epoch", "loss", "steps", "lambda_grl"))
+    return rounded(back.select("run_id", "part", "epoch", *LOSSES, "steps", "lambda_grl"))
 
 
 # ---------------------------------------------------------------- artefact round trips

@@ -66,5 +66,5 @@ def test_constant_masses(spark):
 
 def test_empty_window_raises(spark):
     df = spark.createDataFrame([(100.0,)], "mass double")
-    with pytest.raises(Exception, match="No masses"):
+    with pytest.raises(Exception, match="no value inside the binning window"):
         equal_freq_edges(df, candidate_k=[2]).collect()

@@ -59,7 +59,7 @@ def test_deterministic(pool):
 
 
 def test_empty_pool_raises(pool):
-    with pytest.raises(Exception, match="Empty index pool for class 1"):
+    with pytest.raises(Exception, match="no rows to draw from in class 1"):
         class_pool_sizes(pool.where("y <> 1")).collect()
 
 
