@@ -16,17 +16,21 @@ OTHER = ITEMS[0][1].replace("Anna", "Carla").replace("Bob", "Dieter").replace("1
 MIXED = ITEMS[0][1].replace("if Bob", "if Egon")  # one value in two ways
 
 
-@pytest.mark.parametrize("text, items, changed", [
+CASES = [
     (ITEMS[0][1], [0], []), ("Some words first. " + OTHER + " Some words after.", [0], [0]), (MIXED, [], []),
     (ITEMS[0][1] + "\n" + OTHER + " " + ITEMS[1][1].upper().lower(), [0, 1], []), (ITEMS[1][1].replace("7", "9").replace("120 km", "64 miles"), [1], [1]),
-    (" ".join(ITEMS[1][1].split()[:12]), [], []), ("too short", [], []), ("", [], []), (None, [], [])])
-def test_templates(spark, text, items, changed):
-    docs = frame(spark, [(5, text), (6, "clean words only here"), (None, text)]).selectExpr("*", "1 as key", "2 as hash", "3 as item_id", "4 as slots")
+    (" ".join(ITEMS[1][1].split()[:12]), [], []), ("too short", [], []), ("", [], []), (None, [], []), ("clean words only here in this text", [], [])]
+
+
+def test_templates(spark):
+    rows = [(i, t) for i, (t, _, _) in enumerate(CASES)] + [(None, CASES[0][0]), (4, CASES[4][0])]  # the last one is a repeated row
+    docs = frame(spark, rows).selectExpr("*", "1 as key", "2 as hash", "3 as item_id", "4 as slots")
     bench = spark.createDataFrame(ITEMS + ITEMS[:1], "item_id long, text string")
-    out = {r.doc_id: r for r in decontaminate.judge(docs, bench).collect()}
-    assert len(out) == 3 and not out[6].contaminated and out[6].item_ids == []
-    assert out[5].item_ids == items == out[None].item_ids and out[5].contaminated == bool(items) and out[5].changed_item_ids == changed
-    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == ({6} if items else {5, 6, None})
+    out = decontaminate.judge(docs, bench).collect()
+    got = {r.doc_id: (r.item_ids, r.changed_item_ids, r.contaminated) for r in out}
+    assert len(out) == len(rows) and got.pop(None) == ([0], [], True)
+    assert got == {i: (items, changed, bool(items)) for i, (_, items, changed) in enumerate(CASES)}
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [i for i, c in enumerate(CASES) if not c[1]]
 
 
 def test_templates_empty(spark):
