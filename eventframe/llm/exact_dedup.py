@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventframe.llm.common import broadcast_hot, cut, table
+from eventframe.llm.common import broadcast_hot, cut, free_name, table
 from eventframe.session import scratch_dir
 
 #: Runs of white space other than exactly one space.
@@ -117,14 +117,15 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     stay = kept.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
     # (id, digest) pairs with a row that stays and rows that go are repeated rows
     again = cut(drop.intersect(stay), "repeated")
-    drop = drop.distinct().join(again, ["_digest"], "left_anti") if again.isEmpty() else drop.distinct().subtract(again)
-    marked = docs.withColumns({"_id": F.col(doc_id), "_digest": F.sha2(normalised(text), 256)})
-    same = lambda d: (marked["_digest"] == d["_digest"]) & marked["_id"].eqNullSafe(d["_id"])
+    drop = cut(drop.distinct().subtract(again), "dropped")
+    own, digest = free_name(docs, "_id"), free_name(docs, "_digest")
+    marked = docs.withColumns({own: F.col(doc_id), digest: F.sha2(normalised(text), 256)})
+    same = lambda d: (marked[digest] == d["_digest"]) & marked[own].eqNullSafe(d["_id"])
     left = marked.join(drop, same(drop), "left_anti")
     if again.isEmpty():
-        return left.drop("_id", "_digest")
-    once = left.join(again, same(again), "left_semi").dropDuplicates(["_id", "_digest"])
-    return left.join(again, same(again), "left_anti").unionByName(once).drop("_id", "_digest")
+        return left.drop(own, digest)
+    once = left.join(again, same(again), "left_semi").dropDuplicates([own, digest])
+    return left.join(again, same(again), "left_anti").unionByName(once).drop(own, digest)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

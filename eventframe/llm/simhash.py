@@ -188,7 +188,8 @@ def near_dups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, budget: int = 2) -> DataFrame:
     """The rows of ``docs`` whose identifier is their group's smallest (rows without identifier stay)."""
     gone = near_dups(docs, doc_id, text, width, budget).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(cut(gone, "near-dups"), F.col(doc_id) == F.col("_gone"), "left_anti")
+    gone = cut(gone, "near-dups")
+    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def test_exact_groups_match_brute_force(spark):
 
 def test_exact_ties_null_ids_and_extra_columns(spark):
     rows = [(7, "a b"), (7, "a  b"), (None, "a\nb"), (None, "z"), (3, None), (2, "")]
-    docs = frame(spark, rows).selectExpr("*", "'x' as digest", "1 as keep", "2 as size", "doc_id as id")
+    docs = frame(spark, rows).selectExpr("*", "'x' as digest", "1 as keep", "2 as size", "doc_id as id", "7 as _id", "8 as _digest")
     out = exact_dedup.dedup(docs).collect()
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in out) == sorted(
         [("7", "7", 3), ("7", "7", 3), ("None", "7", 3), ("None", "None", 1), ("3", "2", 2), ("2", "2", 2)])
@@ -96,7 +96,7 @@ def test_simhash_matches_brute_force(spark, budget):
 
 
 def test_simhash_edge_cases(spark):
-    docs = frame(spark, [(1, "a b c d"), (1, "a b c d"), (None, "x"), (2, None), (4, "A  B\tc d")]).selectExpr("*", "1 as fp", "2 as node", "3 as _gone0")
+    docs = frame(spark, [(1, "a b c d"), (1, "a b c d"), (None, "x"), (2, None), (4, "A  B\tc d")]).selectExpr("*", "1 as fp", "2 as node", "3 as _gone")
     out = simhash.near_dups(docs).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in out) == [("1", "1"), ("1", "1"), ("2", "2"), ("4", "1"), ("None", "None")]
     assert sorted(str(r.doc_id) for r in simhash.keep_first(docs).collect()) == ["1", "1", "2", "None"]
