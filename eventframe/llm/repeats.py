@@ -5,9 +5,10 @@ elements in it with the smallest hash, the leftmost of equal ones; equal windows
 places. Consecutive windows with the same occurrence of their anchor form a piece, so a piece has at most
 ``window - gram + 1`` windows, all different, and equal windows are always in two pieces under one anchor.
 
-Two passes read the texts. The first counts anchors; those that occur once can't be in a repeat. The second
-emits the other pieces, keyed by anchor, told apart by a bitmap of fixed size (a false hit only costs its
-piece). Equal pieces are one: their text leaves a task once, and they are counted before they meet. Anchors
+Three passes read the texts. The first counts anchors; those that occur once can't be in a repeat. The
+second lists the other pieces, without their text, told by a bitmap of fixed size (a false hit only costs its
+piece). Equal pieces are one: they are counted before they meet, and where they are alone under their anchor
+the count decides. The third pass sends the text of the rest, told by another bitmap, once per task. Anchors
 with very many different pieces are given to ``split_large``, which deals their windows out one by one.
 """
 
@@ -25,13 +26,13 @@ from pyspark.sql import functions as F
 from eventframe.llm.common import broadcast_hot, cut, mix64
 
 #: Elements that are worked on at once, and the bits of a place among them.
-_AT_ONCE, _PLACE = 1 << 20, 21
+_AT_ONCE, _PLACE = 1 << 19, 21
 #: Bits of an anchor that address the bitmap (16 MB).
 _BITS = 27
 #: Pieces whose text a task remembers to have sent.
-_SENT = 500_000
+_SENT = 200_000
 #: Different pieces of an anchor up to which one task compares them, and the bytes compared at once.
-LARGE, TARGET = 50_000, 4 << 20
+LARGE, TARGET = 50_000, 1 << 20
 #: Stands for a missing identifier: larger than any.
 NO_ID = 2**63 - 1
 RUN = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("id", pa.int64())])
@@ -46,6 +47,12 @@ class Shape:
     window: int
     gram: int
 
+    @classmethod
+    def of(cls, window: int) -> Shape:
+        """Grams of about a third of the window: long ones are seldom equal by chance, however much text
+        there is, and anchors stay tens of elements apart."""
+        return cls(window, 1 << max(0, (window // 3).bit_length() - 1))
+
 
 def anchors(codes: np.ndarray, first: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, windows, anchor) of the pieces of sequences laid end to end; ``first``: where each begins, and
@@ -133,86 +140,132 @@ def anchor_counts(docs: DataFrame, text: str, coder: Coder, shape: Shape) -> Dat
     return found.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def bitmap(repeated: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with the bits of all anchors set, eight to a byte."""
-    bit = F.shiftrightunsigned("anchor", 64 - _BITS) + 1
-    parts = repeated.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+def bitmap(keys: DataFrame, key: str) -> np.ndarray:
+    """A bitmap of fixed size with the bits of all values of a 64-bit column set, eight to a byte."""
+    bit = F.shiftrightunsigned(key, 64 - _BITS) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     out = np.zeros(1 << (_BITS - 3), np.uint8)
     for part, bits in parts.toLocalIterator():
         out[(part - 1) * 4096:(part - 1) * 4096 + len(bits)] = np.frombuffer(bytes(bits), np.uint8)
     return out
 
 
+def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The indexes of the keys whose bit is set."""
+    place = keys >> np.uint64(64 - _BITS)
+    return np.flatnonzero(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+
+
 def row_key(text: str) -> Column:
     """Tells rows with the same identifier apart by their text; rows equal in both have equal repeats."""
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def pieces(docs: DataFrame, doc_id: str, text: str, coder: Coder, shape: Shape, name: str) -> DataFrame:
-    """``(id, row, start, windows, anchor, piece, content)``: the pieces under anchors that occur twice.
-    ``piece`` is a hash of the content; the content is there once per task at least."""
-    repeated = cut(anchor_counts(docs, text, coder, shape), name + "-anchors")
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(repeated))
+def _hashed(texts: list[str | None], coder: Coder, shape: Shape, bits: np.ndarray):
+    """(row, start, windows, anchor, hash of the content, content) of the pieces whose anchor's bit is set."""
+    for rows, start, windows, anchor, coded in _found(texts, coder, shape):
+        use = _marked(bits, anchor)
+        rows, start, windows, anchor = rows[use], start[use], windows[use], anchor[use]
+        content = [coded[r][1](s, s + n - 1 + shape.window) for r, s, n in zip(rows.tolist(), start.tolist(), windows.tolist())]
+        yield rows, start, windows, anchor, np.fromiter(map(xxhash.xxh64_intdigest, content, anchor.tolist()), np.uint64, len(content)), content
+
+
+def pieces(docs: DataFrame, doc_id: str, text: str, coder: Coder, shape: Shape, bits) -> DataFrame:
+    """``(id, row, start, windows, anchor, piece)``: the pieces under anchors that occur twice; ``piece`` is a
+    hash of the content."""
     schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()),
-                        ("anchor", pa.int64()), ("piece", pa.int64()), ("content", pa.binary())])
+                        ("anchor", pa.int64()), ("piece", pa.int64())])
 
     def run(batches):
-        sent: set[int] = set()
         for batch in batches:
             for part, texts in _parts(batch, 2):
-                ids, keys = part.column(0), part.column(1)
-                for rows, start, windows, anchor, coded in _found(texts, coder, shape):
-                    place = anchor >> np.uint64(64 - _BITS)
-                    use = np.flatnonzero(bits.value[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
-                    content, hashes = [], []
-                    for r, s, n, a in zip(rows[use].tolist(), start[use].tolist(), windows[use].tolist(), anchor[use].tolist()):
-                        raw = coded[r][1](s, s + n - 1 + shape.window)
-                        h = xxhash.xxh64_intdigest(raw, a)
-                        hashes.append(h)
-                        content.append(None if h in sent else raw)
-                        sent.add(h)
-                    if len(sent) > _SENT:
-                        sent.clear()
-                    at = pa.array(rows[use])
+                for rows, start, windows, anchor, piece, _ in _hashed(texts, coder, shape, bits.value):
+                    at = pa.array(rows)
                     yield pa.RecordBatch.from_arrays([
-                        ids.take(at), keys.take(at), pa.array(start[use]), pa.array(windows[use], pa.int32()), pa.array(anchor[use].view(np.int64)),
-                        pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(content, pa.binary())], schema=schema)
+                        part.column(0).take(at), part.column(1).take(at), pa.array(start), pa.array(windows, pa.int32()),
+                        pa.array(anchor.view(np.int64)), pa.array(piece.view(np.int64))], schema=schema)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), row_key(text).alias("row"), F.col(text).cast("string").alias("text"))
-    return cut(rows.mapInArrow(run, "id long, row long, start long, windows int, anchor long, piece long, content binary"), name + "-pieces")
+    return rows.mapInArrow(run, "id long, row long, start long, windows int, anchor long, piece long")
 
 
-def distinct(found: DataFrame) -> DataFrame:
-    """One row per piece: its content, how often it occurs, and the smallest identifier (``NO_ID`` for null)."""
-    return found.groupBy("anchor", "piece").agg(
-        F.first("content", ignorenulls=True).alias("content"), F.first("windows").alias("windows"), F.count("*").alias("size"),
-        F.min(F.coalesce("id", F.lit(NO_ID))).alias("id"))
+def contents(docs: DataFrame, text: str, coder: Coder, shape: Shape, bits, wanted) -> DataFrame:
+    """``(anchor, piece, content)`` of the pieces whose own bit is set in ``wanted``, at least once each; a task
+    sends a piece once, as long as it remembers it."""
+    schema = pa.schema([("anchor", pa.int64()), ("piece", pa.int64()), ("content", pa.binary())])
 
+    def run(batches):
+        sent: set[int] = set()
+        for batch in batches:
+            for _, texts in _parts(batch, 0):
+                for _, _, _, anchor, piece, content in _hashed(texts, coder, shape, bits.value):
+                    use = [i for i in _marked(wanted.value, piece).tolist() if (h := int(piece[i])) not in sent and not sent.add(h)]
+                    if len(sent) > _SENT:
+                        sent.clear()
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(anchor[use].view(np.int64)), pa.array(piece[use].view(np.int64)), pa.array([content[i] for i in use], pa.binary())], schema=schema)
 
-def repeated_runs(found: DataFrame, shape: Shape, cuts: Callable[[bytes], tuple[np.ndarray, np.ndarray]], equal: Equal, name: str,
-                  large: int = LARGE, target: int = TARGET) -> DataFrame:
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "anchor long, piece long, content binary")
+
+
+def find(docs: DataFrame, doc_id: str, text: str, coder: Coder, shape: Shape, cuts: Callable[[bytes], tuple[np.ndarray, np.ndarray]],
+         equal: Equal, name: str, large: int = LARGE, target: int = TARGET) -> DataFrame:
+    """``(id, row, at, n, least)``: for each text the runs of ``n`` windows from element ``at`` on that occur
+    more than once, with the smallest identifier of their occurrences (``NO_ID`` for null)."""
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    repeated = cut(anchor_counts(docs, text, coder, shape), name + "-anchors")
+    bits = broadcast(bitmap(repeated, "anchor"))
+    found = cut(pieces(docs, doc_id, text, coder, shape, bits), name + "-pieces")
+    whole = found.groupBy("anchor", "piece").agg(
+        F.min("windows").alias("windows"), F.count("*").alias("size"), F.min(F.coalesce("id", F.lit(NO_ID))).alias("id"))
+    whole = cut(whole, name + "-distinct")
+    per_anchor = whole.groupBy("anchor").agg(F.count("*").alias("pieces"), F.sum("size").alias("all")).where("`all` > 1")
+    grouped = cut(whole.join(per_anchor.select("anchor", "pieces"), "anchor"), name + "-grouped")
+    several = grouped.where("pieces > 1")
+    wanted = broadcast(bitmap(several, "piece"))
+    runs = repeated_runs(grouped, contents(docs, text, coder, shape, bits, wanted), shape, cuts, equal, name, large, target)
+    return spans(found, runs, grouped)
+
+
+def repeated_runs(grouped: DataFrame, texts: DataFrame, shape: Shape, cuts: Callable[[bytes], tuple[np.ndarray, np.ndarray]],
+                  equal: Equal, name: str, large: int = LARGE, target: int = TARGET) -> DataFrame:
     """``(anchor, piece, runs)``: per piece the runs ``(at, n, id)`` of windows that occur more than once,
     ``id`` being the smallest identifier of their occurrences.
 
-    ``equal`` finds the equal windows of a memory-sized group of anchors. Anchors with over ``large``
-    different pieces go another way: each of their windows is a row keyed by its own hash, whose counts
-    meet with map-side combine, so that no task gets such a group. ``cuts`` gives where a content's elements begin and end.
+    ``grouped(anchor, piece, windows, size, id, pieces)`` has one row per piece, ``pieces`` being the number
+    under its anchor; ``texts`` has the contents where that is over one. ``equal`` finds the equal windows
+    of a memory-sized group of anchors. Anchors with over ``large`` pieces go another way: each of their
+    windows is a row keyed by its own hash, whose counts meet with map-side combine, so that no task gets
+    such a group. ``cuts`` gives where a content's elements begin and end.
     """
-    whole = cut(distinct(found), name + "-distinct")
-    per_anchor = cut(whole.groupBy("anchor").agg(F.count("*").alias("pieces"), F.sum("size").alias("all")).where("`all` > 1"), name + "-groups")
-    alone = whole.join(per_anchor.where("pieces = 1").select("anchor"), "anchor", "left_semi").select(
-        "anchor", "piece", F.array(F.struct(F.lit(0).alias("at"), F.col("windows").alias("n"), "id")).alias("runs"))
-    some = whole.join(per_anchor.where((F.col("pieces") > 1) & (F.col("pieces") <= large)).select("anchor"), "anchor", "left_semi")
+    alone = grouped.where("pieces = 1").select("anchor", "piece", F.array(F.struct(F.lit(0).alias("at"), F.col("windows").alias("n"), "id")).alias("runs"))
+    none = F.lit(None)
+    several = grouped.where((F.col("pieces") > 1) & (F.col("pieces") <= large)).select("anchor", "piece", "windows", "size", "id", none.cast("binary").alias("content"))
+    some = several.unionByName(texts.select("anchor", "piece", none.cast("int").alias("windows"), none.cast("long").alias("size"), none.cast("long").alias("id"), "content"))
     some = some.repartition("anchor").sortWithinPartitions("anchor")
     schema = pa.schema([("anchor", pa.int64()), ("piece", pa.int64()), ("runs", pa.list_(RUN))])
     some = some.mapInArrow(in_groups(lambda rows: _runs(rows, equal, schema), target), "anchor long, piece long, runs array<struct<at:int,n:int,id:long>>")
     out = alone.unionByName(some)
-    many = cut(whole.join(per_anchor.where(F.col("pieces") > large).select("anchor"), "anchor", "left_semi"), name + "-large")
-    return out if many.isEmpty() else out.unionByName(split_large(many, shape, cuts))
+    many = grouped.where(F.col("pieces") > large)
+    if many.isEmpty():
+        return out
+    return out.unionByName(split_large(cut(many.join(texts.dropDuplicates(["anchor", "piece"]), ["anchor", "piece"]), name + "-large"), shape, cuts))
+
+
+def _joined(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows that count a piece, each with the content that another row brought."""
+    counted = rows.filter(rows.column("size").is_valid())
+    brought = rows.filter(rows.column("content").is_valid())
+    at = dict(zip(brought.column("piece").to_pylist(), range(brought.num_rows)))
+    order = pa.array([at[p] for p in counted.column("piece").to_pylist()], pa.int64())
+    return counted.set_column(counted.schema.get_field_index("content"), "content", brought.column("content").take(order))
 
 
 def _runs(rows: pa.RecordBatch, equal: Equal, schema: pa.Schema) -> pa.RecordBatch:
     """The runs of the pieces of some anchors. ``equal`` names the class of each window."""
+    rows = _joined(rows)
+    if not rows.num_rows:
+        return pa.RecordBatch.from_pylist([], schema=schema)
     windows = rows.column("windows").to_numpy().astype(np.int64)
     piece = np.repeat(np.arange(len(windows)), windows)
     at = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -254,9 +307,9 @@ def split_large(many: DataFrame, shape: Shape, cuts: Callable[[bytes], tuple[np.
     return runs.select("anchor", "piece", "runs")
 
 
-def spans(found: DataFrame, runs: DataFrame) -> DataFrame:
+def spans(found: DataFrame, runs: DataFrame, grouped: DataFrame) -> DataFrame:
     """``(id, row, at, n, least)``: per occurrence of a piece, the runs of its windows that are repeated."""
-    sized = runs.join(found.groupBy("anchor", "piece").agg(F.count("*").alias("size")), ["anchor", "piece"])
+    sized = runs.join(grouped.select("anchor", "piece", "size"), ["anchor", "piece"])
     joined = broadcast_hot(found.select("id", "row", "start", "anchor", "piece"), cut(sized, "runs"), ["anchor", "piece"], "size")
     return joined.select("id", "row", "start", F.explode("runs").alias("r")).select(
         "id", "row", (F.col("start") + F.col("r.at")).alias("at"), F.col("r.n").alias("n"), F.col("r.id").alias("least"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventframe.llm.common import by_batches, cut, mix64, table
-from eventframe.llm.repeats import LARGE, TARGET, Shape, covered, pieces, repeated_runs, spans, with_spans
+from eventframe.llm.repeats import LARGE, TARGET, Shape, covered, find, with_spans
 
 LENGTH = 200
 _CODES = mix64(np.arange(256, dtype=np.uint64))
@@ -115,10 +115,8 @@ def equal_strings(length: int):
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, large: int = LARGE, target: int = TARGET) -> DataFrame:
     """``(doc_id, text, spans)`` per row: ``spans`` has ``(at, n)``, ``n`` places from byte ``at`` on at which
     a string of ``length`` bytes starts that also starts elsewhere (null: none)."""
-    shape = Shape(length, 1 << max(0, min(5, (length // 4).bit_length() - 1)))
-    found = pieces(docs, doc_id, text, coder, shape, "bytes")
-    runs = repeated_runs(found, shape, _cuts, equal_strings(length), "bytes", large, target)
-    return with_spans(docs, doc_id, text, cut(spans(found, runs).select("id", "row", "at", "n"), "spans"))
+    found = find(docs, doc_id, text, coder, Shape.of(length), _cuts, equal_strings(length), "bytes", large, target)
+    return with_spans(docs, doc_id, text, cut(found.select("id", "row", "at", "n"), "spans"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, large: int = LARGE, target: int = TARGET) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventframe.llm.common import by_batches, cut, table
-from eventframe.llm.repeats import LARGE, NO_ID, TARGET, Shape, covered, pieces, repeated_runs, spans, with_spans
+from eventframe.llm.repeats import LARGE, NO_ID, TARGET, Shape, covered, find, with_spans
 
 WINDOW = 50
 #: Words by which a prefix grows, and words whose hash a task remembers.
@@ -106,10 +106,8 @@ def equal_windows(width: int):
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WINDOW, large: int = LARGE, target: int = TARGET) -> DataFrame:
     """``(doc_id, text, spans)`` per row: ``spans`` has ``(at, n)``, ``n`` windows from word ``at`` on that
     also start in a document with a smaller identifier (null: none)."""
-    shape = Shape(width, 1 << max(0, min(3, (width // 4).bit_length() - 1)))
-    found = pieces(docs, doc_id, text, Coder(), shape, "words")
-    runs = repeated_runs(found, shape, _cuts, equal_windows(width), "words", large, target)
-    later = spans(found, runs).where(F.col("least") < F.coalesce("id", F.lit(NO_ID)))
+    found = find(docs, doc_id, text, Coder(), Shape.of(width), _cuts, equal_windows(width), "words", large, target)
+    later = found.where(F.col("least") < F.coalesce("id", F.lit(NO_ID)))
     return with_spans(docs, doc_id, text, cut(later.select("id", "row", "at", "n"), "spans"))
 
 
