@@ -172,7 +172,6 @@ def exchange(pairs: DataFrame, clustered: int, classes: int = CLASSES, rounds: i
     for turn in range(rounds + 1):
         named = spark.createDataFrame([(int(s), int(c)) for s, c in enumerate(of)], "s int, c int")
         both = pairs.join(F.broadcast(named.toDF("a", "ca")), "a").join(F.broadcast(named.toDF("b", "cb")), "b")
-        both = cut(both.groupBy("a", "b", "ca", "cb").agg(F.sum("n").alias("n")), "class-pairs")
         counts = np.zeros((total, total), np.int64)
         for r in both.groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():  # at most total x total rows
             counts[r["ca"], r["cb"]] = r["n"]
