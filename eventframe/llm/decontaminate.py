@@ -44,47 +44,50 @@ UNITS = frozenset(
     "dollars cent cents euro euros € $ £ mph kmh km/h m/s hz khz mhz ghz w kw mw v a j kj cal kcal n pa kpa".split())
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*")
 _QUANTITY = re.compile(r"[+-]?\d[\d.,:/]*([^\W\d]+|%|°[cf])")
-_NUM, _NAME, _UNIT = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("<number>", "<name>", "<unit>"))
+_NUM, _NAME, _UNIT = (xxhash.xxh64_intdigest(x) for x in ("<number>", "<name>", "<unit>"))
 _EDGES = re.compile(r"^[^\w%€$£°]+|[^\w%€$£°]+$")
 
 
-class Tokens:
-    """Template tokens by word, remembered: codes by context, kinds, and whether the word ends a sentence."""
+class Tokens(dict):
+    """The number of each word, given at its first use, and by number the template token: codes by context,
+    kinds, and whether the word ends a sentence."""
 
     def __init__(self):
-        self.at: dict[bytes, int] = {}
-        # code at a sentence's start, inside, after a number; kind likewise as two bits each; ends a sentence
-        self.codes = [array("Q"), array("Q"), array("Q")]
-        self.kinds = [array("b"), array("b"), array("b")]
-        self.end = array("b")
+        # by word: codes at a sentence's start, inside, after a number; kinds likewise, and whether it ends one
+        self.codes, self.kinds = array("Q"), array("b")
 
-    def add(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
-        core = _EDGES.sub("", text)
-        low = core.lower()
-        plain = (np.uint64(xxhash.xxh64_intdigest(low, 1)), 0)
-        if _NUMBER.fullmatch(core) or (m := _QUANTITY.fullmatch(low)) and m[1] in UNITS:
-            three = [(_NUM, 1)] * 3
+        core = text.rstrip(".,;:!?")
+        if letters := core.isalpha():
+            low = core.lower()
         else:
-            inside = (_NAME, 2) if len(core) > 1 and core[0].isupper() else plain
-            three = [plain, inside, (_UNIT, 3) if low in UNITS else inside]
-        for (code, kind), codes, kinds in zip(three, self.codes, self.kinds):
-            codes.append(int(code))
-            kinds.append(kind)
-        self.end.append(text.rstrip("\"')]»”").endswith((".", "!", "?")))
-        self.at[word] = len(self.at)
-        return len(self.at) - 1
+            core = _EDGES.sub("", text)
+            low = core.lower()
+        if not letters and (_NUMBER.fullmatch(core) or (m := _QUANTITY.fullmatch(low)) and m[1] in UNITS):
+            codes, kinds = (_NUM, _NUM, _NUM), (1, 1, 1)
+        else:
+            plain = xxhash.xxh64_intdigest(low, 1)
+            name = core[:1].isupper() and len(core) > 1
+            unit = low in UNITS
+            codes = (plain, _NAME if name else plain, _UNIT if unit else _NAME if name else plain)
+            kinds = (0, 2 * name, 3 if unit else 2 * name)
+        self.codes.extend(codes)
+        self.kinds.extend((*kinds, text[-1:] in ".!?" if letters else text.rstrip("\"')]»”").endswith((".", "!", "?"))))
+        self[word] = len(self)
+        return len(self) - 1
 
     def template(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(codes, kinds) of a text's words; kind 0 is a plain word."""
-        at = self.at
-        index = np.fromiter((at[w] if w in at else self.add(w) for w in words), np.int64, len(words))
-        codes = [np.frombuffer(c, np.uint64)[index] for c in self.codes]
-        kinds = [np.frombuffer(k, np.int8)[index] for k in self.kinds]
-        first = np.concatenate([[True], np.frombuffer(self.end, np.int8)[index][:-1] != 0])
-        number = np.concatenate([[False], kinds[0][:-1] == 1])
-        pick = np.where(first, 0, np.where(number, 2, 1))
-        return np.choose(pick, codes), np.choose(pick, kinds)
+        index = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        by_code = np.frombuffer(self.codes, np.uint64).reshape(-1, 3)
+        by_kind = np.frombuffer(self.kinds, np.int8).reshape(-1, 4)
+        codes, kinds = by_code[index, 1], by_kind[index, 1]
+        after = np.flatnonzero(kinds[:-1] == 1) + 1
+        codes[after], kinds[after] = by_code[index[after], 2], by_kind[index[after], 2]
+        first = np.append(0, np.flatnonzero(by_kind[index[:-1], 3]) + 1)
+        codes[first], kinds[first] = by_code[index[first], 0], by_kind[index[first], 0]
+        return codes, kinds
 
 
 def windows(df: DataFrame, key: str, text: str, bitmap=None, width: int = WIDTH, plain: int = PLAIN) -> DataFrame:
@@ -93,7 +96,7 @@ def windows(df: DataFrame, key: str, text: str, bitmap=None, width: int = WIDTH,
     tokens: list[Tokens] = []
 
     def find(keys, texts):
-        if not tokens or len(tokens[0].at) > _WORDS:
+        if not tokens or len(tokens[0]) > _WORDS:
             tokens[:] = [Tokens()]
         out: dict[str, list] = {"key": [], "pos": [], "hash": [], "slots": []}
         for key, text in zip(keys.to_pylist(), texts):
@@ -108,8 +111,7 @@ def windows(df: DataFrame, key: str, text: str, bitmap=None, width: int = WIDTH,
                     continue
             else:
                 at = np.arange(len(hashes))
-            seen = np.concatenate([[0], np.cumsum(kinds == 0)])
-            for p in at[seen[at + width] - seen[at] >= plain].tolist():
+            for p in at[sum(kinds[at + j] == 0 for j in range(width)) >= plain].tolist():
                 out["key"].append(key)
                 out["pos"].append(p)
                 out["hash"].append(int(hashes[p].view(np.int64)))
