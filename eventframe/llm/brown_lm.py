@@ -1,17 +1,20 @@
 """Class-based bigram scores with classes from exchange clustering.
 
 Tokens are words with A-Z lowered, then one end token per text, before which every text also starts. Counts
-of all training words are gathered in Spark. The ``CLUSTERED`` most frequent words are put into classes by
-exchange: given the counts of class pairs, each word's gain in likelihood from any other class is worked out
-from how often each class precedes and follows it; in alternating halves, words move to the best one, the
-counts are taken anew, and the assignment with the highest likelihood stays. All other words belong to one
-of ``SHAPES`` classes by their last two bytes. The probability of a word is that of its class after the
-class before (smoothed with the classes' own frequency) times that of the word in its class (``ALPHA`` added
-to each count, and one unseen word for each class).
-
-Counts of word pairs are kept for the clustered words and shapes only, a bounded table; classes, class pairs
-and the list of frequent words are the model, bounded as well, and are broadcast. Words below the frequency
-list, an unbounded number, meet their counts in a shuffled join, as (text, word) pairs.
+of all training words are gathered in Spark. The words of the frequency list are put into classes by exchange:
+given the counts of class pairs, each word's gain in likelihood from any other class is worked out from how
+often each class precedes and follows it; a part of the words at a time, words move to the best one and the
+counts are taken anew. If the likelihood falls, the move is undone and the parts are made smaller; it ends once
+a turn over all words adds less than ``RISE`` of the rise so far. All other training words then get the class
+that suits the classes of the listed words around them best; one without listed neighbours, and a word that
+was never seen, gets the class of most words below the list (else: in the list) with a like ending. The
+probability of a word is that of its class after the class before (smoothed with the classes' own frequency)
+times that of the word in its class (``ALPHA`` added to each count, and one unseen word for each class).
+
+Pair counts are sparse and grow with the input; during exchange, words below the list are symbols by their
+last bytes. Classes, class pairs and the frequency list are the model, bounded, and are broadcast. Words below
+the list, an unbounded number, meet their counts and classes in shuffled joins. With ``clustered`` given, only
+so many words are exchanged and all others have a class by their last bytes.
 
 Defined cases: null and empty texts are one end token; rows with a null identifier are scored and held out;
 repeated rows are scored each and count each in training; without training rows all counts are 0; an empty
@@ -31,11 +34,11 @@ from pyspark.sql import functions as F
 
 from eventframe.llm.common import by_batches, cut, table
 
-CLUSTERED, CLASSES, SHAPES, ROUNDS, ALPHA = 1024, 48, 16, 8, 0.5
-#: Words at most whose counts are broadcast (16 bytes each).
+CLASSES, SHAPES, RISE, ALPHA = 48, 16, 1e-3, 0.5
+#: Words at most whose counts and classes are broadcast (about 20 bytes each).
 FREQUENT = 1 << 18
-#: Count by which words are told apart when the frequency list is cut; higher counts are one group.
-_TELL = 100_000
+#: The smallest parts in which words move are one of so many.
+_PARTS = 32
 _KEPT = 400_000
 _END = b" end"  # no word has a space
 
@@ -79,14 +82,19 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word long, shape int, n long").groupBy("word", "shape").agg(F.sum("n").alias("n"))
 
 
-def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(words, counts, least): all words with a count of ``least`` or more, at most ``most`` of them, by
-    falling count."""
-    sizes = counts.groupBy(F.least("n", F.lit(_TELL)).alias("n")).agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
+def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, Column]:
+    """(words, counts, whether a row of ``counts`` is listed): all words with as high a count as lets at most
+    ``most`` in, by falling count; if more share the highest, the first of them by key."""
+    # different counts are few: k of them take at least k * k / 2 words of text
+    sizes = counts.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
     fits = sizes[sizes["words"].cumsum() <= most]
-    least = int(fits["n"].iloc[-1]) if len(fits) else 2**62
-    top = counts.where(F.col("n") >= least).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
-    return top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64), least
+    if len(fits) or not len(sizes):
+        listed = F.col("n") >= (int(fits["n"].iloc[-1]) if len(fits) else 0)
+    else:
+        first = counts.where(F.col("n") == int(sizes["n"].iloc[0])).orderBy("word").limit(most)
+        listed = (F.col("n") == int(sizes["n"].iloc[0])) & (F.col("word") <= (first.agg(F.max("word")).first()[0]))
+    top = counts.where(listed).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
+    return top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64), listed
 
 
 @dataclass
@@ -121,24 +129,63 @@ def symbols(numbers: np.ndarray, shapes: np.ndarray, clustered: int) -> np.ndarr
 
 
 def pair_counts(texts: DataFrame, words, shapes, clustered: int) -> DataFrame:
-    """``(a, b, n)``: how often symbol ``b`` follows ``a``; a task adds up a dense table of them."""
+    """``(a, b, n)``: how often symbol ``b`` follows ``a``; a task adds up some million pairs before they move."""
     size = clustered + SHAPES
     schema = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
 
+    def out(held: list[np.ndarray]):
+        pair, n = np.unique(np.concatenate(held), return_counts=True)
+        for lo in range(0, len(pair), 200_000):
+            part = pair[lo:lo + 200_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part // size, pa.int32()), pa.array(part % size, pa.int32()), pa.array(n[lo:lo + 200_000], pa.int64())], schema=schema)
+
     def run(batches):
-        lookup = Lookup(words.value)
-        total = np.zeros(size * size, np.int64)
+        lookup, held, many = Lookup(words.value), [], 0
         for batch in batches:
             for text in batch.column(0):
                 s = symbols(lookup(tokens(text.as_py())), shapes.value, clustered)
-                np.add.at(total, np.append(s[-1:], s[:-1]) * size + s, 1)
-        at = np.flatnonzero(total)
-        for part in np.array_split(at, len(at) // 200_000 + 1):
-            yield pa.RecordBatch.from_arrays([pa.array(part // size, pa.int32()), pa.array(part % size, pa.int32()), pa.array(total[part])], schema=schema)
+                held.append(np.append(s[-1:], s[:-1]) * size + s)
+                many += len(s)
+                if many > 4 << 20:
+                    yield from out(held)
+                    held, many = [], 0
+        if held:
+            yield from out(held)
 
     return texts.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def grouped(rows: DataFrame) -> DataFrame:
+    """``(word, codes, ns)`` with one row per word, of ``(word, code, n)``; a word's codes are different and
+    bounded in number."""
+    schema = pa.schema([("word", pa.int64()), ("codes", pa.list_(pa.int32())), ("ns", pa.list_(pa.int64()))])
+
+    def out(w, c, n):
+        first = np.append(0, np.flatnonzero(np.diff(w)) + 1)
+        ends = pa.array(np.append(first, len(w)), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(w[first]), pa.ListArray.from_arrays(ends, pa.array(c)), pa.ListArray.from_arrays(ends, pa.array(n))], schema=schema)
+
+    def run(batches):
+        held = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)]
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            end = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if end:  # the last word may go on in the next batch
+                yield out(*(h[:end] for h in held))
+                held = [h[end:] for h in held]
+        if len(held[0]):
+            yield out(*held)
+
+    rows = rows.select(F.col("word").cast("long").alias("word"), F.col("code").cast("int").alias("code"), F.col("n").cast("long").alias("n"))
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word long, codes array<int>, ns array<long>")
+
+
+def _flat(codes: pa.Array, ns: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, n) of each entry of the lists."""
+    length = np.diff(codes.offsets.to_numpy())
+    return np.repeat(np.arange(len(codes)), length), codes.flatten().to_numpy(), ns.flatten().to_numpy()
+
+
 def _nlogn(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -148,56 +195,116 @@ def likelihood(pairs: np.ndarray) -> float:
     return float(_nlogn(pairs).sum() - _nlogn(pairs.sum(0)).sum() - _nlogn(pairs.sum(1)).sum())
 
 
-def best_class(now: int, before: np.ndarray, after: np.ndarray, pairs: np.ndarray, classes: int) -> int:
-    """The class in which a word fits best: ``before`` and ``after`` count the classes around it, ``pairs``
-    all class pairs, the word in class ``now``."""
-    pairs = pairs.copy()
-    pairs[:, now] -= before
-    pairs[now, :] -= after
-    pairs = np.maximum(pairs, 0)
-    into, out_of = pairs.sum(0)[:classes], pairs.sum(1)[:classes]
-    gain = (_nlogn(pairs[:classes] + after) - _nlogn(pairs[:classes])).sum(1) + (_nlogn(pairs[:, :classes].T + before) - _nlogn(pairs[:, :classes].T)).sum(1)
-    n = before.sum()
-    gain -= _nlogn(into + n) - _nlogn(into) + _nlogn(out_of + after.sum()) - _nlogn(out_of)
-    return int(gain.argmax()) if gain.max() > gain[now] + 1e-9 else now
-
-
-def exchange(pairs: DataFrame, clustered: int, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each symbol, counts of class pairs). Symbols from ``clustered`` on keep a class each."""
-    spark = pairs.sparkSession
-    total = classes + SHAPES
+def best_classes(now: np.ndarray, before: np.ndarray, after: np.ndarray, pairs: np.ndarray, classes: int) -> np.ndarray:
+    """The class in which each word fits best: rows of ``before`` and ``after`` count the classes around it,
+    ``pairs`` all class pairs, the word in class ``now``."""
+    pairs, before, after = (x.astype(np.float64) for x in (pairs, before, after))
+    own = np.flatnonzero(now < classes)
+    into, out_of = pairs.sum(0)[:classes] - after[:, :classes], pairs.sum(1)[:classes] - before[:, :classes]
+    n, m = before.sum(1, keepdims=True), after.sum(1, keepdims=True)
+    into[own, now[own]] -= n[own, 0]
+    out_of[own, now[own]] -= m[own, 0]
+    into, out_of = np.maximum(into, 0), np.maximum(out_of, 0)
+    gain = _nlogn(into) - _nlogn(into + n) + _nlogn(out_of) - _nlogn(out_of + m)
+    for around, other, cells in ((after, before, pairs[:classes].T), (before, after, pairs[:, :classes])):
+        rows, beside = np.nonzero(around)
+        for lo in range(0, len(rows), 20_000):
+            r, j = rows[lo:lo + 20_000], beside[lo:lo + 20_000]
+            there, count = cells[j], around[r, j][:, None]
+            at = np.flatnonzero(now[r] < classes)  # the counts without the word itself
+            there[at, now[r[at]]] -= count[at, 0]
+            at = np.flatnonzero(now[r] == j)
+            there[at] -= other[r[at], :classes]
+            there = np.maximum(there, 0)
+            first = np.append(0, np.flatnonzero(np.diff(r)) + 1)
+            gain[r[first]] += np.add.reduceat(_nlogn(there + count) - _nlogn(there), first)
+    best = gain.argmax(1)
+    rows = np.arange(len(now))
+    stay = own[gain[own, best[own]] <= gain[own, now[own]] + 1e-9]
+    best[stay] = now[stay]
+    return best
+
+
+def place(around: DataFrame, of: np.ndarray, counts: np.ndarray, classes: int, named: bool, parts: int = 1, part: int = 0) -> DataFrame:
+    """``(word, class)``: the best class of words by what is around them: symbols if ``named`` (and the words
+    symbols too), else classes. Of ``parts`` parts of the words only ``part``."""
+    schema = pa.schema([("word", pa.int64()), ("class", pa.int32())])
+    total = len(counts)
+    shared = around.sparkSession.sparkContext.broadcast(of)
+    size = len(of) if named else total
+
+    def move(words, codes, ns):
+        words, of = words.to_numpy(), shared.value
+        best = []
+        for lo in range(0, len(words), 1_000):
+            row, code, n = _flat(codes[lo:lo + 1_000], ns[lo:lo + 1_000])
+            rows = len(words[lo:lo + 1_000])
+            beside = of[code % size] if named else code % size
+            sides = np.bincount((code // size * rows + row) * total + beside, n, 2 * rows * total).reshape(2, rows, total)
+            now = of[words[lo:lo + 1_000]] if named else np.full(rows, total)
+            best.append(best_classes(now, sides[0], sides[1], counts, classes))
+        return {"word": words, "class": np.concatenate(best) if best else []}
+
+    some = around.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == part) if parts > 1 else around
+    return some.mapInArrow(by_batches(move, schema, "word", "codes", "ns"), "word long, class int")
+
+
+def class_counts(around: DataFrame, of: np.ndarray, clustered: int, total: int) -> np.ndarray:
+    """Counts of class pairs, those of two symbols that aren't clustered left out."""
+    schema = pa.schema([("pair", pa.int32()), ("n", pa.int64())])
+    shared, size = around.sparkSession.sparkContext.broadcast(of), len(of)
+
+    def add(words, codes, ns):
+        of = shared.value
+        row, code, n = _flat(codes, ns)
+        word, other, next_ = of[words.to_numpy()[row]], code % size, code // size == 1
+        use = next_ | (other >= clustered)  # pairs of two clustered words are met twice
+        cell = np.where(next_, word * total + of[other], of[other] * total + word)[use]
+        sums = np.bincount(cell, n[use], total * total)
+        at = np.flatnonzero(sums)
+        return {"pair": at, "n": sums[at].astype(np.int64)}
+
+    out = np.zeros(total * total, np.int64)
+    found = around.mapInArrow(by_batches(add, schema, "word", "codes", "ns"), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    for r in found.collect():  # at most total x total rows
+        out[r["pair"]] = r["n"]
+    return out.reshape(total, total)
+
+
+def exchange(pairs: DataFrame, clustered: int, classes: int = CLASSES, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each symbol, counts of class pairs). Symbols from ``clustered`` on keep a class each; without
+    ``rounds``, words move until the likelihood stops rising."""
+    size, total = clustered + SHAPES, classes + SHAPES
     of = np.concatenate([np.arange(clustered) % classes, classes + np.arange(SHAPES)])
-    best, best_pairs, most = of, np.zeros((total, total), np.int64), -np.inf
-    schema = pa.schema([("word", pa.int32()), ("class", pa.int32())])
-    for turn in range(rounds + 1):
-        named = spark.createDataFrame([(int(s), int(c)) for s, c in enumerate(of)], "s int, c int")
-        both = pairs.join(F.broadcast(named.toDF("a", "ca")), "a").join(F.broadcast(named.toDF("b", "cb")), "b")
-        counts = np.zeros((total, total), np.int64)
-        for r in both.groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():  # at most total x total rows
-            counts[r["ca"], r["cb"]] = r["n"]
-        if (value := likelihood(counts)) > most:
-            best, best_pairs, most = of, counts, value
-        if turn == rounds or not clustered:
-            break
-        around = both.select(F.col("b").alias("word"), F.col("ca").alias("c"), "n", F.lit(0).alias("side")).unionByName(
-            both.select(F.col("a").alias("word"), F.col("cb").alias("c"), "n", F.lit(1).alias("side"))).where(
-            (F.col("word") < clustered) & (F.col("word") % 2 == turn % 2)).groupBy("word", "side", "c").agg(F.sum("n").alias("n"))
-        around = around.groupBy("word").agg(F.collect_list(F.struct("side", "c", "n")).alias("around"))  # 2 x total entries at most
-
-        def move(words, lists, of=of, counts=counts):
-            out = []
-            for w, entries in zip(words.to_pylist(), lists.to_pylist()):
-                sides = np.zeros((2, total), np.int64)
-                for e in entries:
-                    sides[e["side"], e["c"]] = e["n"]
-                out.append(best_class(int(of[w]), sides[0], sides[1], counts, classes))
-            return {"word": words, "class": out}
-
-        moved = around.mapInArrow(by_batches(move, schema, "word", "around"), "word int, class int").collect()  # one row per clustered word
-        of = of.copy()
-        for r in moved:
-            of[r["word"]] = r["class"]
-    return best, best_pairs
+    fixed = np.zeros((total, total), np.int64)
+    for r in pairs.where((F.col("a") >= clustered) & (F.col("b") >= clustered)).collect():
+        fixed[classes + r["a"] - clustered, classes + r["b"] - clustered] = r["n"]
+    if not clustered:
+        return of, fixed
+    sides = pairs.select(F.col("b").alias("word"), F.col("a").alias("code"), "n").unionByName(
+        pairs.select(F.col("a").alias("word"), (F.col("b") + size).alias("code"), "n"))
+    around = cut(grouped(sides.where(F.col("word") < clustered)), "contexts")
+    best, best_counts = of, class_counts(around, of, clustered, total) + fixed
+    start = most = likelihood(best_counts)
+    parts, part, turn, before = 2, 0, 0, most
+    while rounds is None or turn < rounds:
+        of = best.copy()
+        moved = place(around, best, best_counts, classes, True, parts, part).toPandas()  # at most one row per clustered word
+        of[moved["word"].to_numpy(np.int64)] = moved["class"].to_numpy(np.int64)
+        turn += 1
+        counts = class_counts(around, of, clustered, total) + fixed if (of != best).any() else best_counts
+        value = likelihood(counts)
+        fell = value < most
+        if not fell:
+            best, best_counts, most = of, counts, value
+        part += 1
+        if fell and parts < _PARTS:
+            parts, part, before = 2 * parts, 0, most
+        elif part == parts:
+            if most - before <= RISE * (most - start):
+                break
+            part, before = 0, most
+    return best, best_counts
 
 
 @dataclass
@@ -213,45 +320,120 @@ class Model:
     mass: np.ndarray  # log10 of each class's total with the smoothing
     tokens: int
     distinct: int
-    rest: DataFrame | None = None  # (word, n): the words that aren't frequent
+    rest: DataFrame | None = None  # (word, n, class): the words that aren't listed
+
+
+def _loose(own: list[bytes], numbers: np.ndarray, of: np.ndarray) -> Counter:
+    """Counts of ``(a, ca, b, cb)`` over the neighbours of which one isn't listed: its key, else null, and class."""
+    out: Counter = Counter()
+    there = (numbers >= 0).tolist()
+    for i in np.flatnonzero((numbers < 0) | (np.append(numbers[-1:], numbers[:-1]) < 0)).tolist():
+        out[None if there[i - 1] else key(own[i - 1]), int(of[i - 1]), None if there[i] else key(own[i]), int(of[i])] += 1
+    return out
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = FREQUENT, clustered: int = CLUSTERED,
-        classes: int = CLASSES, rounds: int = ROUNDS) -> Model:
+def loose_pairs(texts: DataFrame, words, shapes, of) -> DataFrame:
+    """``(a, ca, b, cb, n)``: neighbours of which at least one isn't listed."""
+    schema = pa.schema([("a", pa.int64()), ("ca", pa.int32()), ("b", pa.int64()), ("cb", pa.int32()), ("n", pa.int64())])
+
+    def out(count: Counter):
+        columns = [*map(list, zip(*count))] or [[], [], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([*columns, list(count.values())], schema)], schema=schema)
+
+    def run(batches):
+        lookup, count = Lookup(words.value), Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                own = tokens(text.as_py())
+                numbers = lookup(own)
+                count.update(_loose(own, numbers, of.value[symbols(numbers, shapes.value, len(words.value))]))
+                if len(count) > _KEPT:
+                    yield out(count)
+                    count = Counter()
+        yield out(count)
+
+    return texts.mapInArrow(run, "a long, ca int, b long, cb int, n long").groupBy("a", "ca", "b", "cb").agg(F.sum("n").alias("n"))
+
+
+def with_classes(rows: DataFrame, side: str, rest: DataFrame) -> DataFrame:
+    """``rows`` with the class of the word in column ``side`` (and its count, as ``n_`` and the side), where it
+    isn't null and in ``rest``."""
+    found = rest.select(F.col("word").alias(side), F.col("class").alias("_class"), F.col("n").alias("n_" + side))
+    loose = rows.where(F.col(side).isNotNull()).join(found, side, "left").withColumn("c" + side, F.coalesce("_class", "c" + side)).drop("_class")
+    return loose.unionByName(rows.where(F.col(side).isNull()).withColumn("n_" + side, F.lit(None).cast("long")))
+
+
+def place_rest(texts: DataFrame, rest: DataFrame, words, shapes, of: np.ndarray, pairs: np.ndarray, classes: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(rest with classes, the class of unseen words by shape, counts of class pairs of all words)."""
+    sc, total = texts.sparkSession.sparkContext, len(pairs)
+    unseen = of[-SHAPES:].copy()
+    if not len(words.value):
+        return rest.withColumn("class", F.col("shape") + classes), unseen, pairs
+    listed = np.zeros((SHAPES, classes), np.int64)
+    np.add.at(listed, (shapes.value, of[:-SHAPES]), 1)
+    unseen = np.where(listed.any(1), listed.argmax(1), listed.sum(0).argmax())
+    if rest.isEmpty():
+        return rest.withColumn("class", F.col("shape") + classes), unseen, pairs
+    loose = cut(loose_pairs(texts, words, shapes, sc.broadcast(of)), "loose-pairs")
+    near = loose.where("a is null").select(F.col("b").alias("word"), F.col("ca").alias("code"), "n").unionByName(
+        loose.where("b is null").select(F.col("a").alias("word"), (F.col("cb") + total).alias("code"), "n"))
+    around = grouped(near.groupBy("word", "code").agg(F.sum("n").alias("n")))
+    placed = cut(rest.join(place(around, of, pairs, classes, False), "word", "left"), "placed")
+    for r in placed.where("class is not null").groupBy("shape", "class").agg(F.count("*").alias("n")).groupBy("shape").agg(
+            F.max(F.struct("n", (-F.col("class")).alias("neg"))).alias("most")).select("shape", (-F.col("most.neg")).alias("class")).collect():
+        unseen[r["shape"]] = r["class"]
+    by_shape = F.array(*(F.lit(int(c)) for c in unseen))
+    rest = cut(placed.withColumn("class", F.coalesce("class", by_shape[F.col("shape")])), "rest")
+    out = np.zeros_like(pairs)
+    out[:classes, :classes] = pairs[:classes, :classes]
+    named = with_classes(with_classes(loose.withColumnRenamed("n", "times"), "a", rest), "b", rest)
+    for r in named.groupBy("ca", "cb").agg(F.sum("times").alias("n")).collect():
+        out[r["ca"], r["cb"]] += r["n"]
+    return rest, unseen, out
+
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = FREQUENT, clustered: int | None = None,
+        classes: int = CLASSES, rounds: int | None = None) -> Model:
     """Learn from the rows that aren't held out."""
     spark = docs.sparkSession
     texts = docs.where(~held_out(doc_id)).select(F.col(text).cast("string").alias("text"))
     counts = cut(word_counts(texts), "words")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    words, number, least = frequent(counts, most)
-    by_word = counts.where(F.col("n") >= least).select("word", "shape").toPandas().set_index("word")["shape"]  # at most ``most`` rows
+    words, number, listed = frequent(counts, most)
+    by_word = counts.where(listed).select("word", "shape").toPandas().set_index("word")["shape"]  # at most ``most`` rows
     shapes = by_word.reindex(words).to_numpy(np.int64) if len(words) else np.empty(0, np.int64)
-    clustered = min(clustered, len(words))
-    pairs = cut(pair_counts(texts, spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(shapes), clustered), "word-pairs")
+    every = clustered is None
+    clustered = len(words) if every else min(clustered, len(words))
+    sent = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(shapes)
+    pairs = cut(pair_counts(texts, *sent, clustered), "word-pairs")
     of, class_pairs = exchange(pairs, clustered, classes, rounds)
-    # totals and distinct words by class: the clustered words by their class, all others by their shape
-    total = np.zeros(classes + SHAPES)
-    kinds = np.zeros(classes + SHAPES)
-    np.add.at(total, of[:clustered], number[:clustered])
-    np.add.at(kinds, of[:clustered], 1)
-    for r in counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        total[classes + r["shape"]] += r["n"]
-        kinds[classes + r["shape"]] += r["v"]
-    np.subtract.at(total, classes + shapes[:clustered], number[:clustered])
-    np.subtract.at(kinds, classes + shapes[:clustered], 1)
+    rest = counts.where(~listed).select("word", "shape", "n")
+    if every:
+        rest, unseen, class_pairs = place_rest(texts, rest, *sent, of, class_pairs, classes)
+        of = np.concatenate([of[:clustered], unseen])
+    else:
+        rest = rest.withColumn("class", F.col("shape") + classes)
+    # totals and distinct words by class
+    total, kinds = np.zeros(classes + SHAPES), np.zeros(classes + SHAPES)
+    own = of[symbols(np.arange(len(words)), shapes, clustered)]
+    np.add.at(total, own, number)
+    np.add.at(kinds, own, 1)
+    for r in rest.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        total[r["class"]] += r["n"]
+        kinds[r["class"]] += r["v"]
     own = (total + ALPHA) / (total + ALPHA).sum()
     weight = len(own)
     steps = (class_pairs + weight * own) / (class_pairs.sum(1, keepdims=True) + weight)
     mass = np.log10(total + ALPHA * (kinds + 1))
-    return Model(words, number, shapes, clustered, of, np.log10(steps), mass, int(n), int(v), counts.where(F.col("n") < least).select("word", "n"))
+    return Model(words, number, shapes, clustered, of, np.log10(steps), mass, int(n), int(v), rest.select("word", "n", "class"))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` per row."""
     rest, model = model.rest, Model(**{**vars(model), "rest": None})
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rare = pa.struct([("word", pa.int64()), ("n", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(rare))])
+    loose = pa.struct([("a", pa.int64()), ("ca", pa.int32()), ("b", pa.int64()), ("cb", pa.int32()), ("times", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("loose", pa.list_(loose))])
     state: list[tuple[Lookup, np.ndarray]] = []
 
     def run(ids, texts):
@@ -265,27 +447,34 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             own = tokens(text.as_py())
             numbers = lookup(own)
             of = m.of[symbols(numbers, m.shapes, m.clustered)]
-            often = numbers >= 0
+            often, prior = numbers >= 0, np.append(of[-1:], of[:-1])
+            both = often & np.append(often[-1:], often[:-1])
             counted = logs[numbers[often]].sum()
-            seldom = Counter(own[i] for i in np.flatnonzero(~often).tolist())
             out["n_tokens"].append(len(own))
             out["known"].append(int(often.sum()))
             out["base"].append(counted - len(own) * base_unit)
-            out["score"].append(counted + m.steps[np.append(of[-1:], of[:-1]), of].sum() - m.mass[of].sum())
-            out["rare"].append([{"word": key(w), "n": n} for w, n in seldom.items()])
+            out["score"].append(counted + m.steps[prior[both], of[both]].sum() - m.mass[of[often]].sum())
+            out["loose"].append([dict(zip(("a", "ca", "b", "cb"), p), times=n) for p, n in _loose(own, numbers, of).items()])
         out["doc_id"] = ids
         return {f.name: pa.array(out[f.name], f.type) if f.name != "doc_id" else ids for f in schema}
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.mapInArrow(by_batches(run, schema, "doc_id", "text"), "doc_id long, n_tokens long, known long, base double, score double, rare array<struct<word:long,n:int>>")
+    rows = rows.mapInArrow(by_batches(run, schema, "doc_id", "text"),
+                           "doc_id long, n_tokens long, known long, base double, score double, loose array<struct<a:long,ca:int,b:long,cb:int,times:int>>")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    each = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
-    each = each.join(rest, "word", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + ALPHA)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("seen"))
-    more, seen = F.coalesce("more", F.lit(0.0)), F.coalesce("seen", F.lit(0))
-    return rows.drop("rare").join(each, "row", "left").select(
+    each = with_classes(with_classes(rows.select("row", F.inline("loose")), "a", rest), "b", rest)
+    size = len(model.mass)
+    table_ = docs.sparkSession.createDataFrame([(a, b, float(model.steps[a, b]), float(model.mass[b])) for a in range(size) for b in range(size)],
+                                               "ca int, cb int, step double, mass double")
+    here = F.col("b").isNotNull()
+    log = F.when(here, F.log10(F.coalesce("n_b", F.lit(0)) + ALPHA)).otherwise(0.0)
+    each = each.join(F.broadcast(table_), ["ca", "cb"]).groupBy("row").agg(
+        F.sum(F.col("times") * log).alias("more"), F.sum(F.col("times") * (F.col("step") + log - F.when(here, F.col("mass")).otherwise(0.0))).alias("rise"),
+        F.sum(F.when(F.col("n_b") > 0, F.col("times")).otherwise(0)).alias("seen"))
+    more, rise, seen = F.coalesce("more", F.lit(0.0)), F.coalesce("rise", F.lit(0.0)), F.coalesce("seen", F.lit(0))
+    return rows.drop("loose").join(each, "row", "left").select(
         "doc_id", held_out("doc_id").alias("held_out"), "n_tokens", (F.col("known") + seen).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+        (F.col("base") + more).alias("base_score"), (F.col("score") + rise).alias("score"))
 
 
 def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

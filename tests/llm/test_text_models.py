@@ -224,3 +224,56 @@ def test_brown_without_training_rows(spark):
     assert all(r.train_tokens == r.n_known == 0 and r.base_score == 0 and math.isfinite(r.score) for r in out)
     none = spark.createDataFrame([], DOCS)
     assert brown_lm.score(none, brown_lm.fit(none)).collect() == []
+
+
+def test_every_training_word_is_clustered(spark):
+    """Words far down the frequency list, and words below it, follow their neighbours' classes."""
+    r = random.Random(6)
+    names, verbs = [f"n{i}x" for i in range(1500)], [f"v{i}x" for i in range(1500)]
+    rows = [(i, " ".join(r.choice(names) + " " + r.choice(verbs) for _ in range(150))) for i in range(250)]
+    rows += [(1000 + i, f"rare{i}a {r.choice(verbs)} {r.choice(names)} rare{i}b") for i in range(60)]
+    docs = frame(spark, rows)
+    model = brown_lm.fit(docs, most=3001, classes=3)
+    assert len(model.words) <= 3001 and model.clustered == len(model.words) > 1024 and (model.of < 3).all()
+    kind = {brown_lm.key(w.encode()): w[0] for w in names + verbs}
+    of = {int(w): int(c) for w, c in zip(model.words, model.of)}
+    rest = {x.word: x for x in model.rest.collect()}
+    assert rest and all(x["class"] < 3 for x in rest.values())
+    of.update((w, x["class"]) for w, x in rest.items())
+    count = {k: [sum(of[w] == c for w in of if kind.get(w) == k) for c in range(3)] for k in "nv"}
+    assert all(max(c) > 0.6 * sum(c) for c in count.values()), count
+    assert max(range(3), key=count["n"].__getitem__) != max(range(3), key=count["v"].__getitem__)
+    trained = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert len(of) == len({w for _, t in trained for w in brown_lm.tokens(t)})
+    # the transitions behind the scores hold every pair of neighbours
+    pairs = np.zeros((len(model.mass),) * 2)
+    for _, t in trained:
+        c = [of[brown_lm.key(w)] for w in brown_lm.tokens(t)]
+        np.add.at(pairs, ([c[-1], *c[:-1]], c), 1)
+    seen = [x for x in brown_lm.score(docs, model).collect() if not x.held_out]
+    total = np.zeros(len(model.mass))
+    kinds = np.zeros(len(model.mass))
+    words = {}
+    for _, t in trained:
+        for w in brown_lm.tokens(t):
+            words[w] = words.get(w, 0) + 1
+    for w, n in words.items():
+        total[of[brown_lm.key(w)]] += n
+        kinds[of[brown_lm.key(w)]] += 1
+    share = (total + 0.5) / (total + 0.5).sum()
+    steps = np.log10((pairs + len(share) * share) / (pairs.sum(1, keepdims=True) + len(share)))
+    text = dict(rows)
+    for x in seen[::20]:
+        own = brown_lm.tokens(text[x.doc_id])
+        c = [of[brown_lm.key(w)] for w in own]
+        want = sum(steps[a, b] for a, b in zip([c[-1], *c], c)) + sum(math.log10((words[w] + 0.5) / (total[k] + 0.5 * (kinds[k] + 1))) for w, k in zip(own, c))
+        assert x.score == pytest.approx(want) and x.n_known == len(own)
+
+
+def test_frequency_list_with_high_and_equal_counts(spark):
+    high = spark.createDataFrame([(i, 0, 200_000 + i) for i in range(20)], "word long, shape int, n long")
+    words, counts, _ = brown_lm.frequent(high, 8)
+    assert words.tolist() == list(range(19, 11, -1)) and counts[0] == 200_019
+    equal = spark.createDataFrame([(i, 0, 3) for i in range(20)], "word long, shape int, n long")
+    words, _, listed = brown_lm.frequent(equal, 8)
+    assert words.tolist() == list(range(8)) and equal.where(~listed).count() == 12
