@@ -68,17 +68,17 @@ def bag(text: str | None) -> set[str]:
     for at in [i for i, w in enumerate(words) if len(w) == 1 and w.isalnum()]:
         if run and at != run[-1] + 1:
             if len(run) > 2:
-                out.add("".join(words[i] for i in run)[:10 * LONGEST])
+                out.add("".join(words[i] for i in run))
             run = []
         run.append(at)
     if len(run) > 2:
-        out.add("".join(words[i] for i in run)[:10 * LONGEST])
+        out.add("".join(words[i] for i in run))
     return out
 
 
 def _padded(items: list[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
     """(byte codes by row, lengths)."""
-    raw = [s.encode()[:2 * LONGEST] for s in items]
+    raw = [s.encode() for s in items]
     size = np.fromiter(map(len, raw), np.int64, len(raw))
     out = np.full((len(raw), max(1, size.max(initial=1))), pad, np.int16)
     out[np.arange(out.shape[1]) < size[:, None]] = np.frombuffer(b"".join(raw), np.uint8)
