@@ -62,11 +62,12 @@ def strings(word: str) -> list[str]:
 
 
 def bag(text: str | None) -> set[str]:
-    """The distinct words of a text, and each run of three or more single letters as one word."""
+    """The distinct words of a text, and each run of three or more single letters, marks between them left out, as
+    one word."""
     words = (text or "").lower().split()
     out, run = set(words), []
     for at in [i for i, w in enumerate(words) if len(w) == 1 and w.isalnum()]:
-        if run and at != run[-1] + 1:
+        if run and any(c.isalnum() for w in words[run[-1] + 1:at] for c in w):
             if len(run) > 2:
                 out.add("".join(words[i] for i in run))
             run = []

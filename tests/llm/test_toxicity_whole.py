@@ -19,3 +19,11 @@ def test_end_of_a_long_word_in_a_wide_script():
         assert found[1] > 2 * found[0] and found[1] > 1e-3, size
     wide = toxicity._padded(["\U0001f600" * 24], -1)
     assert wide[1].tolist() == [96] and not np.any(wide[0] == -1)
+
+
+def test_letters_with_marks_between():
+    assert "grumble" in toxicity.bag("so g . r . u *** m - b . l . e it is")
+    assert toxicity.bag("g . r and u . m") == {"g", ".", "r", "and", "u", "m"}
+    bags = toxicity.Bags(toxicity.Landmarks(["^grumble$"]))
+    found = bags.texts([" . ".join("grumble"), "grumble"])[:, 0]
+    assert found[0] == found[1] > 0.9
