@@ -1,7 +1,9 @@
 """Benchmark decontamination by question templates.
 
 Words become template tokens: numbers, names (capitalised inside a sentence) and units (after a number)
-turn into typed placeholders, other words into their lower-case letters and digits. Windows of five tokens
+turn into typed placeholders, other words into their lower-case letters and digits. A currency sign at a number
+belongs to it. A capitalised word at a sentence's start may be a name or not: windows over one are taken in both
+readings, and the second counts where the first finds nothing. Windows of five tokens
 of all documents are hash-joined with the windows of the benchmark. Per document and item, the windows are
 taken as one run (same shift between the two texts) and over all shifts; an item leaks if at least 0.8 of
 its windows are there and its slots are filled consistently: each value of the item is replaced by one
@@ -24,7 +26,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventframe.llm.common import by_batches, cut, table, window_hashes
@@ -42,8 +44,8 @@ UNITS = frozenset(
     "pound pounds oz ounce ounces l ml litre litres liter liters gallon gallons s sec second seconds min minute "
     "minutes h hr hour hours day days week weeks month months year years percent % degree degrees °c °f dollar "
     "dollars cent cents euro euros € $ £ mph kmh km/h m/s hz khz mhz ghz w kw mw v a j kj cal kcal n pa kpa".split())
-_NUMBER = re.compile(r"[+-]?\d[\d.,:/]*")
-_QUANTITY = re.compile(r"[+-]?\d[\d.,:/]*([^\W\d]+|%|°[cf])")
+_NUMBER = re.compile(r"[+-]?[€$£]?[+-]?\.?\d[\d.,:/]*[€$£]?")
+_QUANTITY = re.compile(r"[+-]?[€$£]?\d[\d.,:/]*([^\W\d]+|%|°[cf])")
 _NUM, _NAME, _UNIT = (xxhash.xxh64_intdigest(x) for x in ("<number>", "<name>", "<unit>"))
 _EDGES = re.compile(r"^[^\w%€$£°]+|[^\w%€$£°]+$")
 
@@ -77,8 +79,9 @@ class Tokens(dict):
         self[word] = len(self)
         return len(self) - 1
 
-    def template(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, kinds) of a text's words; kind 0 is a plain word."""
+    def template(self, words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(codes, kinds) of a text's words; kind 0 is a plain word. Capitalised words at a sentence's start are
+        plain in the first reading and names in the second."""
         index = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         by_code = np.frombuffer(self.codes, np.uint64).reshape(-1, 3)
         by_kind = np.frombuffer(self.kinds, np.int8).reshape(-1, 4)
@@ -86,48 +89,58 @@ class Tokens(dict):
         after = np.flatnonzero(kinds[:-1] == 1) + 1
         codes[after], kinds[after] = by_code[index[after], 2], by_kind[index[after], 2]
         first = np.append(0, np.flatnonzero(by_kind[index[:-1], 3]) + 1)
-        codes[first], kinds[first] = by_code[index[first], 0], by_kind[index[first], 0]
-        return codes, kinds
+        out = []
+        for reading in (0, 1):
+            codes[first], kinds[first] = by_code[index[first], reading], by_kind[index[first], reading]
+            out.append((codes.copy(), kinds.copy()))
+        return out
 
 
 def windows(df: DataFrame, key: str, text: str, bitmap=None, width: int = WIDTH, plain: int = PLAIN) -> DataFrame:
-    """``(key, pos, hash, slots)``: the usable windows; ``slots`` has a placeholder's word, null elsewhere."""
-    schema = pa.schema([("key", pa.int64()), ("pos", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))])
+    """``(key, pos, reading, hash, slots)``: the usable windows; ``slots`` has a placeholder's word, null elsewhere.
+    Those of reading 1 are there where it differs from reading 0."""
+    schema = pa.schema([("key", pa.int64()), ("pos", pa.int32()), ("reading", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))])
     tokens: list[Tokens] = []
 
     def find(keys, texts):
         if not tokens or len(tokens[0]) > _WORDS:
             tokens[:] = [Tokens()]
-        out: dict[str, list] = {"key": [], "pos": [], "hash": [], "slots": []}
+        out: dict[str, list] = {"key": [], "pos": [], "reading": [], "hash": [], "slots": []}
         for key, text in zip(keys.to_pylist(), texts):
             words = (text.as_py() or "").encode().split()
             if len(words) < width:
                 continue
-            codes, kinds = tokens[0].template(words)
-            hashes = window_hashes(codes, width)
-            if bitmap is not None:
-                at = np.flatnonzero(bitmap.value[hashes >> np.uint64(64 - _BITS)])
+            before = None
+            for reading, (codes, kinds) in enumerate(tokens[0].template(words)):
+                hashes = window_hashes(codes, width)
+                use = np.ones(len(hashes), bool) if before is None else hashes != before
+                before = hashes
+                if bitmap is not None:
+                    use &= bitmap.value[hashes >> np.uint64(64 - _BITS)]
+                at = np.flatnonzero(use)
                 if not len(at):
                     continue
-            else:
-                at = np.arange(len(hashes))
-            for p in at[sum(kinds[at + j] == 0 for j in range(width)) >= plain].tolist():
-                out["key"].append(key)
-                out["pos"].append(p)
-                out["hash"].append(int(hashes[p].view(np.int64)))
-                out["slots"].append([words[p + j].decode("utf-8", "replace").lower() if kinds[p + j] else None for j in range(width)])
+                for p in at[sum(kinds[at + j] == 0 for j in range(width)) >= plain].tolist():
+                    out["key"].append(key)
+                    out["pos"].append(p)
+                    out["reading"].append(reading)
+                    out["hash"].append(int(hashes[p].view(np.int64)))
+                    out["slots"].append([words[p + j].decode("utf-8", "replace").lower() if kinds[p + j] else None for j in range(width)])
         return {n: pa.array(v, schema.field(n).type) for n, v in out.items()}
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(by_batches(find, schema, "key", "text"), "key long, pos int, hash long, slots array<string>")
+    return rows.mapInArrow(by_batches(find, schema, "key", "text"), "key long, pos int, reading int, hash long, slots array<string>")
 
 
 def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """``(hash, item_id, at, values, total)``: an item's distinct windows, each at its first place."""
-    rows = windows(benchmark.where(F.col(key).isNotNull()), key, text, width=width).groupBy(F.col("key").alias("item_id"), "hash").agg(
-        F.min(F.struct("pos", "slots")).alias("first"))
+    """``(hash, item_id, at, values, total)``: an item's distinct windows, each at its first place, in both readings."""
+    both = cut(windows(benchmark.where(F.col(key).isNotNull()), key, text, width=width).withColumnRenamed("key", "item_id"), "item-windows")
+    rows = both.where("reading = 0").groupBy("item_id", "hash").agg(F.min(F.struct("pos", "slots")).alias("first"))
+    rows = rows.select("item_id", "hash", F.col("first.pos").alias("at"), F.col("first.slots").alias("values"))
     total = rows.groupBy("item_id").agg(F.count("*").alias("total"))
-    return rows.join(total, "item_id").select("hash", "item_id", F.col("first.pos").alias("at"), F.col("first.slots").alias("values"), "total")
+    other = both.where("reading = 1").select("item_id", "hash", F.col("pos").alias("at"), F.col("slots").alias("values")).distinct()
+    other = other.join(rows.select("item_id", "at"), ["item_id", "at"], "left_semi").select(rows.columns)
+    return rows.unionByName(other).join(total, "item_id").select("hash", "item_id", "at", "values", "total")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
@@ -140,8 +153,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     found = windows(docs, doc_id, text, spark.sparkContext.broadcast(bitmap))
     if known.count() <= _SMALL:
         known = F.broadcast(known)
-    pairs = cut(found.join(known, "hash").select(F.col("key").alias("doc_id"), "item_id", "at", (F.col("pos") - F.col("at")).alias("shift"),
+    pairs = cut(found.join(known, "hash").select(F.col("key").alias("doc_id"), "item_id", "at", "reading", (F.col("pos") - F.col("at")).alias("shift"),
                                                   "total", F.arrays_zip(F.col("values").alias("was"), F.col("slots").alias("now")).alias("pair")), "template-hits")
+    first = F.min("reading").over(Window.partitionBy("doc_id", "item_id", "at", "shift"))
+    pairs = pairs.withColumn("first", first).where("reading = first").drop("reading", "first")
     runs = pairs.withColumn("shift", F.explode(F.array("shift", F.lit(None).cast("int"))))
     group = ["doc_id", "item_id", "shift"]
     cover = runs.groupBy(group).agg((F.size(F.collect_set("at")) / F.max("total")).alias("coverage")).where(F.col("coverage") >= share)
