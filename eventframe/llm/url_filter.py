@@ -16,6 +16,7 @@ are 0; an empty table gives no rows; extra columns don't matter.
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Sequence
 
@@ -27,7 +28,7 @@ from eventframe.llm.common import cut, table
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DAMPING, ROUNDS, CLOSE, THRESHOLD = 0.85, 20, 1e-6, 0.5
+DAMPING, CLOSE, THRESHOLD = 0.85, 1e-6, 0.5
 _HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -63,9 +64,10 @@ def links(pages: DataFrame, html: str = "html") -> DataFrame:
     return found.select("src", to.alias("dst")).where("dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, close: float = CLOSE) -> DataFrame:
     """``(host, score)`` for all hosts with a score: personalised PageRank over ``edges(src, dst, n)`` from
-    ``seeds(host, weight)``. Ends after ``rounds``, or once scores change by less than ``close`` in sum."""
+    ``seeds(host, weight)``. Ends once scores change by less than ``close`` in sum, or after
+    ``rounds`` if given."""
     all_weight = seeds.agg(F.sum("weight")).first()[0]
     if not all_weight:
         return seeds.select("host", F.lit(0.0).alias("score")).limit(0)
@@ -73,7 +75,9 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, round
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     steps = cut(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "steps")
     now = start.select("host", F.col("seed").alias("score"))
-    for _ in range(rounds):
+    # a round leaves at most ``damping`` of the change of the one before, which was 2 at most
+    most = math.ceil(math.log(close / 2) / math.log(damping)) + 10 if rounds is None else rounds
+    for _ in range(most):
         moved = now.join(steps, now["host"] == steps["src"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         moved = cut(moved, "moved")
         kept = moved.agg(F.sum("got")).first()[0] or 0.0  # the rest was at hosts without links
@@ -85,6 +89,9 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, round
         now = new
         if change < close:
             break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"scores still change by {change} after {most} rounds")
     return now
 
 
