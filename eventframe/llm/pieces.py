@@ -2,13 +2,14 @@
 
 The merges come from a public model file: two neighbouring symbols may merge if their join is a piece, the
 best score first, the leftmost of equal ones. Every candidate is skipped for good with probability
-``dropout``, decided by a keyed hash of the seed, the text it is in and its place there; a skipped merge
+``dropout``, decided by a keyed hash of the seed, the document and its place there; a skipped merge
 leaves the shorter pieces, and pieces joined with a new neighbour are new candidates. Without dropout the
 result is the library's own.
 
 Candidates never reach over a change from other characters to a space, so a text is encoded in chunks (a
-word with the spaces before it). Documents are dealt over ``variants`` keys by a hash of the seed and their
-identifier; a chunk is segmented once per key and task and its pieces are reused. Chunks of up to
+word with the spaces before it). Every occurrence has a key of its own, from the seed, the document's identifier
+and the number of the chunk in the text. What a task remembers of a chunk are its pieces without dropout and the
+candidates met on the way; only an occurrence that skips none of them reuses the pieces. Chunks of up to
 ``_SHORT`` characters advance together, one merge each at a time; longer ones use an agenda (a heap).
 
 Characters without a piece, and a literal U+2581 (which stands for a space in pieces), become byte pieces;
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from eventframe.llm.common import by_batches, mix64, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 7, 8
+DROPOUT, SEED = 0.1, 7
 #: Chunks up to this length are segmented together.
 _SHORT = 32
 #: Segmentations that a task remembers.
@@ -86,7 +87,7 @@ class Vocabulary:
 
 
 class Segmenter:
-    """Segments chunks and remembers the result by (chunk, variant)."""
+    """Segments chunks and remembers their pieces without dropout, with all candidates met."""
 
     def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int):
         self.v, self.seed, self.size = vocabulary, seed, len(vocabulary.text)
@@ -103,63 +104,124 @@ class Segmenter:
         self._forget()
 
     def _forget(self):
-        self.at: list[dict[str, int]] = []
+        self.at: dict[str, int] = {}
         self.ids, self.start, self.length = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.met, self.met_start, self.met_length = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def encode(self, texts: list[str | None], variants: list[int], at_once: int = 2 << 20) -> list[np.ndarray]:
-        """The piece ids of each text, found for about ``at_once`` characters at a time."""
+        """The piece ids of each text, by the key of each, found for about ``at_once`` characters at a time."""
         out: list[np.ndarray] = []
         part = np.cumsum([len(t or "") for t in texts]) // at_once if texts else np.empty(0, int)
         ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
         for a, b in zip([0, *ends], ends):
             chunks = [self.chunk.findall(" " + t) if t else [] for t in texts[a:b]]
-            if sum(map(len, self.at)) > _KEPT:
+            if len(self.at) > _KEPT:
                 self._forget()
-            while len(self.at) <= max(variants[a:b], default=0):
-                self.at.append({})
-            for v in set(variants[a:b]):
-                new = set().union(*(c for c, w in zip(chunks, variants[a:b]) if w == v)).difference(self.at[v])
-                if new:
-                    self._add(sorted(new, key=len), v)
-            for c, v in zip(chunks, variants[a:b]):
-                index = np.fromiter(map(self.at[v].__getitem__, c), np.int64, len(c))
-                out.append(self.ids[_ranges(self.start[index], self.length[index])])
+            if new := set().union(*chunks).difference(self.at):
+                self._add(sorted(new, key=len))
+            many = np.array([len(c) for c in chunks], np.int64)
+            every = [c for own in chunks for c in own]
+            index = np.fromiter(map(self.at.__getitem__, every), np.int64, len(every))
+            start, length = self.start[index], self.length[index]
+            ids = self.ids
+            if self.limit and len(every):
+                of = np.array([xxhash.xxh64_intdigest((int(v) & (2**64 - 1)).to_bytes(8, "little"), self.seed & (2**64 - 1)) for v in variants[a:b]], np.uint64)
+                key = mix64(np.repeat(of, many) ^ mix64(_ranges(np.zeros(len(many), np.int64), many).astype(np.uint64)))
+                again = self._any_skipped(index, key)
+                fresh, sizes = self._segment([every[i] for i in again.tolist()], key[again])
+                start[again], length[again] = len(ids) + np.cumsum(sizes) - sizes, sizes
+                ids = np.concatenate([ids, fresh])
+            flat = ids[_ranges(start, length)]
+            size = np.append(0, np.cumsum(length))[np.append(0, np.cumsum(many))]
+            out += [flat[x:y] for x, y in zip(size[:-1].tolist(), size[1:].tolist())]
         return out
 
-    def _add(self, new: list[str], variant: int) -> None:
+    def _any_skipped(self, index: np.ndarray, key: np.ndarray, at_once: int = 1 << 18) -> np.ndarray:
+        """The occurrences (of the chunks ``index``) that skip a candidate met without dropout."""
+        out = []
+        for lo in range(0, len(index), at_once):
+            i = index[lo:lo + at_once]
+            many = self.met_length[i]
+            row = np.repeat(np.arange(len(i)), many)
+            skip = mix64(key[lo + row] ^ self.met[_ranges(self.met_start[i], many)]) < self.limit
+            out.append(lo + np.unique(row[skip]))
+        return np.concatenate(out)
+
+    def _segment(self, chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of occurrences with a key each."""
+        ids: list[np.ndarray] = [np.empty(0, np.int32)] * len(chunks)
+        size = np.array([len(c) for c in chunks], np.int64)
+        order = np.argsort(size, kind="stable")
+        short = order[size[order] <= _SHORT]
+        slow = order[size[order] > _SHORT].tolist()
+        for lo in range(0, len(short), 20_000):
+            at = short[lo:lo + 20_000]
+            unknown = self._unknown([chunks[i] for i in at.tolist()])
+            slow += at[unknown].tolist()
+            at = at[~unknown]
+            if len(at):
+                found, length = self._together([chunks[i] for i in at.tolist()], keys[at])
+                for i, x in zip(at.tolist(), np.split(found, np.cumsum(length)[:-1])):
+                    ids[i] = x
+        for i in slow:
+            ids[i] = self._agenda(chunks[i], keys[i])
+        return np.concatenate([np.empty(0, np.int32), *ids]), np.array([len(x) for x in ids], np.int64)
+
+    def _unknown(self, chunks: list[str]) -> np.ndarray:
+        """Whether a chunk has a character without a piece."""
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = np.concatenate([[0], np.cumsum([len(c) for c in chunks])])
+        return np.add.reduceat(self.single[codes] < 0, first[:-1]) > 0
+
+    def _add(self, new: list[str]) -> None:
         plain, other = [], []
         for c in new:
             (plain if len(c) <= _SHORT else other).append(c)
-        found: list[tuple[list[str], np.ndarray, np.ndarray]] = []
         for lo in range(0, len(plain), 20_000):
             part = plain[lo:lo + 20_000]
-            codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
-            first = np.concatenate([[0], np.cumsum([len(c) for c in part])])
-            unknown = np.add.reduceat(self.single[codes] < 0, first[:-1]) > 0
+            unknown = self._unknown(part)
             other += [c for c, u in zip(part, unknown) if u]
             good = [c for c, u in zip(part, unknown) if not u]
             if good:
-                found.append((good, *self.together(good, variant)))
+                met: list[tuple[np.ndarray, np.ndarray]] = []
+                ids, length = self._together(good, None, met)
+                row, place = (np.concatenate(x) for x in zip(*met))
+                self._keep(good, ids, length, place[np.argsort(row, kind="stable")], np.bincount(row, minlength=len(good)))
         if other:
-            ids = [self.agenda(c, variant) for c in other]
-            found.append((other, np.concatenate(ids), np.array([len(i) for i in ids], np.int64)))
-        for names, ids, length in found:
-            base = len(self.length)
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
-            self.ids = np.concatenate([self.ids, ids])
-            self.at[variant].update(zip(names, range(base, base + len(names))))
+            met_all: list[list[int]] = [[] for _ in other]
+            ids = [self._agenda(c, None, m) for c, m in zip(other, met_all)]
+            self._keep(other, np.concatenate(ids), np.array([len(i) for i in ids], np.int64),
+                       np.array([p for m in met_all for p in m], np.uint64), np.array([len(m) for m in met_all], np.int64))
+
+    def _keep(self, names: list[str], ids: np.ndarray, length: np.ndarray, met: np.ndarray, many: np.ndarray) -> None:
+        base = len(self.length)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.ids = np.concatenate([self.ids, ids])
+        self.met_start = np.concatenate([self.met_start, len(self.met) + np.cumsum(many) - many])
+        self.met_length = np.concatenate([self.met_length, many])
+        self.met = np.concatenate([self.met, mix64(met)])
+        self.at.update(zip(names, range(base, base + len(names))))
 
     def _key(self, chunk: str, variant: int) -> int:
         return xxhash.xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"), self.seed * 1_000_003 + variant)
 
+    @staticmethod
+    def _place(left, middle, end):
+        """A number for the merge of [left, middle) and [middle, end); arrays or numbers."""
+        return np.asarray(left, np.uint64) << np.uint64(42) ^ np.asarray(middle, np.uint64) << np.uint64(21) ^ np.asarray(end, np.uint64)
+
     def _skipped(self, key, left, middle, end):
         """Whether the merge of [left, middle) and [middle, end) is dropped; arrays or numbers."""
-        place = np.asarray(left, np.uint64) << np.uint64(42) ^ np.asarray(middle, np.uint64) << np.uint64(21) ^ np.asarray(end, np.uint64)
-        return mix64(np.atleast_1d(key ^ mix64(np.atleast_1d(place)))) < self.limit
+        return mix64(np.atleast_1d(key ^ mix64(np.atleast_1d(self._place(left, middle, end))))) < self.limit
 
     def together(self, chunks: list[str], variant: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, lengths) of short chunks whose characters all have a piece, one merge of each at a time."""
+        """(ids, lengths) of short chunks whose characters all have a piece, keyed by chunk and variant."""
+        return self._together(chunks, np.fromiter((self._key(c, variant) for c in chunks), np.uint64, len(chunks)))
+
+    def _together(self, chunks: list[str], key: np.ndarray | None, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths), one merge of each chunk at a time; without keys nothing is skipped and ``met`` gets
+        (row, place) of all candidates."""
         n, size = len(chunks), np.array([len(c) for c in chunks])
         width = int(size.max())
         here = np.arange(width) < size[:, None]
@@ -167,7 +229,6 @@ class Segmenter:
         symbol[here] = self.single[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
         after = np.tile(np.arange(1, width + 1), (n, 1))  # start of the next symbol; ``size`` at the end
         before = np.tile(np.arange(-1, width - 1), (n, 1))
-        key = np.fromiter((self._key(c, variant) for c in chunks), np.uint64, n)
         rank, join = np.full((n, width), _NONE, np.int32), np.zeros((n, width), np.int32)
 
         def renew(row, at):
@@ -179,7 +240,9 @@ class Segmenter:
             place = np.minimum(np.searchsorted(self.v.keys, pair), len(self.v.keys) - 1)
             can = self.v.keys[place] == pair
             row, at, middle, place = (x[can] for x in (row, at, middle, place))
-            if self.limit:
+            if met is not None:
+                met.append((row, self._place(at, middle, after[row, middle])))
+            if self.limit and key is not None:
                 can = ~self._skipped(key[row], at, middle, after[row, middle])
                 row, at, place = row[can], at[can], place[can]
             rank[row, at], join[row, at] = self.v.rank[place], self.v.joined[place]
@@ -203,9 +266,13 @@ class Segmenter:
         return symbol[symbol >= 0], (symbol >= 0).sum(1)
 
     def agenda(self, chunk: str, variant: int) -> np.ndarray:
-        """The ids of any chunk, by a heap of candidates."""
+        """The ids of any chunk, keyed by chunk and variant."""
+        return self._agenda(chunk, np.uint64(self._key(chunk, variant)))
+
+    def _agenda(self, chunk: str, key: np.uint64 | None, met: list | None = None) -> np.ndarray:
+        """The ids of any chunk, by a heap of candidates; without a key as in ``_together``."""
         symbol = [int(self.single[ord(c)]) for c in chunk]
-        n, key = len(symbol), np.uint64(self._key(chunk, variant))
+        n = len(symbol)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap: list[tuple[int, int, int, int, int]] = []
 
@@ -214,7 +281,9 @@ class Segmenter:
             if middle >= n or symbol[at] < 0 or symbol[middle] < 0:
                 return
             found = self.merge.get(symbol[at] * self.size + symbol[middle])
-            if found and not (self.limit and self._skipped(key, at, middle, after[middle])[0]):
+            if found and met is not None:
+                met.append(int(self._place(at, middle, after[middle])))
+            if found and not (self.limit and key is not None and self._skipped(key, at, middle, after[middle])[0]):
                 heapq.heappush(heap, (found[0], at, middle, after[middle], found[1]))
 
         for i in range(n):
@@ -249,12 +318,12 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(len(shift)) + shift
 
 
-def _variant(doc_id: str, seed: int, variants: int):
-    return F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), F.lit(seed)), F.lit(variants)).cast("int")
+def _document(doc_id: str, seed: int):
+    return F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), F.lit(seed))
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, dropout: float = DROPOUT,
-           seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+           seed: int = SEED) -> DataFrame:
     """``(doc_id, ids, lossless)`` per row; ``lossless``: decoding the ids gives the text again."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("lossless", pa.bool_())])
@@ -270,7 +339,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
         return {"doc_id": ids, "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 "lossless": [state[0].decode(f) == t for f, t in zip(found, texts)]}
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), _variant(doc_id, seed, variants).alias("key"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), _document(doc_id, seed).alias("key"))
     return rows.mapInArrow(by_batches(run, schema, "doc_id", "text", "key"), "doc_id long, ids array<int>, lossless boolean")
 
 
