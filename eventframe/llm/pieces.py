@@ -128,8 +128,8 @@ class Segmenter:
                 of = np.array([xxhash.xxh64_intdigest((int(v) & (2**64 - 1)).to_bytes(8, "little"), self.seed & (2**64 - 1)) for v in variants[a:b]], np.uint64)
                 key = mix64(np.repeat(of, many) ^ mix64(_ranges(np.zeros(len(many), np.int64), many).astype(np.uint64)))
                 again = self._any_skipped(index, key)
-                fresh, sizes = self._segment([every[i] for i in again.tolist()], key[again])
-                start[again], length[again] = len(ids) + np.cumsum(sizes) - sizes, sizes
+                fresh, first, length[again] = self._segment([every[i] for i in again.tolist()], key[again])
+                start[again] = len(ids) + first
                 ids = np.concatenate([ids, fresh])
             flat = ids[_ranges(start, length)]
             size = np.append(0, np.cumsum(length))[np.append(0, np.cumsum(many))]
@@ -147,10 +147,11 @@ class Segmenter:
             out.append(lo + np.unique(row[skip]))
         return np.concatenate(out)
 
-    def _segment(self, chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, lengths) of occurrences with a key each."""
-        ids: list[np.ndarray] = [np.empty(0, np.int32)] * len(chunks)
-        size = np.array([len(c) for c in chunks], np.int64)
+    def _segment(self, chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, lengths) of occurrences with a key each."""
+        ids, done = [np.empty(0, np.int32)], 0
+        start, length = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         order = np.argsort(size, kind="stable")
         short = order[size[order] <= _SHORT]
         slow = order[size[order] > _SHORT].tolist()
@@ -160,12 +161,15 @@ class Segmenter:
             slow += at[unknown].tolist()
             at = at[~unknown]
             if len(at):
-                found, length = self._together([chunks[i] for i in at.tolist()], keys[at])
-                for i, x in zip(at.tolist(), np.split(found, np.cumsum(length)[:-1])):
-                    ids[i] = x
+                found, many = self._together([chunks[i] for i in at.tolist()], keys[at])
+                start[at], length[at] = done + np.cumsum(many) - many, many
+                ids.append(found)
+                done += len(found)
         for i in slow:
-            ids[i] = self._agenda(chunks[i], keys[i])
-        return np.concatenate([np.empty(0, np.int32), *ids]), np.array([len(x) for x in ids], np.int64)
+            ids.append(self._agenda(chunks[i], keys[i]))
+            start[i], length[i] = done, len(ids[-1])
+            done += len(ids[-1])
+        return np.concatenate(ids), start, length
 
     def _unknown(self, chunks: list[str]) -> np.ndarray:
         """Whether a chunk has a character without a piece."""
