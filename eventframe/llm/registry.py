@@ -4,6 +4,7 @@ from eventframe.llm import (
     brown_lm,
     decontaminate,
     exact_dedup,
+    periodic_runs,
     pieces,
     secrets,
     simhash,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_secrets": secrets.op9_secrets,
     "op10_brown_lm": brown_lm.op10_brown_lm,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
 }
 
 ORACLE = {
