@@ -12,6 +12,7 @@ from eventframe.llm import (
     suffix_tree,
     toxicity,
     url_filter,
+    whitening,
 )
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_brown_lm": brown_lm.op10_brown_lm,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_whitening": whitening.op12_whitening,
 }
 
 ORACLE = {
