@@ -4,6 +4,7 @@ from eventframe.llm import (
     brown_lm,
     decontaminate,
     exact_dedup,
+    jaccard_join,
     periodic_runs,
     pieces,
     secrets,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_brown_lm": brown_lm.op10_brown_lm,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_whitening": whitening.op12_whitening,
+    "op13_jaccard_join": jaccard_join.op13_jaccard_join,
 }
 
 ORACLE = {
