@@ -4,8 +4,9 @@ Equal sets are one node. Two bounds hold for any two sets within distance ``r``:
 ``(1 - r)`` of either's shingles, and by the triangle inequality their distances to any third set differ by
 at most ``r``.
 
-1. *Nodes that can have a partner.* Of each set the shingles with the smallest hashes (``r`` of it and a twentieth
-   more) are looked up in all others; two sets within ``r`` share a twentieth of them or so. What remains is the crowd.
+1. *Nodes that can have a partner.* Of each set the shingles with the smallest hashes (``r`` of it and a tenth
+   more) are looked up in all others; two sets within ``r`` share a tenth of their shingles there or so. What remains
+   is the crowd. The hashes travel in blocks, one for each batch of documents and range of hashes, each hash once per batch.
 2. *Voronoi rounds.* Pivots are drawn from the crowd: the most central node of each large bucket of equal
    minimum hashes, the buckets' least size falling with each round. Every node gets its exact distance to all
    pivots within ``2 r``; the nearest within ``r`` is its region, and the nodes beyond up to ``2 r`` are the documents at
@@ -30,13 +31,15 @@ link to nothing and have a null component; an empty table gives none; other colu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventframe.llm.common import broadcast_hot, by_batches, cut, mix64, table, window_hashes
+from eventframe.llm.common import broadcast_hot, by_batches, cut, slices, table, window_hashes
 from eventframe.llm.components import components
 
 #: Least size of a round's buckets: the crowd's size over this, over its square, and so on.
@@ -45,6 +48,12 @@ FACTOR = 32
 SMALL = 16
 #: Pivots whose shingles number up to this are broadcast (16 bytes each).
 _BROADCAST = 1 << 19
+#: Up to so many nodes of the crowd are broadcast to find their texts (40 bytes each); more are joined in a shuffle.
+_FEW = 1 << 20
+#: In a block of hashes, the owner of those that several sets of the batch have; also the most rows of a batch.
+_ANY = (1 << 16) - 1
+_BLOCK = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("hashes", "owners", "rids", "keys", "given", "counts"))])
+_BLOCK_DDL = "part int, hashes binary, owners binary, rids binary, keys binary, given binary, counts binary"
 
 
 def shared(n: int | Column, percent: int) -> int | Column:
@@ -64,8 +73,8 @@ def shingle_hashes(text: bytes | None, width: int, known: dict[bytes, int]) -> n
 
 
 def lowest(n: int, percent: int) -> int:
-    """Length of the prefix by hash: what two sets may differ in, and a twentieth."""
-    return min(n, n - shared(n, percent) + max(1, -(-n // 20)))
+    """Length of the prefix by hash: what two sets may differ in, and a tenth."""
+    return min(n, n - shared(n, percent) + max(1, -(-n // 10)))
 
 
 def sets(docs: DataFrame, width: int, percent: int | None) -> DataFrame:
@@ -92,14 +101,83 @@ def sets(docs: DataFrame, width: int, percent: int | None) -> DataFrame:
     return docs.mapInArrow(by_batches(rows, schema, "doc_id", "text"), "doc_id long, n int, k1 long, k2 long, h array<long>")
 
 
-def crowd_of(rows: DataFrame, percent: int) -> DataFrame:
-    """``(rid)`` of the rows that share enough of their prefix with other sets to be within reach of one."""
-    flat = rows.select("rid", "n", "k1", F.explode("h").alias("s"))
-    repeated = flat.groupBy("s").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("s")
-    # the other set has at least percent of this one's shingles, so its prefix has that share of the twentieth
-    need = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 2000))
-    flat = flat.select("rid", "n", "s").join(repeated, "s", "left_semi")
-    return flat.groupBy("rid", "n").agg(F.count("*").alias("k")).where(F.col("k") >= need).select("rid")
+def _send(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of hashes by range: of each batch every set once and every hash once. A hash that several sets of the
+    batch have is credited to them here, and goes out with the owner ``_ANY``."""
+    for batch in batches:
+        for part in slices(batch, 32 << 20):
+            for lo in range(0, part.num_rows, _ANY):
+                yield _blocks(part.slice(lo, _ANY), bits)
+
+
+def _blocks(part: pa.RecordBatch, bits: int) -> pa.RecordBatch:
+    keys, rids = part.column("k1").to_numpy(), part.column("rid").to_numpy()
+    lists = part.column("h")
+    _, first = np.unique(keys, return_index=True)
+    once = np.zeros(len(keys), bool)
+    once[first] = True
+    owner = np.repeat(np.arange(len(keys)), np.diff(lists.offsets.to_numpy()))
+    hashes = lists.flatten().to_numpy().view(np.uint64)[once[owner]]
+    owner = owner[once[owner]]
+    order = np.argsort(hashes)
+    hashes, owner = hashes[order], owner[order]
+    new = np.concatenate([[True], hashes[1:] != hashes[:-1]]) if len(hashes) else np.empty(0, bool)
+    size = np.diff(np.append(np.flatnonzero(new), len(hashes)))
+    several = np.repeat(size > 1, size)
+    credit = np.bincount(owner[several], minlength=len(keys))
+    owner = np.where(several, _ANY, owner)[new].astype(np.uint16)
+    hashes = hashes[new]
+    ends = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange(1 << bits), side="right") if bits else np.array([len(hashes)])
+    out: dict[str, list] = {c: [] for c in _BLOCK.names}
+    for p, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+        given = np.flatnonzero(credit) if p == 0 else np.empty(0, np.int64)
+        own = np.unique(owner[a:b])
+        own = own[own != _ANY].astype(np.int64)
+        place = np.full(_ANY + 1, _ANY, np.uint16)
+        place[own] = np.arange(len(own))
+        if b > a or len(given):
+            for c, x in zip(_BLOCK.names, (p, hashes[a:b], place[owner[a:b]], rids[own], keys[own], rids[given], credit[given])):
+                out[c].append(x if c == "part" else x.tobytes())
+    return pa.RecordBatch.from_pydict(out, schema=_BLOCK)
+
+
+def _gather(group: pa.Table) -> pa.Table:
+    """How many hashes of a range each sent row shares with another set."""
+    blocks = group.to_pylist()
+    read = lambda name, kind: [np.frombuffer(x[name], kind) for x in blocks]
+    rids, keys, places = read("rids", np.int64), read("keys", np.int64), read("owners", np.uint16)
+    hashes = np.concatenate(read("hashes", np.uint64))
+    any_ = np.concatenate([p == _ANY for p in places])
+    start = np.cumsum([0, *map(len, rids)])
+    owner = np.concatenate([p.astype(np.int64) + at for p, at in zip(places, start)])
+    rids, keys = np.concatenate(rids), np.concatenate(keys)
+    order = np.argsort(hashes)
+    hashes, any_, owner = hashes[order], any_[order], owner[order]
+    credit = np.zeros(len(rids), np.int64)
+    if len(hashes):
+        new = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        own = np.where(any_, 0, owner)
+        key = keys[own] if len(keys) else own
+        top, low = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+        least = np.minimum.reduceat(np.where(any_, top, key), new)
+        most = np.maximum.reduceat(np.where(any_, low, key), new)
+        shared_ = np.logical_or.reduceat(any_, new) | (least < most)
+        held = np.repeat(shared_, np.diff(np.append(new, len(hashes)))) & ~any_
+        credit = np.bincount(owner[held], minlength=len(rids))
+    given, count = read("given", np.int64), read("counts", np.int64)
+    return pa.table({"rid": np.concatenate([rids[credit > 0], *given]), "k": np.concatenate([credit[credit > 0], *count])})
+
+
+def crowd_of(rows: DataFrame, percent: int, block: int = 1 << 21) -> DataFrame:
+    """``(rid)`` of the sets that share enough of their prefix with others to be within reach of one, by the row
+    that came first among the equal ones of its batch; ``block`` hashes or so make one range."""
+    total = rows.agg(F.sum(F.size("h"))).first()[0] or 0
+    bits = max(3, (total // block).bit_length())
+    sent = rows.select("rid", "k1", "h").mapInArrow(lambda batches: _send(batches, bits), _BLOCK_DDL)
+    credit = sent.groupBy("part").applyInArrow(_gather, "rid long, k long").groupBy("rid").agg(F.sum("k").alias("k"))
+    # the other set has at least percent of this one's shingles, so its prefix has that share of the tenth
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 1000))
+    return rows.select("rid", "n").join(credit, "rid").where(F.col("k") >= need).select("rid")
 
 
 def index_of(crowd: DataFrame, percent: int) -> DataFrame:
@@ -186,12 +264,17 @@ def near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     able = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     narrow = rows.where(able).select("rid", "doc_id", "n", "k1", "k2")
     nodes = cut(narrow.groupBy("k1", "k2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("size")), "nodes")
-    # equal sets have the same prefix, so the crowd holds all rows of a set or none
-    crowd = nodes.join(cut(crowd_of(rows.where(able), percent), "crowd").withColumnRenamed("rid", "node"), "node", "left_semi")
-    crowd = cut(crowd.select("node", "least", "k1", "k2"), "crowd-nodes")
-    own = docs.join(crowd.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    own = sets(own, width, None).join(crowd, ["k1", "k2"]).where("doc_id = least").dropDuplicates(["node"])
-    edges = links(cut(own.select("node", "n", "h"), "crowd-sets"), percent, factor, small)
+    # a set's first row is the first of its batch too
+    crowd = nodes.join(crowd_of(rows.where(able), percent).withColumnRenamed("rid", "node"), "node", "left_semi")
+    crowd = cut(crowd.select(F.col("least").alias("doc_id"), "node", F.col("k1").alias("j1"), F.col("k2").alias("j2")), "crowd")
+    # while the crowd is small, its texts are found without moving any
+    small_side = F.broadcast if crowd.count() <= _FEW else lambda df: df
+    own = docs.join(small_side(crowd.select("doc_id").distinct()), "doc_id", "left_semi")
+    own = sets(own, width, None).drop("n").join(small_side(crowd), "doc_id").where("k1 = j1 and k2 = j2")
+    if not narrow.groupBy("doc_id").count().where("count > 1").isEmpty():  # equal rows
+        own = own.dropDuplicates(["node"])
+    own = own.select("node", F.size("h").alias("n"), "h")
+    edges = links(cut(own, "crowd-sets"), percent, factor, small)
     found = components(edges.unionByName(_same_document(narrow, nodes)))
     classes = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = cut(classes, "classes")

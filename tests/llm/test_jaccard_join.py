@@ -103,6 +103,22 @@ def test_exactly_at_the_threshold(spark):
     assert ours(frame(spark, rows)) == want
 
 
+def test_crowd_is_the_same_for_any_blocks(spark, monkeypatch):
+    rows = [(i, t) for i, t in corpus(7, 90) if t]
+    want = None
+    for parts, block in ((1, 1 << 21), (7, 40)):
+        docs = frame(spark, rows, parts).selectExpr("doc_id", "cast(text as binary) text")
+        sets = J.sets(docs, 5, 80).where("n > 0").withColumn("rid", F.monotonically_increasing_id()).cache()
+        crowd = sets.join(J.crowd_of(sets, 80, block), "rid").select("k1", "k2").distinct()
+        got = {tuple(r) for r in crowd.collect()}
+        flat = sets.dropDuplicates(["k1", "k2"]).select("k1", "k2", "n", F.explode("h").alias("s"))
+        often = flat.groupBy("s").count().where("count > 1")
+        plain = flat.join(often, "s").groupBy("k1", "k2", "n").count().where("count >= greatest(1, ceil(n * 80 / 1000))")
+        assert got == {(r["k1"], r["k2"]) for r in plain.collect()} and got
+        assert want is None or want == got
+        want = got
+
+
 def test_given_documents(spark):
     rows = [tuple(r) for r in table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").collect()]
     got = J.op13_jaccard_join(spark, "/root/testdata/sf0.001")
