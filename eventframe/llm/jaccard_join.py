@@ -8,7 +8,7 @@ at most ``r``.
    more) are looked up in all others; two sets within ``r`` share a tenth of their shingles there or so. What remains
    is the crowd. The hashes travel in blocks, one for each batch of documents and range of hashes, each hash once per batch.
 2. *Voronoi rounds.* Pivots are drawn from the crowd: the most central node of each large bucket of equal
-   minimum hashes, the buckets' least size falling with each round. Every node gets its exact distance to all
+   minimum hashes, the buckets' least size falling with each round, and of two linked pivots only one. Every node gets its exact distance to all
    pivots within ``2 r``; the nearest within ``r`` is its region, and the nodes beyond up to ``2 r`` are the documents at
    the region's boundary, replicated into it. A node at distance ``t`` from a pivot has all its
    partners in the window up to ``t + r``; once everything in that window is in the node's own component, no
@@ -16,7 +16,7 @@ at most ``r``.
    next round with more pivots.
 3. *The last round.* All nodes that are left are pivots, and are joined exactly within ``r``.
 
-Distances come from an index over shingles, rarest first: sets within a distance share one of the first few, so
+Distances come from an index over shingles, rarest first: sets within a distance share some of the first, so
 shingles that many documents have hardly ever lead a search; every candidate's distance is then computed
 on whole sets. Links go into components (large-star, small-star).
 
@@ -180,45 +180,64 @@ def crowd_of(rows: DataFrame, percent: int, block: int = 1 << 21) -> DataFrame:
     return rows.select("rid", "n").join(credit, "rid").where(F.col("k") >= need).select("rid")
 
 
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, which is narrow and written, as the broadcast side of a join while it has few rows."""
+    return F.broadcast(df) if df.count() <= _FEW else df
+
+
+def more(n: Column) -> Column:
+    """How many shingles two similar sets share among the first ones, where the smaller set has ``n``."""
+    return F.lit(1) + F.floor(n / 20).cast("int")
+
+
+def first_ones(n: Column, percent: int) -> Column:
+    """How many of a set's first shingles hold ``more(n)`` of those that it shares with any similar set."""
+    return n - shared(n, percent) + more(n)
+
+
 def index_of(crowd: DataFrame, percent: int) -> DataFrame:
-    """``(node, n, s, rank, rarity)``: each set's first shingles, rarest first, as far as similarity ``percent`` needs
-    them, without those that no other set has; ``rarity`` is the mean number of sets that have one of its."""
+    """``(node, n, s, rank, density)``: each set's first shingles, rarest first, as far as similarity ``percent`` needs
+    them, without those that no other set has; ``density`` is the mean number of sets that have one of its own."""
     rows = crowd.select("node", "n", F.explode("h").alias("s"))
     often = rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
     listed = rows.join(often, "s")
     own = Window.partitionBy("node")
     place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "s"))
     listed = listed.select("node", "n", "s", place.alias("rank"), (F.sum("c").over(own) / F.col("n")).alias("density"))
-    return listed.where(F.col("rank") <= F.col("n") - shared(F.col("n"), percent) + 1)
+    return listed.where(F.col("rank") <= first_ones(F.col("n"), percent))
 
 
 def distances(left: DataFrame, pivots: DataFrame, index: DataFrame, crowd: DataFrame, percent: int, both_ways: bool) -> DataFrame:
     """``(node, pivot, i, u)``: sizes of intersection and union of all pairs with similarity ``percent`` or more."""
-    index = index.where(F.col("rank") <= F.col("n") - shared(F.col("n"), percent) + 1)
+    index = index.where(F.col("rank") <= first_ones(F.col("n"), percent))
+    pivots = small_side(pivots.select("node"))
     ours = index.join(left.select("node"), "node", "left_semi").select("node", "n", "s")
-    theirs = index.join(pivots.select("node"), "node", "left_semi").select(F.col("node").alias("pivot"), F.col("n").alias("m"), "s")
-    arrays = crowd.select(F.col("node").alias("pivot"), F.col("h").alias("g"))
-    arrays = arrays.join(theirs.select("pivot").distinct(), "pivot", "left_semi")
-    theirs, arrays = cut(theirs, "pivot-index"), cut(arrays, "pivot-sets")
-    size = arrays.agg(F.sum(F.size("g"))).first()[0] or 0
+    theirs = cut(index.join(pivots, "node", "left_semi").select(F.col("node").alias("pivot"), F.col("n").alias("m"), "s"), "pivot-index")
+    arrays = crowd.join(pivots, "node", "left_semi").select(F.col("node").alias("pivot"), F.col("h").alias("g"))
     near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
     other = F.col("node") != F.col("pivot") if both_ways else F.col("node") < F.col("pivot")
-    if size <= _BROADCAST:
+    if (arrays.agg(F.sum(F.size("g"))).first()[0] or 0) <= _BROADCAST:
         theirs, arrays = F.broadcast(theirs), F.broadcast(arrays)
-    pairs = ours.join(theirs, "s").where(near & other).select("node", "pivot").distinct()
-    pairs = pairs.join(crowd.select("node", "h"), "node").join(arrays, "pivot")
+    met = ours.join(theirs, "s").where(near & other).groupBy("node", "pivot", "n", "m").agg(F.count("*").alias("k"))
+    pairs = cut(met.where(F.col("k") >= more(F.least("n", "m"))).select("node", "pivot"), "pairs")
+    pairs = crowd.select("node", "h").join(small_side(pairs), "node").join(arrays, "pivot")
     i = F.size(F.array_intersect("h", "g"))
     pairs = pairs.select("node", "pivot", i.alias("i"), (F.size("h") + F.size("g") - i).alias("u"))
     return cut(pairs.where(F.col("i") * 100 >= F.col("u") * percent), "distances")
 
 
-def pivots_of(left: DataFrame, index: DataFrame, least: int, seed: int) -> DataFrame:
-    """``(node)``: the most central node of each bucket of equal minimum hashes with ``least`` nodes or more."""
+def pivots_of(left: DataFrame, index: DataFrame, crowd: DataFrame, percent: int, least: int, seed: int) -> DataFrame:
+    """``(node)``: the most central node of each bucket of equal minimum hashes with ``least`` nodes or more; of two
+    that are linked only the more central."""
     # the smallest of the shingles that others have too; the most central set has the most common ones
     own = index.join(left.select("node"), "node", "left_semi").groupBy("node").agg(
         F.min(F.xxhash64(F.lit(seed), F.col("s"))).alias("bucket"), F.first("density").alias("density"))
     best = own.groupBy("bucket").agg(F.count("*").alias("size"), F.max(F.struct(F.col("density"), (-F.col("node")).alias("less"))).alias("best"))
-    return best.where(F.col("size") >= least).select((-F.col("best.less")).alias("node")).distinct()
+    some = cut(best.where(F.col("size") >= least).select((-F.col("best.less")).alias("node"), "best.density").distinct(), "pivots")
+    close = distances(some, some, index, crowd, percent, False).select("node", "pivot").join(some.withColumnRenamed("density", "d"), "node")
+    close = close.join(some.select(F.col("node").alias("pivot"), F.col("density").alias("e")), "pivot")
+    lesser = close.select(F.when(F.col("d") >= F.col("e"), F.col("pivot")).otherwise(F.col("node")).alias("node"))
+    return cut(some.select("node").join(lesser, "node", "left_anti"), "pivots")
 
 
 def links(crowd: DataFrame, percent: int = 80, factor: int = FACTOR, small: int = SMALL) -> DataFrame:
@@ -230,7 +249,7 @@ def links(crowd: DataFrame, percent: int = 80, factor: int = FACTOR, small: int
     size, linked, step = left.count(), None, 0
     least = size // factor
     while least >= small and not left.isEmpty():
-        found = distances(left, pivots_of(left, index, least, step), index, crowd, reach, True)
+        found = distances(left, pivots_of(left, index, crowd, percent, least, step), index, crowd, reach, True)
         step, least = step + 1, least // factor
         new = found.where(F.col("i") * 100 >= F.col("u") * percent).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
         linked = cut(new if linked is None else linked.unionByName(new).distinct(), "links")
@@ -268,8 +287,7 @@ def near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     crowd = nodes.join(crowd_of(rows.where(able), percent).withColumnRenamed("rid", "node"), "node", "left_semi")
     crowd = cut(crowd.select(F.col("least").alias("doc_id"), "node", F.col("k1").alias("j1"), F.col("k2").alias("j2")), "crowd")
     # while the crowd is small, its texts are found without moving any
-    small_side = F.broadcast if crowd.count() <= _FEW else lambda df: df
-    own = docs.join(small_side(crowd.select("doc_id").distinct()), "doc_id", "left_semi")
+    own = docs.join(small_side(crowd.select("doc_id")), "doc_id", "left_semi")
     own = sets(own, width, None).drop("n").join(small_side(crowd), "doc_id").where("k1 = j1 and k2 = j2")
     if not narrow.groupBy("doc_id").count().where("count > 1").isEmpty():  # equal rows
         own = own.dropDuplicates(["node"])
