@@ -14,9 +14,10 @@ at most ``r``.
    partners in the window up to ``t + r``; once everything in that window is in the node's own component, no
    link of it can change the result and it leaves. All others, and those that no pivot reached, go into the
    next round with more pivots.
-3. *The last round.* All nodes that are left are pivots, and are joined exactly within ``r``.
+3. *The last round.* All nodes that are left are pivots, and those of different components are joined exactly
+   within ``r``.
 
-Distances come from an index over shingles, rarest first: sets within a distance share some of the first, so
+Distances come from an index over shingles, rarest first: sets within a distance share one of the first, so
 shingles that many documents have hardly ever lead a search; every candidate's distance is then computed
 on whole sets. Links go into components (large-star, small-star).
 
@@ -43,9 +44,9 @@ from eventframe.llm.common import broadcast_hot, by_batches, cut, slices, table,
 from eventframe.llm.components import components
 
 #: Least size of a round's buckets: the crowd's size over this, over its square, and so on.
-FACTOR = 32
+FACTOR = 16
 #: Buckets under this size give no pivots of their own; their nodes meet in the last round.
-SMALL = 16
+SMALL = 4
 #: Pivots whose shingles number up to this are broadcast (16 bytes each).
 _BROADCAST = 1 << 19
 #: Up to so many nodes of the crowd are broadcast to find their texts (40 bytes each); more are joined in a shuffle.
@@ -185,14 +186,22 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= _FEW else df
 
 
-def more(n: Column) -> Column:
-    """How many shingles two similar sets share among the first ones, where the smaller set has ``n``."""
-    return F.lit(1) + F.floor(n / 20).cast("int")
+def first_ones(n: Column, percent: int) -> Column:
+    """How many of a set's shingles, in any order common to all sets, hold one that it shares with a similar set."""
+    return n - shared(n, percent) + 1
 
 
-def first_ones(n: Column, percent: int) -> Column:
-    """How many of a set's first shingles hold ``more(n)`` of those that it shares with any similar set."""
-    return n - shared(n, percent) + more(n)
+def alive(crowd: DataFrame, percent: int) -> DataFrame:
+    """The nodes without those that have too many shingles of their own for any partner; as such a node's shingles
+    no longer count for others, this goes on until hardly any more leave."""
+    while True:
+        size = crowd.count()
+        rows = crowd.select("node", "n", F.explode("h").alias("s"))
+        often = rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
+        held = rows.select("node", "s").join(often, "s", "left_semi").groupBy("node").agg(F.count("*").alias("k"))
+        crowd = cut(crowd.join(held, "node").where(F.col("k") >= shared(F.col("n"), percent)).drop("k"), "crowd-sets")
+        if crowd.count() * 20 >= size * 19:
+            return crowd
 
 
 def index_of(crowd: DataFrame, percent: int) -> DataFrame:
@@ -207,19 +216,23 @@ def index_of(crowd: DataFrame, percent: int) -> DataFrame:
     return listed.where(F.col("rank") <= first_ones(F.col("n"), percent))
 
 
-def distances(left: DataFrame, pivots: DataFrame, index: DataFrame, crowd: DataFrame, percent: int, both_ways: bool) -> DataFrame:
-    """``(node, pivot, i, u)``: sizes of intersection and union of all pairs with similarity ``percent`` or more."""
+def distances(left: DataFrame, pivots: DataFrame, index: DataFrame, crowd: DataFrame, percent: int, class_of: DataFrame | None = None) -> DataFrame:
+    """``(node, pivot, i, u)``: sizes of intersection and union of all pairs with similarity ``percent`` or more; with
+    ``class_of(node, component)`` only of pairs of different components, each pair once."""
     index = index.where(F.col("rank") <= first_ones(F.col("n"), percent))
     pivots = small_side(pivots.select("node"))
     ours = index.join(left.select("node"), "node", "left_semi").select("node", "n", "s")
     theirs = cut(index.join(pivots, "node", "left_semi").select(F.col("node").alias("pivot"), F.col("n").alias("m"), "s"), "pivot-index")
     arrays = crowd.join(pivots, "node", "left_semi").select(F.col("node").alias("pivot"), F.col("h").alias("g"))
     near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    other = F.col("node") != F.col("pivot") if both_ways else F.col("node") < F.col("pivot")
+    other = F.col("node") != F.col("pivot")
+    if class_of is not None:
+        own = ours.join(class_of, "node", "left").select("node", "n", "s", F.coalesce("component", "node").alias("x"))
+        ours, theirs = own, cut(own.select(F.col("node").alias("pivot"), F.col("n").alias("m"), "s", F.col("x").alias("y")), "pivot-index")
+        other = (F.col("node") < F.col("pivot")) & (F.col("x") != F.col("y"))
     if (arrays.agg(F.sum(F.size("g"))).first()[0] or 0) <= _BROADCAST:
         theirs, arrays = F.broadcast(theirs), F.broadcast(arrays)
-    met = ours.join(theirs, "s").where(near & other).groupBy("node", "pivot", "n", "m").agg(F.count("*").alias("k"))
-    pairs = cut(met.where(F.col("k") >= more(F.least("n", "m"))).select("node", "pivot"), "pairs")
+    pairs = cut(ours.join(theirs, "s").where(near & other).select("node", "pivot").distinct(), "pairs")
     pairs = crowd.select("node", "h").join(small_side(pairs), "node").join(arrays, "pivot")
     i = F.size(F.array_intersect("h", "g"))
     pairs = pairs.select("node", "pivot", i.alias("i"), (F.size("h") + F.size("g") - i).alias("u"))
@@ -234,7 +247,7 @@ def pivots_of(left: DataFrame, index: DataFrame, crowd: DataFrame, percent: int,
         F.min(F.xxhash64(F.lit(seed), F.col("s"))).alias("bucket"), F.first("density").alias("density"))
     best = own.groupBy("bucket").agg(F.count("*").alias("size"), F.max(F.struct(F.col("density"), (-F.col("node")).alias("less"))).alias("best"))
     some = cut(best.where(F.col("size") >= least).select((-F.col("best.less")).alias("node"), "best.density").distinct(), "pivots")
-    close = distances(some, some, index, crowd, percent, False).select("node", "pivot").join(some.withColumnRenamed("density", "d"), "node")
+    close = distances(some, some, index, crowd, percent).where("node < pivot").select("node", "pivot").join(some.withColumnRenamed("density", "d"), "node")
     close = close.join(some.select(F.col("node").alias("pivot"), F.col("density").alias("e")), "pivot")
     lesser = close.select(F.when(F.col("d") >= F.col("e"), F.col("pivot")).otherwise(F.col("node")).alias("node"))
     return cut(some.select("node").join(lesser, "node", "left_anti"), "pivots")
@@ -244,19 +257,22 @@ def links(crowd: DataFrame, percent: int = 80, factor: int = FACTOR, small: int
     """``crowd(node, n, h)`` -> ``(a, b)``: links of similarity ``percent`` or more that connect what all of them
     connect. Lists no link between nodes that others join already."""
     reach = max(1, 2 * percent - 100)
+    crowd = alive(crowd, percent)
     index = cut(index_of(crowd, reach), "index")
     left = cut(crowd.select("node"), "left")
-    size, linked, step = left.count(), None, 0
+    size, step = left.count(), 0
+    linked = left.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    class_of = left.select("node", F.col("node").alias("component")).where("false")
     least = size // factor
     while least >= small and not left.isEmpty():
-        found = distances(left, pivots_of(left, index, crowd, percent, least, step), index, crowd, reach, True)
+        found = distances(left, pivots_of(left, index, crowd, percent, least, step), index, crowd, reach)
         step, least = step + 1, least // factor
         new = found.where(F.col("i") * 100 >= F.col("u") * percent).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        linked = cut(new if linked is None else linked.unionByName(new).distinct(), "links")
+        linked = cut(linked.unionByName(new).distinct(), "links")
         class_of = cut(components(linked), "classes")
         left = cut(_unsettled(left, found, class_of, percent), "left")
-    rest = distances(left, left, index, crowd, percent, False).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    return rest if linked is None else linked.unionByName(rest)
+    rest = distances(left, left, index, crowd, percent, class_of).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    return linked.unionByName(rest)
 
 
 def _unsettled(left: DataFrame, found: DataFrame, class_of: DataFrame, percent: int) -> DataFrame:
