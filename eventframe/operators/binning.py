@@ -1,6 +1,6 @@
 """Equal-frequency mass bins.
 
-Exact quantiles come from :func:`ordering.exact_quantiles` (distinct values pre-aggregated, ranks by a
+Exact quantiles come from :func:`quantiles.exact_quantiles` (distinct values pre-aggregated, ranks by a
 two-level prefix sum, only the needed ranks looked up). Edges are a bounded list (sum of K+1 over the
 candidates) collected once and used as literal arrays; histograms for all candidates are one
 aggregate keyed by bin, whose partial counts are all that moves.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from eventframe.constants import CANDIDATE_K, LOAD_WINDOW, MIN_BIN_COUNT
 from eventframe.operators.filters import window_closed
-from eventframe.operators.ordering import exact_quantiles
+from eventframe.operators.quantiles import exact_quantiles
 
 __all__ = [
     "equal_freq_edges",

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from eventframe.constants import LAMBDA_MAX, MIN_DELTA, PATIENCE, WARMUP_EPOCHS
+from eventframe.functions.scalar import nan_if_null
 from eventframe.operators.ordering import ID_BUCKET, dense_index, prefix_aggregate
 from eventframe.session import ensure_checkpoint_dir
 
@@ -72,13 +73,13 @@ def early_stopping(hist: DataFrame, patience: int = PATIENCE, min_delta: float =
 
     A best is updated iff ``loss < best - min_delta`` (strict); ``stop_epoch`` is the epoch where the
     count of epochs without improvement reaches ``patience`` (null when training never stops). A NaN
-    loss is never better, and a NaN first loss stays the best, as nothing is below it;
+    loss (null counts as NaN) is never better, and a NaN first loss stays the best, as nothing is below it;
     ``epochs_run`` is the number of epochs that exist after the stop (W4). Epochs are counted by
     their position in ``epoch`` order.
     """
     if min_delta < 0:
         raise ValueError("min_delta must be >= 0")
-    h = hist.select(F.col(run_col).alias("run"), F.col(epoch_col).alias("epoch"), F.col(loss_col).alias("loss"))
+    h = hist.select(F.col(run_col).alias("run"), F.col(epoch_col).alias("epoch"), nan_if_null(loss_col).alias("loss"))
     h = dense_index(h, ["run"], "epoch", out="pos").persist(StorageLevel.MEMORY_AND_DISK)
     runs = h.groupBy("run").agg(F.count(F.lit(1)).alias("n_epochs"))
     # 1. running-minimum records (candidates for a new best)
@@ -130,7 +131,7 @@ def early_stopping(hist: DataFrame, patience: int = PATIENCE, min_delta: float =
 def best_epoch(hist: DataFrame, run_col: str = "run", epoch_col: str = "epoch", loss_col: str = "loss") -> DataFrame:
     """Without early stopping an epoch is best iff ``loss <= min(previous losses)`` (ties win, NaN as in W1);
     returns the last such epoch per run and its loss."""
-    h = hist.select(F.col(run_col).alias("run"), F.col(epoch_col).alias("epoch"), F.col(loss_col).alias("loss"))
+    h = hist.select(F.col(run_col).alias("run"), F.col(epoch_col).alias("epoch"), nan_if_null(loss_col).alias("loss"))
     h = dense_index(h, ["run"], "epoch", out="pos")
     pm = prefix_aggregate(h, ["run"], ["pos"], F.col("pos"), _before(), bucket_width=ID_BUCKET)
     b = pm.where((F.col("pos") == 0) | ((F.col("loss") <= F.col("pm")) & (F.col("nan_first") == 0)))

@@ -5,7 +5,7 @@ Design for scale:
   scores* (rows are first aggregated by score, so ties and hot values collapse);
 - AUC, ROC points and the trapezoid area come from per-score counts and a two-level prefix sum of
   negatives/positives (no window over all rows of a class, no lag over the curve);
-- quantile thresholds/edges are exact (:func:`ordering.exact_quantiles`) and come back as a few
+- quantile thresholds/edges are exact (:func:`quantiles.exact_quantiles`) and come back as a few
   literals; histograms keep empty bins through a left join from the (bounded) bin grid.
 """
 
@@ -13,12 +13,13 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventframe.constants import CORR_GUARD, N_HIST_BINS, N_SCORE_BINS, PURITY_QUANTILE
 from eventframe.functions.scalar import argmax
-from eventframe.operators.ordering import exact_quantiles, prefix_aggregate
+from eventframe.operators.ordering import prefix_aggregate
+from eventframe.operators.quantiles import exact_quantiles
 
 __all__ = [
     "with_prediction",
@@ -58,12 +59,18 @@ def confusion_matrix(scored: DataFrame, n_classes: int = 3, y_col: str = "y", pr
     return g.join(counts, ["y", "pred"], "left").select("y", "pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def usable_score(s: Column) -> Column:
+    """``s``; null and NaN raise an error instead of a rank."""
+    return F.when(s.isNotNull() & ~F.isnan(s), s).otherwise(F.raise_error(F.lit("a score is null or NaN")))
+
+
 def class_scores(scored: DataFrame, n_classes: int = 3, group_by: Sequence[str] = (), y_col: str = "y",
                  p_col: str = "p") -> DataFrame:
-    """Per (group, class, distinct score): positives ``P`` and negatives ``N`` (one-vs-rest)."""
+    """Per (group, class, distinct score): positives ``P`` and negatives ``N`` (one-vs-rest). A null or NaN score
+    is an error, as it can't be ranked."""
     g = list(group_by)
     arr = F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col(p_col)[c].alias("s"), (F.col(y_col) == c).cast("long").alias("pos"))
+        F.struct(F.lit(c).alias("c"), usable_score(F.col(p_col)[c]).alias("s"), (F.col(y_col) == c).cast("long").alias("pos"))
         for c in range(n_classes)
     ])
     ex = scored.select(*g, F.inline(arr))
@@ -129,7 +136,7 @@ def top_quantile_purity(scored: DataFrame, cls: int = 1, q: float = PURITY_QUANT
                         p_col: str = "p") -> DataFrame:
     """A15 + P8 + P9: threshold = exact ``quantile(p[cls], q)``; purity = share of class ``cls`` among
     rows with ``p[cls] >= threshold`` (null when nothing is selected)."""
-    s = scored.select(F.col(p_col)[cls].alias("s"), F.col(y_col).alias("y"))
+    s = scored.select(usable_score(F.col(p_col)[cls]).alias("s"), F.col(y_col).alias("y"))
     thr = exact_quantiles(s, "s", [q]).first()["value"]
     if thr is None:
         return scored.sparkSession.range(1).select(

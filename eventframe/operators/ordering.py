@@ -10,14 +10,14 @@ task. Every order-dependent operator here is a *two-level* prefix aggregate inst
    ``(partition, bucket)`` is reused by the join that adds the bucket offset.
 
 Results are exact; only the bucket *sizes* depend on the approximation. Used by the dense row index
-(R1), exact quantiles (A5, A15, A17), rank-sum AUC and ROC points (A12-A14), exact-N samples (R4, R6)
+(R1), rank-sum AUC and ROC points (A12-A14), exact-N samples (R4, R6)
 and permutation draws (R10).
 """
 
 from __future__ import annotations
 
 import math
-from typing import Iterable, Sequence
+from typing import Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
@@ -137,75 +137,6 @@ def dense_index(df: DataFrame, partition_by: Sequence[str], order_col: str, out:
     )
 
 
-def ranked_values(df: DataFrame, value_col: str, partition_by: Sequence[str] = (), n_buckets=None) -> DataFrame:
-    """Distinct values with their multiplicity and the number of smaller values.
-
-    Returns ``partition_by..., value, cnt, before``. Equal values are pre-aggregated first (map-side
-    partial aggregation), so a value that holds a third of all rows is one row here.
-    """
-    part = list(partition_by)
-    vc = df.groupBy(*part, F.col(value_col).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-    return prefix_aggregate(vc, part, ["value"], F.col("value"), {"before": ("sum", F.col("cnt"))}, n_buckets=n_buckets)
-
-
-def exact_quantiles(df: DataFrame, value_col: str, probs: Iterable[float], n_buckets=None) -> DataFrame:
-    """A5: exact quantiles with linear interpolation (numpy's default method).
-
-    For probability q and n values, position (n-1)q lies between ranks lo = floor and hi = lo + 1;
-    the result is ``v[lo] + (pos - lo) * (v[hi] - v[lo])``. Only the rows holding the needed ranks are
-    looked up, through an equi-join on the bucket id. Returns ``qi, q, value`` (``value`` null when
-    the input is empty).
-    """
-    probs = list(probs)
-    rv = _ranked_with_bucket(df, value_col, n_buckets)
-    n = df.select(F.col(value_col)).agg(F.count(F.col(value_col)).alias("n"))
-    grid = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q")) for i, q in enumerate(probs)])
-    t = n.select("n", F.inline(grid))
-    t = t.select(
-        "qi", "q", "n",
-        ((F.col("n") - 1) * F.col("q")).alias("pos"),
-    ).select("qi", "q", "n", "pos", F.floor("pos").cast("long").alias("r_lo"))
-    t = t.select("*", F.least(F.col("r_lo") + 1, F.col("n") - 1).alias("r_hi"))
-    ranks = t.select("r_lo").union(t.select("r_hi")).distinct().withColumnRenamed("r_lo", "r")
-    # rank -> bucket: binary search over the bucket start ranks (a bounded list, one per bucket)
-    bt = sorted((int(r["_o"]), int(r["_b"])) for r in rv["buckets"].select("_o", "_b").collect())
-    ids = F.array(*[F.lit(b) for _, b in bt]) if bt else F.array(F.lit(0))
-    if len(bt) > 1:
-        splits = [float("-inf")] + [float(o) for o, _ in bt[1:]] + [float("inf")]
-        rb = Bucketizer(splits=splits, inputCol="_rd", outputCol="_bi").transform(
-            ranks.withColumn("_rd", F.col("r").cast("double"))).withColumn("_bi", F.col("_bi").cast("int"))
-    else:
-        rb = ranks.withColumn("_bi", F.lit(0))
-    rb = rb.select("r", ids[F.col("_bi")].alias("_b"))
-    hit = rv["values"].join(F.broadcast(rb), on="_b").where(
-        (F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("cnt"))
-    ).select("r", "value")
-    lo = hit.select(F.col("r").alias("r_lo"), F.col("value").alias("v_lo"))
-    hi = hit.select(F.col("r").alias("r_hi"), F.col("value").alias("v_hi"))
-    res = t.join(F.broadcast(lo), "r_lo", "left").join(F.broadcast(hi), "r_hi", "left")
-    return res.select(
-        "qi", "q",
-        (F.col("v_lo") + (F.col("pos") - F.col("r_lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("value"),
-    )
-
-
-def _ranked_with_bucket(df: DataFrame, value_col: str, n_buckets=None) -> dict[str, DataFrame]:
-    """Distinct values with ``before``/``cnt`` plus the bucket table (``_b, _o, _t``) in rank space."""
-    vc = df.groupBy(F.col(value_col).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-    # the distinct-value table is read twice (cut points, then ranks): keep it instead of recomputing
-    vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
-    vb = add_range_bucket(vc, F.col("value"), n_buckets)
-    tot = vb.groupBy("_b").agg(F.sum("cnt").alias("_t"))
-    wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = tot.select("_b", "_t", F.coalesce(F.sum("_t").over(wb), F.lit(0)).alias("_o"))
-    wl = Window.partitionBy("_b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    local = vb.select("_b", "value", "cnt", F.coalesce(F.sum("cnt").over(wl), F.lit(0)).alias("_l"))
-    values = local.join(buckets.select("_b", "_o"), "_b").select(
-        "_b", "value", "cnt", (F.col("_o") + F.col("_l")).alias("before")
-    )
-    return {"values": values, "buckets": buckets}
-
-
 def top_n_by_key(
     df: DataFrame, partition_by: Sequence[str], key_hex: str, n, tie: str, prefix_digits: int = 5
 ) -> DataFrame:

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventframe.operators.ordering import dense_index, exact_quantiles, prefix_aggregate, top_n_by_key
+from eventframe.operators.ordering import dense_index, prefix_aggregate, top_n_by_key
+from eventframe.operators.quantiles import exact_quantiles
 
 
 @pytest.fixture(scope="module")
@@ -58,7 +59,7 @@ def test_prefix_inclusive(keyed):
 def test_exact_quantiles_match_numpy(spark, vals):
     df = spark.createDataFrame([(v,) for v in vals], "m double")
     probs = [i / 15 for i in range(16)] + [0.9]
-    got = {r.qi: r.value for r in exact_quantiles(df, "m", probs, n_buckets=7).collect()}
+    got = {r.qi: r.value for r in exact_quantiles(df, "m", probs, limit=7).collect()}
     want = np.quantile(np.array(vals), probs)
     for i, w in enumerate(want):
         assert abs(got[i] - w) <= 1e-9 * max(1.0, abs(w))
