@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventframe.constants import LABELS
+from eventframe.functions.bijection import keyed_position
 from eventframe.functions.scalar import hash_int, hash_key
 from eventframe.operators.ordering import prefix_aggregate, top_n_by_key
+from eventframe.sources.artifacts import write_parquet
 
 __all__ = [
     "sample_exact_n",
@@ -25,7 +27,9 @@ __all__ = [
     "balanced_batches",
     "balanced_sample",
     "balanced_steps",
+    "independent_batches",
     "steps_for_batch",
+    "write_batches",
 ]
 
 
@@ -123,3 +127,38 @@ def balanced_steps(pool: DataFrame, batch_size: int, seed: int, label_col: str =
     mx = int(class_pool_sizes(pool, label_col).agg(F.max("n")).first()[0])
     k, steps = steps_for_batch(mx, batch_size)
     return balanced_batches(pool, k, steps, seed, label_col, key)
+
+
+def independent_batches(pool: DataFrame, batch_size: int, seed: int, steps: int | None = None, label_col: str = "y",
+                        key: str = "event_id", labels: Sequence[int] | None = None) -> DataFrame:
+    """R6-R8 + R10: batches of ``batch_size // 3`` rows per class, each drawn independently of the others and in a
+    shuffled order.
+
+    The pool is ranked once. Step ``s`` draws from a class with at least ``k`` rows the ranks that a permutation of its own
+    (:func:`keyed_position`, key ``seed, s, class``) gives to 0..k-1: distinct within the step, independent between
+    steps, and computed for each draw alone, so no step ranks or reads the pool again. A shorter class is drawn with
+    replacement. ``pos``, the place in the batch, is another such permutation of the batch's rows: no sort.
+    ``steps`` is ``ceil(3 * largest pool / batch_size)`` unless given.
+
+    Returns ``step, pos, y, draw, <pool columns>``.
+    """
+    labels = list(labels) if labels is not None else sorted(LABELS.values())
+    sizes = class_pool_sizes(pool, label_col, labels)
+    k, all_steps = steps_for_batch(int(sizes.agg(F.max("n")).first()[0]), batch_size)
+    steps = all_steps if steps is None else steps
+    per_step = k * len(labels)
+    seed_, step, y = F.lit(seed), F.col("step"), F.col(label_col)
+    draws = pool.sparkSession.range(steps * per_step).select(
+        F.expr(f"id div {per_step}").alias("step"), (F.col("id") % per_step).alias("row"))
+    draws = draws.select("step", "row", F.array(*map(F.lit, labels))[F.expr(f"cast(row div {k} as int)")].alias(label_col), (F.col("row") % k).alias("draw"))
+    draws = draws.join(F.broadcast(sizes), label_col)  # one row per class
+    rank = F.when(F.col("n") >= k, keyed_position(F.col("draw"), F.greatest("n", F.lit(k)), seed_, step, y)).otherwise(
+        hash_int(seed_, step, y, F.col("draw")) % F.col("n"))
+    pos = keyed_position(F.col("row"), F.lit(per_step), seed_, step, F.lit("order"))
+    draws = draws.select("step", pos.alias("pos"), label_col, "draw", rank.alias("rank"))
+    return draws.join(permutation_rank(pool, seed, label_col, key), [label_col, "rank"]).drop("rank")
+
+
+def write_batches(batches: DataFrame, path: str) -> None:
+    """Parquet files that hold the batches one after another, each in its shuffled order."""
+    write_parquet(batches.repartitionByRange("step", "pos").sortWithinPartitions("step", "pos"), path)

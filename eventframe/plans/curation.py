@@ -1,8 +1,9 @@
 """Curation job (S6): per source, keep events in the half-open mass window and exactly N of them
 (all when short), chosen by a seeded hash, in their original order; one output per source.
 
-One lazy plan covers all sources: a single scan with a ``source`` column, the pushed-down window,
-the exact-N selection (:func:`sampling.sample_exact_n`) and a ``partitionBy('source')`` write. The
+One lazy plan covers all sources of the same columns: a scan with a ``source`` column, the pushed-down
+window, the exact-N selection (:func:`sampling.sample_exact_n`) and a ``partitionBy('source')`` write. Sources
+with other columns are another plan, so that each output has its own source's columns and no others. The
 output is sorted by (source, original position) so each source's files keep the input order (O2).
 """
 
@@ -63,9 +64,20 @@ def run_curation(spark: SparkSession, sources: Mapping[str, Sequence[str]] | Seq
         named: dict[str, list[str]] = {}
         for p in sources:
             named.setdefault(output_name(p), []).append(p)
+        if same := {n: ps for n, ps in named.items() if len(ps) > 1}:
+            raise ValueError(f"several files would be written under one name, give a mapping of names instead: {same}")
         sources = named
-    cur = curated_sources(spark, sources, n_keep, seed, window, columns)
-    return write_curated(spark, cur.drop("file_ord", "file_block", "row_index"), list(sources), out_dir)
+    check_files_exist(spark, [p for ps in sources.values() for p in ps])
+    groups: dict[tuple, dict[str, Sequence[str]]] = {}
+    for name, paths in sources.items():  # the footers only
+        schema = read_event_files(spark, paths, columns, check=False).schema
+        groups.setdefault(tuple((f.name, f.dataType.simpleString()) for f in schema), {})[name] = paths
+    counts = None
+    for own in groups.values():
+        cur = curated_sources(spark, own, n_keep, seed, window, columns).drop("file_ord", "file_block", "row_index")
+        n = write_curated(spark, cur, list(own), out_dir, mode="append" if counts is not None else "overwrite")
+        counts = n if counts is None else counts.unionByName(n)
+    return counts
 
 
 #: Characters that Spark escapes in the folder name of a partition value.
@@ -76,16 +88,17 @@ def _folder(name: str) -> str:
     return "source=" + "".join(f"%{ord(c):02X}" if c in _ESCAPED else c for c in name)
 
 
-def write_curated(spark: SparkSession, cur: DataFrame, sources: Sequence[str], out_dir: str) -> DataFrame:
-    """S5 + S6 + O2: one output per source in original order; an empty source gets a schema-only file.
+def write_curated(spark: SparkSession, cur: DataFrame, sources: Sequence[str], out_dir: str, mode: str = "overwrite") -> DataFrame:
+    """S5 + S6 + O2: one output per source in original order; an empty source gets a schema-only file. ``mode`` is for
+    the whole folder: sources of several schemas are appended one schema after another.
 
     Counts come from the written rows read back with the known schema (``source`` stays a string
     whatever it looks like), and a source's folder is only added to if it has no rows.
     """
     out = cur.repartitionByRange("source", "_ord").sortWithinPartitions("source", "_ord")
     data = out.drop("_ord")
-    write_parquet(data, out_dir, partition_by=["source"])
-    back = spark.read.schema(data.schema).parquet(out_dir)
+    write_parquet(data, out_dir, partition_by=["source"], mode=mode)
+    back = spark.read.schema(data.schema).parquet(out_dir).where(F.col("source").isin(list(sources)))
     counts = {r["source"]: r["n"] for r in back.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     for name in sources:  # one row per source
         if not counts.get(name):

@@ -90,7 +90,9 @@ def with_ctes(*names: str) -> str:
 
     for n in names:
         visit(n)
-    return "WITH " + ",\n".join(_CTES[n][1] for n in order) + "\n"
+    # steps that several others read run once
+    body = lambda n: _CTES[n][1].replace(f"{n} AS (", f"{n} AS MATERIALIZED (", 1) if n in ("tok", "scaler", "p4") else _CTES[n][1]
+    return "WITH " + ",\n".join(map(body, order)) + "\n"
 
 
 def _r(expr: str, alias: str) -> str:
@@ -171,6 +173,16 @@ ORACLE["scaled_features"] = with_ctes("tok", "scaler") + (
     f"SELECT t.event_id, t.tok, t.valid, {_xs} FROM tok t CROSS JOIN scaler s"
 )
 
+# a fixed model over the features, kinematics and mask of an event's tokens
+_zs = ", ".join("sum(CASE WHEN t.valid = 1 THEN " + " + ".join(f"(t.x{i} - s.m{i}) / s.s{i}" for i in range(c, X_DIM, 3))
+                + f" + 0.01 * t.{('pt', 'eta', 'phi')[c]} ELSE {Z} END) AS z{c}" for c in range(3))
+ORACLE["event_score"] = with_ctes("tok", "scaler") + f"""
+, z AS (SELECT t.event_id, any_value(f.y) AS y, any_value(t.dimuon_mass) AS dimuon_mass, {_zs}
+        FROM tok t CROSS JOIN scaler s JOIN ev_split f ON f.event_id = t.event_id WHERE t.split = 'test' GROUP BY t.event_id),
+e AS (SELECT *, greatest(z0, z1, z2) AS mx FROM z),
+x AS (SELECT *, exp(z0 - mx) AS e0, exp(z1 - mx) AS e1, exp(z2 - mx) AS e2 FROM e)
+SELECT event_id, y, round(dimuon_mass, 6) AS dimuon_mass, {", ".join(f"round(e{c} / (e0 + e1 + e2), 6) AS p{c}" for c in range(3))} FROM x"""
+
 # ---------------------------------------------------------------- sampling
 _MD5 = "md5(concat_ws(':', {}))"
 
@@ -209,6 +221,38 @@ FROM tg JOIN pool ON tg.y = pool.y AND tg.rnk = pool.rnk"""
 ORACLE["balanced_sample"] = _batches_sql("min(n)", "1")
 ORACLE["balanced_with_replacement"] = _batches_sql("max(n)", "1")
 ORACLE["balanced_steps"] = _batches_sql("768 // 3", "CAST(ceil(3 * max(n) / 768) AS BIGINT)")
+# independent draws: four Feistel rounds over a grid of a x b places, walked until the place is below n
+def _feistel(x: str, n: str, a: str, b: str, keys: str, table: str) -> str:
+    h = lambda i, of: f"CAST(('0x' || substr(md5(concat_ws(':', {keys}, {i}, {of})), 1, 12)) AS BIGINT)"
+    s = f"SELECT *, ({x}) // {b} AS l0, ({x}) % {b} AS r0 FROM {table}"
+    s = f"SELECT *, (l0 + {h(1, 'r0')}) % {a} AS l1 FROM ({s})"
+    s = f"SELECT *, (r0 + {h(2, 'l1')}) % {b} AS r1 FROM ({s})"
+    s = f"SELECT *, (l1 + {h(3, 'r1')}) % {a} AS l2 FROM ({s})"
+    s = f"SELECT *, (r1 + {h(4, 'l2')}) % {b} AS r2 FROM ({s})"
+    return s
+
+
+def _walk(name: str, x: str, n: str, a: str, b: str, keys: str, table: str, keep: str) -> str:
+    first = _feistel(x, n, a, b, keys, table)
+    again = _feistel("place", n, a, b, keys, f"(SELECT * FROM {name} WHERE place >= {n})")
+    return (f"{name} AS (SELECT {keep}, l2 * {b} + r2 AS place FROM ({first}) UNION ALL "
+            f"SELECT {keep}, l2 * {b} + r2 AS place FROM ({again}))")
+
+
+_DRAWN = "y, n, k, step, slot, draw, a, b, a2, b2"
+ORACLE["independent_steps"] = with_ctes("pool", "sizes").replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, par AS (SELECT CAST(768 // 3 AS BIGINT) AS k, CAST(ceil(3 * max(n) / 768) AS BIGINT) AS steps FROM sizes),
+ids AS (SELECT unnest(range(k * 3 * steps)) AS id, k FROM par),
+dr AS (SELECT s.y, s.n, i.k, i.id // (3 * i.k) AS step, i.id % (3 * i.k) AS slot, i.id % i.k AS draw FROM ids i JOIN sizes s
+       ON s.y = (i.id % (3 * i.k)) // i.k),
+g0 AS (SELECT *, CAST(ceil(sqrt(greatest(n, k))) AS BIGINT) AS a, CAST(ceil(sqrt(3 * k)) AS BIGINT) AS a2 FROM dr),
+grid AS (SELECT *, CAST(ceil(greatest(n, k) / a) AS BIGINT) AS b, CAST(ceil((3 * k) / a2) AS BIGINT) AS b2 FROM g0),
+{_walk("w1", "draw", "greatest(n, k)", "a", "b", "42, step, y", "grid", _DRAWN)},
+{_walk("w2", "slot", "(3 * k)", "a2", "b2", "42, step, 'order'", "grid", _DRAWN)},
+hit AS (SELECT w1.step, w1.y, w1.draw, w2.place AS pos, CASE WHEN w1.n >= w1.k THEN w1.place
+        ELSE {_hint('42', 'w1.step', 'w1.y', 'w1.draw')} % w1.n END AS rnk
+        FROM w1 JOIN w2 ON w1.step = w2.step AND w1.slot = w2.slot WHERE w1.place < greatest(w1.n, w1.k) AND w2.place < 3 * w2.k)
+SELECT hit.step, hit.pos, hit.y, hit.draw, pool.event_id FROM hit JOIN pool ON hit.y = pool.y AND hit.rnk = pool.rnk"""
 ORACLE["gather_rows"] = with_ctes("ev_idx") + f"""
 , sz AS (SELECT y, count(*) AS n FROM ev_idx GROUP BY y),
 dr AS (SELECT y, n, unnest(range(n)) AS d FROM sz),

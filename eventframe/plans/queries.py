@@ -22,8 +22,9 @@ from eventframe.operators.filters import gather, window_closed_f32, window_half_
 from eventframe.operators.pairs import PAIR_FEATURES, pairs_long, with_event_cartesian
 from eventframe.operators.sampling import balanced_sample as balanced_sample_op
 from eventframe.operators.sampling import balanced_steps as balanced_steps_op
-from eventframe.operators.sampling import class_pool_sizes
+from eventframe.operators.sampling import class_pool_sizes, independent_batches
 from eventframe.operators.sampling import sample_exact_n as sample_exact_n_op
+from eventframe.operators.sampling import write_batches
 from eventframe.operators.scaling import apply_scaler, fit_masked_scaler, scaled_array, scaler_params
 from eventframe.operators.splits import assign_folds, class_counts, file_row_index, global_ids, row_index
 from eventframe.operators.tokens import build_tokens, normalise_events
@@ -59,7 +60,7 @@ from eventframe.operators.history import (
 )
 from eventframe.plans.curation import curate, write_curated
 from eventframe.plans.finalize import rounded
-from eventframe.plans.scoring import score_table, softmax_head_predict_fn
+from eventframe.plans.scoring import event_tensors, masked_sum_predict_fn, score_events, score_table, softmax_head_predict_fn
 from eventframe.plans.training import balanced_weights, fit_classifier, fit_mass_probe, predict_proba, token_features
 from eventframe.session import scratch_dir
 from eventframe.sources.artifacts import (
@@ -256,6 +257,16 @@ def balanced_steps(spark, sf_dir):
     return _batch_cols(balanced_steps_op(_train_pool(spark, sf_dir), 768, SEED))
 
 
+@query
+def independent_steps(spark, sf_dir):
+    """Independent draws for each step, written as files in batch order and read back in file order."""
+    path = scratch_dir(spark, "batches")
+    write_batches(independent_batches(_train_pool(spark, sf_dir), 768, SEED).select("step", "pos", "y", "draw", "event_id"), path)
+    back = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("r"))
+    place = F.row_number().over(Window.partitionBy("step").orderBy("f", "r")) - 1  # 768 rows a step
+    return back.select("step", place.cast("long").alias("pos"), "y", "draw", "event_id")
+
+
 @query
 def gather_rows(spark, sf_dir):
     ev = row_index(window_closed_f32(events_from_tables(spark, sf_dir)), "_ord", ("y",))
@@ -604,6 +615,17 @@ def batch_score(spark, sf_dir):
     return rounded(s.select("vec_id", *[F.col("p")[c].alias(f"p{c}") for c in range(3)]))
 
 
+@query
+def event_score(spark, sf_dir):
+    """The test split on features, kinematics and mask, scaled by the scaler that training wrote."""
+    path = scratch_dir(spark, "x_scaler")
+    write_scaler(train_scaler(spark, sf_dir), path)
+    mean, std = scaler_params(read_scaler(spark, path))
+    ev = build_tokens(_split(spark, sf_dir).where(F.col("split") == "test"))
+    s = score_events(event_tensors(ev, mean, std), masked_sum_predict_fn(3))
+    return rounded(s.select("event_id", "y", "dimuon_mass", *[F.col("p")[c].alias(f"p{c}") for c in range(3)]))
+
+
 def _scaled_event_tokens(spark, sf_dir) -> DataFrame:
     mean, std = scaler_params(train_scaler(spark, sf_dir, keep=True))
     ev = build_tokens(_split(spark, sf_dir, keep=True))

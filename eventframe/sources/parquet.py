@@ -87,7 +87,9 @@ def read_event_files(
 
     ``file_ord`` is the position of the file in ``paths`` (after directory expansion); ``file_block``
     is the start offset of the file split a row was read from (identifies the scan segment). A file
-    listed more than once is read once per listing.
+    listed more than once is read once per listing. Files need not have the same columns: the schemas of all
+    footers are merged, and a column is null in the rows of files without it; a column whose types
+    can't be merged is an error.
     """
     if check:
         check_files_exist(spark, paths)
@@ -108,7 +110,7 @@ def read_event_files(
 def _scan(spark: SparkSession, ords: dict[str, int], columns: Sequence[str] | None) -> DataFrame:
     """One scan of distinct files. Ordinals come from a small table keyed by a hash of the path (16
     bytes a file), broadcast up to ``MAX_BROADCAST_FILES``; the hashes are checked for clashes."""
-    df = spark.read.parquet(*ords)
+    df = spark.read.option("mergeSchema", "true").parquet(*ords)
     keep = df.columns if columns is None else [c for c in columns if c in set(df.columns)]
     clash = {"file_ord", "file_block", "row_index", "_path"} & set(keep)
     if clash:
