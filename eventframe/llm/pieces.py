@@ -99,10 +99,41 @@ class Segmenter:
         apart = re.escape(vocabulary.apart())
         self.chunk = re.compile(f" *[^ {apart}]+| +|[{apart}]" if apart else " *[^ ]+| +")
         self.merge = dict(zip(vocabulary.keys.tolist(), zip(vocabulary.rank.tolist(), vocabulary.joined.tolist())))
+        self._index(vocabulary.keys)
         self.bytes_at = np.concatenate([[0], np.cumsum([len(t) for t in vocabulary.text])])
         self.bytes = np.frombuffer(b"".join(vocabulary.text), np.uint8)
         self._forget()
 
+    def _index(self, keys: np.ndarray) -> None:
+        """An open hash table of the merges' keys, an eighth full: ``slot_key``, ``slot_place``."""
+        self.bits = np.uint64(64 - max(3, (8 * len(keys)).bit_length()))
+        self.slot_key = np.full(1 << int(64 - self.bits), -1, np.int64)
+        self.slot_place = np.zeros(len(self.slot_key), np.int32)
+        left = np.arange(len(keys))
+        slot = self._slot(keys)
+        while len(left):
+            free = self.slot_key[slot] < 0
+            self.slot_key[slot[free]], self.slot_place[slot[free]] = keys[left[free]], left[free]
+            lost = self.slot_key[slot] != keys[left]
+            left, slot = left[lost], (slot[lost] + 1) & (len(self.slot_key) - 1)
+
+    def _slot(self, pair: np.ndarray) -> np.ndarray:
+        return ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.bits).view(np.int64)
+
+    def _find(self, pair: np.ndarray) -> np.ndarray:
+        """The place of each pair of symbols among the merges, or -1."""
+        slot = self._slot(pair)
+        at = self.slot_key[slot]
+        out = np.where(at == pair, self.slot_place[slot], -1)
+        open_ = np.flatnonzero((at != pair) & (at >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.slot_key) - 1)
+            at = self.slot_key[slot[open_]]
+            hit = at == pair[open_]
+            out[open_[hit]] = self.slot_place[slot[open_[hit]]]
+            open_ = open_[~hit & (at >= 0)]
+        return out
+
     def _forget(self):
         self.at: dict[str, int] = {}
         self.ids, self.start, self.length = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -174,8 +205,12 @@ class Segmenter:
     def _unknown(self, chunks: list[str]) -> np.ndarray:
         """Whether a chunk has a character without a piece."""
         codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
-        first = np.concatenate([[0], np.cumsum([len(c) for c in chunks])])
-        return np.add.reduceat(self.single[codes] < 0, first[:-1]) > 0
+        missing = np.flatnonzero(self.single[codes] < 0)
+        out = np.zeros(len(chunks), bool)
+        if len(missing):
+            ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
+            out[np.searchsorted(ends, missing, side="right")] = True
+        return out
 
     def _add(self, new: list[str]) -> None:
         plain, other = [], []
@@ -226,7 +261,7 @@ class Segmenter:
     def _together(self, chunks: list[str], key: np.ndarray | None, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths), one merge of each chunk at a time; without keys nothing is skipped and ``met`` gets
         (row, place) of all candidates."""
-        n, size = len(chunks), np.array([len(c) for c in chunks])
+        n, size = len(chunks), np.fromiter(map(len, chunks), np.int64, len(chunks))
         width = int(size.max())
         here = np.arange(width) < size[:, None]
         symbol = np.full((n, width), -1, np.int32)
@@ -239,11 +274,12 @@ class Segmenter:
             """The candidate of the symbols at ``at`` and after it."""
             rank[row, at] = _NONE
             middle = after[row, at]
-            row, at, middle = (x[middle < size[row]] for x in (row, at, middle))
+            inside = middle < size[row]
+            row, at, middle = row[inside], at[inside], middle[inside]
             pair = symbol[row, at].astype(np.int64) * self.size + symbol[row, middle]
-            place = np.minimum(np.searchsorted(self.v.keys, pair), len(self.v.keys) - 1)
-            can = self.v.keys[place] == pair
-            row, at, middle, place = (x[can] for x in (row, at, middle, place))
+            place = self._find(pair)
+            can = place >= 0
+            row, at, middle, place = row[can], at[can], middle[can], place[can]
             if met is not None:
                 met.append((row, self._place(at, middle, after[row, middle])))
             if self.limit and key is not None:
@@ -254,7 +290,7 @@ class Segmenter:
         renew(*np.nonzero(here))
         rows = np.arange(n)
         while len(rows):
-            best = rank[rows].argmin(1)
+            best = (rank if len(rows) == n else rank[rows]).argmin(1)
             go = rank[rows, best] < _NONE
             rows, best = rows[go], best[go]
             gone = after[rows, best]
