@@ -545,6 +545,8 @@ SELECT CAST(run AS VARCHAR), 'val', epoch, round(max(loss), 6), CAST(NULL AS DOU
        CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE)
 FROM steps_ GROUP BY run, epoch"""
 
+ORACLE["history_replayed"] = ORACLE["history_table"]
+
 # ---------------------------------------------------------------- artefacts
 ORACLE["scaler_roundtrip"] = ORACLE["masked_scaler"]
 ORACLE["bins_roundtrip"] = ORACLE["choose_k"]
@@ -553,6 +555,23 @@ ORACLE["empty_sink"] = with_ctes("v_event") + (
 )
 ORACLE["metrics_sink"] = ORACLE["eval_report"]
 
+# ---------------------------------------------------------------- training: the equations of the optimum
+def _moments(key: str, source: str, mean: str) -> str:
+    """Means of the scaled features by class, the intercept as feature -1; ``mean`` takes a value."""
+    rows = [f"SELECT {key} AS class, t.tok * 16 + {i} AS feature, {mean.format(f'(t.x{i} - s.m{i}) / s.s{i}')} AS observed "
+            f"FROM {source} CROSS JOIN scaler s GROUP BY {key}, t.tok" for i in range(X_DIM)]
+    rows.append(f"SELECT {key}, -1, {mean.format('CAST(1 AS DOUBLE)')} FROM {source} WHERE t.tok = 0 GROUP BY {key}")
+    return ("SELECT CAST(class AS INTEGER) AS class, CAST(feature AS INTEGER) AS feature, round(observed, 6) AS observed, "
+            "true AS met FROM (" + " UNION ALL ".join(rows) + ") r")
+
+
+ORACLE["train_optimum"] = with_ctes("tok", "scaler") + """
+, tr AS (SELECT f.y, t.* EXCLUDE (y) FROM tok t JOIN ev_split f ON f.event_id = t.event_id WHERE t.split = 'train')
+""" + _moments("t.y", "tr t", "avg({}) / 3")
+ORACLE["probe_optimum"] = with_ctes("tok", "scaler", "mbin") + """
+, tr AS (SELECT m.mass_bin, t.* FROM tok t JOIN mbin m ON m.event_id = t.event_id WHERE t.split = 'train')
+""" + _moments("t.mass_bin", "tr t", "sum({}) / (SELECT count(*) FROM mbin)")
+
 # ---------------------------------------------------------------- scoring
 ORACLE["batch_score"] = "WITH z AS (SELECT vec_id, " + ", ".join(
     f"list_sum(list_transform(range({c}, 64, 3), lambda i: CAST(embedding[i + 1] AS DOUBLE))) AS z{c}" for c in range(3)) + """ FROM embeddings),

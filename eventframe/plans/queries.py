@@ -61,10 +61,20 @@ from eventframe.operators.history import (
 from eventframe.plans.curation import curate, write_curated
 from eventframe.plans.finalize import rounded
 from eventframe.plans.scoring import event_tensors, masked_sum_predict_fn, score_events, score_table, softmax_head_predict_fn
-from eventframe.plans.training import balanced_weights, fit_classifier, fit_mass_probe, predict_proba, token_features
+from eventframe.plans.training import (
+    balanced_weights,
+    fit_classifier,
+    fit_mass_probe,
+    predict_proba,
+    score_equations,
+    token_features,
+)
 from eventframe.session import scratch_dir
 from eventframe.sources.artifacts import (
+    HISTORY_SCHEMA,
+    commit_history,
     read_bins,
+    read_committed_history,
     read_history,
     read_metrics,
     read_scaler,
@@ -574,6 +584,17 @@ def history_table(spark, sf_dir):
     return rounded(back.select("run_id", "part", "epoch", *LOSSES, "steps", "lambda_grl"))
 
 
+@query
+def history_replayed(spark, sf_dir):
+    """A stream of history records that delivers every other epoch twice, first with other losses."""
+    rec, path, inbox = _history_records(spark, sf_dir), scratch_dir(spark, "history"), scratch_dir(spark, "history-in")
+    early = rec.where("epoch % 2 = 0").withColumn("loss", F.col("loss") + 1)
+    for records in (early, rec):
+        write_history(records, inbox)
+        commit_history(spark.readStream.schema(HISTORY_SCHEMA).json(inbox), path)
+    return rounded(read_committed_history(spark, path).select("run_id", "part", "epoch", *LOSSES, "steps", "lambda_grl"))
+
+
 # ---------------------------------------------------------------- artefact round trips
 @query
 def scaler_roundtrip(spark, sf_dir):
@@ -604,7 +625,7 @@ def metrics_sink(spark, sf_dir):
     rep = evaluation_report(spark, _scored(spark, sf_dir))
     path = scratch_dir(spark, "test_metrics")
     write_metrics(rep, path)
-    return rounded(read_metrics(spark, path, rep.schema))
+    return rounded(read_metrics(spark, path).select(*rep.columns))
 
 
 # ---------------------------------------------------------------- scoring and training (M1, M4, M5)
@@ -626,28 +647,50 @@ def event_score(spark, sf_dir):
     return rounded(s.select("event_id", "y", "dimuon_mass", *[F.col("p")[c].alias(f"p{c}") for c in range(3)]))
 
 
-def _scaled_event_tokens(spark, sf_dir) -> DataFrame:
-    mean, std = scaler_params(train_scaler(spark, sf_dir, keep=True))
-    ev = build_tokens(_split(spark, sf_dir, keep=True))
+def _features(spark, sf_dir) -> DataFrame:
+    """The scaled feature vector of every event with its label, split and mass: built once, written, read again."""
+    mean, std = scaler_params(train_scaler(spark, sf_dir))
+    ev = build_tokens(_split(spark, sf_dir))
     t = F.col("tokens")
     xs = F.array(*[t[k].withField("x", scaled_array(t[k]["x"], mean, std)) for k in range(7)])
-    return token_features(ev.withColumn("tokens", xs))
+    ev = token_features(ev.withColumn("tokens", xs)).select("event_id", "y", "split", "dimuon_mass", "features")
+    path = scratch_dir(spark, "features")
+    ev.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _train_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    ev = _features(spark, sf_dir)
+    return ev, balanced_weights(ev.where(F.col("split") == "train"))
 
 
 @query
 def train_lr(spark, sf_dir):
-    ev = _scaled_event_tokens(spark, sf_dir).select("event_id", "y", "split", "features").persist()
-    model = fit_classifier(balanced_weights(ev.where(F.col("split") == "train")))
-    te = predict_proba(model, ev.where(F.col("split") == "test"))
+    ev, train = _train_rows(spark, sf_dir)
+    te = predict_proba(fit_classifier(train), ev.where(F.col("split") == "test"))
     out = with_prediction(te).select("event_id", "y", "pred", *[F.col("p")[c].alias(f"p{c}") for c in range(3)])
     return rounded(out)
 
 
+def _met(equations: DataFrame) -> DataFrame:
+    """The equations of the optimum: what the rows ask for, and whether the fit meets it."""
+    return rounded(equations.select("class", "feature", "observed", (F.abs("residual") < 1e-4).alias("met")))
+
+
+@query
+def train_optimum(spark, sf_dir):
+    _, train = _train_rows(spark, sf_dir)
+    return _met(score_equations(fit_classifier(train), train, weight_col="w"))
+
+
+def _probe_rows(spark, sf_dir):
+    _, k, edges = _chosen(spark, sf_dir, CANDIDATE_K)
+    return k, assign_mass_bins(_features(spark, sf_dir), edges)
+
+
 @query
 def mass_leakage_probe(spark, sf_dir):
-    m, k, edges = _chosen(spark, sf_dir, CANDIDATE_K)
-    ev = _scaled_event_tokens(spark, sf_dir).select("event_id", "y", "split", "dimuon_mass", "features")
-    ev = assign_mass_bins(ev, edges).persist()
+    k, ev = _probe_rows(spark, sf_dir)
     model = fit_mass_probe(ev.where(F.col("split") == "train"))
     va = predict_proba(model, ev.where(F.col("split") == "val"))
     ce = -F.ln(F.greatest(F.element_at("p", F.col("mass_bin") + 1), F.lit(1e-15)))
@@ -656,6 +699,12 @@ def mass_leakage_probe(spark, sf_dir):
     return rounded(out.select(F.lit(k).alias("K"), "n", "loss_adv", F.ln(F.lit(float(k))).alias("chance"), "accuracy"))
 
 
+@query
+def probe_optimum(spark, sf_dir):
+    train = _probe_rows(spark, sf_dir)[1].where(F.col("split") == "train")
+    return _met(score_equations(fit_mass_probe(train), train, "mass_bin"))
+
+
 for _n in ["early_stopping", "best_epoch", "lambda_schedule", "epoch_means"]:
     QUERIES[_n] = QUERIES.pop(_n + "_q")
 

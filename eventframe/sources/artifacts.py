@@ -31,11 +31,15 @@ __all__ = [
     "write_history",
     "read_history",
     "read_history_documents",
+    "commit_history",
+    "read_committed_history",
     "HISTORY_DOC_SCHEMA",
 ]
 
 SCALER_SCHEMA = StructType([StructField("mean", ArrayType(DoubleType())), StructField("std", ArrayType(DoubleType()))])
 BINS_SCHEMA = StructType([StructField("edges", ArrayType(DoubleType())), StructField("K", IntegerType())])
+METRICS_SCHEMA = ("test_accuracy double, test_auc_ovr map<string,double>, vbf_purity_top10pct double, "
+                  "dy_mass_sculpting_pearson_r double, n_test long")
 HISTORY_SCHEMA = StructType([
     StructField("run_id", StringType()), StructField("part", StringType()), StructField("epoch", LongType()),
     StructField("loss", DoubleType()), StructField("loss_cls", DoubleType()), StructField("loss_adv", DoubleType()),
@@ -91,12 +95,17 @@ def read_bins(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_metrics(report: DataFrame, path: str) -> None:
-    """The one-row evaluation report as JSON."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+    """The one-row evaluation report as JSON; its columns ``auc_<class>`` become the map ``test_auc_ovr``."""
+    by_class = [c for c in report.columns if c.startswith("auc_")]
+    aucs = F.create_map(*[x for c in by_class for x in (F.lit(c.removeprefix("auc_")), F.col(c))])
+    report.select(*[c for c in report.columns if c not in by_class], aucs.alias("test_auc_ovr")).coalesce(1).write.mode(
+        "overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def read_metrics(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+def read_metrics(spark: SparkSession, path: str, classes=(0, 1, 2)) -> DataFrame:
+    """S9 source: the report with a column ``auc_<class>`` for each class of the map."""
+    doc = spark.read.schema(METRICS_SCHEMA).json(path)
+    return doc.select("*", *[F.col("test_auc_ovr")[str(c)].alias(f"auc_{c}") for c in classes]).drop("test_auc_ovr")
 
 
 def write_history(records: DataFrame, path: str, mode: str = "append") -> None:
@@ -107,6 +116,30 @@ def write_history(records: DataFrame, path: str, mode: str = "append") -> None:
     records.select(*cols).write.mode(mode).json(path)
 
 
+def commit_history(records: DataFrame, path: str) -> None:
+    """S10 sink for a stream of history records: every micro-batch is one folder ``commit=<batch>``, so a batch that is run
+    again after a failure replaces itself, and a record that comes again in a later batch replaces the earlier one for
+    its (run, part, epoch) when read. Runs over all records that are there; the stream's checkpoint lies in ``path``."""
+
+    def commit(batch: DataFrame, number: int) -> None:
+        write_history(batch, f"{path}/commit={number}", mode="overwrite")
+
+    records.writeStream.foreachBatch(commit).option("checkpointLocation", f"{path}/_checkpoint").trigger(
+        availableNow=True).start().awaitTermination()
+
+
+def read_committed_history(spark: SparkSession, path: str) -> DataFrame:
+    """S10 source for :func:`commit_history`: the record of the last commit for every (run, part, epoch); of several in one
+    commit the greatest."""
+    every = spark.read.schema(StructType([*HISTORY_SCHEMA.fields, StructField("commit", LongType())])).json(path)
+    keys = ["run_id", "part", "epoch"]
+    rest = [c for c in HISTORY_SCHEMA.names if c not in keys]
+    # a map can't be compared, so it comes along as its sorted entries
+    plain = F.struct("commit", *[F.array_sort(F.map_entries(c)).alias(c) if c == "auc_ovr" else F.col(c) for c in rest])
+    last = every.groupBy(*keys).agg(F.max(plain).alias("r"))
+    return last.select(*keys, *[F.map_from_entries(f"r.{c}").alias(c) if c == "auc_ovr" else F.col(f"r.{c}") for c in rest])
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """S10 source for :func:`write_history` output."""
     return spark.read.schema(HISTORY_SCHEMA).json(path)
