@@ -221,14 +221,16 @@ def distances(left: DataFrame, pivots: DataFrame, index: DataFrame, crowd: DataF
     ``class_of(node, component)`` only of pairs of different components, each pair once."""
     index = index.where(F.col("rank") <= first_ones(F.col("n"), percent))
     pivots = small_side(pivots.select("node"))
-    ours = index.join(left.select("node"), "node", "left_semi").select("node", "n", "s")
-    theirs = cut(index.join(pivots, "node", "left_semi").select(F.col("node").alias("pivot"), F.col("n").alias("m"), "s"), "pivot-index")
+    ours = index.join(left.select("node"), "node", "left_semi").select("node", "n", "s", "rank")
+    theirs = cut(index.join(pivots, "node", "left_semi").select(F.col("node").alias("pivot"), F.col("n").alias("m"), "s", F.col("rank").alias("place")), "pivot-index")
     arrays = crowd.join(pivots, "node", "left_semi").select(F.col("node").alias("pivot"), F.col("h").alias("g"))
     near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    # at the first shingle that two sets share, what follows it must be enough for their intersection
+    near &= (F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("place")) + 1) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
     other = F.col("node") != F.col("pivot")
     if class_of is not None:
-        own = ours.join(class_of, "node", "left").select("node", "n", "s", F.coalesce("component", "node").alias("x"))
-        ours, theirs = own, cut(own.select(F.col("node").alias("pivot"), F.col("n").alias("m"), "s", F.col("x").alias("y")), "pivot-index")
+        own = ours.join(class_of, "node", "left").select("node", "n", "s", "rank", F.coalesce("component", "node").alias("x"))
+        ours, theirs = own, cut(own.select(F.col("node").alias("pivot"), F.col("n").alias("m"), "s", F.col("rank").alias("place"), F.col("x").alias("y")), "pivot-index")
         other = (F.col("node") < F.col("pivot")) & (F.col("x") != F.col("y"))
     if (arrays.agg(F.sum(F.size("g"))).first()[0] or 0) <= _BROADCAST:
         theirs, arrays = F.broadcast(theirs), F.broadcast(arrays)
