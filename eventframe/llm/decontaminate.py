@@ -7,14 +7,18 @@ readings, and the second counts where the first finds nothing. Windows of five t
 of all documents are hash-joined with the windows of the benchmark. Per document and item, the windows are
 taken as one run (same shift between the two texts) and over all shifts; an item leaks if at least 0.8 of
 its windows are there and its slots are filled consistently: each value of the item is replaced by one
-value throughout. A question with other numbers or names is thus found, a chance mix of fragments is not.
+value throughout, and different names or units by different ones (numbers may come to be equal). A question with
+other numbers or names is thus found, a chance mix of fragments is not.
 
 Before the join a bitmap of fixed size, set from all benchmark windows, keeps document windows that can't
 match from being shuffled; it drops no match. Windows with fewer than two plain words say nothing about a
-text and are not used on either side.
+text and are not used on either side. Items without a usable window, short ones above all, are searched for as
+a whole where ``short`` is set: their words, lower-case and without marks at their edges, must stand in a text one
+after the other, at least three of them. Their first three words are looked up like a window.
 
-Defined cases: null and empty texts, and texts shorter than a window, match nothing; items without a usable
-window are not searched for; rows sharing an identifier (or having none) are judged together; repeated
+Defined cases: null and empty texts match nothing, nor do texts shorter than a window but for short items; very
+long texts are handled whole; items without a usable window are searched for only with ``short`` and from three
+words on; rows sharing an identifier (or having none) are judged together; repeated
 items count once; an empty benchmark leaks nowhere; extra columns don't matter.
 """
 
@@ -32,6 +36,8 @@ from pyspark.sql import functions as F
 from eventframe.llm.common import by_batches, cut, table, window_hashes
 
 WIDTH, SHARE, PLAIN = 5, 0.8, 2
+#: Words from which an item is searched for as a whole.
+SHORT = 3
 #: Bits of the window hash that address the bitmap.
 _BITS = 22
 #: Benchmark windows up to which their table is broadcast (about 200 bytes each).
@@ -143,14 +149,69 @@ def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "t
     return rows.unionByName(other).join(total, "item_id").select("hash", "item_id", "at", "values", "total")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
-    """``(doc_id, item_id, coverage, changed)`` per leaked item; ``changed`` if slots have other values."""
-    spark = docs.sparkSession
-    known = cut(benchmark_windows(benchmark), "benchmark")
-    bitmap = np.zeros(1 << _BITS, np.bool_)  # at most 2^22 places, whatever the benchmark's size
+def bare_words(text: str | None) -> list[str]:
+    """Lower-case words without marks at their edges; words of marks alone are left out."""
+    return [w for w in (_EDGES.sub("", w).lower() for w in (text or "").split()) if w]
+
+
+def starts(df: DataFrame, key: str, text: str, size: int, whole: bool, bitmap=None) -> DataFrame:
+    """``(key, hash, words)``: the hash of each three words and the up to ``size`` bare words from there on, each with
+    a space behind; ``whole`` takes the text's start alone, with all its words."""
+    schema = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("words", pa.string())])
+
+    def find(keys, texts):
+        rows = []
+        for key, text in zip(keys.to_pylist(), texts):
+            words = bare_words(text.as_py())
+            if len(words) < SHORT:
+                continue
+            codes = np.fromiter((xxhash.xxh64_intdigest(w, 2) for w in words), np.uint64, len(words))
+            hashes = window_hashes(codes, SHORT)
+            at = [0] if whole else range(len(hashes)) if bitmap is None else np.flatnonzero(bitmap.value[hashes >> np.uint64(64 - _BITS)]).tolist()
+            rows += {(key, int(hashes[p].view(np.int64)), " ".join(words if whole else words[p:p + size]) + " ") for p in at}
+        return {n: pa.array([r[i] for r in rows], schema.field(n).type) for i, n in enumerate(schema.names)}
+
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(by_batches(find, schema, "key", "text"), "key long, hash long, words string")
+
+
+def bitmap_of(known: DataFrame) -> np.ndarray:
+    """The places of the column ``hash``: at most 2^22 of them, whatever the benchmark's size."""
+    bitmap = np.zeros(1 << _BITS, np.bool_)
     places = known.select(F.shiftrightunsigned("hash", 64 - _BITS).alias("p")).distinct().toPandas()["p"]
     bitmap[places.to_numpy(np.int64)] = True
-    found = windows(docs, doc_id, text, spark.sparkContext.broadcast(bitmap))
+    return bitmap
+
+
+def short_leaks(docs: DataFrame, benchmark: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame | None:
+    """Like ``leaks``, for the items that ``known`` has no window of; None if there are no such items."""
+    spark = docs.sparkSession
+    rest = benchmark.where(F.col("item_id").isNotNull()).join(known.select("item_id").distinct(), "item_id", "left_anti")
+    items = cut(starts(rest, "item_id", "text", 0, True).withColumnRenamed("key", "item_id").distinct(), "short-items")
+    size = items.agg(F.max(F.size(F.split("words", " ")) - 1)).first()[0]
+    if size is None:
+        return None
+    found = starts(docs, doc_id, text, size, False, spark.sparkContext.broadcast(bitmap_of(items)))
+    items = items.withColumnRenamed("words", "item")
+    if items.count() <= _SMALL:
+        items = F.broadcast(items)
+    hits = found.join(items, "hash").where(F.startswith("words", "item")).select(F.col("key").alias("doc_id"), "item_id").distinct()
+    return hits.select("doc_id", "item_id", F.lit(1.0).alias("coverage"), F.lit(False).alias("changed"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", share: float = SHARE, short: bool = False) -> DataFrame:
+    """``(doc_id, item_id, coverage, changed)`` per leaked item; ``changed`` if slots have other values. ``short`` also
+    searches for the items without a usable window."""
+    known = cut(benchmark_windows(benchmark), "benchmark")
+    found = template_leaks(docs, known, doc_id, text, share)
+    more = short_leaks(docs, benchmark, known, doc_id, text) if short else None
+    return found if more is None else found.unionByName(more)
+
+
+def template_leaks(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
+    """``leaks`` for the items with windows in ``known``."""
+    spark = docs.sparkSession
+    found = windows(docs, doc_id, text, spark.sparkContext.broadcast(bitmap_of(known)))
     if known.count() <= _SMALL:
         known = F.broadcast(known)
     pairs = cut(found.join(known, "hash").select(F.col("key").alias("doc_id"), "item_id", "at", "reading", (F.col("pos") - F.col("at")).alias("shift"),
@@ -162,17 +223,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     cover = runs.groupBy(group).agg((F.size(F.collect_set("at")) / F.max("total")).alias("coverage")).where(F.col("coverage") >= share)
     filled = runs.select(*group, F.explode("pair").alias("s")).where("s.was is not null")
     filled = filled.groupBy(*group, "s.was", "s.now").agg(F.count("*").alias("n"))
-    value = filled.groupBy(*group, "was").agg(F.max(F.struct("n", "now")).alias("most"), F.sum("n").alias("n"))
-    slots = value.groupBy(group).agg(F.min(F.col("most.n") / F.col("n")).alias("agree"), F.max(F.col("most.now") != F.col("was")).alias("changed"))
+    # side 0: what a value of the item became; side 1: what a name or unit of the text was in the item
+    sides = [F.struct(F.lit(side).alias("side"), F.col(a).alias("key"), F.col(b).alias("value")) for side, a, b in ((0, "was", "now"), (1, "now", "was"))]
+    sided = filled.select(*group, "n", F.inline(F.array(*sides))).where("side = 0 or not key rlike '[0-9]'")
+    value = sided.groupBy(*group, "side", "key").agg(F.max(F.struct("n", "value")).alias("most"), F.sum("n").alias("n"))
+    changed = (F.col("side") == 0) & (F.col("most.value") != F.col("key"))
+    slots = value.groupBy(group).agg(F.min(F.col("most.n") / F.col("n")).alias("agree"), F.max(changed).alias("changed"))
     same = [cover[c].eqNullSafe(slots[c]) for c in group]
     judged = cover.join(slots, same[0] & same[1] & same[2], "left").where((F.coalesce("agree", F.lit(1.0)) >= share))
     return judged.select(cover["doc_id"], cover["item_id"], "coverage", F.coalesce("changed", F.lit(False)).alias("changed")).groupBy("doc_id", "item_id").agg(
         F.max("coverage").alias("coverage"), F.min("changed").alias("changed"))
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
+def judge(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", share: float = SHARE, short: bool = False) -> DataFrame:
     """``(doc_id, contaminated, item_ids, coverage, changed_item_ids)`` for every row of ``docs``."""
-    found = leaks(docs, benchmark, doc_id, text, share).groupBy("doc_id").agg(
+    found = leaks(docs, benchmark, doc_id, text, share, short).groupBy("doc_id").agg(
         F.sort_array(F.collect_list("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"),
         F.sort_array(F.collect_list(F.when(F.col("changed"), F.col("item_id")))).alias("changed_item_ids"))
     found = cut(found.withColumnRenamed("doc_id", "_id"), "leaks")
@@ -191,4 +256,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents``, judged against ``benchmark``."""
-    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short=True)
