@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventframe.functions.scalar import col_
+from eventframe.session import scratch_dir
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -137,6 +138,43 @@ def dense_index(df: DataFrame, partition_by: Sequence[str], order_col: str, out:
     )
 
 
+#: Blocks up to which a position index is broadcast (about 100 bytes each; up to 64 rows of the frame a block).
+MAX_BROADCAST_BLOCKS = 1 << 20
+
+
+def block_index(df: DataFrame, partition_by: Sequence[str], order_col: str, out: str = "idx") -> DataFrame:
+    """R1 for a unique integral key, without ranking or keeping the rows: 0-based position inside ``partition_by``.
+
+    The frame's keys alone are reduced to one row per class and block of 64 keys: a 64-bit mask of the keys that
+    are there. Blocks get the number of rows before them by a prefix sum, and a row's position is that number plus
+    the mask's bits below its own. The index is written to the shared folder; up to ``MAX_BROADCAST_BLOCKS`` blocks
+    it is broadcast, so the rows stay where they are, beyond that they are shuffled once by class and block.
+
+    A key that repeats inside its class, or that only the second pass sees, is an error; rows without a key or class
+    are left out. Other columns may have any names but those that begin with an underscore and are used here.
+    """
+    part = list(partition_by)
+    key = F.col(order_col).cast("long")
+    block, low = F.shiftright(key, 6), key.bitwiseAND(F.lit(63)).cast("int")
+    rows = df.where(F.col(order_col).isNotNull()).dropna(subset=part) if part else df.where(F.col(order_col).isNotNull())
+    narrow = rows.select(*part, block.alias("_blk"), F.call_function("shiftleft", F.lit(1).cast("long"), low).alias("_bit"))
+    blocks = narrow.groupBy(*part, "_blk").agg(F.bit_or("_bit").alias("_mask"), F.count(F.lit(1)).alias("_n"))
+    once = F.when(F.bit_count("_mask") == F.col("_n"), F.col("_n")).otherwise(F.raise_error(F.lit("a key of the row index repeats")))
+    path = scratch_dir(df.sparkSession, "position-index")
+    blocks.withColumn("_n", once).write.parquet(path)
+    blocks = df.sparkSession.read.schema(blocks.schema).parquet(path)
+    index = prefix_aggregate(blocks, part, ["_blk"], F.col("_blk"), {"_off": ("sum", F.col("_n"))}, bucket_width=ID_BUCKET,
+                             cache_input=False).drop("_n")
+    if blocks.count() <= MAX_BROADCAST_BLOCKS:
+        index = F.broadcast(index)
+    found = rows.withColumn("_blk", block).join(index, part + ["_blk"], "left")
+    below = F.call_function("shiftleft", F.lit(-1).cast("long"), low)
+    known = F.coalesce(F.col("_mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), low)), F.lit(0)) != 0
+    at = F.col("_off") + F.bit_count(F.col("_mask").bitwiseAND(F.bitwise_not(below)))
+    at = F.when(known, at).otherwise(F.raise_error(F.lit("the frame gave other keys in the second pass")))
+    return found.withColumn(out, at.cast("long")).select(*df.columns, out)
+
+
 def top_n_by_key(
     df: DataFrame, partition_by: Sequence[str], key_hex: str, n, tie: str, prefix_digits: int = 5
 ) -> DataFrame:

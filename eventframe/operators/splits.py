@@ -1,17 +1,18 @@
 """Row index, folds, named splits, per-class counts and global ids.
 
 The index is a dense per-class position in a stated total order (file ordinal then row index for
-files, or event id). It is computed with the two-level prefix sum in :mod:`ordering`, never with a
-window that ranks a whole class in one task.
+files, or event id). It is computed with the block index or the two-level prefix sum in :mod:`ordering`,
+never with a window that ranks a whole class in one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from eventframe.constants import N_FOLDS, SPLIT_FOLDS
-from eventframe.operators.ordering import dense_index
+from eventframe.operators.ordering import block_index, dense_index
 from eventframe.session import scratch_dir
 
 #: File splits up to which their offsets are broadcast (about 50 bytes each).
@@ -37,7 +38,10 @@ def file_order_key(file_ord_col: str = "file_ord", row_index_col: str = "row_ind
 
 
 def row_index(df: DataFrame, order_col: str, partition_by=("y",), out: str = "idx") -> DataFrame:
-    """Dense 0-based position after filtering, per class, in ``order_col`` order."""
+    """Dense 0-based position after filtering, per class, in ``order_col`` order. Integral keys are indexed by
+    blocks without moving the rows (:func:`ordering.block_index`), others by the two-level prefix sum."""
+    if isinstance(df.schema[order_col].dataType, IntegralType):
+        return block_index(df, list(partition_by), order_col, out)
     return dense_index(df, list(partition_by), order_col, out)
 
 

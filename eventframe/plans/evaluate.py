@@ -47,18 +47,24 @@ def with_split_gid(df: DataFrame, split: str, spec=None, n_folds: int = N_FOLDS)
 
 def evaluation_report(spark: SparkSession, scored: DataFrame, dy_class: int = 2, vbf_class: int = 1) -> DataFrame:
     """M6: one row with accuracy, per-class AUC, top-decile VBF purity, DY score-mass Pearson r and
-    the number of test rows. Each input metric is a distributed aggregate; the report row is built
-    from their (few) scalar results."""
+    the number of test rows. Each metric gives (name, value) rows; the report is one aggregate over their union, so
+    all of it is a single plan (only the purity's threshold and the AUC's bucket bounds are found before)."""
     sp = with_prediction(scored)
-    acc = accuracy(sp).first()
-    aucs = {int(r["class"]): r["auc"] for r in auc_ovr(sp).collect()}
-    pur = top_quantile_purity(sp, cls=vbf_class).first()["purity"]
+
+    def named(df: DataFrame, **cols: str) -> DataFrame:
+        return df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("value")) for n, c in cols.items()])))
+
     dy = sp.where(F.col("y") == dy_class).select((F.lit(1.0) - F.col("p")[dy_class]).alias("s"), "mass")
-    r = pearson_guarded(dy).first()["r"]
-    row = [(float(acc["accuracy"]), aucs.get(0), aucs.get(1), aucs.get(2), pur, r, int(acc["n"]))]
-    schema = ("test_accuracy double, auc_0 double, auc_1 double, auc_2 double, vbf_purity_top10pct double, "
-              "dy_mass_sculpting_pearson_r double, n_test long")
-    return spark.createDataFrame(row, schema)
+    values = (
+        named(accuracy(sp), accuracy="accuracy", n="n")
+        .unionByName(auc_ovr(sp).select(F.concat(F.lit("auc_"), F.col("class")).alias("name"), F.col("auc").alias("value")))
+        .unionByName(named(top_quantile_purity(sp, cls=vbf_class), purity="purity"))
+        .unionByName(named(pearson_guarded(dy), r="r"))
+    )
+    one = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    return values.agg(
+        one("accuracy").alias("test_accuracy"), *[one(f"auc_{c}").alias(f"auc_{c}") for c in range(3)],
+        one("purity").alias("vbf_purity_top10pct"), one("r").alias("dy_mass_sculpting_pearson_r"), one("n").cast("long").alias("n_test"))
 
 
 def epoch_evaluation(scored: DataFrame, group_by: Sequence[str] = ("epoch",)) -> DataFrame:

@@ -590,3 +590,19 @@ f AS (SELECT 0 AS y, 0 AS file_ord, * FROM r UNION ALL SELECT 0, 1, * FROM r UNI
 i AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY file_ord, row_index) - 1 AS idx FROM f
       WHERE l_quantity >= 10 AND l_quantity < 40)
 SELECT CAST(y AS INTEGER) AS y, CAST(file_ord AS INTEGER) AS file_ord, row_index, idx, CAST(idx % 4 AS INTEGER) AS fold FROM i"""
+
+ORACLE["checked_inputs"] = """SELECT 'ggH' AS source, 'lineitem' AS name, false AS missing, count(*) AS n FROM lineitem
+UNION ALL SELECT 'ggH', 'absent_a', true, 0 UNION ALL SELECT 'VBF', 'orders', false, count(*) FROM orders
+UNION ALL SELECT 'DY', 'absent_b', true, 0 UNION ALL SELECT 'DY', 'events', false, count(*) FROM events"""
+ORACLE["pool_sizes"] = with_ctes("ev_split") + "SELECT y, count(*) AS n FROM ev_split WHERE split = 'train' GROUP BY y"
+
+
+def _absent_jets_sql() -> str:
+    parts = []
+    for j in range(1, MAX_JETS + 1):
+        ok = f"CAST(trunc(njets_nominal) AS BIGINT) >= {j} AND " + _fin(*[f"jet{j}_{f}_nominal" for f in ("pt", "eta", "phi", "mass")])
+        parts.append(f"SELECT {j} AS jet, count(*) FILTER (WHERE {ok if j <= 2 else 'false'}) AS n_valid, count(*) AS n FROM ev_win")
+    return with_ctes("ev_win") + "\nUNION ALL\n".join(parts)
+
+
+ORACLE["absent_jets"] = _absent_jets_sql()

@@ -7,6 +7,7 @@ in :mod:`eventframe.plans.oracle_sql`.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable
 
 from pyspark import StorageLevel
@@ -27,7 +28,7 @@ from eventframe.operators.sampling import sample_exact_n as sample_exact_n_op
 from eventframe.operators.sampling import write_batches
 from eventframe.operators.scaling import apply_scaler, fit_masked_scaler, scaled_array, scaler_params
 from eventframe.operators.splits import assign_folds, class_counts, file_row_index, global_ids, row_index
-from eventframe.operators.tokens import build_tokens, normalise_events
+from eventframe.operators.tokens import build_tokens, ensure_event_columns, normalise_events
 from eventframe.operators.losses import batch_mean, cross_entropy
 from eventframe.operators.metrics import (
     accuracy,
@@ -86,7 +87,7 @@ from eventframe.sources.artifacts import (
 )
 from eventframe.plans.prepare import events_from_tables, split_events, split_tokens
 from eventframe.sources.event_view import event_view
-from eventframe.sources.parquet import label_and_union, read_labelled_sources
+from eventframe.sources.parquet import label_and_union, missing_paths, read_labelled_sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -201,6 +202,15 @@ def jet_validity(spark, sf_dir):
     return row.select(F.inline(arr))
 
 
+@query
+def absent_jets(spark, sf_dir):
+    """Events without the columns of jets 3 and 4; those are padding then."""
+    ev = window_closed_f32(events_from_tables(spark, sf_dir))
+    ev = build_tokens(ensure_event_columns(ev.drop(*[c for c in ev.columns if c.startswith(("jet3_", "jet4_"))])))
+    t = ev.select(F.posexplode("tokens").alias("tok", "t")).where("tok >= 3")
+    return t.groupBy((F.col("tok") - 2).alias("jet")).agg(F.sum(F.col("t.valid").cast("long")).alias("n_valid"), F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------- scaling (A1-A3)
 def train_scaler(spark, sf_dir, keep: bool = False) -> DataFrame:
     t = _tokens(spark, sf_dir, keep)
@@ -246,6 +256,12 @@ def sample_short_source(spark, sf_dir):
     return sample_exact_n_op(ev, 2250, SEED, ("y",)).select("event_id", "y")
 
 
+@query
+def pool_sizes(spark, sf_dir):
+    """Rows to draw from by class; a class without any is an error."""
+    return class_pool_sizes(_train_pool(spark, sf_dir))
+
+
 def _batch_cols(df):
     return df.select("step", "y", "draw", "event_id", "shuffle_key")
 
@@ -731,3 +747,17 @@ def file_rows(spark, sf_dir):
     ev = read_labelled_sources(spark, {"ggH": [p, p], "VBF": [p]}, columns=["l_orderkey", "l_linenumber", "l_quantity"])
     ev = window_half_open(ev, "l_quantity", (10.0, 40.0))
     return assign_folds(file_row_index(ev)).select("y", "file_ord", "row_index", "idx", "fold")
+
+
+@query
+def checked_inputs(spark, sf_dir):
+    """S3: every requested file, whether it is missing, and its rows by source."""
+    names = {"ggH": ["lineitem", "absent_a"], "VBF": ["orders"], "DY": ["absent_b", "events"]}
+    path = lambda n: f"{sf_dir}/{n}.parquet"
+    gone = set(missing_paths(spark, [path(n) for own in names.values() for n in own]))
+    asked = [(source, n, path(n) in gone) for source, own in names.items() for n in own]
+    grid = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(n).alias("name"), F.lit(m).alias("missing")) for s, n, m in asked])
+    there = [n for _, n, m in asked if not m]
+    rows = [spark.read.parquet(path(n)).select(F.lit(n).alias("name")) for n in there]
+    counts = reduce(DataFrame.unionByName, rows).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return spark.range(1).select(F.inline(grid)).join(counts, "name", "left").select("source", "name", "missing", F.coalesce("n", F.lit(0)).alias("n"))
