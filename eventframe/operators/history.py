@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
@@ -24,7 +23,7 @@ from pyspark.sql.types import TimestampNTZType
 from eventframe.constants import LAMBDA_MAX, MIN_DELTA, PATIENCE, WARMUP_EPOCHS
 from eventframe.functions.scalar import nan_if_null
 from eventframe.operators.ordering import ID_BUCKET, dense_index, prefix_aggregate
-from eventframe.session import ensure_checkpoint_dir
+from eventframe.session import ensure_checkpoint_dir, written
 
 #: Parts into which a run's rows are dealt when they meet its stop.
 STOP_SALTS = 32
@@ -80,7 +79,8 @@ def early_stopping(hist: DataFrame, patience: int = PATIENCE, min_delta: float =
     if min_delta < 0:
         raise ValueError("min_delta must be >= 0")
     h = hist.select(F.col(run_col).alias("run"), F.col(epoch_col).alias("epoch"), nan_if_null(loss_col).alias("loss"))
-    h = dense_index(h, ["run"], "epoch", out="pos").persist(StorageLevel.MEMORY_AND_DISK)
+    h = dense_index(h, ["run"], "epoch", out="pos")
+    h = written(h, "history")
     runs = h.groupBy("run").agg(F.count(F.lit(1)).alias("n_epochs"))
     # 1. running-minimum records (candidates for a new best)
     pm = prefix_aggregate(h, ["run"], ["pos"], F.col("pos"), _before(), bucket_width=ID_BUCKET)

@@ -19,13 +19,12 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventframe.functions.scalar import col_
-from eventframe.session import scratch_dir
+from eventframe.session import scratch_dir, written
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -94,9 +93,9 @@ def prefix_aggregate(
         b = add_range_bucket(df, bucket_key, n_buckets)
     keys = part + ["_b"]
     if cache_input:
-        # two passes are inherent (bucket totals, then rows); keep the input once instead of
+        # two passes are inherent (bucket totals, then rows); write the input once instead of
         # recomputing its whole upstream plan for the second pass
-        b = b.persist(StorageLevel.MEMORY_AND_DISK)
+        b = written(b, "buckets")
     # bucket totals (map-side partial aggregation) and their exclusive prefix over buckets
     tot = b.groupBy(*keys).agg(*[_AGG[fn](expr).alias(f"_t_{name}") for name, (fn, expr) in aggs.items()])
     wb = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

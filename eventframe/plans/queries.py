@@ -10,7 +10,6 @@ from __future__ import annotations
 from functools import reduce
 from typing import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,7 +69,7 @@ from eventframe.plans.training import (
     score_equations,
     token_features,
 )
-from eventframe.session import scratch_dir
+from eventframe.session import scratch_dir, written
 from eventframe.sources.artifacts import (
     HISTORY_SCHEMA,
     commit_history,
@@ -97,15 +96,13 @@ def query(fn):
     return fn
 
 
-def _split(spark, sf_dir, keep: bool = False) -> DataFrame:
-    """Prepared events; ``keep`` persists them for queries that read them with several actions
-    (edges, thresholds, report rows) so the upstream plan runs once."""
-    sp = split_events(events_from_tables(spark, sf_dir))
-    return sp.persist(StorageLevel.MEMORY_AND_DISK) if keep else sp
+def _split(spark, sf_dir) -> DataFrame:
+    """Prepared events."""
+    return split_events(events_from_tables(spark, sf_dir))
 
 
-def _tokens(spark, sf_dir, keep: bool = False) -> DataFrame:
-    return split_tokens(_split(spark, sf_dir, keep))
+def _tokens(spark, sf_dir) -> DataFrame:
+    return split_tokens(_split(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- filters, sources
@@ -212,9 +209,13 @@ def absent_jets(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- scaling (A1-A3)
-def train_scaler(spark, sf_dir, keep: bool = False) -> DataFrame:
-    t = _tokens(spark, sf_dir, keep)
-    return fit_masked_scaler(t.where(F.col("split") == "train"))
+def train_scaler(spark, sf_dir) -> DataFrame:
+    return scaler_of(_split(spark, sf_dir))
+
+
+def scaler_of(split: DataFrame) -> DataFrame:
+    """The scaler fitted to the training rows of prepared events."""
+    return fit_masked_scaler(split_tokens(split.where(F.col("split") == "train")))
 
 
 @query
@@ -224,8 +225,9 @@ def masked_scaler(spark, sf_dir):
 
 @query
 def scaled_features(spark, sf_dir):
-    mean, std = scaler_params(train_scaler(spark, sf_dir, keep=True))
-    t = apply_scaler(_tokens(spark, sf_dir, keep=True), mean, std, out="xs")
+    sp = written(_split(spark, sf_dir), "split")  # read twice: fit, then apply
+    mean, std = scaler_params(scaler_of(sp))
+    t = apply_scaler(split_tokens(sp), mean, std, out="xs")
     return rounded(t.select("event_id", "tok", "valid", *[F.col("xs")[i].alias(f"xs{i}") for i in range(X_DIM)]))
 
 
@@ -239,9 +241,9 @@ SEED = 42
 
 
 def _train_pool(spark, sf_dir) -> DataFrame:
-    # read by several actions (pool sizes, then draws): keep only the columns the callers use
+    # read by several actions (pool sizes, then draws): write only the columns the callers use
     sp = _split(spark, sf_dir).where(F.col("split") == "train")
-    return sp.select("event_id", "y", "idx", "dimuon_mass").persist(StorageLevel.MEMORY_AND_DISK)
+    return written(sp.select("event_id", "y", "idx", "dimuon_mass"), "pool")
 
 
 @query
@@ -400,7 +402,7 @@ def _scored(spark, sf_dir, split: str = "test") -> DataFrame:
     sp = sp.select("event_id", "y", "idx", F.col("dimuon_mass").alias("mass"), "MET_phi",
                    fixture_logits().alias("z"))
     # the scored table is read by several metrics/actions: keep this narrow table, not the events
-    return score_from_logits(sp).persist(StorageLevel.MEMORY_AND_DISK)
+    return written(score_from_logits(sp), "scored")
 
 
 @query
@@ -656,17 +658,19 @@ def batch_score(spark, sf_dir):
 def event_score(spark, sf_dir):
     """The test split on features, kinematics and mask, scaled by the scaler that training wrote."""
     path = scratch_dir(spark, "x_scaler")
-    write_scaler(train_scaler(spark, sf_dir), path)
+    sp = written(_split(spark, sf_dir), "split")
+    write_scaler(scaler_of(sp), path)
     mean, std = scaler_params(read_scaler(spark, path))
-    ev = build_tokens(_split(spark, sf_dir).where(F.col("split") == "test"))
+    ev = build_tokens(sp.where(F.col("split") == "test"))
     s = score_events(event_tensors(ev, mean, std), masked_sum_predict_fn(3))
     return rounded(s.select("event_id", "y", "dimuon_mass", *[F.col("p")[c].alias(f"p{c}") for c in range(3)]))
 
 
 def _features(spark, sf_dir) -> DataFrame:
     """The scaled feature vector of every event with its label, split and mass: built once, written, read again."""
-    mean, std = scaler_params(train_scaler(spark, sf_dir))
-    ev = build_tokens(_split(spark, sf_dir))
+    sp = written(_split(spark, sf_dir), "split")
+    mean, std = scaler_params(scaler_of(sp))
+    ev = build_tokens(sp)
     t = F.col("tokens")
     xs = F.array(*[t[k].withField("x", scaled_array(t[k]["x"], mean, std)) for k in range(7)])
     ev = token_features(ev.withColumn("tokens", xs)).select("event_id", "y", "split", "dimuon_mass", "features")

@@ -55,3 +55,18 @@ def test_report_of_one_plan(spark):
     assert r.dy_mass_sculpting_pearson_r == pytest.approx(-1.0)
     one = evaluation_report(spark, spark.createDataFrame([x for x in rows if x[0] != 1], "y int, p array<double>, mass double")).first()
     assert one.auc_1 is None and one.n_test == 3
+
+
+def test_nothing_stays_cached(spark, keyed_history):
+    from eventframe.operators.history import early_stopping
+    from eventframe.operators.metrics import auc_ovr
+
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    early_stopping(keyed_history).collect()
+    auc_ovr(spark.createDataFrame([(0, [.5, .3, .2]), (1, [.2, .6, .2])], "y int, p array<double>")).collect()
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+@pytest.fixture
+def keyed_history(spark):
+    return spark.createDataFrame([(r, e, 1.0 / (e + 1)) for r in (0, 1) for e in range(6)], "run int, epoch int, loss double")
