@@ -263,47 +263,49 @@ class Segmenter:
         (row, place) of all candidates."""
         n, size = len(chunks), np.fromiter(map(len, chunks), np.int64, len(chunks))
         width = int(size.max())
-        here = np.arange(width) < size[:, None]
-        symbol = np.full((n, width), -1, np.int32)
+        here = (np.arange(width) < size[:, None]).ravel()
+        start = np.arange(n) * width  # symbols are addressed by row * width + place
+        stop = start + size
+        symbol = np.full(n * width, -1, np.int32)
         symbol[here] = self.single[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
-        after = np.tile(np.arange(1, width + 1), (n, 1))  # start of the next symbol; ``size`` at the end
-        before = np.tile(np.arange(-1, width - 1), (n, 1))
-        rank, join = np.full((n, width), _NONE, np.int32), np.zeros((n, width), np.int32)
+        after, before = np.arange(1, n * width + 1), np.arange(-1, n * width - 1)  # ``stop`` after the last symbol
+        rank, join = np.full(n * width, _NONE, np.int32), np.zeros(n * width, np.int32)
 
         def renew(row, at):
             """The candidate of the symbols at ``at`` and after it."""
-            rank[row, at] = _NONE
-            middle = after[row, at]
-            inside = middle < size[row]
+            rank[at] = _NONE
+            middle = after[at]
+            inside = np.flatnonzero(middle < stop[row])
             row, at, middle = row[inside], at[inside], middle[inside]
-            pair = symbol[row, at].astype(np.int64) * self.size + symbol[row, middle]
-            place = self._find(pair)
-            can = place >= 0
+            place = self._find(symbol[at].astype(np.int64) * self.size + symbol[middle])
+            can = np.flatnonzero(place >= 0)
             row, at, middle, place = row[can], at[can], middle[can], place[can]
+            spot = [x - start[row] for x in (at, middle, after[middle])]
             if met is not None:
-                met.append((row, self._place(at, middle, after[row, middle])))
+                met.append((row, self._place(*spot)))
             if self.limit and key is not None:
-                can = ~self._skipped(key[row], at, middle, after[row, middle])
-                row, at, place = row[can], at[can], place[can]
-            rank[row, at], join[row, at] = self.v.rank[place], self.v.joined[place]
+                can = np.flatnonzero(~self._skipped(key[row], *spot))
+                at, place = at[can], place[can]
+            rank[at], join[at] = self.v.rank[place], self.v.joined[place]
 
-        renew(*np.nonzero(here))
-        rows = np.arange(n)
+        first = np.flatnonzero(here)
+        renew(first // width, first)
+        rows, ranks = np.arange(n), rank.reshape(n, width)
         while len(rows):
-            best = (rank if len(rows) == n else rank[rows]).argmin(1)
-            go = rank[rows, best] < _NONE
+            best = (ranks if len(rows) == n else ranks[rows]).argmin(1) + start[rows]
+            go = np.flatnonzero(rank[best] < _NONE)
             rows, best = rows[go], best[go]
-            gone = after[rows, best]
-            symbol[rows, best] = join[rows, best]
-            symbol[rows, gone], rank[rows, gone] = -1, _NONE
-            then = after[rows, gone]
-            after[rows, best] = then
-            more = then < size[rows]
-            before[rows[more], then[more]] = best[more]
-            renew(rows, best)
-            prior = before[rows, best]
-            renew(rows[prior >= 0], prior[prior >= 0])
-        return symbol[symbol >= 0], (symbol >= 0).sum(1)
+            gone = after[best]
+            symbol[best] = join[best]
+            symbol[gone], rank[gone] = -1, _NONE
+            then = after[gone]
+            after[best] = then
+            more = np.flatnonzero(then < stop[rows])
+            before[then[more]] = best[more]
+            prior = before[best]
+            old = np.flatnonzero(prior >= start[rows])
+            renew(np.concatenate([rows, rows[old]]), np.concatenate([best, prior[old]]))
+        return symbol[symbol >= 0], (symbol.reshape(n, width) >= 0).sum(1)
 
     def agenda(self, chunk: str, variant: int) -> np.ndarray:
         """The ids of any chunk, keyed by chunk and variant."""
