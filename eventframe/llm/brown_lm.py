@@ -11,8 +11,9 @@ was never seen, gets the class of most words below the list (else: in the list)
 probability of a word is that of its class after the class before (smoothed with the classes' own frequency)
 times that of the word in its class (``ALPHA`` added to each count, and one unseen word for each class).
 
-Pair counts are sparse and grow with the input; during exchange, words below the list are symbols by their
-last bytes. Classes, class pairs and the frequency list are the model, bounded, and are broadcast. Words below
+The training texts are written once as numbers of their words, words below the list as symbols by their last
+bytes. A turn of the exchange is one pass over them: each task counts class pairs, and the classes around the words
+that may move, in arrays of bounded size, and blocks of words add up those arrays. Classes, class pairs and the frequency list are the model, bounded, and are broadcast. Words below
 the list, an unbounded number, meet their counts and classes in shuffled joins. With ``clustered`` given, only
 so many words are exchanged and all others have a class by their last bytes.
 
@@ -40,6 +41,12 @@ FREQUENT = 1 << 18
 #: The smallest parts in which words move are one of so many.
 _PARTS = 32
 _KEPT = 400_000
+#: Symbols at least in a run of the encoded texts (longer texts are one run), words in a block of counts.
+_RUN, _BLOCK = 1 << 16, 512
+#: Counts of classes around words that a task holds at most (4 bytes each).
+_CELLS = 1 << 22
+#: Counts around a word below this have their part of the likelihood looked up.
+_FEW = 32
 _END = b" end"  # no word has a space
 
 
@@ -128,31 +135,27 @@ def symbols(numbers: np.ndarray, shapes: np.ndarray, clustered: int) -> np.ndarr
     return np.where(numbers < 0, clustered - 1 - numbers, np.where(numbers < clustered, numbers, clustered + shapes[np.maximum(numbers, 0)] if len(shapes) else 0))
 
 
-def pair_counts(texts: DataFrame, words, shapes, clustered: int) -> DataFrame:
-    """``(a, b, n)``: how often symbol ``b`` follows ``a``; a task adds up some million pairs before they move."""
-    size = clustered + SHAPES
-    schema = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
+def encoded(texts: DataFrame, words, shapes, clustered: int) -> DataFrame:
+    """``(tokens)``: the symbols of all texts, one text after the other, as runs of 32-bit numbers. Each run ends with
+    the end of a text, so the symbol before its first is its last."""
+    schema = pa.schema([("tokens", pa.binary())])
 
     def out(held: list[np.ndarray]):
-        pair, n = np.unique(np.concatenate(held), return_counts=True)
-        for lo in range(0, len(pair), 200_000):
-            part = pair[lo:lo + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part // size, pa.int32()), pa.array(part % size, pa.int32()), pa.array(n[lo:lo + 200_000], pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], schema=schema)
 
     def run(batches):
         lookup, held, many = Lookup(words.value), [], 0
         for batch in batches:
             for text in batch.column(0):
-                s = symbols(lookup(tokens(text.as_py())), shapes.value, clustered)
-                held.append(np.append(s[-1:], s[:-1]) * size + s)
-                many += len(s)
-                if many > 4 << 20:
-                    yield from out(held)
+                held.append(symbols(lookup(tokens(text.as_py())), shapes.value, clustered).astype(np.int32))
+                many += len(held[-1])
+                if many >= _RUN:
+                    yield out(held)
                     held, many = [], 0
         if held:
-            yield from out(held)
+            yield out(held)
 
-    return texts.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "tokens binary")
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -207,17 +210,23 @@ def best_classes(now: np.ndarray, before: np.ndarray, after: np.ndarray, pairs:
     into, out_of = np.maximum(into, 0), np.maximum(out_of, 0)
     gain = _nlogn(into) - _nlogn(into + n) + _nlogn(out_of) - _nlogn(out_of + m)
     for around, other, cells in ((after, before, pairs[:classes].T), (before, after, pairs[:, :classes])):
+        # most counts around a word are small: what they add is looked up
+        few = np.stack([_nlogn(cells + k) - _nlogn(cells) for k in range(_FEW)])
         rows, beside = np.nonzero(around)
         for lo in range(0, len(rows), 20_000):
             r, j = rows[lo:lo + 20_000], beside[lo:lo + 20_000]
-            there, count = cells[j], around[r, j][:, None]
+            count = around[r, j]
+            rise = few[np.minimum(count, _FEW - 1).astype(np.int64), j]
+            at = np.flatnonzero(count >= _FEW)
+            rise[at] = _added(cells[j[at]], count[at, None])
             at = np.flatnonzero(now[r] < classes)  # the counts without the word itself
-            there[at, now[r[at]]] -= count[at, 0]
+            rise[at, now[r[at]]] = _added(cells[j[at], now[r[at]]] - count[at], count[at])
             at = np.flatnonzero(now[r] == j)
-            there[at] -= other[r[at], :classes]
-            there = np.maximum(there, 0)
+            there = cells[j[at]] - other[r[at], :classes]
+            there[np.arange(len(at)), j[at]] -= count[at]
+            rise[at] = _added(there, count[at, None])
             first = np.append(0, np.flatnonzero(np.diff(r)) + 1)
-            gain[r[first]] += np.add.reduceat(_nlogn(there + count) - _nlogn(there), first)
+            gain[r[first]] += np.add.reduceat(rise, first)
     best = gain.argmax(1)
     rows = np.arange(len(now))
     stay = own[gain[own, best[own]] <= gain[own, now[own]] + 1e-9]
@@ -225,86 +234,125 @@ def best_classes(now: np.ndarray, before: np.ndarray, after: np.ndarray, pairs:
     return best
 
 
-def place(around: DataFrame, of: np.ndarray, counts: np.ndarray, classes: int, named: bool, parts: int = 1, part: int = 0) -> DataFrame:
-    """``(word, class)``: the best class of words by what is around them: symbols if ``named`` (and the words
-    symbols too), else classes. Of ``parts`` parts of the words only ``part``."""
+def _added(there: np.ndarray, count: np.ndarray) -> np.ndarray:
+    there = np.maximum(there, 0)
+    return _nlogn(there + count) - _nlogn(there)
+
+
+def place(around: DataFrame, counts: np.ndarray, classes: int) -> DataFrame:
+    """``(word, class)``: the best class of words without one by the classes around them."""
     schema = pa.schema([("word", pa.int64()), ("class", pa.int32())])
     total = len(counts)
-    shared = around.sparkSession.sparkContext.broadcast(of)
-    size = len(of) if named else total
 
     def move(words, codes, ns):
-        words, of = words.to_numpy(), shared.value
         best = []
-        for lo in range(0, len(words), 1_000):
-            row, code, n = _flat(codes[lo:lo + 1_000], ns[lo:lo + 1_000])
-            rows = len(words[lo:lo + 1_000])
-            beside = of[code % size] if named else code % size
-            sides = np.bincount((code // size * rows + row) * total + beside, n, 2 * rows * total).reshape(2, rows, total)
-            now = of[words[lo:lo + 1_000]] if named else np.full(rows, total)
-            best.append(best_classes(now, sides[0], sides[1], counts, classes))
+        for lo in range(0, len(words), 4_000):
+            row, code, n = _flat(codes[lo:lo + 4_000], ns[lo:lo + 4_000])
+            rows = len(words[lo:lo + 4_000])
+            sides = np.bincount((code // total * rows + row) * total + code % total, n, 2 * rows * total).reshape(2, rows, total)
+            best.append(best_classes(np.full(rows, total), sides[0], sides[1], counts, classes))
         return {"word": words, "class": np.concatenate(best) if best else []}
 
-    some = around.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == part) if parts > 1 else around
-    return some.mapInArrow(by_batches(move, schema, "word", "codes", "ns"), "word long, class int")
+    return around.mapInArrow(by_batches(move, schema, "word", "codes", "ns"), "word long, class int")
 
 
-def class_counts(around: DataFrame, of: np.ndarray, clustered: int, total: int) -> np.ndarray:
-    """Counts of class pairs, those of two symbols that aren't clustered left out."""
-    schema = pa.schema([("pair", pa.int32()), ("n", pa.int64())])
-    shared, size = around.sparkSession.sparkContext.broadcast(of), len(of)
+def look(runs: DataFrame, of: np.ndarray, clustered: int, total: int, parts: int, part: int) -> tuple[np.ndarray, DataFrame]:
+    """(counts of class pairs, ``(block, counts)``): one pass over the symbols. A block has the counts of the classes
+    before and after each of ``_BLOCK`` words; words go to ``parts`` parts in turn, and only those of one
+    are counted. A task adds up its own counts, at most ``2 * total`` for each word of the part, before they move."""
+    shared = runs.sparkSession.sparkContext.broadcast(of)
+    schema = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
+    wide = 2 * total
+    words = (clustered - part + parts - 1) // parts
 
-    def add(words, codes, ns):
+    def count(batches):
         of = shared.value
-        row, code, n = _flat(codes, ns)
-        word, other, next_ = of[words.to_numpy()[row]], code % size, code // size == 1
-        use = next_ | (other >= clustered)  # pairs of two clustered words are met twice
-        cell = np.where(next_, word * total + of[other], of[other] * total + word)[use]
-        sums = np.bincount(cell, n[use], total * total)
-        at = np.flatnonzero(sums)
-        return {"pair": at, "n": sums[at].astype(np.int64)}
-
-    out = np.zeros(total * total, np.int64)
-    found = around.mapInArrow(by_batches(add, schema, "word", "codes", "ns"), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    for r in found.collect():  # at most total x total rows
-        out[r["pair"]] = r["n"]
-    return out.reshape(total, total)
-
-
-def exchange(pairs: DataFrame, clustered: int, classes: int = CLASSES, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        around, pairs = np.zeros(-(-words // _BLOCK) * _BLOCK * wide, np.int32), np.zeros(total * total, np.int64)
+        for batch in batches:
+            for run in batch.column(0):
+                s = np.frombuffer(run.as_buffer(), np.int32)
+                c = of[s]
+                before = np.append(c[-1:], c[:-1])
+                pairs += np.bincount(before * total + c, minlength=total * total)
+                at = np.flatnonzero((s % parts == part) & (s < clustered))
+                row = (s[at] // parts).astype(np.int64) * wide
+                np.add.at(around, row + before[at], 1)
+                np.add.at(around, row + total + c[np.where(at + 1 < len(c), at + 1, 0)], 1)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([pairs.tobytes()], pa.binary())], schema=schema)
+        blocks = around.reshape(-1, _BLOCK * wide)
+        for b in np.flatnonzero(blocks.any(1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blocks[b].tobytes()], pa.binary())], schema=schema)
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                one = np.frombuffer(counts.as_buffer(), np.int64 if b < 0 else np.int32)
+                if b in sums:
+                    sums[b] += one
+                else:
+                    sums[b] = one.astype(np.int64)
+        for b, counts in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([counts.tobytes()], pa.binary())], schema=schema)
+
+    found = runs.mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary")
+    found = cut(found, "contexts")
+    first = found.where("block = -1").first()
+    pairs = np.frombuffer(bytes(first["counts"]), np.int64) if first else np.zeros(total * total, np.int64)
+    return pairs.reshape(total, total), found.where("block >= 0")
+
+
+def exchanged(blocks: DataFrame, of: np.ndarray, pairs: np.ndarray, classes: int, clustered: int, parts: int, part: int) -> np.ndarray:
+    """``of`` with the words of the blocks in their best classes."""
+    shared = blocks.sparkSession.sparkContext.broadcast((of, pairs))
+    schema = pa.schema([("word", pa.int64()), ("class", pa.int32())])
+
+    def move(batches):
+        of, pairs = shared.value
+        for batch in batches:
+            for b, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = (b * _BLOCK + np.arange(_BLOCK)) * parts + part
+                words = words[words < clustered]
+                sides = np.frombuffer(counts.as_buffer(), np.int64).reshape(_BLOCK, 2, len(pairs))[:len(words)]
+                now = of[words]
+                best = best_classes(now, sides[:, 0], sides[:, 1], pairs, classes)
+                at = np.flatnonzero(best != now)
+                yield pa.RecordBatch.from_arrays([pa.array(words[at], pa.int64()), pa.array(best[at], pa.int32())], schema=schema)
+
+    moved = blocks.repartition("block").mapInArrow(move, "word long, class int").toPandas()  # at most one row per word of the part
+    of = of.copy()
+    of[moved["word"].to_numpy(np.int64)] = moved["class"].to_numpy(np.int64)
+    return of
+
+
+def exchange(runs: DataFrame, clustered: int, classes: int = CLASSES, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(class of each symbol, counts of class pairs). Symbols from ``clustered`` on keep a class each; without
     ``rounds``, words move until the likelihood stops rising."""
-    size, total = clustered + SHAPES, classes + SHAPES
-    of = np.concatenate([np.arange(clustered) % classes, classes + np.arange(SHAPES)])
-    fixed = np.zeros((total, total), np.int64)
-    for r in pairs.where((F.col("a") >= clustered) & (F.col("b") >= clustered)).collect():
-        fixed[classes + r["a"] - clustered, classes + r["b"] - clustered] = r["n"]
-    if not clustered:
-        return of, fixed
-    sides = pairs.select(F.col("b").alias("word"), F.col("a").alias("code"), "n").unionByName(
-        pairs.select(F.col("a").alias("word"), (F.col("b") + size).alias("code"), "n"))
-    around = cut(grouped(sides.where(F.col("word") < clustered)), "contexts")
-    best, best_counts = of, class_counts(around, of, clustered, total) + fixed
-    start = most = likelihood(best_counts)
-    parts, part, turn, before = 2, 0, 0, most
-    while rounds is None or turn < rounds:
-        of = best.copy()
-        moved = place(around, best, best_counts, classes, True, parts, part).toPandas()  # at most one row per clustered word
-        of[moved["word"].to_numpy(np.int64)] = moved["class"].to_numpy(np.int64)
-        turn += 1
-        counts = class_counts(around, of, clustered, total) + fixed if (of != best).any() else best_counts
-        value = likelihood(counts)
-        fell = value < most
-        if not fell:
-            best, best_counts, most = of, counts, value
-        part += 1
-        if fell and parts < _PARTS:
+    total = classes + SHAPES
+    best = np.concatenate([np.arange(clustered) % classes, classes + np.arange(SHAPES)])
+    parts, part, turn = 2, 0, 0
+    while clustered * 2 * total > parts * _CELLS:
+        parts *= 2
+    most_parts = max(parts, _PARTS)
+    counts, blocks = look(runs, best, clustered, total, parts, 0)
+    start = before = most = likelihood(counts)
+    while clustered and (rounds is None or turn < rounds):
+        of = exchanged(blocks, best, counts, classes, clustered, parts, part)
+        turn, part = turn + 1, part + 1
+        new, ahead = look(runs, of, clustered, total, parts, part % parts)
+        value = likelihood(new)
+        if value >= most:
+            best, counts, most, blocks = of, new, value, ahead
+        elif parts < most_parts:
             parts, part, before = 2 * parts, 0, most
-        elif part == parts:
+            blocks = look(runs, best, clustered, total, parts, 0)[1]
+        else:
+            blocks = look(runs, best, clustered, total, parts, part % parts)[1]
+        if part == parts:
             if most - before <= RISE * (most - start):
                 break
             part, before = 0, most
-    return best, best_counts
+    return best, counts
 
 
 @dataclass
@@ -378,7 +426,7 @@ def place_rest(texts: DataFrame, rest: DataFrame, words, shapes, of: np.ndarray,
     near = loose.where("a is null").select(F.col("b").alias("word"), F.col("ca").alias("code"), "n").unionByName(
         loose.where("b is null").select(F.col("a").alias("word"), (F.col("cb") + total).alias("code"), "n"))
     around = grouped(near.groupBy("word", "code").agg(F.sum("n").alias("n")))
-    placed = cut(rest.join(place(around, of, pairs, classes, False), "word", "left"), "placed")
+    placed = cut(rest.join(place(around, pairs, classes), "word", "left"), "placed")
     for r in placed.where("class is not null").groupBy("shape", "class").agg(F.count("*").alias("n")).groupBy("shape").agg(
             F.max(F.struct("n", (-F.col("class")).alias("neg"))).alias("most")).select("shape", (-F.col("most.neg")).alias("class")).collect():
         unseen[r["shape"]] = r["class"]
@@ -405,8 +453,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int =
     every = clustered is None
     clustered = len(words) if every else min(clustered, len(words))
     sent = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(shapes)
-    pairs = cut(pair_counts(texts, *sent, clustered), "word-pairs")
-    of, class_pairs = exchange(pairs, clustered, classes, rounds)
+    of, class_pairs = exchange(cut(encoded(texts, *sent, clustered), "symbols"), clustered, classes, rounds)
     rest = counts.where(~listed).select("word", "shape", "n")
     if every:
         rest, unseen, class_pairs = place_rest(texts, rest, *sent, of, class_pairs, classes)
