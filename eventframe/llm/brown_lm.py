@@ -13,7 +13,8 @@ times that of the word in its class (``ALPHA`` added to each count, and one unse
 
 The training texts are written once as numbers of their words, words below the list as symbols by their last
 bytes. A turn of the exchange is one pass over them: each task counts class pairs, and the classes around the words
-that may move, in arrays of bounded size, and blocks of words add up those arrays. Classes, class pairs and the frequency list are the model, bounded, and are broadcast. Words below
+that may move, in arrays of bounded size, and blocks of words add up those arrays. A few tasks then move the words,
+frequent ones first, each with its own moves taken into the class pairs. Classes, class pairs and the frequency list are the model, bounded, and are broadcast. Words below
 the list, an unbounded number, meet their counts and classes in shuffled joins. With ``clustered`` given, only
 so many words are exchanged and all others have a class by their last bytes.
 
@@ -41,12 +42,14 @@ FREQUENT = 1 << 18
 #: The smallest parts in which words move are one of so many.
 _PARTS = 32
 _KEPT = 400_000
-#: Symbols at least in a run of the encoded texts (longer texts are one run), words in a block of counts.
-_RUN, _BLOCK = 1 << 16, 512
+#: Symbols at least in a run of the encoded texts (longer texts are one run).
+_RUN = 1 << 16
 #: Counts of classes around words that a task holds at most (4 bytes each).
-_CELLS = 1 << 22
+_CELLS = 1 << 24
 #: Counts around a word below this have their part of the likelihood looked up.
-_FEW = 32
+_FEW = 8
+#: Tasks that move words at the same time; words of a lot have one part of so many of the text.
+_MOVERS, _LOTS = 8, 512
 _END = b" end"  # no word has a space
 
 
@@ -256,18 +259,34 @@ def place(around: DataFrame, counts: np.ndarray, classes: int) -> DataFrame:
     return around.mapInArrow(by_batches(move, schema, "word", "codes", "ns"), "word long, class int")
 
 
+_BLOCKS = pa.schema([("block", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
+
+
+def _block(b: int, sums: np.ndarray) -> pa.RecordBatch:
+    """A row of the cells that aren't 0."""
+    at = np.flatnonzero(sums)
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((b, at.astype(np.uint16).tobytes(), sums[at].astype(np.int64).tobytes()), _BLOCKS)], schema=_BLOCKS)
+
+
+def _cells(batches):
+    """``(block, cells, counts)`` of each row."""
+    for batch in batches:
+        for b, cells, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            yield b, np.frombuffer(cells.as_buffer(), np.uint16), np.frombuffer(counts.as_buffer(), np.int64)
+
+
 def look(runs: DataFrame, of: np.ndarray, clustered: int, total: int, parts: int, part: int) -> tuple[np.ndarray, DataFrame]:
-    """(counts of class pairs, ``(block, counts)``): one pass over the symbols. A block has the counts of the classes
-    before and after each of ``_BLOCK`` words; words go to ``parts`` parts in turn, and only those of one
+    """(counts of class pairs, ``(block, cells, counts)``): one pass over the symbols. A block has the counts of the
+    classes before and after each of some hundred words; words go to ``parts`` parts in turn, and only those of one
     are counted. A task adds up its own counts, at most ``2 * total`` for each word of the part, before they move."""
     shared = runs.sparkSession.sparkContext.broadcast(of)
-    schema = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
     wide = 2 * total
-    words = (clustered - part + parts - 1) // parts
+    size = (1 << 16) // wide * wide
+    words = max(clustered - part + parts - 1, 0) // parts
 
     def count(batches):
         of = shared.value
-        around, pairs = np.zeros(-(-words // _BLOCK) * _BLOCK * wide, np.int32), np.zeros(total * total, np.int64)
+        around, pairs = np.zeros(-(-words * wide // size) * size, np.int32), np.zeros(total * total, np.int64)
         for batch in batches:
             for run in batch.column(0):
                 s = np.frombuffer(run.as_buffer(), np.int32)
@@ -278,48 +297,63 @@ def look(runs: DataFrame, of: np.ndarray, clustered: int, total: int, parts: int
                 row = (s[at] // parts).astype(np.int64) * wide
                 np.add.at(around, row + before[at], 1)
                 np.add.at(around, row + total + c[np.where(at + 1 < len(c), at + 1, 0)], 1)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([pairs.tobytes()], pa.binary())], schema=schema)
-        blocks = around.reshape(-1, _BLOCK * wide)
+        yield _block(-1, pairs)
+        blocks = around.reshape(-1, size)
         for b in np.flatnonzero(blocks.any(1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blocks[b].tobytes()], pa.binary())], schema=schema)
+            yield _block(b, blocks[b])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for b, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                one = np.frombuffer(counts.as_buffer(), np.int64 if b < 0 else np.int32)
-                if b in sums:
-                    sums[b] += one
-                else:
-                    sums[b] = one.astype(np.int64)
-        for b, counts in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([counts.tobytes()], pa.binary())], schema=schema)
-
-    found = runs.mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary")
-    found = cut(found, "contexts")
-    first = found.where("block = -1").first()
-    pairs = np.frombuffer(bytes(first["counts"]), np.int64) if first else np.zeros(total * total, np.int64)
+        for b, cells, counts in _cells(batches):
+            if b not in sums:
+                sums[b] = np.zeros(total * total if b < 0 else size, np.int64)
+            sums[b][cells] += counts  # the cells of a row are different
+        for b in sums:
+            yield _block(b, sums[b])
+
+    schema = "block int, cells binary, counts binary"
+    found = cut(runs.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema), "contexts")
+    pairs = np.zeros(total * total, np.int64)
+    for r in found.where("block = -1").collect():  # one row, or none of an empty table
+        pairs[np.frombuffer(bytes(r["cells"]), np.uint16)] = np.frombuffer(bytes(r["counts"]), np.int64)
     return pairs.reshape(total, total), found.where("block >= 0")
 
 
 def exchanged(blocks: DataFrame, of: np.ndarray, pairs: np.ndarray, classes: int, clustered: int, parts: int, part: int) -> np.ndarray:
-    """``of`` with the words of the blocks in their best classes."""
+    """``of`` with the words of the blocks in their best classes. A task takes its words from frequent to rare, few at a
+    time by their share of the text, and each lot meets the class pairs as the lots before it have left them."""
     shared = blocks.sparkSession.sparkContext.broadcast((of, pairs))
     schema = pa.schema([("word", pa.int64()), ("class", pa.int32())])
+    total = len(pairs)
+    size = (1 << 16) // (2 * total)
 
     def move(batches):
         of, pairs = shared.value
-        for batch in batches:
-            for b, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = (b * _BLOCK + np.arange(_BLOCK)) * parts + part
-                words = words[words < clustered]
-                sides = np.frombuffer(counts.as_buffer(), np.int64).reshape(_BLOCK, 2, len(pairs))[:len(words)]
-                now = of[words]
-                best = best_classes(now, sides[:, 0], sides[:, 1], pairs, classes)
-                at = np.flatnonzero(best != now)
-                yield pa.RecordBatch.from_arrays([pa.array(words[at], pa.int64()), pa.array(best[at], pa.int32())], schema=schema)
-
-    moved = blocks.repartition("block").mapInArrow(move, "word long, class int").toPandas()  # at most one row per word of the part
+        pairs = pairs.copy()
+        lot = pairs.sum() // _LOTS + 1
+        for b, cells, counts in _cells(batches):
+            words = (b * size + np.arange(size)) * parts + part
+            words = words[words < clustered]
+            sides = np.zeros(size * 2 * total, np.int64)
+            sides[cells] = counts
+            sides = sides.reshape(size, 2, total)[:len(words)]
+            now = of[words]
+            best = now.copy()
+            mass = np.cumsum(sides[:, 0].sum(1))
+            ends = np.unique(np.append(np.flatnonzero(np.diff(mass // lot)) + 1, len(words)))
+            for lo, hi in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
+                before, after = sides[lo:hi, 0], sides[lo:hi, 1]
+                best[lo:hi] = best_classes(now[lo:hi], before, after, pairs, classes)
+                at = np.flatnonzero(best[lo:hi] != now[lo:hi])
+                for sign, to in ((-1, now[lo:hi][at]), (1, best[lo:hi][at])):
+                    np.add.at(pairs, to, sign * after[at])
+                    np.add.at(pairs.T, to, sign * before[at])
+                pairs = np.maximum(pairs, 0)  # a word's own pairs with words of its class are met twice
+            at = np.flatnonzero(best != now)
+            yield pa.RecordBatch.from_arrays([pa.array(words[at], pa.int64()), pa.array(best[at], pa.int32())], schema=schema)
+
+    dealt = blocks.repartition(_MOVERS, F.col("block") % _MOVERS).sortWithinPartitions("block")
+    moved = dealt.mapInArrow(move, "word long, class int").toPandas()  # at most one row per word of the part
     of = of.copy()
     of[moved["word"].to_numpy(np.int64)] = moved["class"].to_numpy(np.int64)
     return of
