@@ -405,36 +405,42 @@ class Model:
     rest: DataFrame | None = None  # (word, n, class): the words that aren't listed
 
 
-def _loose(own: list[bytes], numbers: np.ndarray, of: np.ndarray) -> Counter:
-    """Counts of ``(a, ca, b, cb)`` over the neighbours of which one isn't listed: its key, else null, and class."""
-    out: Counter = Counter()
-    there = (numbers >= 0).tolist()
-    for i in np.flatnonzero((numbers < 0) | (np.append(numbers[-1:], numbers[:-1]) < 0)).tolist():
-        out[None if there[i - 1] else key(own[i - 1]), int(of[i - 1]), None if there[i] else key(own[i]), int(of[i])] += 1
-    return out
+#: Neighbours of which at least one isn't listed: its key, else null, and class.
+_LOOSE = pa.struct([("a", pa.int64()), ("ca", pa.int32()), ("b", pa.int64()), ("cb", pa.int32())])
 
 
-def loose_pairs(texts: DataFrame, words, shapes, of) -> DataFrame:
-    """``(a, ca, b, cb, n)``: neighbours of which at least one isn't listed."""
-    schema = pa.schema([("a", pa.int64()), ("ca", pa.int32()), ("b", pa.int64()), ("cb", pa.int32()), ("n", pa.int64())])
+def _loose(own: list[bytes], numbers: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
+    """Key, class and whether it is listed, of the first and of the second of the neighbours of which one isn't listed;
+    ``of`` are the classes of the text's words."""
+    keys, listed = np.zeros(len(own), np.int64), numbers >= 0
+    at = np.flatnonzero(~listed)
+    keys[at] = [key(own[i]) for i in at.tolist()]
+    second = np.flatnonzero(~(listed & np.append(listed[-1:], listed[:-1])))
+    return [x[at] for at in (second - 1, second) for x in (keys, of, listed)]
 
-    def out(count: Counter):
-        columns = [*map(list, zip(*count))] or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([*columns, list(count.values())], schema)], schema=schema)
 
+def _loose_rows(held: list[list[np.ndarray]]) -> pa.StructArray:
+    a, ca, there_a, b, cb, there_b = map(np.concatenate, zip(*held)) if held else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, bool)] + [np.zeros(0, np.int64)] * 2 + [np.zeros(0, bool)]
+    columns = pa.array(a, mask=there_a), pa.array(ca, pa.int32()), pa.array(b, mask=there_b), pa.array(cb, pa.int32())
+    return pa.StructArray.from_arrays(columns, fields=list(_LOOSE))
+
+
+def loose_pairs(texts: DataFrame, words, shapes, of) -> DataFrame:
+    """``(a, ca, b, cb, n)``: neighbours of which at least one isn't listed."""
     def run(batches):
-        lookup, count = Lookup(words.value), Counter()
+        lookup, held, many = Lookup(words.value), [], 0
         for batch in batches:
             for text in batch.column(0):
                 own = tokens(text.as_py())
                 numbers = lookup(own)
-                count.update(_loose(own, numbers, of.value[symbols(numbers, shapes.value, len(words.value))]))
-                if len(count) > _KEPT:
-                    yield out(count)
-                    count = Counter()
-        yield out(count)
+                held.append(_loose(own, numbers, of.value[symbols(numbers, shapes.value, len(words.value))]))
+                many += len(held[-1][0])
+                if many > _KEPT:
+                    yield pa.RecordBatch.from_struct_array(_loose_rows(held))
+                    held, many = [], 0
+        yield pa.RecordBatch.from_struct_array(_loose_rows(held))
 
-    return texts.mapInArrow(run, "a long, ca int, b long, cb int, n long").groupBy("a", "ca", "b", "cb").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "a long, ca int, b long, cb int").groupBy("a", "ca", "b", "cb").agg(F.count("*").alias("n"))
 
 
 def with_classes(rows: DataFrame, side: str, rest: DataFrame) -> DataFrame:
@@ -513,8 +519,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` per row."""
     rest, model = model.rest, Model(**{**vars(model), "rest": None})
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    loose = pa.struct([("a", pa.int64()), ("ca", pa.int32()), ("b", pa.int64()), ("cb", pa.int32()), ("times", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("loose", pa.list_(loose))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("loose", pa.list_(_LOOSE))])
     state: list[tuple[Lookup, np.ndarray]] = []
 
     def run(ids, texts):
@@ -535,13 +540,14 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             out["known"].append(int(often.sum()))
             out["base"].append(counted - len(own) * base_unit)
             out["score"].append(counted + m.steps[prior[both], of[both]].sum() - m.mass[of[often]].sum())
-            out["loose"].append([dict(zip(("a", "ca", "b", "cb"), p), times=n) for p, n in _loose(own, numbers, of).items()])
-        out["doc_id"] = ids
-        return {f.name: pa.array(out[f.name], f.type) if f.name != "doc_id" else ids for f in schema}
+            out["loose"].append(_loose(own, numbers, of))
+        ends = np.cumsum([0, *(len(x[0]) for x in out["loose"])])
+        done = {"doc_id": ids, "loose": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _loose_rows(out["loose"]))}
+        return {f.name: done[f.name] if f.name in done else pa.array(out[f.name], f.type) for f in schema}
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.mapInArrow(by_batches(run, schema, "doc_id", "text"),
-                           "doc_id long, n_tokens long, known long, base double, score double, loose array<struct<a:long,ca:int,b:long,cb:int,times:int>>")
+                           "doc_id long, n_tokens long, known long, base double, score double, loose array<struct<a:long,ca:int,b:long,cb:int>>")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     each = with_classes(with_classes(rows.select("row", F.inline("loose")), "a", rest), "b", rest)
     size = len(model.mass)
@@ -550,8 +556,8 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     here = F.col("b").isNotNull()
     log = F.when(here, F.log10(F.coalesce("n_b", F.lit(0)) + ALPHA)).otherwise(0.0)
     each = each.join(F.broadcast(table_), ["ca", "cb"]).groupBy("row").agg(
-        F.sum(F.col("times") * log).alias("more"), F.sum(F.col("times") * (F.col("step") + log - F.when(here, F.col("mass")).otherwise(0.0))).alias("rise"),
-        F.sum(F.when(F.col("n_b") > 0, F.col("times")).otherwise(0)).alias("seen"))
+        F.sum(log).alias("more"), F.sum(F.col("step") + log - F.when(here, F.col("mass")).otherwise(0.0)).alias("rise"),
+        F.count("n_b").alias("seen"))
     more, rise, seen = F.coalesce("more", F.lit(0.0)), F.coalesce("rise", F.lit(0.0)), F.coalesce("seen", F.lit(0))
     return rows.drop("loose").join(each, "row", "left").select(
         "doc_id", held_out("doc_id").alias("held_out"), "n_tokens", (F.col("known") + seen).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
