@@ -41,7 +41,7 @@ CLASSES, SHAPES, RISE, ALPHA = 48, 16, 1e-3, 0.5
 FREQUENT = 1 << 18
 #: The smallest parts in which words move are one of so many.
 _PARTS = 32
-_KEPT = 400_000
+_KEPT, _KNOWN = 400_000, 150_000
 #: Symbols at least in a run of the encoded texts (longer texts are one run).
 _RUN = 1 << 16
 #: Counts of classes around words that a task holds at most (4 bytes each).
@@ -120,7 +120,7 @@ class Lookup:
 
     def __call__(self, own: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) > _KEPT:
+        if len(known) > _KNOWN:
             known.clear()
         if new := list(set(own).difference(known)):
             keys = np.fromiter(map(key, new), np.int64, len(new))
@@ -285,7 +285,7 @@ def look(runs: DataFrame, of: np.ndarray, clustered: int, total: int, parts: int
     words = max(clustered - part + parts - 1, 0) // parts
 
     def count(batches):
-        of = shared.value
+        of, one = shared.value, np.int32(1)  # of the sums' own type: others are added ten times slower
         around, pairs = np.zeros(-(-words * wide // size) * size, np.int32), np.zeros(total * total, np.int64)
         for batch in batches:
             for run in batch.column(0):
@@ -293,10 +293,10 @@ def look(runs: DataFrame, of: np.ndarray, clustered: int, total: int, parts: int
                 c = of[s]
                 before = np.append(c[-1:], c[:-1])
                 pairs += np.bincount(before * total + c, minlength=total * total)
-                at = np.flatnonzero((s % parts == part) & (s < clustered))
+                at = np.flatnonzero((s & (parts - 1) == part) & (s < clustered))  # parts double, so they are a power of 2
                 row = (s[at] // parts).astype(np.int64) * wide
-                np.add.at(around, row + before[at], 1)
-                np.add.at(around, row + total + c[np.where(at + 1 < len(c), at + 1, 0)], 1)
+                np.add.at(around, row + before[at], one)
+                np.add.at(around, row + total + c[np.where(at + 1 < len(c), at + 1, 0)], one)
         yield _block(-1, pairs)
         blocks = around.reshape(-1, size)
         for b in np.flatnonzero(blocks.any(1)).tolist():
@@ -316,6 +316,7 @@ def look(runs: DataFrame, of: np.ndarray, clustered: int, total: int, parts: int
     pairs = np.zeros(total * total, np.int64)
     for r in found.where("block = -1").collect():  # one row, or none of an empty table
         pairs[np.frombuffer(bytes(r["cells"]), np.uint16)] = np.frombuffer(bytes(r["counts"]), np.int64)
+    shared.unpersist()
     return pairs.reshape(total, total), found.where("block >= 0")
 
 
@@ -354,6 +355,7 @@ def exchanged(blocks: DataFrame, of: np.ndarray, pairs: np.ndarray, classes: int
 
     dealt = blocks.repartition(_MOVERS, F.col("block") % _MOVERS).sortWithinPartitions("block")
     moved = dealt.mapInArrow(move, "word long, class int").toPandas()  # at most one row per word of the part
+    shared.unpersist()
     of = of.copy()
     of[moved["word"].to_numpy(np.int64)] = moved["class"].to_numpy(np.int64)
     return of
