@@ -25,8 +25,7 @@ PENALTY, CLOSE = 1e-2, 1e-7
 def token_features(df: DataFrame, tokens_col: str = "tokens", x_col: str = "x", out: str = "features",
                    n_tokens: int = 7) -> DataFrame:
     """Flatten the 7 x 16 token features (scaled x) into one ML vector."""
-    t = F.col(tokens_col)
-    flat = F.flatten(F.array(*[t[k][x_col] for k in range(n_tokens)]))
+    flat = F.flatten(F.transform(F.slice(tokens_col, 1, n_tokens), lambda t: t[x_col]))
     return df.withColumn(out, array_to_vector(flat))
 
 

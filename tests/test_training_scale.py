@@ -32,3 +32,23 @@ def test_labelled_union_builds_the_events_once(spark, tmp_out):
                     for i in range(60) if 1 + i % 7 >= 2}
     # three branches that each build the view would split the cores, and each task would hold several times the rows
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_features_refer_to_the_tokens_once(spark, monkeypatch, tmp_out):
+    rows = [event_row(i, y=i % 3, dimuon_mass=116.0 + i, njets_nominal=float(i % 3), **jet(1, pt=10.0 + i), **jet(2, eta=0.1 * i))
+            for i in range(12)]
+    sp = event_frame(spark, rows).withColumns({"split": F.lit("train"), "idx": F.col("event_id"), "fold": F.lit(0)})
+    plans, write = {}, Q.written
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(Q, "written", watched)
+    got = {r.event_id: list(r.features) for r in Q._features(sp).collect()}
+    mean, std = scaler_params(Q.scaler_of(sp))
+    want: dict = {}
+    for r in apply_scaler(tokens_long(build_tokens(sp)), mean, std).orderBy("event_id", "tok").collect():
+        want.setdefault(r.event_id, []).extend(r.x)
+    assert got.keys() == want.keys() and all(len(got[k]) == 112 and all(map(close, got[k], want[k])) for k in want)
+    assert plans["features"].count("transform(") <= 3 and plans["features"].count("mu1_pt") < 20
