@@ -321,8 +321,12 @@ def gather_rows(spark, sf_dir):
 
 # ---------------------------------------------------------------- binning
 def _train_masses(spark, sf_dir) -> DataFrame:
+    return _masses(_train_pool(spark, sf_dir))
+
+
+def _masses(pool: DataFrame) -> DataFrame:
     # the original keeps training masses as float32 and widens them to float64 for binning
-    return _train_pool(spark, sf_dir).select(
+    return pool.select(
         "event_id", "y", F.col("dimuon_mass").cast("float").cast("double").alias("mass"), "dimuon_mass"
     )
 
@@ -702,8 +706,9 @@ def train_optimum(spark, sf_dir):
 
 
 def _probe_rows(spark, sf_dir):
-    _, k, edges = _chosen(spark, sf_dir, CANDIDATE_K)
-    return k, assign_mass_bins(_features(written(_split(spark, sf_dir), "split")), edges)
+    sp = written(_split(spark, sf_dir), "split")  # read for the edges and for the features
+    k, edges = fit_mass_bins(_masses(sp.where(F.col("split") == "train")), candidate_k=CANDIDATE_K, min_bin_count=MIN_BIN_COUNT)
+    return k, assign_mass_bins(_features(sp), edges)
 
 
 @query

@@ -52,3 +52,12 @@ def test_features_refer_to_the_tokens_once(spark, monkeypatch, tmp_out):
         want.setdefault(r.event_id, []).extend(r.x)
     assert got.keys() == want.keys() and all(len(got[k]) == 112 and all(map(close, got[k], want[k])) for k in want)
     assert plans["features"].count("transform(") <= 3 and plans["features"].count("mu1_pt") < 20
+
+
+def test_probe_builds_the_events_once(spark, monkeypatch, tmp_out):
+    folder, calls, build = _tables(spark, tmp_out), [], Q.events_from_tables
+    monkeypatch.setattr(Q, "events_from_tables", lambda *a: calls.append(a) or build(*a))
+    monkeypatch.setattr(Q, "MIN_BIN_COUNT", 1)
+    out = {r.event_id for r in Q._probe_rows(spark, folder)[1].collect()}
+    assert len(calls) == 1
+    assert out == {i for i in range(60) if i % 7 and 115 <= 105 + (100000.0 + 5000.0 * (i % 59)) / 12500 <= 135}
