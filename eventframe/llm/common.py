@@ -14,10 +14,18 @@ from eventframe.session import scratch_dir
 
 #: ``broadcast_hot`` broadcasts keys holding more than this share of all rows, hence below 1,000 rows.
 HOT_SHARE = 1e-3
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Rows reach Python tasks in batches of a few megabytes (Spark's own bound, 64 MB, is held several times at once: by
+    the executor, by Arrow and as Python objects); a longer row is a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +40,7 @@ def free_name(df: DataFrame, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once below ``spark.checkpoint.dir`` and read it back: a lineage cut that survives
     the loss of any executor, since the files are in the folder that all of them share."""
+    bounded(df.sparkSession)
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventframe.llm.common import by_batches, mix64, table
+from eventframe.llm.common import bounded, by_batches, mix64, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 7
@@ -139,7 +139,7 @@ class Segmenter:
         self.ids, self.start, self.length = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
         self.met, self.met_start, self.met_length = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def encode(self, texts: list[str | None], variants: list[int], at_once: int = 2 << 20) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None], variants: list[int], at_once: int = 1 << 18) -> list[np.ndarray]:
         """The piece ids of each text, by the key of each, found for about ``at_once`` characters at a time."""
         out: list[np.ndarray] = []
         part = np.cumsum([len(t or "") for t in texts]) // at_once if texts else np.empty(0, int)
@@ -167,7 +167,7 @@ class Segmenter:
             out += [flat[x:y] for x, y in zip(size[:-1].tolist(), size[1:].tolist())]
         return out
 
-    def _any_skipped(self, index: np.ndarray, key: np.ndarray, at_once: int = 1 << 18) -> np.ndarray:
+    def _any_skipped(self, index: np.ndarray, key: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
         """The occurrences (of the chunks ``index``) that skip a candidate met without dropout."""
         out = []
         for lo in range(0, len(index), at_once):
@@ -367,6 +367,7 @@ def _document(doc_id: str, seed: int):
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, dropout: float = DROPOUT,
            seed: int = SEED) -> DataFrame:
     """``(doc_id, ids, lossless)`` per row; ``lossless``: decoding the ids gives the text again."""
+    bounded(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("lossless", pa.bool_())])
     state: list[Segmenter] = []
