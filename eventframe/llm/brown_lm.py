@@ -11,11 +11,12 @@ was never seen, gets the class of most words below the list (else: in the list)
 probability of a word is that of its class after the class before (smoothed with the classes' own frequency)
 times that of the word in its class (``ALPHA`` added to each count, and one unseen word for each class).
 
-The training texts are written once as numbers of their words, words below the list as symbols by their last
-bytes. A turn of the exchange is one pass over them: each task counts class pairs, and the classes around the words
+All words of a batch of texts are found and hashed together (``words``). The training texts are written once as numbers of
+their words, words below the list as symbols by their last bytes. A turn of the exchange is one pass over them: each task counts class pairs, and the classes around the words
 that may move, in arrays of bounded size, and blocks of words add up those arrays. A few tasks then move the words,
 frequent ones first, each with its own moves taken into the class pairs. Classes, class pairs and the frequency list are the model, bounded, and are broadcast. Words below
-the list, an unbounded number, meet their counts and classes in shuffled joins. With ``clustered`` given, only
+the list, an unbounded number, meet their counts and classes in shuffled joins, in scoring once for each piece of some
+documents. With ``clustered`` given, only
 so many words are exchanged and all others have a class by their last bytes.
 
 Defined cases: null and empty texts are one end token; rows with a null identifier are scored and held out;
@@ -25,8 +26,8 @@ table gives no rows; extra columns don't matter.
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +35,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventframe.llm.common import by_batches, cut, table
+from eventframe.llm.common import by_batches, cut, slices, table
+from eventframe.llm.words import words as words_of
 
 CLASSES, SHAPES, RISE, ALPHA = 48, 16, 1e-3, 0.5
 #: Words at most whose counts and classes are broadcast (about 20 bytes each).
 FREQUENT = 1 << 18
 #: The smallest parts in which words move are one of so many.
 _PARTS = 32
-_KEPT, _KNOWN = 400_000, 150_000
+#: Words that a task may hold before it sends their sums on.
+_KEPT = 1 << 20
+#: Bytes of text whose words are found at once, and whose scores are one row until the classes of unlisted words are known.
+_AT_ONCE, _PIECE = 1 << 18, 2 << 20
 #: Symbols at least in a run of the encoded texts (longer texts are one run).
 _RUN = 1 << 16
 #: Counts of classes around words that a task holds at most (4 bytes each).
@@ -50,6 +55,8 @@ _CELLS = 1 << 24
 _FEW = 8
 #: Tasks that move words at the same time; words of a lot have one part of so many of the text.
 _MOVERS, _LOTS = 8, 512
+#: Tasks that add up the counts of a turn.
+_ADDERS = 24
 _END = b" end"  # no word has a space
 
 
@@ -71,23 +78,55 @@ def shape(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word[-2:], 1) % SHAPES
 
 
+@cache
+def _shapes() -> np.ndarray:
+    """The shape by a word's last two bytes, as ``words`` numbers them."""
+    return np.array([shape(bytes([x & 255, x >> 8])) for x in range(1 << 16)] + [shape(bytes([x])) for x in range(256)], np.int8)
+
+
+def sequence(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, shapes, tokens of each text) of all tokens of the texts, one text after the other."""
+    keys, last, many = words_of(texts)
+    at = np.arange(len(keys)) + np.repeat(np.arange(len(many)), many)  # an end follows each text's words
+    out = np.full(len(keys) + len(many), key(_END), np.int64), np.full(len(keys) + len(many), shape(_END), np.int8)
+    out[0][at], out[1][at] = keys, _shapes()[last]
+    return *out, many + 1
+
+
+def _texts(batches):
+    """The texts of each batch's first column, some at a time."""
+    for batch in batches:
+        for part in slices(batch, _AT_ONCE):
+            yield part.column(0)
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """``(word, shape, n)`` over the column ``text``; a task adds up its words before they move."""
     schema = pa.schema([("word", pa.int64()), ("shape", pa.int32()), ("n", pa.int64())])
 
-    def out(count: Counter):
-        return pa.RecordBatch.from_arrays([pa.array([key(w) for w in count], pa.int64()), pa.array([shape(w) for w in count], pa.int32()),
-                                           pa.array(list(count.values()), pa.int64())], schema=schema)
+    def summed(held: list):
+        n, word, of = map(np.concatenate, zip(*held))
+        order = np.argsort(word)
+        word, of, n = word[order], of[order], n[order]
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        return np.add.reduceat(n, first), word[first], of[first]
+
+    def out(held: list):
+        n, word, of = summed(held)
+        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(of, pa.int32()), pa.array(n)], schema=schema)
 
     def run(batches):
-        count: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                count.update(tokens(text.as_py()))
-                if len(count) > _KEPT:
-                    yield out(count)
-                    count = Counter()
-        yield out(count)
+        held: list[tuple[np.ndarray, ...]] = []
+        for part in _texts(batches):
+            word, of, _ = sequence(part)
+            held.append(summed([(np.ones(len(word), np.int64), word, of)]))
+            if sum(len(h[0]) for h in held) > 2 * _KEPT:
+                held = [summed(held)]
+                if len(held[0][0]) > _KEPT:
+                    yield out(held)
+                    held = []
+        if held:
+            yield out(held)
 
     return texts.mapInArrow(run, "word long, shape int, n long").groupBy("word", "shape").agg(F.sum("n").alias("n"))
 
@@ -107,29 +146,36 @@ def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, Colu
     return top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64), listed
 
 
-@dataclass
 class Lookup:
-    """Numbers of words: their place in the frequency list, or ``-1 - shape``; remembered within a task."""
-
-    words: np.ndarray
-    known: dict[bytes, int] = field(default_factory=dict)
-
-    def __post_init__(self):
-        self.order = np.argsort(self.words, kind="stable")
-        self.sorted = self.words[self.order]
-
-    def __call__(self, own: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > _KNOWN:
-            known.clear()
-        if new := list(set(own).difference(known)):
-            keys = np.fromiter(map(key, new), np.int64, len(new))
-            at = np.searchsorted(self.sorted, keys)
-            there = np.zeros(len(new), bool)
-            inside = at < len(self.sorted)
-            there[inside] = self.sorted[at[inside]] == keys[inside]
-            known.update((w, int(self.order[i]) if t else -1 - shape(w)) for w, i, t in zip(new, at.tolist(), there.tolist()))
-        return np.fromiter(map(known.__getitem__, own), np.int64, len(own))
+    """Numbers of words by their keys: their place in the frequency list, or -1. Keys are hashes, so their first bits lead
+    to a few sorted ones."""
+
+    def __init__(self, words: np.ndarray):
+        self.order = np.argsort(words, kind="stable")
+        self.sorted = words[self.order]
+        self.shift = np.uint64(64 - max(4, (2 * len(words)).bit_length()))
+        first = np.arange(1 << int(64 - self.shift), dtype=np.uint64) << self.shift
+        # signed keys in order are the unsigned ones with the first bit turned
+        self.head = np.append(np.searchsorted(self.sorted, (first ^ np.uint64(1 << 63)).view(np.int64)), len(words)).astype(np.int32)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        top = ((keys.view(np.uint64) ^ np.uint64(1 << 63)) >> self.shift).view(np.int64)
+        at, stop = self.head[top], self.head[top + 1]
+        out = np.full(len(keys), -1, np.int64)
+        live = np.flatnonzero(at < stop)
+        while len(live):
+            here = at[live]
+            hit = self.sorted[here] == keys[live]
+            out[live[hit]] = self.order[here[hit]]
+            at[live] += 1
+            live = live[~hit & (here + 1 < stop[live])]
+        return out
+
+    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, numbers or ``-1 - shape``, tokens of each text) of all tokens of the texts."""
+        keys, shapes, many = sequence(texts)
+        found = self(keys)
+        return keys, np.where(found < 0, -1 - shapes.astype(np.int64), found), many
 
 
 def symbols(numbers: np.ndarray, shapes: np.ndarray, clustered: int) -> np.ndarray:
@@ -148,50 +194,18 @@ def encoded(texts: DataFrame, words, shapes, clustered: int) -> DataFrame:
 
     def run(batches):
         lookup, held, many = Lookup(words.value), [], 0
-        for batch in batches:
-            for text in batch.column(0):
-                held.append(symbols(lookup(tokens(text.as_py())), shapes.value, clustered).astype(np.int32))
-                many += len(held[-1])
-                if many >= _RUN:
-                    yield out(held)
-                    held, many = [], 0
+        for part in _texts(batches):
+            held.append(symbols(lookup.numbers(part)[1], shapes.value, clustered).astype(np.int32))
+            many += len(held[-1])
+            if many >= _RUN:
+                yield out(held)
+                held, many = [], 0
         if held:
             yield out(held)
 
     return texts.mapInArrow(run, "tokens binary")
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """``(word, codes, ns)`` with one row per word, of ``(word, code, n)``; a word's codes are different and
-    bounded in number."""
-    schema = pa.schema([("word", pa.int64()), ("codes", pa.list_(pa.int32())), ("ns", pa.list_(pa.int64()))])
-
-    def out(w, c, n):
-        first = np.append(0, np.flatnonzero(np.diff(w)) + 1)
-        ends = pa.array(np.append(first, len(w)), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(w[first]), pa.ListArray.from_arrays(ends, pa.array(c)), pa.ListArray.from_arrays(ends, pa.array(n))], schema=schema)
-
-    def run(batches):
-        held = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)]
-        for batch in batches:
-            held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
-            end = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if end:  # the last word may go on in the next batch
-                yield out(*(h[:end] for h in held))
-                held = [h[end:] for h in held]
-        if len(held[0]):
-            yield out(*held)
-
-    rows = rows.select(F.col("word").cast("long").alias("word"), F.col("code").cast("int").alias("code"), F.col("n").cast("long").alias("n"))
-    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word long, codes array<int>, ns array<long>")
-
-
-def _flat(codes: pa.Array, ns: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, code, n) of each entry of the lists."""
-    length = np.diff(codes.offsets.to_numpy())
-    return np.repeat(np.arange(len(codes)), length), codes.flatten().to_numpy(), ns.flatten().to_numpy()
-
-
 def _nlogn(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -243,36 +257,67 @@ def _added(there: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def place(around: DataFrame, counts: np.ndarray, classes: int) -> DataFrame:
-    """``(word, class)``: the best class of words without one by the classes around them."""
-    schema = pa.schema([("word", pa.int64()), ("class", pa.int32())])
+    """``(word, class, n)`` of the classes around words, ``(word, code, n)``: the best class of each word (``n`` null), and
+    without a word the counts ``n`` of class pairs (first times all classes plus second, as ``class``) that this makes."""
+    schema = pa.schema([("word", pa.int64()), ("class", pa.int32()), ("n", pa.int64())])
     total = len(counts)
 
-    def move(words, codes, ns):
-        best = []
-        for lo in range(0, len(words), 4_000):
-            row, code, n = _flat(codes[lo:lo + 4_000], ns[lo:lo + 4_000])
-            rows = len(words[lo:lo + 4_000])
-            sides = np.bincount((code // total * rows + row) * total + code % total, n, 2 * rows * total).reshape(2, rows, total)
-            best.append(best_classes(np.full(rows, total), sides[0], sides[1], counts, classes))
-        return {"word": words, "class": np.concatenate(best) if best else []}
+    def out(word, of, n):
+        none = pa.nulls(len(of), pa.int64())
+        return pa.RecordBatch.from_arrays([none if word is None else pa.array(word), pa.array(of, pa.int32()), none if n is None else pa.array(n)], schema=schema)
+
+    def run(batches):
+        held, pairs = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)], np.zeros(total * total, np.int64)
+
+        def move(word, code, n):
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            for lo in range(0, len(first), 4_000):
+                rows = len(first[lo:lo + 4_000])
+                a, b = first[lo], first[lo + 4_000] if lo + 4_000 < len(first) else len(word)
+                row = np.repeat(np.arange(rows), np.diff(np.append(first[lo:lo + 4_000], b)))
+                side, of = np.divmod(code[a:b], total)
+                sides = np.bincount((side * rows + row) * total + of, n[a:b], 2 * rows * total).reshape(2, rows, total)
+                best = best_classes(np.full(rows, total), sides[0], sides[1], counts, classes)
+                np.add.at(pairs, np.where(side == 0, of * total + best[row], best[row] * total + of), n[a:b])
+                yield out(word[first[lo:lo + 4_000]], best, None)
+
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(i).to_numpy().astype(np.int64)]) for i, h in enumerate(held)]
+            end = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if end:  # the last word may go on in the next batch
+                yield from move(*(h[:end] for h in held))
+                held = [h[end:] for h in held]
+        if len(held[0]):
+            yield from move(*held)
+        at = np.flatnonzero(pairs)
+        yield out(None, at, pairs[at])
 
-    return around.mapInArrow(by_batches(move, schema, "word", "codes", "ns"), "word long, class int")
+    rows = around.select(F.col("word").cast("long").alias("word"), F.col("code").cast("int").alias("code"), F.col("n").cast("long").alias("n"))
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word long, class int, n long")
 
 
 _BLOCKS = pa.schema([("block", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
 
 
 def _block(b: int, sums: np.ndarray) -> pa.RecordBatch:
-    """A row of the cells that aren't 0."""
+    """A row of the cells that aren't 0; the counts are as narrow as their highest lets them be."""
     at = np.flatnonzero(sums)
-    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((b, at.astype(np.uint16).tobytes(), sums[at].astype(np.int64).tobytes()), _BLOCKS)], schema=_BLOCKS)
+    counts = sums[at]
+    counts = counts.astype(np.min_scalar_type(counts.max(initial=0)))
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((b, at.astype(np.uint16).tobytes(), counts.tobytes()), _BLOCKS)], schema=_BLOCKS)
+
+
+def _counts(cells: np.ndarray, counts) -> np.ndarray:
+    """The counts of a row, whose width shows from the number of its cells."""
+    return np.frombuffer(counts, f"u{len(counts) // max(1, len(cells)) or 1}")
 
 
 def _cells(batches):
     """``(block, cells, counts)`` of each row."""
     for batch in batches:
         for b, cells, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            yield b, np.frombuffer(cells.as_buffer(), np.uint16), np.frombuffer(counts.as_buffer(), np.int64)
+            cells = np.frombuffer(cells.as_buffer(), np.uint16)
+            yield b, cells, _counts(cells, memoryview(counts.as_buffer()))
 
 
 def look(runs: DataFrame, of: np.ndarray, clustered: int, total: int, parts: int, part: int) -> tuple[np.ndarray, DataFrame]:
@@ -296,7 +341,7 @@ def look(runs: DataFrame, of: np.ndarray, clustered: int, total: int, parts: int
                 at = np.flatnonzero((s & (parts - 1) == part) & (s < clustered))  # parts double, so they are a power of 2
                 row = (s[at] // parts).astype(np.int64) * wide
                 np.add.at(around, row + before[at], one)
-                np.add.at(around, row + total + c[np.where(at + 1 < len(c), at + 1, 0)], one)
+                np.add.at(around, row + total + np.append(c[1:], c[:1])[at], one)
         yield _block(-1, pairs)
         blocks = around.reshape(-1, size)
         for b in np.flatnonzero(blocks.any(1)).tolist():
@@ -307,15 +352,17 @@ def look(runs: DataFrame, of: np.ndarray, clustered: int, total: int, parts: int
         for b, cells, counts in _cells(batches):
             if b not in sums:
                 sums[b] = np.zeros(total * total if b < 0 else size, np.int64)
-            sums[b][cells] += counts  # the cells of a row are different
+            sums[b][cells] += counts.astype(np.int64)  # the cells of a row are different
         for b in sums:
             yield _block(b, sums[b])
 
     schema = "block int, cells binary, counts binary"
-    found = cut(runs.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema), "contexts")
+    # blocks are bounded in number, so a bounded number of tasks adds them up
+    found = cut(runs.mapInArrow(count, schema).repartition("block").coalesce(_ADDERS).mapInArrow(add, schema), "contexts")
     pairs = np.zeros(total * total, np.int64)
     for r in found.where("block = -1").collect():  # one row, or none of an empty table
-        pairs[np.frombuffer(bytes(r["cells"]), np.uint16)] = np.frombuffer(bytes(r["counts"]), np.int64)
+        cells = np.frombuffer(bytes(r["cells"]), np.uint16)
+        pairs[cells] = _counts(cells, bytes(r["counts"]))
     shared.unpersist()
     return pairs.reshape(total, total), found.where("block >= 0")
 
@@ -353,7 +400,7 @@ def exchanged(blocks: DataFrame, of: np.ndarray, pairs: np.ndarray, classes: int
             at = np.flatnonzero(best != now)
             yield pa.RecordBatch.from_arrays([pa.array(words[at], pa.int64()), pa.array(best[at], pa.int32())], schema=schema)
 
-    dealt = blocks.repartition(_MOVERS, F.col("block") % _MOVERS).sortWithinPartitions("block")
+    dealt = blocks.repartition(_MOVERS, F.col("block") % _MOVERS).coalesce(_MOVERS).sortWithinPartitions("block")
     moved = dealt.mapInArrow(move, "word long, class int").toPandas()  # at most one row per word of the part
     shared.unpersist()
     of = of.copy()
@@ -407,50 +454,45 @@ class Model:
     rest: DataFrame | None = None  # (word, n, class): the words that aren't listed
 
 
-#: Neighbours of which at least one isn't listed: its key, else null, and class.
-_LOOSE = pa.struct([("a", pa.int64()), ("ca", pa.int32()), ("b", pa.int64()), ("cb", pa.int32())])
-
-
-def _loose(own: list[bytes], numbers: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
-    """Key, class and whether it is listed, of the first and of the second of the neighbours of which one isn't listed;
-    ``of`` are the classes of the text's words."""
-    keys, listed = np.zeros(len(own), np.int64), numbers >= 0
-    at = np.flatnonzero(~listed)
-    keys[at] = [key(own[i]) for i in at.tolist()]
-    second = np.flatnonzero(~(listed & np.append(listed[-1:], listed[:-1])))
-    return [x[at] for at in (second - 1, second) for x in (keys, of, listed)]
+def _loose(numbers: np.ndarray) -> np.ndarray:
+    """Where the second of neighbours is of which at least one isn't listed. The token before a text's first is the end of
+    the text before, which is like its own."""
+    listed = numbers >= 0
+    return np.flatnonzero(~(listed & np.append(listed[-1:], listed[:-1])))
 
 
-def _loose_rows(held: list[list[np.ndarray]]) -> pa.StructArray:
-    a, ca, there_a, b, cb, there_b = map(np.concatenate, zip(*held)) if held else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, bool)] + [np.zeros(0, np.int64)] * 2 + [np.zeros(0, bool)]
-    columns = pa.array(a, mask=there_a), pa.array(ca, pa.int32()), pa.array(b, mask=there_b), pa.array(cb, pa.int32())
-    return pa.StructArray.from_arrays(columns, fields=list(_LOOSE))
+def loose_pairs(texts: DataFrame, words, shapes, of, total: int) -> DataFrame:
+    """``(word, code, other, n)``: neighbours of which at least one isn't listed. If one is, ``code`` is the class of the
+    listed one, plus the number of classes if it comes second; if none is, ``other`` is the second's key. A task adds up
+    its own, so rows may be alike."""
+    schema = pa.schema([("word", pa.int64()), ("code", pa.int32()), ("other", pa.int64()), ("n", pa.int64())])
 
+    def out(held):
+        word, code, other = map(np.concatenate, zip(*held))
+        order = np.lexsort((code, other, word))
+        word, code, other = word[order], code[order], other[order]
+        first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (code[1:] != code[:-1]) | (other[1:] != other[:-1])))
+        n = np.diff(np.append(first, len(word)))
+        word, code, other = word[first], code[first], other[first]
+        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(code, mask=code < 0), pa.array(other, mask=code >= 0), pa.array(n)], schema=schema)
 
-def loose_pairs(texts: DataFrame, words, shapes, of) -> DataFrame:
-    """``(a, ca, b, cb, n)``: neighbours of which at least one isn't listed."""
     def run(batches):
-        lookup, held, many = Lookup(words.value), [], 0
-        for batch in batches:
-            for text in batch.column(0):
-                own = tokens(text.as_py())
-                numbers = lookup(own)
-                held.append(_loose(own, numbers, of.value[symbols(numbers, shapes.value, len(words.value))]))
-                many += len(held[-1][0])
-                if many > _KEPT:
-                    yield pa.RecordBatch.from_struct_array(_loose_rows(held))
-                    held, many = [], 0
-        yield pa.RecordBatch.from_struct_array(_loose_rows(held))
-
-    return texts.mapInArrow(run, "a long, ca int, b long, cb int").groupBy("a", "ca", "b", "cb").agg(F.count("*").alias("n"))
-
+        lookup, held = Lookup(words.value), []
+        for part in _texts(batches):
+            keys, numbers, _ = lookup.numbers(part)
+            own = of.value[symbols(numbers, shapes.value, len(words.value))]
+            b = _loose(numbers)
+            a = b - 1
+            here, there = numbers[a] >= 0, numbers[b] >= 0  # at most one of them
+            code = np.where(here, own[a], np.where(there, own[b] + total, -1)).astype(np.int32)
+            held.append((np.where(here, keys[b], keys[a]), code, np.where(here | there, 0, keys[b])))
+            if sum(len(h[0]) for h in held) > _KEPT // 2:
+                yield out(held)
+                held = []
+        if sum(len(h[0]) for h in held):
+            yield out(held)
 
-def with_classes(rows: DataFrame, side: str, rest: DataFrame) -> DataFrame:
-    """``rows`` with the class of the word in column ``side`` (and its count, as ``n_`` and the side), where it
-    isn't null and in ``rest``."""
-    found = rest.select(F.col("word").alias(side), F.col("class").alias("_class"), F.col("n").alias("n_" + side))
-    loose = rows.where(F.col(side).isNotNull()).join(found, side, "left").withColumn("c" + side, F.coalesce("_class", "c" + side)).drop("_class")
-    return loose.unionByName(rows.where(F.col(side).isNull()).withColumn("n_" + side, F.lit(None).cast("long")))
+    return texts.mapInArrow(run, "word long, code int, other long, n long")
 
 
 def place_rest(texts: DataFrame, rest: DataFrame, words, shapes, of: np.ndarray, pairs: np.ndarray, classes: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
@@ -464,11 +506,9 @@ def place_rest(texts: DataFrame, rest: DataFrame, words, shapes, of: np.ndarray,
     unseen = np.where(listed.any(1), listed.argmax(1), listed.sum(0).argmax())
     if rest.isEmpty():
         return rest.withColumn("class", F.col("shape") + classes), unseen, pairs
-    loose = cut(loose_pairs(texts, words, shapes, sc.broadcast(of)), "loose-pairs")
-    near = loose.where("a is null").select(F.col("b").alias("word"), F.col("ca").alias("code"), "n").unionByName(
-        loose.where("b is null").select(F.col("a").alias("word"), (F.col("cb") + total).alias("code"), "n"))
-    around = grouped(near.groupBy("word", "code").agg(F.sum("n").alias("n")))
-    placed = cut(rest.join(place(around, pairs, classes), "word", "left"), "placed")
+    loose = cut(loose_pairs(texts, words, shapes, sc.broadcast(of), total), "loose-pairs")
+    near = cut(place(loose.where("code is not null"), pairs, classes), "near")
+    placed = cut(rest.join(near.where("word is not null").select("word", "class"), "word", "left"), "placed")
     for r in placed.where("class is not null").groupBy("shape", "class").agg(F.count("*").alias("n")).groupBy("shape").agg(
             F.max(F.struct("n", (-F.col("class")).alias("neg"))).alias("most")).select("shape", (-F.col("most.neg")).alias("class")).collect():
         unseen[r["shape"]] = r["class"]
@@ -476,9 +516,13 @@ def place_rest(texts: DataFrame, rest: DataFrame, words, shapes, of: np.ndarray,
     rest = cut(placed.withColumn("class", F.coalesce("class", by_shape[F.col("shape")])), "rest")
     out = np.zeros_like(pairs)
     out[:classes, :classes] = pairs[:classes, :classes]
-    named = with_classes(with_classes(loose.withColumnRenamed("n", "times"), "a", rest), "b", rest)
-    for r in named.groupBy("ca", "cb").agg(F.sum("times").alias("n")).collect():
-        out[r["ca"], r["cb"]] += r["n"]
+    for r in near.where("word is null").groupBy("class").agg(F.sum("n").alias("n")).collect():  # at most all pairs of classes
+        out[divmod(r["class"], total)] += r["n"]
+    both = loose.where("code is null").select("word", "other", "n")
+    for side in ("word", "other"):
+        both = both.join(rest.select(F.col("word").alias(side), F.col("class").alias("class_" + side)), side)
+    for r in both.groupBy("class_word", "class_other").agg(F.sum("n").alias("n")).collect():
+        out[r["class_word"], r["class_other"]] += r["n"]
     return rest, unseen, out
 
 
@@ -517,53 +561,87 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int =
     return Model(words, number, shapes, clustered, of, np.log10(steps), mass, int(n), int(v), rest.select("word", "n", "class"))
 
 
+#: Documents whose scores wait for the classes of unlisted words: sums of each, then its neighbours of which one isn't
+#: listed, as places among ``words`` (or -1) and classes, and the classes that the words have if training had none.
+_PIECES = pa.schema([("doc_id", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())),
+                     ("score", pa.list_(pa.float64())), ("pairs", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("unseen", pa.binary()),
+                     ("a", pa.binary()), ("b", pa.binary()), ("ca", pa.binary()), ("cb", pa.binary())])
+
+
+def _sums(values: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The sums of so many values each, in order."""
+    return np.bincount(np.repeat(np.arange(len(many)), many), values, len(many))
+
+
+def _piece(ids: pa.Array, texts: pa.Array, m: Model, lookup: Lookup, logs: np.ndarray) -> pa.RecordBatch:
+    """The row of ``_PIECES`` of some documents."""
+    keys, numbers, many = lookup.numbers(texts)
+    of = m.of[symbols(numbers, m.shapes, m.clustered)]
+    often, prior = numbers >= 0, np.append(of[-1:], of[:-1])
+    both = often & np.append(often[-1:], often[:-1])
+    counted = _sums(np.where(often, logs[np.maximum(numbers, 0)] if len(logs) else 0.0, 0.0), many)
+    value = np.where(both, m.steps[prior, of], 0.0) - np.where(often, m.mass[of], 0.0)
+    second = _loose(numbers)
+    rare = np.flatnonzero(~often)
+    words, first = np.unique(keys[rare], return_index=True)
+    place = np.full(len(keys), -1, np.int32)
+    place[rare] = np.searchsorted(words, keys[rare])
+    loose = np.zeros(len(keys), np.int64)
+    loose[second] = 1
+    done = {"doc_id": ids, "n_tokens": many, "known": _sums(often, many).astype(np.int64), "base": counted - many * np.log10(m.tokens + ALPHA * (m.distinct + 1)),
+            "score": counted + _sums(value, many), "pairs": _sums(loose, many).astype(np.int64), "words": words, "unseen": of[rare[first]].astype(np.int16),
+            "a": place[second - 1], "b": place[second], "ca": prior[second].astype(np.int16), "cb": of[second].astype(np.int16)}
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x.tobytes()], f.type) if pa.types.is_binary(f.type) else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, f.type.value_type))
+         for f, x in ((f, done[f.name]) for f in _PIECES)], schema=_PIECES)
+
+
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` per row."""
     rest, model = model.rest, Model(**{**vars(model), "rest": None})
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("loose", pa.list_(_LOOSE))])
-    state: list[tuple[Lookup, np.ndarray]] = []
 
-    def run(ids, texts):
+    def begin(batches):
         m = shared.value
-        if not state:
-            state.append((Lookup(m.words), np.log10(m.counts + ALPHA)))
-        lookup, logs = state[0]
-        base_unit = np.log10(m.tokens + ALPHA * (m.distinct + 1))
-        out: dict[str, list] = {f.name: [] for f in schema}
-        for text in texts:
-            own = tokens(text.as_py())
-            numbers = lookup(own)
-            of = m.of[symbols(numbers, m.shapes, m.clustered)]
-            often, prior = numbers >= 0, np.append(of[-1:], of[:-1])
-            both = often & np.append(often[-1:], often[:-1])
-            counted = logs[numbers[often]].sum()
-            out["n_tokens"].append(len(own))
-            out["known"].append(int(often.sum()))
-            out["base"].append(counted - len(own) * base_unit)
-            out["score"].append(counted + m.steps[prior[both], of[both]].sum() - m.mass[of[often]].sum())
-            out["loose"].append(_loose(own, numbers, of))
-        ends = np.cumsum([0, *(len(x[0]) for x in out["loose"])])
-        done = {"doc_id": ids, "loose": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _loose_rows(out["loose"]))}
-        return {f.name: done[f.name] if f.name in done else pa.array(out[f.name], f.type) for f in schema}
+        lookup, logs = Lookup(m.words), np.log10(m.counts + ALPHA)
+        for batch in batches:
+            for part in slices(batch, _PIECE):
+                yield _piece(part.column(0), part.column(1), m, lookup, logs)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.mapInArrow(by_batches(run, schema, "doc_id", "text"),
-                           "doc_id long, n_tokens long, known long, base double, score double, loose array<struct<a:long,ca:int,b:long,cb:int>>")
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    each = with_classes(with_classes(rows.select("row", F.inline("loose")), "a", rest), "b", rest)
-    size = len(model.mass)
-    table_ = docs.sparkSession.createDataFrame([(a, b, float(model.steps[a, b]), float(model.mass[b])) for a in range(size) for b in range(size)],
-                                               "ca int, cb int, step double, mass double")
-    here = F.col("b").isNotNull()
-    log = F.when(here, F.log10(F.coalesce("n_b", F.lit(0)) + ALPHA)).otherwise(0.0)
-    each = each.join(F.broadcast(table_), ["ca", "cb"]).groupBy("row").agg(
-        F.sum(log).alias("more"), F.sum(F.col("step") + log - F.when(here, F.col("mass")).otherwise(0.0)).alias("rise"),
-        F.count("n_b").alias("seen"))
-    more, rise, seen = F.coalesce("more", F.lit(0.0)), F.coalesce("rise", F.lit(0.0)), F.coalesce("seen", F.lit(0))
-    return rows.drop("loose").join(each, "row", "left").select(
-        "doc_id", held_out("doc_id").alias("held_out"), "n_tokens", (F.col("known") + seen).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("score") + rise).alias("score"))
+    rows = rows.mapInArrow(begin, "doc_id array<long>, n_tokens array<long>, known array<long>, base array<double>, score array<double>, pairs array<long>, "
+                                  "words array<long>, unseen binary, a binary, b binary, ca binary, cb binary")
+    rows = cut(rows.withColumn("piece", F.monotonically_increasing_id()), "scored")
+    found = rows.select("piece", F.explode("words").alias("word")).join(rest, "word").groupBy("piece").agg(F.collect_list(F.struct("word", "class", "n")).alias("found"))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    steps, mass = model.steps, model.mass
+
+    def end(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                flat = {f.name: row.column(f.name).flatten().to_numpy() for f in _PIECES if pa.types.is_list(f.type) and f.name != "doc_id"}
+                of, n, seen = np.frombuffer(row.column("unseen")[0].as_py(), np.int16).astype(np.int64), np.zeros(len(flat["words"])), np.zeros(len(flat["words"]), bool)
+                if row.column("found").null_count == 0:
+                    word, class_, times = (x.to_numpy() for x in row.column("found").flatten().flatten())
+                    at = np.searchsorted(flat["words"], word)
+                    of[at], n[at], seen[at] = class_, times, True
+                a, b = (np.frombuffer(row.column(c)[0].as_py(), np.int32) for c in "ab")
+                ca, cb = (np.frombuffer(row.column(c)[0].as_py(), np.int16).astype(np.int64) for c in ("ca", "cb"))
+                here = b >= 0
+                if len(of):
+                    ca, cb = np.where(a >= 0, of[a], ca), np.where(here, of[b], cb)
+                    log, seen = np.where(here, np.log10(n + ALPHA)[b], 0.0), here & seen[b]
+                else:
+                    log, seen = np.zeros(0), np.zeros(0, bool)
+                more = _sums(log, flat["pairs"])
+                rise = _sums(steps[ca, cb] + log - np.where(here, mass[cb], 0.0), flat["pairs"])
+                yield pa.RecordBatch.from_arrays(
+                    [row.column("doc_id").flatten(), pa.array(flat["n_tokens"]), pa.array(flat["known"] + _sums(seen, flat["pairs"]).astype(np.int64)),
+                     pa.array(flat["base"] + more), pa.array(flat["score"] + rise)], schema=schema)
+
+    out = rows.join(found, "piece", "left").mapInArrow(end, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
