@@ -495,6 +495,13 @@ def loose_pairs(texts: DataFrame, words, shapes, of, total: int) -> DataFrame:
     return texts.mapInArrow(run, "word long, code int, other long, n long")
 
 
+def _meet(rows: DataFrame, words: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join with a table that grows with the words below the list: both sides are shuffled, at any size. Spark guesses
+    sizes from files and kinds of columns, and takes an exploded list for one value, so by itself it may broadcast
+    millions of words from the driver."""
+    return rows.join(words.hint("merge"), key, how)
+
+
 def place_rest(texts: DataFrame, rest: DataFrame, words, shapes, of: np.ndarray, pairs: np.ndarray, classes: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """(rest with classes, the class of unseen words by shape, counts of class pairs of all words)."""
     sc, total = texts.sparkSession.sparkContext, len(pairs)
@@ -508,7 +515,7 @@ def place_rest(texts: DataFrame, rest: DataFrame, words, shapes, of: np.ndarray,
         return rest.withColumn("class", F.col("shape") + classes), unseen, pairs
     loose = cut(loose_pairs(texts, words, shapes, sc.broadcast(of), total), "loose-pairs")
     near = cut(place(loose.where("code is not null"), pairs, classes), "near")
-    placed = cut(rest.join(near.where("word is not null").select("word", "class"), "word", "left"), "placed")
+    placed = cut(_meet(rest, near.where("word is not null").select("word", "class"), "word", "left"), "placed")
     for r in placed.where("class is not null").groupBy("shape", "class").agg(F.count("*").alias("n")).groupBy("shape").agg(
             F.max(F.struct("n", (-F.col("class")).alias("neg"))).alias("most")).select("shape", (-F.col("most.neg")).alias("class")).collect():
         unseen[r["shape"]] = r["class"]
@@ -520,7 +527,7 @@ def place_rest(texts: DataFrame, rest: DataFrame, words, shapes, of: np.ndarray,
         out[divmod(r["class"], total)] += r["n"]
     both = loose.where("code is null").select("word", "other", "n")
     for side in ("word", "other"):
-        both = both.join(rest.select(F.col("word").alias(side), F.col("class").alias("class_" + side)), side)
+        both = _meet(both, rest.select(F.col("word").alias(side), F.col("class").alias("class_" + side)), side)
     for r in both.groupBy("class_word", "class_other").agg(F.sum("n").alias("n")).collect():
         out[r["class_word"], r["class_other"]] += r["n"]
     return rest, unseen, out
@@ -612,7 +619,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     rows = rows.mapInArrow(begin, "doc_id array<long>, n_tokens array<long>, known array<long>, base array<double>, score array<double>, pairs array<long>, "
                                   "words array<long>, unseen binary, a binary, b binary, ca binary, cb binary")
     rows = cut(rows.withColumn("piece", F.monotonically_increasing_id()), "scored")
-    found = rows.select("piece", F.explode("words").alias("word")).join(rest, "word").groupBy("piece").agg(F.collect_list(F.struct("word", "class", "n")).alias("found"))
+    found = _meet(rows.select("piece", F.explode("words").alias("word")), rest, "word").groupBy("piece").agg(F.collect_list(F.struct("word", "class", "n")).alias("found"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     steps, mass = model.steps, model.mass
 
@@ -640,7 +647,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                     [row.column("doc_id").flatten(), pa.array(flat["n_tokens"]), pa.array(flat["known"] + _sums(seen, flat["pairs"]).astype(np.int64)),
                      pa.array(flat["base"] + more), pa.array(flat["score"] + rise)], schema=schema)
 
-    out = rows.join(found, "piece", "left").mapInArrow(end, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = _meet(rows, found, "piece", "left").mapInArrow(end, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
